@@ -1,0 +1,42 @@
+"""Forecast error aggregates: MSE, MAE, WAPE.
+
+WAPE = sum|y - yhat| / sum|y|.  Pooled over rows, so the OVERALL figure is not a
+mean of per-series figures.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .numeric import round_half_up
+
+METRIC_COLS = ["MSE", "MAE", "WAPE"]
+
+
+def metric_aggs(y: str = "y", yhat: str = "yhat", null_safe: bool = True,
+                digits: int | None = None) -> list[Column]:
+    """Aggregate expressions for ``groupBy(...).agg(*metric_aggs())``.
+
+    ``null_safe=True`` (dashboard rules): pairs with a missing side are ignored,
+    no pair left -> NULL, zero denominator -> WAPE NULL.
+    ``null_safe=False`` (notebook rules): one missing value makes the group's
+    metrics NULL; a zero denominator also gives NULL (Spark cannot hold inf
+    from a division under ANSI mode).
+    ``digits`` rounds half-up, the notebooks use 4.
+    """
+    yc, pc = F.col(y).cast("double"), F.col(yhat).cast("double")
+    ok = yc.isNotNull() & pc.isNotNull()
+    err = F.when(ok, yc - pc)
+    sq = F.avg(err * err)
+    ab = F.avg(F.abs(err))
+    num = F.sum(F.abs(err))
+    den = F.sum(F.when(ok, F.abs(yc)))
+    wape = F.try_divide(num, F.nullif(den, F.lit(0.0)))
+    if not null_safe:
+        complete = F.count(F.lit(1)) == F.count(F.when(ok, 1))
+        sq, ab, wape = (F.when(complete, c) for c in (sq, ab, wape))
+    cols = {"MSE": sq, "MAE": ab, "WAPE": wape}
+    if digits is not None:
+        cols = {k: round_half_up(v, digits) for k, v in cols.items()}
+    return [v.alias(k) for k, v in cols.items()]
