@@ -49,12 +49,14 @@ def integrity_report(readings: DataFrame, step_seconds: int = 900,
     dup_src = raw if raw is not None else readings
     dups = dup_src.groupBy(CLIENT, TS).agg(F.count(F.lit(1)).alias("n")).agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("raw_duplicate_readings"))
-    # four one-row aggregates: joined on a constant key, not a cross product
-    k = F.lit(1).alias("_k")
-    one = [d.select(k, "*") for d in (bounds, n_clients, irregular, dups)]
-    rep = one[0]
-    for d in one[1:]:
-        rep = rep.join(d, "_k")
+    # four one-row aggregates combined by a union and one global aggregate
+    # (no join, hence no cartesian product in the plan)
+    parts = [bounds, n_clients, irregular, dups]
+    rep = parts[0]
+    for d in parts[1:]:
+        rep = rep.unionByName(d, allowMissingColumns=True)
+    cols = ["rows", "lo", "hi", "clients", "non_step_intervals", "raw_duplicate_readings"]
+    rep = rep.agg(*[F.max(c).alias(c) for c in cols])
     return rep.select(
         F.col("rows").cast("long").alias("rows"),
         F.col("clients").cast("long").alias("clients"),
