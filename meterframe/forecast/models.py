@@ -1,0 +1,373 @@
+"""Per-series forecasting models in NumPy.
+
+Each model fits one series inside a Spark task (``applyInPandas``) and
+returns a JSON-able *state* from which forecasts can be made later without
+refitting (the model table, S14).  These are re-implementations from the
+published methods, not the libraries the reference calls, so numbers differ:
+
+* ``ets``      additive exponential smoothing (level / trend / damped trend /
+                season), parameters by a vectorised grid on one-step SSE with a
+                local refinement, form chosen by AICc (Hyndman et al. 2008).
+* ``arima``    seasonal differencing by seasonal strength, regular differencing
+                by a KPSS test, ARMA orders (with seasonal AR/MA terms) fitted by
+                Hannan-Rissanen regression and chosen by AICc (Hyndman and
+                Khandakar 2008, Hannan and Rissanen 1982).
+* ``arimax``   linear regression on the calendar regressors with ARIMA errors.
+* ``additive`` piecewise-linear trend + Fourier daily / weekly / yearly terms
+                + ``is_weekend``, ridge by normal equations (Taylor and Letham 2018).
+
+Time is in hours; ``t`` arrays are hours since the epoch (float).
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+
+SEASON = 24
+
+
+# ------------------------------------------------------------------ helpers
+
+def fill_missing(y: np.ndarray) -> np.ndarray:
+    """Linear interpolation of NaN, ends held flat; all-NaN -> zeros."""
+    y = np.asarray(y, dtype=float)
+    ok = np.isfinite(y)
+    if ok.all():
+        return y
+    if not ok.any():
+        return np.zeros_like(y)
+    idx = np.arange(len(y))
+    return np.interp(idx, idx[ok], y[ok])
+
+
+def _aicc(sse: float, n: int, k: int) -> float:
+    if n - k - 1 <= 0 or sse <= 0:
+        return math.inf if sse > 0 else -math.inf
+    return n * math.log(sse / n) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
+
+
+# ---------------------------------------------------------------------- ETS
+
+_ETS_FORMS = [("N", False), ("A", False), ("Ad", False), ("N", True), ("A", True), ("Ad", True)]
+
+
+def _ets_run(y, m, alpha, beta, gamma, phi, l0, b0, s0, keep_fit=False):
+    """One additive-error recursion for a whole grid of (form, parameter)
+    rows at once: arrays of shape (G,), seasonal start ``s0`` (G, m).  A form
+    without trend has beta = 0 and b0 = 0, one without season gamma = 0 and
+    s0 = 0, so all forms share the same update.
+    Returns (sse (G,), fitted (G, n) or None, level, slope, season buffer)."""
+    n = len(y)
+    lvl = l0.astype(float).copy()
+    tr = b0.astype(float).copy()
+    s = s0.astype(float).copy()
+    sse = np.zeros(len(alpha))
+    fit = np.empty((len(alpha), n)) if keep_fit else None
+    for t in range(n):
+        j = t % m
+        damp = phi * tr
+        pred = lvl + damp + s[:, j]
+        e = y[t] - pred
+        if keep_fit:
+            fit[:, t] = pred
+        sse += e * e
+        lvl = lvl + damp + alpha * e
+        tr = damp + beta * e
+        s[:, j] += gamma * e
+    return sse, fit, lvl, tr, s
+
+
+def _ets_grid(trend, season, centre=None):
+    if centre is None:
+        a = np.array([0.03, 0.1, 0.25, 0.45, 0.7, 0.9])
+        b = np.array([0.01, 0.05, 0.15]) if trend != "N" else np.array([0.0])
+        c = np.array([0.02, 0.1, 0.2, 0.35]) if season else np.array([0.0])
+        p = np.array([0.88, 0.97]) if trend == "Ad" else np.array([1.0])
+    else:
+        a0, b0, c0, p0 = centre
+        f = np.array([0.75, 1.0, 1.3])
+        a = np.clip(a0 * f, 1e-4, 0.9999)
+        b = np.clip(b0 * f, 1e-5, 0.9999) if trend != "N" else np.array([0.0])
+        c = np.clip(c0 * f, 1e-5, 0.9999) if season else np.array([0.0])
+        p = np.clip(p0 + np.array([-0.02, 0.0, 0.02]), 0.8, 0.995) if trend == "Ad" else np.array([1.0])
+    A, B, C, P = np.meshgrid(a, b, c, p, indexing="ij")
+    A, B, C, P = A.ravel(), B.ravel(), C.ravel(), P.ravel()
+    keep = (B <= A) & (C <= 1 - A)
+    return A[keep], B[keep], C[keep], P[keep]
+
+
+def _ets_start(y, m, trend, season):
+    if season:
+        l0 = float(y[:m].mean())
+        b0 = float((y[m:2 * m].mean() - y[:m].mean()) / m) if trend != "N" else 0.0
+        return l0, b0, y[:m] - l0
+    b0 = float(y[1] - y[0]) if (trend != "N" and len(y) > 1) else 0.0
+    return float(y[0]), b0, np.zeros(m)
+
+
+def _ets_stack(y, m, forms, centres=None):
+    """Grid rows of every form stacked: parameters, starts and form index."""
+    cols = [[], [], [], [], [], [], [], []]
+    for f, (trend, season) in enumerate(forms):
+        A, B, C, P = _ets_grid(trend, season, None if centres is None else centres[f])
+        l0, b0, s0 = _ets_start(y, m, trend, season)
+        g = len(A)
+        for lst, v in zip(cols, (A, B, C, P, np.full(g, l0), np.full(g, b0),
+                                 np.tile(s0, (g, 1)), np.full(g, f))):
+            lst.append(v)
+    return [np.concatenate(c) if c[0].ndim == 1 else np.vstack(c) for c in cols]
+
+
+def ets_fit(y: np.ndarray, m: int = SEASON) -> dict:
+    y = fill_missing(y)
+    n = len(y)
+    forms = [f for f in _ETS_FORMS if not (f[1] and n < 2 * m + 2)]
+    centres = None
+    for _ in range(2):      # coarse grid, then a local refinement; all forms at once
+        A, B, C, P, L0, B0, S0, FORM = _ets_stack(y, m, forms, centres)
+        sse, _, _, _, _ = _ets_run(y, m, A, B, C, P, L0, B0, S0)
+        best_rows = [int(np.flatnonzero(FORM == f)[np.argmin(sse[FORM == f])]) for f in range(len(forms))]
+        centres = [(A[i], B[i], C[i], P[i]) for i in best_rows]
+    scores = []
+    for f, (trend, season) in enumerate(forms):
+        k = 2 + (2 if trend != "N" else 0) + (1 if trend == "Ad" else 0) + (m if season else 0)
+        scores.append(_aicc(float(sse[best_rows[f]]), n, k))
+    f = int(np.argmin(scores))
+    i = best_rows[f]
+    trend, season = forms[f]
+    a, b, c, p = A[i], B[i], C[i], P[i]
+    _, fit, lvl, tr, s = _ets_run(y, m, A[i:i + 1], B[i:i + 1], C[i:i + 1], P[i:i + 1],
+                                  L0[i:i + 1], B0[i:i + 1], S0[i:i + 1], keep_fit=True)
+    return {"kind": "ets", "form": f"A,{trend},{'A' if season else 'N'}", "trend": trend,
+            "season": bool(season), "alpha": float(a), "beta": float(b), "gamma": float(c),
+            "phi": float(p), "m": m, "n": n, "level": float(lvl[0]), "slope": float(tr[0]),
+            "seasonal": s[0].tolist(), "fitted": fit[0].tolist()}
+
+
+def ets_forecast(st: dict, h: int) -> np.ndarray:
+    m, n = st["m"], st["n"]
+    steps = np.arange(1, h + 1)
+    phi = st["phi"]
+    if st["trend"] == "N":
+        damp = np.zeros(h)
+    elif st["trend"] == "A":
+        damp = steps.astype(float)
+    else:
+        damp = np.cumsum(phi ** steps)
+    out = st["level"] + damp * st["slope"]
+    if st["season"]:
+        s = np.asarray(st["seasonal"])
+        out = out + s[(n + steps - 1) % m]
+    return out
+
+
+# -------------------------------------------------------------------- ARIMA
+
+def seasonal_strength(y: np.ndarray, m: int = SEASON) -> float:
+    """1 - Var(remainder) / Var(season + remainder) after a centred moving
+    average trend; 0 when the series is too short."""
+    n = len(y)
+    if n < 2 * m + 1:
+        return 0.0
+    k = np.ones(m + 1) / m
+    k[0] = k[-1] = 0.5 / m
+    trend = np.convolve(y, k, mode="same")
+    half = m // 2
+    trend[:half] = np.nan
+    trend[-half:] = np.nan
+    detr = y - trend
+    pos = np.arange(n) % m
+    seas = np.array([np.nanmean(detr[pos == j]) if np.isfinite(detr[pos == j]).any() else 0.0
+                     for j in range(m)])
+    seas -= seas.mean()
+    rem = detr - seas[pos]
+    ok = np.isfinite(rem)
+    v_sr = np.var((seas[pos] + rem)[ok])
+    if v_sr <= 0:
+        return 0.0
+    return max(0.0, 1.0 - np.var(rem[ok]) / v_sr)
+
+
+def kpss_stat(x: np.ndarray) -> float:
+    """Level-stationarity KPSS statistic with Newey-West long-run variance."""
+    n = len(x)
+    if n < 10:
+        return 0.0
+    e = x - x.mean()
+    s = np.cumsum(e)
+    lags = int(3 * math.sqrt(n) / 13)
+    lrv = e @ e / n
+    for j in range(1, lags + 1):
+        lrv += 2 * (1 - j / (lags + 1)) * (e[j:] @ e[:-j]) / n
+    if lrv <= 0:
+        return 0.0
+    return float(s @ s / (n * n * lrv))
+
+
+def _lagmat(x: np.ndarray, lags: list[int], start: int) -> np.ndarray:
+    return np.column_stack([x[start - j: len(x) - j] for j in lags]) if lags else np.empty((len(x) - start, 0))
+
+
+def _arma_design(x, e, p, q, P, Q, m, const, start):
+    cols = []
+    lags_x = list(range(1, p + 1)) + ([m] if P else [])
+    lags_e = list(range(1, q + 1)) + ([m] if Q else [])
+    if lags_x:
+        cols.append(_lagmat(x, lags_x, start))
+    if lags_e:
+        cols.append(_lagmat(e, lags_e, start))
+    if const:
+        cols.append(np.ones((len(x) - start, 1)))
+    X = np.hstack(cols) if cols else np.empty((len(x) - start, 0))
+    return X, lags_x, lags_e
+
+
+def arima_fit(y: np.ndarray, m: int = SEASON) -> dict:
+    y = fill_missing(y)
+    n = len(y)
+    D = 1 if (n > 3 * m and seasonal_strength(y, m) > 0.64) else 0
+    u = y[m:] - y[:-m] if D else y.copy()
+    d = 1 if kpss_stat(u) > 0.463 else 0
+    x = np.diff(u) if d else u.copy()
+    const = (d + D) < 2
+    nx = len(x)
+    if nx < 10 or np.std(x) == 0:
+        return {"kind": "arima", "order": [0, d, 0, 0, D, 0], "const": float(np.mean(x)) if const else 0.0,
+                "phi": [], "theta": [], "lags_x": [], "lags_e": [], "m": m, "d": d, "D": D,
+                "x_tail": x[-(m + 4):].tolist(), "e_tail": [0.0] * (m + 4), "u_tail": u[-(m + 4):].tolist(),
+                "y_tail": y[-(2 * m + 4):].tolist(), "fitted": (np.full(n, np.nan)).tolist()}
+    # Hannan-Rissanen step 1: long autoregression for the innovations
+    L = int(min(max(m + 4, 8), nx // 3))
+    XL = _lagmat(x, list(range(1, L + 1)), L)
+    XL = np.hstack([XL, np.ones((nx - L, 1))])
+    coef, *_ = np.linalg.lstsq(XL, x[L:], rcond=None)
+    e = np.zeros(nx)
+    e[L:] = x[L:] - XL @ coef
+    start = L + m + 1
+    if nx - start < 12:
+        start = L + 4
+    best = None
+    for p in range(0, 4):
+        for q in range(0, 3):
+            for P in (0, 1):
+                for Q in (0, 1):
+                    if start - max(p, q, m * P, m * Q) < 0:
+                        continue
+                    X, lx, le = _arma_design(x, e, p, q, P, Q, m, const, start)
+                    if X.shape[1] == 0:
+                        resid = x[start:]
+                        beta = np.empty(0)
+                    else:
+                        beta, *_ = np.linalg.lstsq(X, x[start:], rcond=None)
+                        resid = x[start:] - X @ beta
+                    k = X.shape[1] + 1
+                    score = _aicc(float(resid @ resid), nx - start, k)
+                    if best is None or score < best[0]:
+                        best = (score, p, q, P, Q, beta, lx, le, resid)
+    _, p, q, P, Q, beta, lx, le, resid = best
+    phi = beta[:len(lx)].tolist()
+    theta = beta[len(lx):len(lx) + len(le)].tolist()
+    c = float(beta[-1]) if const else 0.0
+    # in-sample one-step fitted values: y_fit = y - residual on fitted rows
+    fitted = np.full(n, np.nan)
+    offset = n - nx
+    fitted[offset + start:] = y[offset + start:] - resid
+    e_full = e.copy()
+    e_full[start:] = resid
+    keep = m + 4
+    return {"kind": "arima", "order": [p, d, q, P, D, Q], "const": c, "phi": phi, "theta": theta,
+            "lags_x": lx, "lags_e": le, "m": m, "d": d, "D": D,
+            "x_tail": x[-keep:].tolist(), "e_tail": e_full[-keep:].tolist(),
+            "u_tail": u[-keep:].tolist(), "y_tail": y[-(2 * m + 4):].tolist(),
+            "fitted": fitted.tolist()}
+
+
+def arima_forecast(st: dict, h: int) -> np.ndarray:
+    m = st["m"]
+    x = list(st["x_tail"])
+    e = list(st["e_tail"])
+    u = list(st["u_tail"])
+    y = list(st["y_tail"])
+    out = np.empty(h)
+    for i in range(h):
+        xv = st["const"]
+        for c, j in zip(st["phi"], st["lags_x"]):
+            xv += c * x[-j]
+        for c, j in zip(st["theta"], st["lags_e"]):
+            xv += c * e[-j]
+        x.append(xv)
+        e.append(0.0)
+        uv = xv + u[-1] if st["d"] else xv
+        u.append(uv)
+        yv = uv + y[-m] if st["D"] else uv
+        y.append(yv)
+        out[i] = yv
+    return out
+
+
+# ------------------------------------------------------------------- ARIMAX
+
+def arimax_fit(y: np.ndarray, X: np.ndarray, m: int = SEASON) -> dict:
+    """Regression on exogenous columns ``X`` (n, k) with ARIMA errors."""
+    y = fill_missing(y)
+    A = np.hstack([X, np.ones((len(y), 1))])
+    beta, *_ = np.linalg.lstsq(A, y, rcond=None)
+    r = y - A @ beta
+    st = arima_fit(r, m)
+    fit_r = np.asarray(st.pop("fitted"), dtype=float)
+    return {"kind": "arimax", "beta": beta.tolist(), "errors": st,
+            "fitted": (A @ beta + fit_r).tolist()}
+
+
+def arimax_forecast(st: dict, Xf: np.ndarray) -> np.ndarray:
+    A = np.hstack([Xf, np.ones((len(Xf), 1))])
+    return A @ np.asarray(st["beta"]) + arima_forecast(st["errors"], len(Xf))
+
+
+# ----------------------------------------------------------------- additive
+
+def _fourier(t_hours: np.ndarray, period: float, order: int) -> np.ndarray:
+    w = 2 * np.pi * t_hours[:, None] / period * np.arange(1, order + 1)[None, :]
+    return np.hstack([np.sin(w), np.cos(w)])
+
+
+def _additive_design(st: dict, t_hours: np.ndarray, weekend: np.ndarray) -> np.ndarray:
+    ts = (t_hours - st["t0"]) / st["t_scale"]
+    cps = np.asarray(st["changepoints"])
+    trend = [np.ones_like(ts), ts]
+    if len(cps):
+        trend.append(np.maximum(ts[:, None] - cps[None, :], 0.0))
+    cols = [np.column_stack(trend[:2])] + ([trend[2]] if len(cps) else [])
+    cols += [_fourier(t_hours, 24.0, 4), _fourier(t_hours, 168.0, 3),
+             _fourier(t_hours, 365.25 * 24, 10), weekend[:, None].astype(float)]
+    return np.hstack(cols)
+
+
+def additive_fit(y: np.ndarray, t_hours: np.ndarray, weekend: np.ndarray,
+                 n_changepoints: int = 25, cp_penalty: float = 10.0,
+                 season_penalty: float = 0.1) -> dict:
+    ok = np.isfinite(y)
+    t0, t1 = float(t_hours[0]), float(t_hours[-1])
+    st = {"kind": "additive", "t0": t0, "t_scale": max(t1 - t0, 1.0)}
+    ts = (t_hours - t0) / st["t_scale"]
+    ncp = min(n_changepoints, max(0, int(ok.sum()) // 50))
+    st["changepoints"] = np.quantile(ts[: max(1, int(0.8 * len(ts)))], np.linspace(0, 1, ncp + 2)[1:-1]).tolist() \
+        if ncp else []
+    X = _additive_design(st, t_hours, weekend)
+    scale = float(np.nanmax(np.abs(y))) if ok.any() else 1.0
+    scale = scale if scale > 0 else 1.0
+    pen = np.zeros(X.shape[1])
+    pen[2:2 + ncp] = cp_penalty
+    pen[2 + ncp:-1] = season_penalty
+    Xo, yo = X[ok], y[ok] / scale
+    A = Xo.T @ Xo + np.diag(pen)
+    beta = np.linalg.solve(A + 1e-9 * np.eye(len(pen)), Xo.T @ yo) * scale
+    st["beta"] = beta.tolist()
+    st["fitted"] = (X @ beta).tolist()
+    return st
+
+
+def additive_forecast(st: dict, t_hours: np.ndarray, weekend: np.ndarray) -> np.ndarray:
+    return _additive_design(st, t_hours, weekend) @ np.asarray(st["beta"])

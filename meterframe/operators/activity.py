@@ -8,19 +8,19 @@ Zero runs are computed without densifying the panel: every retained hour gets
 a position ``pos`` in closed form (hours since the start minus 24 per removed
 day before it), only non-zero hours are kept, and the longest run is the
 largest gap between consecutive non-zero positions (or before the first /
-after the last one).  The gap uses the blocked ``lag`` of ``ordered``.
+after the last one).  The gaps are found inside bounded blocks of positions
+first, then between consecutive blocks, so a hot series spreads over tasks.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefns import date_text, ts_text
 from ..schema import CLIENT, TS, Y
-from .ordered import previous_in_order
 
 POS_BLOCK = 24 * 28  # positions per block of the blocked lag (four weeks)
 
@@ -64,13 +64,26 @@ def activity_stats(hourly: DataFrame, clients: DataFrame, lo: dt.datetime,
     """
     n = axis_length(lo, hi, removed)
     nz = (hourly.where(F.col(Y).isNotNull() & (F.col(Y) != 0))
-          .select(CLIENT, TS, position(TS, lo, removed).alias("pos")))
-    gaps = previous_in_order(nz, [CLIENT], "pos", POS_BLOCK, out="prev")
-    per = (gaps.groupBy(CLIENT)
-           .agg(F.count(F.lit(1)).alias("nonzero_hours"),
-                F.max(F.col("pos") - F.coalesce(F.col("prev"), F.lit(-1)) - 1).alias("inner_run"),
-                F.max("pos").alias("last_pos"),
-                F.min(TS).alias("first_nonzero_ts")))
+          .select(CLIENT, TS, position(TS, lo, removed).alias("pos"))
+          .withColumn("_blk", F.floor(F.col("pos") / POS_BLOCK)))
+    # gaps inside a (series, block): bounded groups, one exchange; the block
+    # summary then reuses that partitioning
+    w_in = Window.partitionBy(CLIENT, "_blk").orderBy("pos")
+    blocks = (nz.withColumn("_gap", F.col("pos") - F.lag("pos").over(w_in) - 1)
+              .groupBy(CLIENT, "_blk")
+              .agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"),
+                   F.max("_gap").alias("_inner"), F.count(F.lit(1)).alias("_n"),
+                   F.min(TS).alias("_ts")))
+    # gaps between consecutive non-empty blocks: one row per block, one
+    # exchange by series; the per-series aggregate reuses it
+    w_blk = Window.partitionBy(CLIENT).orderBy("_blk")
+    per = (blocks.withColumn("_cross", F.col("_first")
+                             - F.coalesce(F.lag("_last").over(w_blk), F.lit(-1)) - 1)
+           .groupBy(CLIENT)
+           .agg(F.sum("_n").alias("nonzero_hours"),
+                F.greatest(F.max("_inner"), F.max("_cross")).alias("inner_run"),
+                F.max("_last").alias("last_pos"),
+                F.min("_ts").alias("first_nonzero_ts")))
     out = (clients.select(CLIENT).distinct().join(per, CLIENT, "left")
            .select(
                CLIENT,

@@ -28,13 +28,15 @@ def transition_dates(spark: SparkSession, lo_day, hi_day, tz: str) -> DataFrame:
             .select("day"))
 
 
-def transition_dates_for(df: DataFrame, tz: str, ts: str = TS) -> list[dt.date]:
-    """Transition days inside the time range of ``df``, as a small Python list
-    (at most two per year, so collecting it is bounded)."""
-    row = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
-    if row is None or row["lo"] is None:
-        raise ValueError("empty input: no timestamps")
-    days = transition_dates(df.sparkSession, row["lo"].date(), row["hi"].date(), tz)
+def transition_dates_for(df: DataFrame, tz: str, ts: str = TS, bounds=None) -> list[dt.date]:
+    """Transition days inside the time range of ``df`` (or of ``bounds``), as
+    a small Python list (at most two per year, so collecting it is bounded)."""
+    if bounds is None:
+        row = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
+        if row is None or row["lo"] is None:
+            raise ValueError("empty input: no timestamps")
+        bounds = (row["lo"], row["hi"])
+    days = transition_dates(df.sparkSession, bounds[0].date(), bounds[1].date(), tz)
     return sorted(r["day"] for r in days.collect())
 
 

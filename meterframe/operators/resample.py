@@ -30,9 +30,13 @@ def hourly_mean(readings: DataFrame, dedupe: bool = True) -> DataFrame:
             .agg(F.avg(Y).cast("float").alias(Y)))
 
 
-def time_bounds(df: DataFrame, ts: str = TS) -> tuple:
-    """(min, max) of a timestamp column: one small driver action."""
-    row = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
+def time_bounds(df: DataFrame, ts: str = TS, hourly: bool = False) -> tuple:
+    """(min, max) of a timestamp column: one small driver action.
+
+    ``hourly=True`` returns the first and last *hour*, i.e. the bounds of
+    the hourly panel of ``df``, without computing that panel."""
+    c = floor_hour(ts) if hourly else F.col(ts)
+    row = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi")).first()
     if row is None or row["lo"] is None:
         raise ValueError("empty input: no timestamps")
     return row["lo"], row["hi"]

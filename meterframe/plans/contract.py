@@ -76,8 +76,8 @@ class Prepared:
     def __init__(self, readings: DataFrame, tz: str, rate_min: float, run_max: int):
         self.readings = readings
         self.hourly_all = resample.hourly_mean(readings)
-        self.lo, self.hi = resample.time_bounds(self.hourly_all)
-        self.dates = dst.transition_dates_for(self.hourly_all, tz)
+        self.lo, self.hi = resample.time_bounds(readings, hourly=True)
+        self.dates = dst.transition_dates_for(readings, tz, bounds=(self.lo, self.hi))
         self.hourly = dst.drop_days(self.hourly_all, self.dates)
         self.spine = dst.drop_days(resample.hour_spine(readings, self.lo, self.hi), self.dates)
         self.stats = activity.activity_stats(
@@ -165,15 +165,13 @@ def q_a10_aggregate_load(spark, sf):
 
 def q_a11_dst_snapshot(spark, sf):
     r = resample.dedupe_mean(l_readings(spark, sf))
-    hourly = resample.hourly_mean(r, dedupe=False)
-    dates = dst.transition_dates_for(hourly, P.tz)
+    dates = dst.transition_dates_for(r, P.tz, bounds=resample.time_bounds(r, hourly=True))
     n_clients = r.select(CLIENT).distinct().count()
     return dst.artefact_snapshot(r, dates, n_clients, slot_start_h=0, slot_end_h=24)
 
 
 def q_w02_dst_dates(spark, sf):
-    hourly = resample.hourly_mean(l_readings(spark, sf))
-    lo, hi = resample.time_bounds(hourly)
+    lo, hi = resample.time_bounds(l_readings(spark, sf), hourly=True)
     return dst.transition_dates(spark, lo.date(), hi.date(), P.tz).select(date_text("day").alias("date"))
 
 

@@ -50,7 +50,7 @@ def prepare(spark: SparkSession, cfg: PreprocessConfig, raw: DataFrame | None =
     n_clients = report["clients"]
 
     hourly_all = resample.hourly_mean(readings, dedupe=False)
-    lo, hi = resample.time_bounds(hourly_all)
+    lo, hi = resample.time_bounds(readings, hourly=True)
     dates = dst.transition_dates(spark, lo.date(), hi.date(), cfg.timezone)
     dates = sorted(r["day"] for r in dates.collect())   # two per year at most
     snapshot = dst.artefact_snapshot(readings, dates, n_clients).collect()
