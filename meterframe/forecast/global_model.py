@@ -20,7 +20,7 @@ aggregate (partial per task) and only the 11 x 11 system reaches the driver.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import CALENDAR_COLS, calendar_columns
@@ -29,6 +29,7 @@ from ..schema import CLIENT, MODEL, TS, Y, YHAT
 from .jobs import future_axis
 
 FEATURES = ["f_how", "f_hod", "f_lvl", *CALENDAR_COLS, "bias"]
+HOURS_OF_WEEK = 168
 NAME = "global_linear"
 
 
@@ -36,49 +37,72 @@ def _how(ts):
     return (F.weekday(ts) * 24 + F.hour(ts)).cast("int")
 
 
-def _origin_rows(history: DataFrame, input_size: int, chunk: int, train: bool) -> tuple[DataFrame, DataFrame]:
-    """(input rows keyed by origin ``k``, per-series end).  ``g`` = hours from
-    a row to the series' end + 1 hour; origin ``k`` starts ``k * chunk`` hours
-    before that end (``k = 0``: the chunk after the history)."""
-    last = history.groupBy(CLIENT).agg(F.max(TS).alias("_last"))
-    h = history.join(last, CLIENT).withColumn("_g", F.timestamp_diff("HOUR", F.col(TS), F.col("_last")) + 1)
-    if train:
-        k_in = F.floor((F.col("_g") - 1) / chunk)
-        inp = h.withColumn("_k", k_in).where((F.col("_k") >= 1) & (F.col("_g") - F.col("_k") * chunk <= input_size))
-    else:
-        inp = h.where(F.col("_g") <= input_size).withColumn("_k", F.lit(0).cast("long"))
-    return inp, last
+def _with_gap(history: DataFrame) -> DataFrame:
+    """``_g`` = hours from each row to its series' end + 1 hour.  The end is a
+    window maximum by series (no join), and the exchange by series it needs
+    is reused by the profile aggregates below."""
+    last = F.max(TS).over(Window.partitionBy(CLIENT))
+    return history.withColumn("_g", F.timestamp_diff("HOUR", F.col(TS), last) + 1)
 
 
-def _features(inp: DataFrame, targets: DataFrame) -> DataFrame:
-    """Scaled features of each target row (``client_id, _k, ts[, y]``)."""
+def _profiles(inp: DataFrame) -> DataFrame:
+    """One narrow row per (series, origin ``_k``, hour-of-week slot): the
+    slot mean, the hour-of-day mean, the standard-scaling moments and the
+    last-24-hours level of the input window.  All 168 slots are generated per
+    (series, origin) -- a bounded expansion -- so every target hour finds its
+    row even when the window misses that slot.  ``inp`` carries ``_g``
+    relative to its origin."""
     y = F.col(Y).cast("double")
-    stats = inp.groupBy(CLIENT, "_k").agg(F.avg(y).alias("_mu"), F.stddev_pop(y).alias("_sd"),
-                                          F.avg(F.when(F.col("_g") <= 24, y)).alias("_lvl_raw"))
-    stats = stats.withColumn("_sd", F.when(F.col("_sd") > 1e-9, F.col("_sd")).otherwise(F.lit(1.0)))
-    how = inp.groupBy(CLIENT, "_k", _how(TS).alias("_how")).agg(F.avg(y).alias("_m_how"))
-    hod = inp.groupBy(CLIENT, "_k", F.hour(TS).alias("_hod")).agg(F.avg(y).alias("_m_hod"))
-    cal = calendar_columns(TS)
-    t = (targets.withColumn("_how", _how(TS)).withColumn("_hod", F.hour(TS))
-         .join(stats, [CLIENT, "_k"], "inner")
-         .join(how, [CLIENT, "_k", "_how"], "left")
-         .join(hod, [CLIENT, "_k", "_hod"], "left"))
+    slots = (inp.groupBy(CLIENT, "_k", _how(TS).alias("_how"))
+             .agg(F.sum(y).alias("_s"), F.count(y).alias("_n"), F.sum(y * y).alias("_ss"),
+                  F.sum(F.when(F.col("_g") <= 24, y)).alias("_s24"),
+                  F.count(F.when(F.col("_g") <= 24, y)).alias("_n24")))
+    full = (slots.select(CLIENT, "_k").distinct()
+            .select(CLIENT, "_k", F.explode(F.sequence(F.lit(0), F.lit(HOURS_OF_WEEK - 1))).alias("_how"))
+            .join(slots, [CLIENT, "_k", "_how"], "left")
+            .na.fill(0, ["_s", "_n", "_ss", "_s24", "_n24"]))
+    w_k = Window.partitionBy(CLIENT, "_k")
+    w_hod = Window.partitionBy(CLIENT, "_k", F.col("_how") % 24)
+    n_all = F.sum("_n").over(w_k)
+    mu = F.sum("_s").over(w_k) / n_all
+    var = F.sum("_ss").over(w_k) / n_all - mu * mu
+    sd = F.sqrt(F.greatest(var, F.lit(0.0)))
+    return (full.select(
+        CLIENT, "_k", "_how", n_all.alias("_cnt"), mu.alias("_mu"),
+        F.when(sd > 1e-9, sd).otherwise(F.lit(1.0)).alias("_sd"),
+        F.try_divide(F.sum("_s24").over(w_k), F.nullif(F.sum("_n24").over(w_k), F.lit(0))).alias("_lvl_raw"),
+        F.try_divide(F.col("_s"), F.nullif(F.col("_n"), F.lit(0))).alias("_m_how"),
+        F.try_divide(F.sum("_s").over(w_hod), F.nullif(F.sum("_n").over(w_hod), F.lit(0))).alias("_m_hod"))
+        .where(F.col("_cnt") > 0).drop("_cnt"))
+
+
+def _features(profiles: DataFrame, targets: DataFrame) -> DataFrame:
+    """Scaled features of each target row (``client_id, _k, ts[, y]``); one
+    equi-join on (series, origin, hour-of-week slot)."""
+    t = targets.withColumn("_how", _how(TS)).join(profiles, [CLIENT, "_k", "_how"], "inner")
     z = lambda c: F.coalesce((F.col(c) - F.col("_mu")) / F.col("_sd"), F.lit(0.0))
-    return t.select("*", z("_m_how").alias("f_how"), z("_m_hod").alias("f_hod"),
-                    z("_lvl_raw").alias("f_lvl"),
+    cal = calendar_columns(TS)
+    return t.select(CLIENT, "_k", TS, *([Y] if Y in targets.columns else []), "_mu", "_sd",
+                    z("_m_how").alias("f_how"), z("_m_hod").alias("f_hod"), z("_lvl_raw").alias("f_lvl"),
                     *[cal[c].cast("double").alias(c) for c in CALENDAR_COLS],
                     F.lit(1.0).alias("bias"))
 
 
 def training_rows(history: DataFrame, input_size: int = 672, chunk: int = 720) -> DataFrame:
-    inp, last = _origin_rows(history, input_size, chunk, train=True)
-    # the last-24-hours level is relative to each origin: hours to the origin
-    inp = inp.withColumn("_g", F.col("_g") - F.col("_k") * chunk)
-    tg = (history.where(F.col(Y).isNotNull()).join(last, CLIENT)
-          .withColumn("_g", F.timestamp_diff("HOUR", F.col(TS), F.col("_last")) + 1)
-          .withColumn("_k", F.ceil(F.col("_g") / chunk).cast("long"))
-          .select(CLIENT, "_k", TS, Y))
-    f = _features(inp, tg)
+    """Every history row is the target of the origin whose chunk holds it;
+    the input window of origin ``k`` ends ``k * chunk`` hours before the end."""
+    h = _with_gap(history.select(CLIENT, TS, Y))
+    # a row is input of every origin k >= 1 with k*chunk < g <= k*chunk + input_size;
+    # when input_size > chunk the windows overlap and the row is repeated
+    # ceil(input_size / chunk) times at most (once for input 672, chunk 720)
+    k_lo = F.greatest(F.ceil((F.col("_g") - input_size) / chunk), F.lit(1)).cast("long")
+    k_hi = F.floor((F.col("_g") - 1) / chunk).cast("long")
+    inp = (h.where(k_hi >= k_lo)
+           .withColumn("_k", F.explode(F.sequence(k_lo, k_hi)))
+           .withColumn("_g", F.col("_g") - F.col("_k") * chunk))
+    tg = (h.where(F.col(Y).isNotNull())
+          .select(CLIENT, F.ceil(F.col("_g") / chunk).cast("long").alias("_k"), TS, Y))
+    f = _features(_profiles(inp), tg)
     return f.withColumn("_z", (F.col(Y).cast("double") - F.col("_mu")) / F.col("_sd"))
 
 
@@ -103,9 +127,10 @@ def fit(history: DataFrame, input_size: int = 672, chunk: int = 720, ridge: floa
 def predict(weights, history: DataFrame, future: DataFrame, input_size: int = 672) -> DataFrame:
     """Forecast ``future (client_id, ts)`` from the last ``input_size`` hours
     of each series' history."""
-    inp, _ = _origin_rows(history, input_size, 1, train=False)
+    inp = (_with_gap(history.select(CLIENT, TS, Y)).where(F.col("_g") <= input_size)
+           .withColumn("_k", F.lit(0).cast("long")))
     tg = future.select(CLIENT, TS).withColumn("_k", F.lit(0).cast("long"))
-    f = _features(inp, tg)
+    f = _features(_profiles(inp), tg)
     score = sum((F.lit(float(w)) * F.col(c) for w, c in zip(weights, FEATURES)), F.lit(0.0))
     return f.select(F.lit(NAME).alias(MODEL), CLIENT, TS,
                     (F.col("_mu") + F.col("_sd") * score).alias(YHAT))

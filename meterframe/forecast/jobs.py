@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import CALENDAR_COLS, with_calendar
 from ..schema import CLIENT, MODEL, TS, Y, YHAT
+from ..operators.partitioning import spread
 from . import models as M
 
 OUT_SCHEMA = (f"{MODEL} string, {CLIENT} string, {TS} timestamp_ntz, {YHAT} double, "
@@ -172,7 +173,7 @@ def future_axis(history: DataFrame, hours: int | None = None, until=None) -> Dat
     """per series the hours after its last history hour: ``hours`` of
     them (horizon by count, as the reference) or up to ``until`` (by span).
     Generated per series with ``sequence`` (no join)."""
-    last = history.groupBy(CLIENT).agg(F.max(TS).alias("_last"))
+    last = spread(history.groupBy(CLIENT).agg(F.max(TS).alias("_last")))
     start = F.col("_last") + F.expr("INTERVAL 1 HOUR")
     if until is not None:
         end = F.lit(until).cast("timestamp_ntz")
@@ -197,22 +198,6 @@ def fit_forecast(history: DataFrame, model: str, future: DataFrame,
             .applyInPandas(_group_fn(fc, emit_fitted, emit_state), OUT_SCHEMA))
 
 
-def spread(df: DataFrame, key: str = CLIENT) -> DataFrame:
-    """Hash-partition by series over all cores before a per-series Python
-    step.  The fits are CPU-bound while their input is small, so adaptive
-    execution would otherwise merge the shuffle output into a few partitions
-    (it sizes by bytes) and run the fits one after another.  The grouped
-    step reuses this partitioning, so no second exchange is added.
-
-    The count is kept above ``spark.sql.shuffle.partitions``: a repartition
-    equal to the child's existing hash partitioning is dropped as redundant,
-    and that upstream exchange is one adaptive execution may coalesce."""
-    spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism * 2,
-            int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
-    return df.repartition(n, key)
-
-
 def predictions(out: DataFrame, kind: str = "forecast") -> DataFrame:
     return out.where(F.col("kind") == kind).select(MODEL, CLIENT, TS, YHAT)
 

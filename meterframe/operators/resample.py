@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timefns import floor_hour, hour_sequence
 from ..schema import CLIENT, TS, Y
+from .partitioning import spread
 
 
 def dedupe_mean(readings: DataFrame) -> DataFrame:
@@ -59,7 +60,8 @@ def series_axis(clients: DataFrame, spine: DataFrame, lo, hi) -> DataFrame:
     with ``sequence`` (a generator, not a cross join); hours missing from the
     spine (removed days) are removed with a semi join on the spine, whose size
     is the number of hours in the range."""
-    axis = clients.select(CLIENT).distinct().select(CLIENT, F.explode(hour_sequence(
+    ids = spread(clients.select(CLIENT).distinct())
+    axis = ids.select(CLIENT, F.explode(hour_sequence(
         F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz"))).alias(TS))
     return axis.join(spine.select(TS), TS, "left_semi")
 

@@ -351,6 +351,19 @@ def q_a20_leaderboard(spark, sf):
     return lb.select(MODEL, *_metric_cols(), "rank")
 
 
+def q_a20_worst_series(spark, sf):
+    s = Scoring(spark, sf)
+    m = evaluate.metrics_by_model(s.test, s.preds)
+    w = evaluate.worst_series(m, k=3, by="MSE")
+    return w.select(MODEL, CLIENT, *_metric_cols(), "rank")
+
+
+def q_p13_keep_timestamps(spark, sf):
+    s = Scoring(spark, sf)
+    wanted = s.test.where(F.col(CLIENT) == P.slice_client).select(TS)
+    return _val(panel.keep_timestamps(s.test, wanted))
+
+
 def q_j02_scored(spark, sf):
     s = Scoring(spark, sf)
     pairs = evaluate.scored(s.test, s.preds.where(F.col(MODEL) == "hod_mean").drop(MODEL))
@@ -636,6 +649,13 @@ m as ({_metrics_sql("select p.model, t.client_id, t.y, p.yhat from test t join p
 select model, {_r('MSE', 6)} as MSE, {_r('MAE', 6)} as MAE, {_r('WAPE', 6)} as WAPE,
 cast(rank() over (order by WAPE asc nulls last, MSE asc nulls last, model) as integer) as rank
 from m where client_id = 'OVERALL'"""
+    q["a20_worst_series"] = f"""with {_scoring_ctes()},
+m as ({_metrics_sql("select p.model, t.client_id, t.y, p.yhat from test t join preds p on p.client_id = t.client_id and p.ts = t.ts", "model", True, None)})
+select model, client_id, {_r('MSE', 6)} as MSE, {_r('MAE', 6)} as MAE, {_r('WAPE', 6)} as WAPE, rank from (
+  select *, cast(row_number() over (partition by model order by MSE desc nulls last, client_id) as integer) as rank
+  from m where client_id <> 'OVERALL') where rank <= 3"""
+    q["p13_keep_timestamps"] = f"""with {_scoring_ctes()}
+select client_id, ts, {_r('y')} as y from test where ts in (select ts from test where client_id = '{P.slice_client}')"""
     q["j02_scored"] = f"""with {_scoring_ctes()}
 select t.client_id, t.ts, {_r('t.y')} as y, {_r('p.yhat')} as yhat from test t
 join preds p on p.client_id = t.client_id and p.ts = t.ts and p.model = 'hod_mean'"""

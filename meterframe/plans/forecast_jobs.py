@@ -31,6 +31,9 @@ def _part(df, name):
 
 
 LOOKBACK = 672
+# pooled model on the 30-day tables: one week of input, three-day chunks
+GLOBAL_INPUT = 168
+GLOBAL_CHUNK = 72
 
 
 def _val_forecast(spark, sf, model):
@@ -80,29 +83,31 @@ def q_f08_backtest(spark, sf):
 
 
 def _global(spark, sf):
-    p = forecast_panel(spark, sf)
+    # the panel feeds several branches (fit, scaling, rolling rounds):
+    # written once to the checkpoint folder instead of recomputed per branch
+    p = forecast_panel(spark, sf).checkpoint()
     train, val, test = _part(p, "train"), _part(p, "validation"), _part(p, "test")
-    chunk = 2 * P.chunk
-    w = global_model.fit(panel.union_history(train, val), input_size=P.lookback * 3, chunk=chunk)
+    chunk = GLOBAL_CHUNK
+    w = global_model.fit(panel.union_history(train, val), input_size=GLOBAL_INPUT, chunk=chunk)
     return p, train, val, test, w, chunk
 
 
 def q_f09_rolling(spark, sf):
     p, train, val, test, w, chunk = _global(spark, sf)
     preds = global_model.rolling_forecast(w, panel.union_history(train, val), test.select(TS),
-                                          input_size=P.lookback * 3, chunk=chunk)
+                                          input_size=GLOBAL_INPUT, chunk=chunk)
     return evaluate.metrics_table(evaluate.scored(test, preds.drop(MODEL)), digits=4)
 
 
 def q_f10_global(spark, sf):
     p, train, val, test, w, chunk = _global(spark, sf)
     hist = panel.union_history(train, val)
-    return global_model.predict(w, hist, jobs.future_axis(hist, hours=chunk), input_size=P.lookback * 3)
+    return global_model.predict(w, hist, jobs.future_axis(hist, hours=chunk), input_size=GLOBAL_INPUT)
 
 
 def q_f11_global_proxy(spark, sf):
     p, train, val, test, w, chunk = _global(spark, sf)
-    pairs = global_model.in_sample_proxy(w, train, panel.horizon(val), input_size=P.lookback * 3, chunk=chunk)
+    pairs = global_model.in_sample_proxy(w, train, panel.horizon(val), input_size=GLOBAL_INPUT, chunk=chunk)
     return evaluate.metrics_table(pairs, digits=4)
 
 

@@ -114,3 +114,17 @@ def test_global_model_plan_has_no_cartesian(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert out.count() == 48
+
+
+def test_overlapping_input_windows(spark):
+    """input_size > chunk: each origin still sees its whole input window."""
+    p = _panel(spark, n_hours=24 * 12, series=("A",))
+    rows = global_model.training_rows(p, input_size=96, chunk=24)
+    assert rows.where(F.col("f_lvl").isNull()).count() == 0
+    ks = {r["_k"] for r in rows.select("_k").distinct().collect()}
+    assert min(ks) == 1 and max(ks) == 11
+    # origin 1 starts 24 hours before the end; its window is the 96 hours before
+    n = 24 * 12
+    window = [planted(i) for i in range(n - 24 - 96, n - 24)]
+    mu = rows.where(F.col("_k") == 1).select("_mu").first()[0]
+    assert abs(mu - float(np.mean(np.float32(window)))) < 1e-4
