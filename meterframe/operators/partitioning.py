@@ -17,15 +17,18 @@ from pyspark.sql import DataFrame
 from ..schema import CLIENT
 
 
-def spread(df: DataFrame, key: str = CLIENT, per_core: int = 2) -> DataFrame:
+def spread(df: DataFrame, key: str = CLIENT, per_core: int = 3) -> DataFrame:
     """Hash-partition ``df`` by ``key`` into ``per_core`` x cores partitions.
 
-    The count is kept above ``spark.sql.shuffle.partitions``: a repartition
-    equal to the child's existing hash partitioning is dropped as redundant,
-    and that upstream exchange is one adaptive execution may merge.  A later
-    grouping or window on ``key`` reuses this partitioning (no new exchange).
+    A multiple of the core count, so the tasks run in even waves.  The count
+    differs from ``spark.sql.shuffle.partitions``: a repartition equal to the
+    child's existing hash partitioning is dropped as redundant, and that
+    upstream exchange is one adaptive execution may merge.  A later grouping
+    or window on ``key`` reuses this partitioning (no new exchange).
     """
     spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism * per_core,
-            int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    n = cores * per_core
+    if n == int(spark.conf.get("spark.sql.shuffle.partitions")):
+        n += cores
     return df.repartition(n, key)

@@ -20,10 +20,13 @@ from .contract import P, _e
 
 
 def forecast_panel(spark, sf) -> DataFrame:
+    """The split panel, written once to the checkpoint folder: every phase,
+    horizon count and score reads it, and a lost executor does not send the
+    job back to the raw table."""
     e = _e(spark, sf)
     dense = resample.densify(e.hourly, e.spine, e.readings.select(CLIENT), e.lo, e.hi)
     dense = dense.withColumn(Y, F.coalesce(F.col(Y), F.lit(0.0)).cast("float"))
-    return panel.assign_splits(dense, P.bounds)
+    return panel.assign_splits(dense, P.bounds).checkpoint()
 
 
 def _part(df, name):
@@ -85,7 +88,7 @@ def q_f08_backtest(spark, sf):
 def _global(spark, sf):
     # the panel feeds several branches (fit, scaling, rolling rounds):
     # written once to the checkpoint folder instead of recomputed per branch
-    p = forecast_panel(spark, sf).checkpoint()
+    p = forecast_panel(spark, sf)
     train, val, test = _part(p, "train"), _part(p, "validation"), _part(p, "test")
     chunk = GLOBAL_CHUNK
     w = global_model.fit(panel.union_history(train, val), input_size=GLOBAL_INPUT, chunk=chunk)
