@@ -149,6 +149,24 @@ def q_a07_active_clients_dst(spark, sf):
                     F.when(F.col("active"), "active").otherwise("dropped").alias("status"))
 
 
+def q_p06_master_long(spark, sf):
+    e = _e(spark, sf)
+    return _val(panel.select_clients(e.hourly, activity.active_clients(e.stats)))
+
+
+def q_s06_master_wide(spark, sf):
+    """The hourly master of the active series, one column per series in
+    sorted (lexicographic) order -- the reference's main output."""
+    from ..sources.sinks import MAX_WIDE_COLUMNS
+    e = _e(spark, sf)
+    names = [r[0] for r in activity.active_clients(e.stats).orderBy(CLIENT)
+             .limit(MAX_WIDE_COLUMNS + 1).collect()]
+    if len(names) > MAX_WIDE_COLUMNS:
+        raise ValueError("too many series for a wide table")
+    wide = long_to_wide(panel.select_clients(e.hourly, activity.active_clients(e.stats)), names)
+    return wide.select(TS, *[r4(F.col(f"`{c}`")).alias(c) for c in names])
+
+
 def q_a08_incomplete_days(spark, sf):
     return activity.incomplete_days(_l(spark, sf).spine)
 
@@ -567,6 +585,11 @@ select client_id, nonzero_hours, {_r('rate', 6)} as nonzero_rate from stats"""
     q["a07_active_clients"] = f"with {_e_act()}\nselect client_id, status from stats"
     q["a07_active_clients_dst"] = f"""with {_activity_ctes(L_RAW, P.l_rate_min, P.l_run_max)}
 select client_id, nonzero_hours, max_zero_run, status from stats"""
+    q["p06_master_long"] = f"""with {_e_act()}
+select client_id, ts, {_r('y')} as y from hourly where client_id in (select client_id from stats where status = 'active')"""
+    q["s06_master_wide"] = f"""with {_e_act()},
+act as (select client_id, ts, {_r('y')} as y from hourly where client_id in (select client_id from stats where status = 'active'))
+pivot act on client_id using first(y) group by ts"""
     q["a08_incomplete_days"] = f"""with {_prep_ctes(L_RAW)}
 select strftime(cast(ts as date), '%Y-%m-%d') as date, count(*) as hours from spine
 group by cast(ts as date) having count(*) <> 24"""
