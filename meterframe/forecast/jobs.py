@@ -50,6 +50,7 @@ class Forecaster:
     fit: Callable
     predict: Callable
     exog: tuple = field(default=())
+    fit_many: Callable | None = None      # (S, n) array of equal-length series -> states
 
 
 def _ets_fit(h, _):
@@ -107,7 +108,8 @@ def calendar_frame(ts: pd.Series) -> pd.DataFrame:
 
 
 REGISTRY: dict[str, Forecaster] = {
-    "ets": Forecaster("ets", _ets_fit, _by_steps(lambda st, h, e, f: M.ets_forecast(st, h))),
+    "ets": Forecaster("ets", _ets_fit, _by_steps(lambda st, h, e, f: M.ets_forecast(st, h)),
+                      fit_many=M.ets_fit_many),
     "arima": Forecaster("arima", _arima_fit, _by_steps(lambda st, h, e, f: M.arima_forecast(st, h))),
     "arimax": Forecaster("arimax", _arimax_fit, _by_steps(_arimax_path), tuple(CALENDAR_COLS)),
     "additive": Forecaster("additive", _additive_fit,
@@ -128,47 +130,107 @@ def _fallback_predict(st, f):
     return prof[(len(prof) + steps - 1) % len(prof)] if len(prof) else np.zeros(len(f))
 
 
+def _mark_end(st: dict, hist: pd.DataFrame) -> dict:
+    st["_last_ts"] = str(hist[TS].iloc[-1])
+    st["_last_h"] = float(_hours(hist[TS].iloc[-1:])[0])
+    return st
+
+
+def _forecast_one(fc: Forecaster, hist: pd.DataFrame, fut: pd.DataFrame, exog: list,
+                  state: dict | None = None):
+    """(state, yhat, status) of one series; a failing or non-finite fit falls
+    back to the seasonal mean of the last day, flagged in ``status``."""
+    try:
+        st = _mark_end(state if state is not None else fc.fit(hist, exog), hist)
+        yhat = np.asarray(fc.predict(st, fut, exog), dtype=float)
+        if not np.isfinite(yhat).all():
+            raise FloatingPointError("non-finite forecast")
+        return st, yhat, "ok"
+    except Exception as e:  # noqa: BLE001 - per-series fallback, flagged
+        st = _mark_end(_fallback(hist), hist)
+        return st, _fallback_predict(st, fut), f"fallback: {type(e).__name__}"
+
+
+def _emit(fc: Forecaster, cid, hist, fut, st, yhat, status, emit_fitted, emit_state) -> pd.DataFrame:
+    parts = [pd.DataFrame({MODEL: fc.name, CLIENT: cid, TS: fut[TS].to_numpy(), YHAT: yhat,
+                           "kind": "forecast", "status": status, "params": None})]
+    fitted = st.pop("fitted", None)
+    if emit_fitted and fitted is not None:
+        parts.append(pd.DataFrame({MODEL: fc.name, CLIENT: cid, TS: hist[TS].to_numpy(),
+                                   YHAT: np.asarray(fitted, dtype=float), "kind": "fitted",
+                                   "status": status, "params": None}))
+    if emit_state:
+        parts.append(pd.DataFrame({MODEL: [fc.name], CLIENT: [cid], TS: [pd.NaT], YHAT: [np.nan],
+                                   "kind": ["state"], "status": [status],
+                                   "params": [json.dumps(st, default=float)]}))
+    out = pd.concat(parts, ignore_index=True)
+    out[YHAT] = out[YHAT].astype(float)
+    return out
+
+
+_EMPTY = [MODEL, CLIENT, TS, YHAT, "kind", "status", "params"]
+
+
 def _group_fn(fc: Forecaster, emit_fitted: bool, emit_state: bool):
+    """applyInPandas body: one series per call."""
     exog = list(fc.exog)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(TS)
-        cid = pdf[CLIENT].iloc[0]
-        hist = pdf[~pdf[FUTURE]]
-        fut = pdf[pdf[FUTURE]]
-        status = "ok"
+        hist, fut = pdf[~pdf[FUTURE]], pdf[pdf[FUTURE]]
         if len(hist) == 0:
-            return pd.DataFrame(columns=[MODEL, CLIENT, TS, YHAT, "kind", "status", "params"])
-        try:
-            st = fc.fit(hist, exog)
-            st["_last_ts"] = str(hist[TS].iloc[-1])
-            st["_last_h"] = float(_hours(hist[TS].iloc[-1:])[0])
-            yhat = np.asarray(fc.predict(st, fut, exog), dtype=float)
-            if not np.isfinite(yhat).all():
-                raise FloatingPointError("non-finite forecast")
-        except Exception as e:  # noqa: BLE001 - per-series fallback, flagged
-            status = f"fallback: {type(e).__name__}"
-            st = _fallback(hist)
-            st["_last_ts"] = str(hist[TS].iloc[-1])
-            st["_last_h"] = float(_hours(hist[TS].iloc[-1:])[0])
-            yhat = _fallback_predict(st, fut)
-        parts = [pd.DataFrame({MODEL: fc.name, CLIENT: cid, TS: fut[TS].to_numpy(), YHAT: yhat,
-                               "kind": "forecast", "status": status, "params": None})]
-        fitted = st.pop("fitted", None)
-        if emit_fitted and fitted is not None:
-            parts.append(pd.DataFrame({MODEL: fc.name, CLIENT: cid, TS: hist[TS].to_numpy(),
-                                       YHAT: np.asarray(fitted, dtype=float), "kind": "fitted",
-                                       "status": status, "params": None}))
-        if emit_state:
-            parts.append(pd.DataFrame({MODEL: [fc.name], CLIENT: [cid], TS: [pd.NaT], YHAT: [np.nan],
-                                       "kind": ["state"], "status": [status],
-                                       "params": [json.dumps(st, default=float)]}))
-        out = pd.concat(parts, ignore_index=True)
-        out[YHAT] = out[YHAT].astype(float)
-        return out
+            return pd.DataFrame(columns=_EMPTY)
+        st, yhat, status = _forecast_one(fc, hist, fut, exog)
+        return _emit(fc, pdf[CLIENT].iloc[0], hist, fut, st, yhat, status, emit_fitted, emit_state)
     return run
 
 
+def _batched_fn(fc: Forecaster, emit_fitted: bool, emit_state: bool, max_series: int = 128):
+    """mapInPandas body for models that fit many equal-length series in one
+    NumPy pass.  Input partitions are hash-partitioned by series and sorted
+    by (series, time); complete series are cut out of the Arrow batches as
+    they stream by, so memory holds one batch plus one partial series."""
+    exog = list(fc.exog)
+
+    def fit_block(df: pd.DataFrame):
+        series = []
+        for cid, g in df.groupby(CLIENT, sort=False):
+            hist, fut = g[~g[FUTURE]], g[g[FUTURE]]
+            if len(hist):
+                series.append((cid, hist, fut))
+        by_len: dict[int, list] = {}
+        for item in series:
+            by_len.setdefault(len(item[1]), []).append(item)
+        for items in by_len.values():
+            for i in range(0, len(items), max_series):
+                chunk = items[i:i + max_series]
+                Y = np.stack([M.fill_missing(h[Y_COL].to_numpy(dtype=float)) for _, h, _ in chunk])
+                try:
+                    states = fc.fit_many(Y)
+                except Exception:  # noqa: BLE001 - fit one by one, with fallbacks
+                    states = [None] * len(chunk)
+                for (cid, hist, fut), st0 in zip(chunk, states):
+                    st, yhat, status = _forecast_one(fc, hist, fut, exog, st0)
+                    yield _emit(fc, cid, hist, fut, st, yhat, status, emit_fitted, emit_state)
+
+    def run(batches):
+        carry = None
+        for b in batches:
+            buf = b if carry is None else pd.concat([carry, b], ignore_index=True)
+            if not len(buf):
+                continue
+            tail = buf[CLIENT] == buf[CLIENT].iat[-1]
+            done, carry = buf[~tail], buf[tail]
+            if len(done):
+                yield from fit_block(done)
+        if carry is not None and len(carry):
+            yield from fit_block(carry)
+    return run
+
+
+Y_COL = Y
+
+
 def future_axis(history: DataFrame, hours: int | None = None, until=None) -> DataFrame:
     """per series the hours after its last history hour: ``hours`` of
     them (horizon by count, as the reference) or up to ``until`` (by span).
@@ -194,6 +256,9 @@ def fit_forecast(history: DataFrame, model: str, future: DataFrame,
     both = hist.unionByName(fut)
     if fc.exog:
         both = with_calendar(both, TS, list(fc.exog))
+    if fc.fit_many is not None:
+        return (spread(both).sortWithinPartitions(CLIENT, TS)
+                .mapInPandas(_batched_fn(fc, emit_fitted, emit_state), OUT_SCHEMA))
     return (spread(both).groupBy(CLIENT)
             .applyInPandas(_group_fn(fc, emit_fitted, emit_state), OUT_SCHEMA))
 

@@ -53,97 +53,146 @@ def _aicc(sse: float, n: int, k: int) -> float:
 _ETS_FORMS = [("N", False), ("A", False), ("Ad", False), ("N", True), ("A", True), ("Ad", True)]
 
 
-def _ets_run(y, m, alpha, beta, gamma, phi, l0, b0, s0, keep_fit=False):
-    """One additive-error recursion for a whole grid of (form, parameter)
-    rows at once: arrays of shape (G,), seasonal start ``s0`` (G, m).  A form
-    without trend has beta = 0 and b0 = 0, one without season gamma = 0 and
-    s0 = 0, so all forms share the same update.
-    Returns (sse (G,), fitted (G, n) or None, level, slope, season buffer)."""
-    n = len(y)
-    lvl = l0.astype(float).copy()
-    tr = b0.astype(float).copy()
-    s = s0.astype(float).copy()
-    sse = np.zeros(len(alpha))
-    fit = np.empty((len(alpha), n)) if keep_fit else None
+def _ets_run(Y, m, A, B, C, P, L0, B0, S0, keep_fit=False):
+    """One additive-error recursion for many series and a grid of (form,
+    parameter) rows at once.  ``Y`` (S, n); ``A, B, C, P, L0, B0`` (S, G);
+    seasonal start ``S0`` (m, S, G).  A form without trend has beta = 0 and
+    b0 = 0, one without season gamma = 0 and s0 = 0, so all forms share the
+    same update and one pass serves every series of a task.
+    Returns (sse (S, G), fitted (n, S, G) or None, level, slope, season)."""
+    n = Y.shape[1]
+    lvl = L0.astype(float).copy()
+    tr = B0.astype(float).copy()
+    s = S0.astype(float).copy()
+    sse = np.zeros(A.shape)
+    fit = np.empty((n,) + A.shape) if keep_fit else None
     for t in range(n):
-        j = t % m
-        damp = phi * tr
-        pred = lvl + damp + s[:, j]
-        e = y[t] - pred
+        sj = s[t % m]
+        damp = P * tr
+        pred = lvl + damp + sj
+        e = Y[:, t:t + 1] - pred
         if keep_fit:
-            fit[:, t] = pred
+            fit[t] = pred
         sse += e * e
-        lvl = lvl + damp + alpha * e
-        tr = damp + beta * e
-        s[:, j] += gamma * e
+        lvl = pred - sj + A * e
+        tr = damp + B * e
+        sj += C * e
     return sse, fit, lvl, tr, s
 
 
-def _ets_grid(trend, season, centre=None):
-    if centre is None:
-        a = np.array([0.03, 0.1, 0.25, 0.45, 0.7, 0.9])
-        b = np.array([0.01, 0.05, 0.15]) if trend != "N" else np.array([0.0])
-        c = np.array([0.02, 0.1, 0.2, 0.35]) if season else np.array([0.0])
-        p = np.array([0.88, 0.97]) if trend == "Ad" else np.array([1.0])
-    else:
-        a0, b0, c0, p0 = centre
-        f = np.array([0.75, 1.0, 1.3])
-        a = np.clip(a0 * f, 1e-4, 0.9999)
-        b = np.clip(b0 * f, 1e-5, 0.9999) if trend != "N" else np.array([0.0])
-        c = np.clip(c0 * f, 1e-5, 0.9999) if season else np.array([0.0])
-        p = np.clip(p0 + np.array([-0.02, 0.0, 0.02]), 0.8, 0.995) if trend == "Ad" else np.array([1.0])
-    A, B, C, P = np.meshgrid(a, b, c, p, indexing="ij")
-    A, B, C, P = A.ravel(), B.ravel(), C.ravel(), P.ravel()
+_COARSE = {"a": [0.03, 0.1, 0.25, 0.45, 0.7, 0.9], "b": [0.01, 0.05, 0.15],
+           "c": [0.02, 0.1, 0.2, 0.35], "p": [0.88, 0.97]}
+_REFINE = [0.75, 1.0, 1.3]
+
+
+def _coarse_grid(trend, season):
+    a = np.array(_COARSE["a"])
+    b = np.array(_COARSE["b"]) if trend != "N" else np.array([0.0])
+    c = np.array(_COARSE["c"]) if season else np.array([0.0])
+    p = np.array(_COARSE["p"]) if trend == "Ad" else np.array([1.0])
+    A, B, C, P = (x.ravel() for x in np.meshgrid(a, b, c, p, indexing="ij"))
     keep = (B <= A) & (C <= 1 - A)
     return A[keep], B[keep], C[keep], P[keep]
 
 
-def _ets_start(y, m, trend, season):
+def _refine_grid(trend, season, centre):
+    """Per-series grids around each series' best point: (S, g) arrays and a
+    validity mask (invalid rows get an infinite SSE)."""
+    a0, b0, c0, p0 = (centre[:, i:i + 1] for i in range(4))
+    f = np.array(_REFINE)
+    one = np.ones((centre.shape[0], 1))
+    a = np.clip(a0 * f, 1e-4, 0.9999)
+    b = np.clip(b0 * f, 1e-5, 0.9999) if trend != "N" else 0.0 * one
+    c = np.clip(c0 * f, 1e-5, 0.9999) if season else 0.0 * one
+    p = np.clip(p0 + np.array([-0.02, 0.0, 0.02]), 0.8, 0.995) if trend == "Ad" else one
+    S = centre.shape[0]
+    A = np.broadcast_to(a[:, :, None, None, None], (S, a.shape[1], b.shape[1], c.shape[1], p.shape[1]))
+    B = np.broadcast_to(b[:, None, :, None, None], A.shape)
+    C = np.broadcast_to(c[:, None, None, :, None], A.shape)
+    P = np.broadcast_to(p[:, None, None, None, :], A.shape)
+    A, B, C, P = (x.reshape(S, -1) for x in (A, B, C, P))
+    return A, B, C, P, (B <= A) & (C <= 1 - A)
+
+
+def _ets_starts(Y, m, trend, season):
+    """Initial level, slope (S,) and season (S, m) of every series."""
+    S, n = Y.shape
     if season:
-        l0 = float(y[:m].mean())
-        b0 = float((y[m:2 * m].mean() - y[:m].mean()) / m) if trend != "N" else 0.0
-        return l0, b0, y[:m] - l0
-    b0 = float(y[1] - y[0]) if (trend != "N" and len(y) > 1) else 0.0
-    return float(y[0]), b0, np.zeros(m)
-
-
-def _ets_stack(y, m, forms, centres=None):
-    """Grid rows of every form stacked: parameters, starts and form index."""
-    cols = [[], [], [], [], [], [], [], []]
+        l0 = Y[:, :m].mean(axis=1)
+        b0 = (Y[:, m:2 * m].mean(axis=1) - l0) / m if trend != "N" else np.zeros(S)
+        return l0, b0, Y[:, :m] - l0[:, None]
+    b0 = (Y[:, 1] - Y[:, 0]) if (trend != "N" and n > 1) else np.zeros(S)
+    return Y[:, 0].copy(), b0, np.zeros((S, m))
+
+
+def _stack(Y, m, forms, grids):
+    """Concatenate the grid rows of every form along the G axis."""
+    cols = {k: [] for k in ("A", "B", "C", "P", "L", "T", "S", "M")}
+    slices = []
+    at = 0
+    S = Y.shape[0]
+    for (trend, season), (A, B, C, P, ok) in zip(forms, grids):
+        g = A.shape[1]
+        l0, b0, s0 = _ets_starts(Y, m, trend, season)
+        cols["A"].append(A)
+        cols["B"].append(B)
+        cols["C"].append(C)
+        cols["P"].append(P)
+        cols["L"].append(np.repeat(l0[:, None], g, axis=1))
+        cols["T"].append(np.repeat(b0[:, None], g, axis=1))
+        cols["S"].append(np.repeat(s0.T[:, :, None], g, axis=2))
+        cols["M"].append(ok if ok is not None else np.ones((S, g), bool))
+        slices.append(slice(at, at + g))
+        at += g
+    out = {k: np.concatenate(v, axis=2 if k == "S" else 1) for k, v in cols.items()}
+    return out, slices
+
+
+def ets_fit_many(Y: np.ndarray, m: int = SEASON) -> list[dict]:
+    """ETS for S series of equal length n at once (``Y`` (S, n), no NaN)."""
+    S, n = Y.shape
+    forms = [f for f in _ETS_FORMS if not (f[1] and n < 2 * m + 2)]
+    coarse = []
+    for trend, season in forms:
+        A, B, C, P = _coarse_grid(trend, season)
+        rep = lambda v: np.repeat(v[None, :], S, axis=0)
+        coarse.append((rep(A), rep(B), rep(C), rep(P), None))
+    grid, slices = _stack(Y, m, forms, coarse)
+    sse, *_ = _ets_run(Y, m, grid["A"], grid["B"], grid["C"], grid["P"], grid["L"], grid["T"], grid["S"])
+    refine = []
+    for (trend, season), sl in zip(forms, slices):
+        i = np.argmin(sse[:, sl], axis=1) + sl.start
+        r = np.arange(S)
+        centre = np.stack([grid[k][r, i] for k in ("A", "B", "C", "P")], axis=1)
+        refine.append(_refine_grid(trend, season, centre))
+    grid, slices = _stack(Y, m, forms, refine)
+    sse, *_ = _ets_run(Y, m, grid["A"], grid["B"], grid["C"], grid["P"], grid["L"], grid["T"], grid["S"])
+    sse = np.where(grid["M"], sse, np.inf)
+    best_rows = np.stack([np.argmin(sse[:, sl], axis=1) + sl.start for sl in slices], axis=1)  # (S, F)
+    r = np.arange(S)
+    scores = np.empty((S, len(forms)))
     for f, (trend, season) in enumerate(forms):
-        A, B, C, P = _ets_grid(trend, season, None if centres is None else centres[f])
-        l0, b0, s0 = _ets_start(y, m, trend, season)
-        g = len(A)
-        for lst, v in zip(cols, (A, B, C, P, np.full(g, l0), np.full(g, b0),
-                                 np.tile(s0, (g, 1)), np.full(g, f))):
-            lst.append(v)
-    return [np.concatenate(c) if c[0].ndim == 1 else np.vstack(c) for c in cols]
+        k = 2 + (2 if trend != "N" else 0) + (1 if trend == "Ad" else 0) + (m if season else 0)
+        scores[:, f] = [_aicc(float(v), n, k) for v in sse[r, best_rows[:, f]]]
+    pick = best_rows[r, np.argmin(scores, axis=1)]                         # (S,)
+    sel = {k: grid[k][r, pick][:, None] for k in ("A", "B", "C", "P", "L", "T")}
+    s_sel = grid["S"][:, r, pick][:, :, None]
+    _, fit, lvl, tr, s_end = _ets_run(Y, m, sel["A"], sel["B"], sel["C"], sel["P"], sel["L"], sel["T"],
+                                      s_sel, keep_fit=True)
+    form_of = np.argmin(scores, axis=1)
+    out = []
+    for j in range(S):
+        trend, season = forms[form_of[j]]
+        out.append({"kind": "ets", "form": f"A,{trend},{'A' if season else 'N'}", "trend": trend,
+                    "season": bool(season), "alpha": float(sel["A"][j, 0]), "beta": float(sel["B"][j, 0]),
+                    "gamma": float(sel["C"][j, 0]), "phi": float(sel["P"][j, 0]), "m": m, "n": n,
+                    "level": float(lvl[j, 0]), "slope": float(tr[j, 0]),
+                    "seasonal": s_end[:, j, 0].tolist(), "fitted": fit[:, j, 0].tolist()})
+    return out
 
 
 def ets_fit(y: np.ndarray, m: int = SEASON) -> dict:
-    y = fill_missing(y)
-    n = len(y)
-    forms = [f for f in _ETS_FORMS if not (f[1] and n < 2 * m + 2)]
-    centres = None
-    for _ in range(2):      # coarse grid, then a local refinement; all forms at once
-        A, B, C, P, L0, B0, S0, FORM = _ets_stack(y, m, forms, centres)
-        sse, _, _, _, _ = _ets_run(y, m, A, B, C, P, L0, B0, S0)
-        best_rows = [int(np.flatnonzero(FORM == f)[np.argmin(sse[FORM == f])]) for f in range(len(forms))]
-        centres = [(A[i], B[i], C[i], P[i]) for i in best_rows]
-    scores = []
-    for f, (trend, season) in enumerate(forms):
-        k = 2 + (2 if trend != "N" else 0) + (1 if trend == "Ad" else 0) + (m if season else 0)
-        scores.append(_aicc(float(sse[best_rows[f]]), n, k))
-    f = int(np.argmin(scores))
-    i = best_rows[f]
-    trend, season = forms[f]
-    a, b, c, p = A[i], B[i], C[i], P[i]
-    _, fit, lvl, tr, s = _ets_run(y, m, A[i:i + 1], B[i:i + 1], C[i:i + 1], P[i:i + 1],
-                                  L0[i:i + 1], B0[i:i + 1], S0[i:i + 1], keep_fit=True)
-    return {"kind": "ets", "form": f"A,{trend},{'A' if season else 'N'}", "trend": trend,
-            "season": bool(season), "alpha": float(a), "beta": float(b), "gamma": float(c),
-            "phi": float(p), "m": m, "n": n, "level": float(lvl[0]), "slope": float(tr[0]),
-            "seasonal": s[0].tolist(), "fitted": fit[0].tolist()}
+    return ets_fit_many(fill_missing(y)[None, :], m)[0]
 
 
 def ets_forecast(st: dict, h: int) -> np.ndarray:

@@ -53,10 +53,11 @@ def _panel(spark, n_hours=672, series=("A", "B"), skip_day=None):
     return spark.createDataFrame(rows, "client_id string, ts timestamp_ntz, y float")
 
 
-def test_fit_forecast_and_model_table(spark):
+@pytest.mark.parametrize("model", ["arima", "ets"])
+def test_fit_forecast_and_model_table(spark, model):
     hist = _panel(spark)
     fut = jobs.future_axis(hist, hours=24)
-    out = jobs.fit_forecast(hist, "arima", fut).checkpoint()
+    out = jobs.fit_forecast(hist, model, fut).checkpoint()
     fc = {(r["client_id"], r["ts"]): r["yhat"] for r in jobs.predictions(out).collect()}
     assert len(fc) == 48
     for (c, t), v in fc.items():
@@ -71,6 +72,16 @@ def test_fit_forecast_and_model_table(spark):
     assert fitted.count() > 1000
 
 
+def test_batched_ets_equals_single_fits():
+    rng = np.random.default_rng(3)
+    Y = np.where(rng.random((5, 200)) < 0.3, rng.uniform(0, 50, (5, 200)), 0.0)
+    many = M.ets_fit_many(Y)
+    for i in range(5):
+        one = M.ets_fit(Y[i])
+        assert one["form"] == many[i]["form"]
+        assert abs(one["level"] - many[i]["level"]) < 1e-9
+
+
 def test_fallback_on_short_series(spark):
     hist = spark.createDataFrame([("S", BASE, 1.0), ("S", BASE + dt.timedelta(hours=1), 1.0)],
                                  "client_id string, ts timestamp_ntz, y float")
