@@ -159,12 +159,13 @@ def q_s06_master_wide(spark, sf):
     sorted (lexicographic) order -- the reference's main output."""
     from ..sources.sinks import MAX_WIDE_COLUMNS
     e = _e(spark, sf)
-    names = [r[0] for r in activity.active_clients(e.stats).orderBy(CLIENT)
-             .limit(MAX_WIDE_COLUMNS + 1).collect()]
+    # the keep-list feeds both the pivot names and the semi join: computed once
+    active = activity.active_clients(e.stats).checkpoint()
+    names = [r[0] for r in active.orderBy(CLIENT).limit(MAX_WIDE_COLUMNS + 1).collect()]
     if len(names) > MAX_WIDE_COLUMNS:
         raise ValueError("too many series for a wide table")
-    wide = long_to_wide(panel.select_clients(e.hourly, activity.active_clients(e.stats)), names)
-    return wide.select(TS, *[r4(F.col(f"`{c}`")).alias(c) for c in names])
+    # values are rounded in long form, before the pivot widens the row
+    return long_to_wide(_val(panel.select_clients(e.hourly, active)), names)
 
 
 def q_a08_incomplete_days(spark, sf):
@@ -251,8 +252,7 @@ def _by_type_long(spark, sf) -> tuple[DataFrame, list[str]]:
 
 def q_r02_pivot(spark, sf):
     hourly, types = _by_type_long(spark, sf)
-    wide = long_to_wide(hourly, types)
-    return wide.select(TS, *[r4(t).alias(t) for t in types])
+    return long_to_wide(hourly.select(CLIENT, TS, r4(Y).alias(Y)), types)
 
 
 def q_r01_unpivot(spark, sf):
