@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..config import DOWNSAMPLE_RULE, PreprocessConfig, load_config
 from ..operators import activity, aggregate, dst, integrity, panel, resample
 from ..schema import CLIENT
-from ..session import checkpoint_dir, local_session
+from ..session import checkpoint_dir, local_session, size_shuffles
 from ..sources import sinks
 from ..sources.readers import read_wide_text
 
@@ -42,6 +42,8 @@ def prepare(spark: SparkSession, cfg: PreprocessConfig, raw: DataFrame | None =
     """Steps 1-2 as DataFrames plus the small driver-side facts."""
     checkpoint_dir(spark)
     if raw is None:
+        # text of a wide table: about 3x larger once unpivoted to long rows
+        size_shuffles(spark, [cfg.input_path], expansion=3.0)
         raw = read_wide_text(spark, cfg.input_path, cfg.sep, cfg.decimal)
     raw = panel.analysis_window(raw, *cfg.analysis_window)
     readings = resample.dedupe_mean(raw).checkpoint()

@@ -58,3 +58,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="meterframe-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
+
+
+TARGET_SHUFFLE_BYTES = 128 * 1024 * 1024
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of the input files, from file-system metadata (no scan)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        for st in fs.globStatus(p) or []:
+            total += fs.getContentSummary(st.getPath()).getLength()
+    return int(total)
+
+
+def size_shuffles(spark: SparkSession, paths: list[str], expansion: float = 1.0,
+                  lo: int = 8, hi: int = 200_000) -> int:
+    """Set the number of shuffle partitions from the input size so that a
+    partition holds about ``TARGET_SHUFFLE_BYTES`` (adaptive execution then
+    merges the small ones).  ``expansion`` accounts for operators that widen
+    the data (e.g. wide -> long).  A value the user set explicitly wins."""
+    if spark.conf.get("spark.meterframe.shufflePartitions.fixed", "false") == "true":
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(input_bytes(spark, paths) * expansion // TARGET_SHUFFLE_BYTES) + 1
+    n = max(lo, min(hi, n))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+    return n
