@@ -12,9 +12,11 @@ chunk ``chunk`` hours.  For a target hour ``t`` of a chunk starting at origin
 * the seven calendar columns of ``t`` and a bias.
 
 Training origins step back from each series' end by ``chunk`` hours, so every
-history row is a target once.  Everything is ``groupBy`` and equi-joins on
-(series, origin[, hour slot]); the fit sums X'X and X'y in one distributed
-aggregate (partial per task) and only the 11 x 11 system reaches the driver.
+history row is a target once (and an input of up to ``ceil(input/chunk)``
+origins).  Input and target rows of a (series, origin) are hash-partitioned
+together once and every feature is a window aggregate over the input rows:
+no join.  The fit sums X'X and X'y in one distributed aggregate (partial per
+task) and only the 11 x 11 system reaches the driver.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from ..schema import CLIENT, MODEL, TS, Y, YHAT
 from .jobs import future_axis
 
 FEATURES = ["f_how", "f_hod", "f_lvl", *CALENDAR_COLS, "bias"]
-HOURS_OF_WEEK = 168
 NAME = "global_linear"
 
 
@@ -45,44 +46,35 @@ def _with_gap(history: DataFrame) -> DataFrame:
     return history.withColumn("_g", F.timestamp_diff("HOUR", F.col(TS), last) + 1)
 
 
-def _profiles(inp: DataFrame) -> DataFrame:
-    """One narrow row per (series, origin ``_k``, hour-of-week slot): the
-    slot mean, the hour-of-day mean, the standard-scaling moments and the
-    last-24-hours level of the input window.  All 168 slots are generated per
-    (series, origin) -- a bounded expansion -- so every target hour finds its
-    row even when the window misses that slot.  ``inp`` carries ``_g``
-    relative to its origin."""
-    y = F.col(Y).cast("double")
-    slots = (inp.groupBy(CLIENT, "_k", _how(TS).alias("_how"))
-             .agg(F.sum(y).alias("_s"), F.count(y).alias("_n"), F.sum(y * y).alias("_ss"),
-                  F.sum(F.when(F.col("_g") <= 24, y)).alias("_s24"),
-                  F.count(F.when(F.col("_g") <= 24, y)).alias("_n24")))
-    full = (slots.select(CLIENT, "_k").distinct()
-            .select(CLIENT, "_k", F.explode(F.sequence(F.lit(0), F.lit(HOURS_OF_WEEK - 1))).alias("_how"))
-            .join(slots, [CLIENT, "_k", "_how"], "left")
-            .na.fill(0, ["_s", "_n", "_ss", "_s24", "_n24"]))
+def _features(inp: DataFrame, targets: DataFrame) -> DataFrame:
+    """Scaled features of each target row without any join: input rows
+    (``_g`` relative to their origin) and target rows of the same (series,
+    origin) are put together, hash-partitioned once on (series, origin), and
+    every feature is a window aggregate over the input rows of that
+    partition -- by hour-of-week slot, by hour of day, or over the whole
+    window.  All three windows reuse the one partitioning."""
+    cols = [CLIENT, "_k", TS, Y, "_g"]
+    tg = targets.select(CLIENT, "_k", TS, (F.col(Y) if Y in targets.columns else F.lit(None)).cast("double").alias(Y),
+                        F.lit(None).cast("long").alias("_g"), F.lit(False).alias("_in"))
+    both = (inp.select(*[F.col(c) if c != Y else F.col(Y).cast("double").alias(Y) for c in cols],
+                       F.lit(True).alias("_in"))
+            .unionByName(tg)
+            .withColumn("_how", _how(TS)).withColumn("_hod", F.hour(TS)))
+    both = both.repartition(CLIENT, "_k")
+    y_in = F.when(F.col("_in"), F.col(Y))
     w_k = Window.partitionBy(CLIENT, "_k")
-    w_hod = Window.partitionBy(CLIENT, "_k", F.col("_how") % 24)
-    n_all = F.sum("_n").over(w_k)
-    mu = F.sum("_s").over(w_k) / n_all
-    var = F.sum("_ss").over(w_k) / n_all - mu * mu
-    sd = F.sqrt(F.greatest(var, F.lit(0.0)))
-    return (full.select(
-        CLIENT, "_k", "_how", n_all.alias("_cnt"), mu.alias("_mu"),
+    w_how = Window.partitionBy(CLIENT, "_k", "_how")
+    w_hod = Window.partitionBy(CLIENT, "_k", "_hod")
+    sd = F.stddev_pop(y_in).over(w_k)
+    f = both.select(
+        "*", F.count(y_in).over(w_k).alias("_cnt"), F.avg(y_in).over(w_k).alias("_mu"),
         F.when(sd > 1e-9, sd).otherwise(F.lit(1.0)).alias("_sd"),
-        F.try_divide(F.sum("_s24").over(w_k), F.nullif(F.sum("_n24").over(w_k), F.lit(0))).alias("_lvl_raw"),
-        F.try_divide(F.col("_s"), F.nullif(F.col("_n"), F.lit(0))).alias("_m_how"),
-        F.try_divide(F.sum("_s").over(w_hod), F.nullif(F.sum("_n").over(w_hod), F.lit(0))).alias("_m_hod"))
-        .where(F.col("_cnt") > 0).drop("_cnt"))
-
-
-def _features(profiles: DataFrame, targets: DataFrame) -> DataFrame:
-    """Scaled features of each target row (``client_id, _k, ts[, y]``); one
-    equi-join on (series, origin, hour-of-week slot)."""
-    t = targets.withColumn("_how", _how(TS)).join(profiles, [CLIENT, "_k", "_how"], "inner")
+        F.avg(F.when(F.col("_in") & (F.col("_g") <= 24), F.col(Y))).over(w_k).alias("_lvl_raw"),
+        F.avg(y_in).over(w_how).alias("_m_how"), F.avg(y_in).over(w_hod).alias("_m_hod"))
+    f = f.where(~F.col("_in") & (F.col("_cnt") > 0))
     z = lambda c: F.coalesce((F.col(c) - F.col("_mu")) / F.col("_sd"), F.lit(0.0))
     cal = calendar_columns(TS)
-    return t.select(CLIENT, "_k", TS, *([Y] if Y in targets.columns else []), "_mu", "_sd",
+    return f.select(CLIENT, "_k", TS, *([Y] if Y in targets.columns else []), "_mu", "_sd",
                     z("_m_how").alias("f_how"), z("_m_hod").alias("f_hod"), z("_lvl_raw").alias("f_lvl"),
                     *[cal[c].cast("double").alias(c) for c in CALENDAR_COLS],
                     F.lit(1.0).alias("bias"))
@@ -102,7 +94,7 @@ def training_rows(history: DataFrame, input_size: int = 672, chunk: int = 720) -
            .withColumn("_g", F.col("_g") - F.col("_k") * chunk))
     tg = (h.where(F.col(Y).isNotNull())
           .select(CLIENT, F.ceil(F.col("_g") / chunk).cast("long").alias("_k"), TS, Y))
-    f = _features(_profiles(inp), tg)
+    f = _features(inp, tg)
     return f.withColumn("_z", (F.col(Y).cast("double") - F.col("_mu")) / F.col("_sd"))
 
 
@@ -130,7 +122,7 @@ def predict(weights, history: DataFrame, future: DataFrame, input_size: int = 67
     inp = (_with_gap(history.select(CLIENT, TS, Y)).where(F.col("_g") <= input_size)
            .withColumn("_k", F.lit(0).cast("long")))
     tg = future.select(CLIENT, TS).withColumn("_k", F.lit(0).cast("long"))
-    f = _features(_profiles(inp), tg)
+    f = _features(inp, tg)
     score = sum((F.lit(float(w)) * F.col(c) for w, c in zip(weights, FEATURES)), F.lit(0.0))
     return f.select(F.lit(NAME).alias(MODEL), CLIENT, TS,
                     (F.col("_mu") + F.col("_sd") * score).alias(YHAT))
