@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timefns import date_text, utc_offset_seconds
-from ..schema import CLIENT, TS, Y
+from ..schema import TS, Y
 
 
 def transition_dates(spark: SparkSession, lo_day, hi_day, tz: str) -> DataFrame:
