@@ -57,6 +57,16 @@ def write_splits(panel_with_split: DataFrame, path: str) -> None:
     panel_with_split.write.mode("overwrite").partitionBy(SPLIT).parquet(path)
 
 
+def write_split_exports(panel_with_split: DataFrame, clients: list[str], base: str) -> None:
+    """The split panel as one long data set partitioned by ``split`` and
+    one wide table per split (series columns in the given order)."""
+    write_splits(panel_with_split, f"{base}/long")
+    splits = [r[0] for r in panel_with_split.select(SPLIT).distinct().collect()]   # at most three
+    for name in splits:
+        part = panel_with_split.where(F.col(SPLIT) == name).drop(SPLIT)
+        write_master_wide(part, clients, f"{base}/wide/{name}")
+
+
 def write_text_file(spark: SparkSession, path: str, text: str) -> None:
     """Write one small text file through the Hadoop FS API (any scheme)."""
     jvm = spark.sparkContext._jvm
