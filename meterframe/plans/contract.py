@@ -299,6 +299,20 @@ def q_a18_cutoff(spark, sf):
     return panel.in_sample_cutoff(_train(spark, sf), P.nth_last)
 
 
+def q_a15_horizon(spark, sf):
+    s = _e_splits(spark, sf)
+    return s.groupBy(SPLIT).agg(F.count_distinct(TS).alias("horizon"))
+
+
+def q_f07_future_axis(spark, sf):
+    """F7 by count: the hours after each series' last train hour, as many as
+    the validation split has distinct hours."""
+    from ..forecast.jobs import future_axis
+    s = _e_splits(spark, sf)
+    train = s.where(F.col(SPLIT) == "train")
+    return future_axis(train, hours=panel.horizon(s.where(F.col(SPLIT) == "validation")))
+
+
 def q_u01_train_val(spark, sf):
     s = _e_splits(spark, sf)
     tv = panel.union_history(s.where(F.col(SPLIT) == "train"), s.where(F.col(SPLIT) == "validation"))
@@ -654,6 +668,13 @@ select ts, pos, cast(floor(pos / {P.chunk}) as bigint) as chunk from
 select client_id, ts from train qualify row_number() over (partition by client_id order by ts desc) = {P.nth_last}"""
     q["a18_cutoff"] = f"""with {_e_split_ctes()}
 select min(ts) as cutoff from (select ts from train qualify row_number() over (partition by client_id order by ts desc) = {P.nth_last})"""
+    q["a15_horizon"] = f"""with {_e_split_ctes()}
+select split, count(distinct ts) as horizon from sp where split is not null group by split"""
+    q["f07_future_axis"] = f"""with {_e_split_ctes()},
+h as (select count(distinct ts) as n from sp where split = 'validation'),
+last as (select client_id, max(ts) as m from train group by client_id)
+select client_id, unnest(generate_series(m + interval 1 hour, m + to_hours((select n from h)), interval 1 hour)) as ts
+from last"""
     q["u01_train_val"] = f"""with {_e_split_ctes()}
 select client_id, ts, {_r('y')} as y from sp where split in ('train', 'validation')
 qualify row_number() over (partition by client_id order by ts desc) <= {P.lookback}"""
