@@ -63,3 +63,18 @@ def test_split_exports(spark, tmp_path):
     assert test_wide.columns == ["timestamp", *names]
     assert test_wide.agg(F.min("timestamp")).first()[0] >= dt.datetime(2024, 1, 26)
     assert panel.split_overlap(s).count() == 0
+
+
+def test_report_job(spark, tmp_path):
+    from meterframe.plans import report
+    s = contract.Scoring(spark, SF)
+    rep = report.build(s.test, s.preds, contract.Scoring.MODELS, contract.P.slice_client,
+                       *contract.P.chart_days, k_worst=2)
+    report.write(rep, str(tmp_path / "report"))
+    lb = spark.read.parquet(str(tmp_path / "report" / "leaderboard"))
+    assert sorted(r["rank"] for r in lb.collect()) == [1, 2]
+    chart = spark.read.parquet(str(tmp_path / "report" / "chart"))
+    assert set(contract.Scoring.MODELS) <= set(chart.columns)
+    assert chart.where(F.col("client_id") != contract.P.slice_client).count() == 0
+    worst = spark.read.parquet(str(tmp_path / "report" / "worst_series"))
+    assert worst.count() == 4
