@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import CALENDAR_COLS, calendar_columns
 from ..operators import panel
-from ..schema import CLIENT, MODEL, TS, Y, YHAT
+from ..schema import CLIENT, MODEL, PREDICTIONS, TS, Y, YHAT
 from .jobs import future_axis
 
 FEATURES = ["f_how", "f_hod", "f_lvl", *CALENDAR_COLS, "bias"]
@@ -158,7 +158,7 @@ def rolling_forecast(weights, history: DataFrame, wanted: DataFrame, input_size:
         appended = preds.select(CLIENT, TS, F.col(YHAT).cast("float").alias(Y))
         hist = panel.lookback(hist.unionByName(appended), input_size).checkpoint()
     if not got:
-        return history.sparkSession.createDataFrame([], f"{MODEL} string, {CLIENT} string, {TS} timestamp_ntz, {YHAT} double")
+        return history.sparkSession.createDataFrame([], PREDICTIONS)
     out = got[0]
     for g in got[1:]:
         out = out.unionByName(g)

@@ -39,10 +39,3 @@ def with_calendar(df, ts: str = "ts", cols: list[str] | None = None):
     feats = calendar_columns(ts)
     return df.withColumns({k: feats[k] for k in (cols or CALENDAR_COLS)})
 
-
-def calendar_table(spine_df, ts: str = "ts"):
-    """Calendar dimension: one row per distinct timestamp of ``spine_df``.
-
-    Its size is the number of hours in the time range, independent of the
-    number of series."""
-    return with_calendar(spine_df.select(ts).distinct(), ts)

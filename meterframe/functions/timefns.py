@@ -19,11 +19,6 @@ def floor_hour(col) -> Column:
     return F.window(_c(col), "1 hour").start
 
 
-def floor_day(col) -> Column:
-    """Midnight of the day as TIMESTAMP_NTZ."""
-    return F.to_date(_c(col)).cast("timestamp_ntz")
-
-
 def weekday0(col) -> Column:
     """Day of week with Monday = 0 .. Sunday = 6 (the pandas convention)."""
     return F.weekday(_c(col))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
 from ..schema import CLIENT, MODEL, TS, Y, YHAT
+from .panel import drop_incomplete
 
 OVERALL = "OVERALL"
 
@@ -25,7 +26,7 @@ def scored(actuals: DataFrame, preds: DataFrame, keys=(CLIENT, TS)) -> DataFrame
 def in_sample_pairs(train: DataFrame, fitted: DataFrame) -> DataFrame:
     """Train left-joined with in-sample fitted values, then rows with a
     missing side dropped (P12)."""
-    return train.join(fitted, [CLIENT, TS], "left").na.drop("any", subset=[Y, YHAT])
+    return drop_incomplete(train.join(fitted, [CLIENT, TS], "left"), [Y, YHAT])
 
 
 def _partial_sums(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,13 +79,6 @@ def metrics_by_model(actuals: DataFrame, preds: DataFrame, null_safe: bool = Tru
     return metrics_table(pairs, null_safe, digits, by_model=True)
 
 
-def overall_by_model(pairs: DataFrame, null_safe: bool = True,
-                     digits: int | None = None) -> DataFrame:
-    """A14 overall only: ``model, MSE, MAE, WAPE``."""
-    sums = _partial_sums(pairs, [MODEL])
-    return _finish(sums, [MODEL], null_safe, digits)
-
-
 def wide_by_model(actuals: DataFrame, preds: DataFrame, models: list[str]) -> DataFrame:
     """Actuals plus one column per model.  Predictions are pivoted once
     (explicit model list) and joined once, instead of one join per model."""

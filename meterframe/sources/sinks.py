@@ -12,6 +12,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.panel import sort_by_series
 from ..operators.reshape import long_to_wide
 from ..schema import CLIENT, SPLIT, TS
 
@@ -35,8 +36,7 @@ def write_master_wide(hourly_long: DataFrame, clients: list[str], path: str) ->
 def write_master_long(hourly_long: DataFrame, path: str) -> None:
     """Long master: clustered by series so readers of one series touch few
     files."""
-    (hourly_long.repartition(CLIENT).sortWithinPartitions(CLIENT, TS)
-     .write.mode("overwrite").parquet(path))
+    sort_by_series(hourly_long).write.mode("overwrite").parquet(path)
 
 
 def write_aggregate(agg: DataFrame, path: str | None) -> None:
