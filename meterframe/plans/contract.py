@@ -73,9 +73,15 @@ class Prepared:
     """Hourly panel, retained spine and per-series activity of a readings
     table, with the small driver-side facts (bounds, transition days)."""
 
-    def __init__(self, readings: DataFrame, tz: str, rate_min: float, run_max: int):
+    def __init__(self, readings: DataFrame, tz: str, rate_min: float, run_max: int,
+                 materialize: bool = False):
         self.readings = readings
         self.hourly_all = resample.hourly_mean(readings)
+        if materialize:
+            # read by both the activity statistics and the output: written
+            # once to the checkpoint folder instead of scanning the raw table
+            # and shuffling it twice per branch
+            self.hourly_all = self.hourly_all.checkpoint()
         self.lo, self.hi = resample.time_bounds(readings, hourly=True)
         self.dates = dst.transition_dates_for(readings, tz, bounds=(self.lo, self.hi))
         self.hourly = dst.drop_days(self.hourly_all, self.dates)
@@ -84,8 +90,8 @@ class Prepared:
             self.hourly, readings.select(CLIENT), self.lo, self.hi, self.dates, rate_min, run_max)
 
 
-def _e(spark, sf) -> Prepared:
-    return Prepared(e_readings(spark, sf), P.tz, P.rate_min, P.run_max)
+def _e(spark, sf, materialize: bool = False) -> Prepared:
+    return Prepared(e_readings(spark, sf), P.tz, P.rate_min, P.run_max, materialize)
 
 
 def _l(spark, sf) -> Prepared:
@@ -150,7 +156,7 @@ def q_a07_active_clients_dst(spark, sf):
 
 
 def q_p06_master_long(spark, sf):
-    e = _e(spark, sf)
+    e = _e(spark, sf, materialize=True)
     return _val(panel.select_clients(e.hourly, activity.active_clients(e.stats)))
 
 
@@ -158,7 +164,7 @@ def q_s06_master_wide(spark, sf):
     """The hourly master of the active series, one column per series in
     sorted (lexicographic) order -- the reference's main output."""
     from ..sources.sinks import MAX_WIDE_COLUMNS
-    e = _e(spark, sf)
+    e = _e(spark, sf, materialize=True)
     # the keep-list feeds both the pivot names and the semi join: computed once
     active = activity.active_clients(e.stats).checkpoint()
     names = [r[0] for r in active.orderBy(CLIENT).limit(MAX_WIDE_COLUMNS + 1).collect()]
@@ -177,7 +183,7 @@ def q_a09_first_nonzero(spark, sf):
 
 
 def q_a10_aggregate_load(spark, sf):
-    e = _e(spark, sf)
+    e = _e(spark, sf, materialize=True)
     agg = aggregate.aggregate_load(e.hourly, e.spine, keep=activity.active_clients(e.stats))
     return agg.select(TS, r4(aggregate.AGG_COL).alias(aggregate.AGG_COL))
 

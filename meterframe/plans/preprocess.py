@@ -51,7 +51,9 @@ def prepare(spark: SparkSession, cfg: PreprocessConfig, raw: DataFrame | None =
     clients = readings.select(CLIENT).distinct()
     n_clients = report["clients"]
 
-    hourly_all = resample.hourly_mean(readings, dedupe=False)
+    # the hourly panel feeds the activity statistics, the master and the
+    # aggregate: written once instead of re-aggregated per output
+    hourly_all = resample.hourly_mean(readings, dedupe=False).checkpoint()
     lo, hi = resample.time_bounds(readings, hourly=True)
     dates = dst.transition_dates(spark, lo.date(), hi.date(), cfg.timezone)
     dates = sorted(r["day"] for r in dates.collect())   # two per year at most
