@@ -78,3 +78,21 @@ def test_report_job(spark, tmp_path):
     assert chart.where(F.col("client_id") != contract.P.slice_client).count() == 0
     worst = spark.read.parquet(str(tmp_path / "report" / "worst_series"))
     assert worst.count() == 4
+
+
+@pytest.mark.parametrize("model", ["ets", "global_linear"])
+def test_modeling_job(spark, tmp_path, model):
+    from meterframe.plans import forecast_jobs, modeling
+    p = forecast_jobs.forecast_panel(spark, SF).drop("split")
+    res = modeling.run_model(spark, p, model, str(tmp_path / model), bounds=contract.P.bounds,
+                             lookback=96, chunk=48, input_size=96)
+    mets = spark.read.parquet(str(tmp_path / model / "metrics"))
+    phases = {r["phase"] for r in mets.where(F.col("client_id") == "OVERALL").collect()}
+    assert {"validation", "test"} <= phases
+    preds = spark.read.parquet(str(tmp_path / model / "predictions"))
+    n_series = p.select("client_id").distinct().count()
+    # span horizon: every validation hour of every series is forecast
+    val_hours = p.where((F.col("ts") >= "2024-01-21") & (F.col("ts") < "2024-01-26")).select("ts").distinct().count()
+    assert preds.where(F.col("phase") == "validation").count() == n_series * val_hours
+    if model != "global_linear":
+        assert spark.read.parquet(str(tmp_path / model / "models")).count() == n_series
