@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import CALENDAR_COLS, with_calendar
+from ..functions.timefns import ntz_lit
 from ..schema import CLIENT, MODEL, TS, Y, YHAT
 from ..operators.partitioning import spread
 from . import models as M
@@ -238,7 +239,7 @@ def future_axis(history: DataFrame, hours: int | None = None, until=None) -> Dat
     last = spread(history.groupBy(CLIENT).agg(F.max(TS).alias("_last")))
     start = F.col("_last") + F.expr("INTERVAL 1 HOUR")
     if until is not None:
-        end = F.lit(until).cast("timestamp_ntz")
+        end = ntz_lit(until)
     else:
         end = F.col("_last") + F.make_interval(hours=F.lit(int(hours)))
     return (last.where(end >= start)

@@ -48,3 +48,14 @@ def day_end(day_col) -> Column:
 def hour_sequence(lo, hi) -> Column:
     """Every hour from ``lo`` to ``hi`` inclusive (A3 spine generator)."""
     return F.sequence(_c(lo), _c(hi), F.expr("INTERVAL 1 HOUR"))
+
+
+def ntz_lit(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a Python datetime / date / string.
+
+    Goes through the ISO text, so no time zone is involved: a naive datetime
+    handed to ``F.lit`` becomes a TIMESTAMP in the Python process's local zone
+    and would shift when cast with a different session zone."""
+    if hasattr(value, "isoformat"):
+        value = value.isoformat(sep=" ") if hasattr(value, "hour") else value.isoformat()
+    return F.lit(str(value)).cast("timestamp_ntz")

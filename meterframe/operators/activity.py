@@ -19,7 +19,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timefns import date_text, ts_text
+from ..functions.timefns import date_text, ntz_lit, ts_text
 from ..schema import CLIENT, TS, Y
 
 POS_BLOCK = 24 * 28  # positions per block of the blocked lag (four weeks)
@@ -31,7 +31,7 @@ def position(ts_col, lo: dt.datetime, removed: list) -> F.Column:
     Removed days lie strictly after the first day (the first day is never a
     transition day), so each removed day before ``ts`` is a whole 24 hours."""
     t = F.col(ts_col) if isinstance(ts_col, str) else ts_col
-    hours = F.timestamp_diff("HOUR", F.lit(lo).cast("timestamp_ntz"), t)
+    hours = F.timestamp_diff("HOUR", ntz_lit(lo), t)
     day = F.to_date(t)
     before = F.lit(0)
     for d in removed:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timefns import day_end
+from ..functions.timefns import day_end, ntz_lit
 from ..schema import CLIENT, SPLIT, TS
 from .ordered import dense_position
 
@@ -36,7 +36,7 @@ class SplitBounds:
         t = F.col(ts)
 
         def lit(x):
-            return F.lit(x).cast("timestamp_ntz")
+            return ntz_lit(x)
 
         train = t <= lit(self.train_end)
         if self.train_start:
@@ -73,7 +73,7 @@ def client_slice(df: DataFrame, client: str, start_day: str, end_day: str,
 
 def split_at(df: DataFrame, cutoff, ts: str = TS) -> tuple[DataFrame, DataFrame]:
     """(rows before ``cutoff``, rows at or after it)."""
-    c = F.lit(cutoff).cast("timestamp_ntz")
+    c = ntz_lit(cutoff)
     return df.where(F.col(ts) < c), df.where(F.col(ts) >= c)
 
 

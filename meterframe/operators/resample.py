@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timefns import floor_hour, hour_sequence
+from ..functions.timefns import floor_hour, hour_sequence, ntz_lit
 from ..schema import CLIENT, TS, Y
 from .partitioning import spread
 
@@ -51,8 +51,8 @@ def hour_spine(hourly: DataFrame, lo=None, hi=None) -> DataFrame:
         lo, hi = time_bounds(hourly)
     spark = hourly.sparkSession
     return spark.range(1).select(
-        F.explode(hour_sequence(F.lit(lo).cast("timestamp_ntz"),
-                                F.lit(hi).cast("timestamp_ntz"))).alias(TS))
+        F.explode(hour_sequence(ntz_lit(lo),
+                                ntz_lit(hi))).alias(TS))
 
 
 def series_axis(clients: DataFrame, spine: DataFrame, lo, hi) -> DataFrame:
@@ -62,7 +62,7 @@ def series_axis(clients: DataFrame, spine: DataFrame, lo, hi) -> DataFrame:
     is the number of hours in the range."""
     ids = spread(clients.select(CLIENT).distinct())
     axis = ids.select(CLIENT, F.explode(hour_sequence(
-        F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz"))).alias(TS))
+        ntz_lit(lo), ntz_lit(hi))).alias(TS))
     return axis.join(spine.select(TS), TS, "left_semi")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..forecast import baselines
 from ..functions.calendar import CALENDAR_COLS, calendar_columns
 from ..functions.numeric import lenient_float, lenient_timestamp, round_half_up
-from ..functions.timefns import date_text
+from ..functions.timefns import date_text, ntz_lit
 from ..operators import activity, aggregate, dst, evaluate, integrity, panel, resample
 from ..operators.reshape import long_to_wide, wide_to_long
 from ..schema import CLIENT, MODEL, SPLIT, TS, Y, YHAT
@@ -330,7 +330,7 @@ def q_u03_remaining(spark, sf):
     wanted = s.where(F.col(SPLIT) == "test").select(TS).distinct()
     _, last_hist = resample.time_bounds(s.where(F.col(SPLIT) != "test"))
     # the first rolling round covers the hours up to last history + chunk
-    end = F.lit(last_hist).cast("timestamp_ntz") + F.make_interval(hours=F.lit(P.lookback))
+    end = ntz_lit(last_hist) + F.make_interval(hours=F.lit(P.lookback))
     first_round = wanted.where(F.col(TS) <= end)
     return panel.remaining_timestamps(wanted, first_round)
 
