@@ -31,3 +31,29 @@ def test_stream_matches_batch(spark, tmp_path):
     for k, v in got.items():
         assert abs(v - want[k]) < 1e-6, k
     assert got[("A", base)] == want[("A", base)]
+
+
+def test_running_metrics_equal_batch(spark, tmp_path):
+    from meterframe.operators import evaluate
+    from meterframe.streaming.metrics import running_metrics
+    rows = [("m", "A", dt.datetime(2014, 1, 1, h), float(h), float(h) + (1 if h % 2 else -2)) for h in range(12)]
+    rows += [("m", "B", dt.datetime(2014, 1, 1, h), 0.0, 1.0) for h in range(3)]
+    schema = "model string, client_id string, ts timestamp_ntz, y double, yhat double"
+    df = spark.createDataFrame(rows, schema)
+    src = tmp_path / "pairs"
+    df.repartition(4).write.parquet(str(src))
+    stream = running_metrics(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src)))
+    q = (stream.writeStream.outputMode("update").format("memory").queryName("run_metrics")
+         .option("checkpointLocation", str(tmp_path / "ck")).start())
+    q.processAllAvailable()
+    q.stop()
+    last = {}
+    for r in spark.sql("select * from run_metrics").collect():
+        if r["n"] >= last.get(r["client_id"], {"n": -1})["n"]:
+            last[r["client_id"]] = r.asDict()
+    batch = {r["client_id"]: r for r in evaluate.metrics_by_model(df.select("client_id", "ts", "y"),
+                                                                  df.select("model", "client_id", "ts", "yhat")).collect()}
+    for c in ("A", "B"):
+        assert abs(last[c]["MSE"] - batch[c]["MSE"]) < 1e-12
+        assert abs(last[c]["MAE"] - batch[c]["MAE"]) < 1e-12
+    assert last["B"]["WAPE"] is None and batch["B"]["WAPE"] is None
