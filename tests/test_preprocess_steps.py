@@ -253,3 +253,11 @@ def test_b16_horizon_and_chunks(spark):
     ch = panel.chunk_index(r, 720)
     assert ch.agg(F.max("chunk")).first()[0] == 3
     assert ch.agg(F.max("pos")).first()[0] == 2855
+
+
+def test_t12_empty_input_is_an_error(spark):
+    empty = readings(spark, [("A", "2011-01-01 00:00", 1)]).where("false")
+    with pytest.raises(ValueError):
+        resample.time_bounds(empty)
+    with pytest.raises(ValueError):
+        dst.transition_dates_for(empty, "Europe/Lisbon")
