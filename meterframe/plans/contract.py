@@ -654,13 +654,14 @@ and cast(ts as date) between date '{c0}' and date '{c1}'"""
     q["r02_pivot"] = f"select ts, {piv} from ({by_type}) group by ts"
     q["r01_unpivot"] = f"""with w as (select ts, {piv} from ({by_type}) group by ts)
 select client_id, ts, {_r('cast(y as float)')} as y from w unpivot include nulls (y for client_id in ({", ".join(types)}))"""
-    cal = """{r}(sin(2 * pi() * hour(ts) / 24)) as hour_sin, {r}(cos(2 * pi() * hour(ts) / 24)) as hour_cos,
-{r}(sin(2 * pi() * (isodow(ts) - 1) / 7)) as dow_sin, {r}(cos(2 * pi() * (isodow(ts) - 1) / 7)) as dow_cos,
-cast(isodow(ts) - 1 >= 5 as integer) as is_weekend,
-{r}(sin(2 * pi() * month(ts) / 12)) as month_sin, {r}(cos(2 * pi() * month(ts) / 12)) as month_cos"""
-    import re as _re
-    cal_sql = _re.sub(r"\{r\}\((.*?)\) as (\w+)", lambda m: f"{_r(m.group(1), 6)} as {m.group(2)}",
-                      cal.replace("\n", " "))
+    dow = "(isodow(ts) - 1)"          # Monday = 0
+    trig = [("hour_sin", "sin", "hour(ts)", 24), ("hour_cos", "cos", "hour(ts)", 24),
+            ("dow_sin", "sin", dow, 7), ("dow_cos", "cos", dow, 7),
+            ("month_sin", "sin", "month(ts)", 12), ("month_cos", "cos", "month(ts)", 12)]
+    cal_cols = {name: f"{_r(f'{fn}(2 * pi() * {arg} / {period})', 6)} as {name}"
+                for name, fn, arg, period in trig}
+    cal_cols["is_weekend"] = f"cast({dow} >= 5 as integer) as is_weekend"
+    cal_sql = ", ".join(cal_cols[c] for c in CALENDAR_COLS)
     q["x02_calendar"] = f"with {_prep_ctes(E_RAW)}\nselect ts, {cal_sql} from spine"
     q["j01_calendar_join"] = f"""with {_prep_ctes(E_RAW)}, cal as (select ts, {cal_sql} from spine)
 select h.client_id, h.ts, {_r('h.y')} as y, {", ".join("cal." + c for c in CALENDAR_COLS)}
