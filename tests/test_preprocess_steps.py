@@ -261,3 +261,16 @@ def test_t12_empty_input_is_an_error(spark):
         resample.time_bounds(empty)
     with pytest.raises(ValueError):
         dst.transition_dates_for(empty, "Europe/Lisbon")
+
+
+def test_raw_file_layout_quoted_header(spark, tmp_path):
+    """The raw meter file: quoted header with an empty first name, quoted
+    timestamps, decimal commas, a zero written without decimals."""
+    text = ('"";"MT_001";"MT_002"\n'
+            '"2011-01-01 00:15:00";0;2,53807106598985\n'
+            '"2011-01-01 00:30:00";1,5;3\n')
+    r = read_wide_text(spark, _write(tmp_path, "raw.txt", text))
+    got = _sorted(r, "client_id", "ts")
+    assert got == [("MT_001", T("2011-01-01 00:15"), 0.0), ("MT_001", T("2011-01-01 00:30"), 1.5),
+                   ("MT_002", T("2011-01-01 00:15"), pytest.approx(2.538071, rel=1e-6)),
+                   ("MT_002", T("2011-01-01 00:30"), 3.0)]
