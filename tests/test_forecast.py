@@ -139,3 +139,13 @@ def test_overlapping_input_windows(spark):
     window = [planted(i) for i in range(n - 24 - 96, n - 24)]
     mu = rows.where(F.col("_k") == 1).select("_mu").first()[0]
     assert abs(mu - float(np.mean(np.float32(window)))) < 1e-4
+
+
+def test_calendar_spark_and_pandas_agree(spark):
+    from meterframe.functions.calendar import with_calendar
+    ts = [BASE + dt.timedelta(hours=h) for h in range(0, 24 * 366, 7)]
+    sdf = with_calendar(spark.createDataFrame([(t,) for t in ts], "ts timestamp_ntz")).toPandas()
+    import pandas as pd
+    pdf = calendar_frame(pd.Series(ts))
+    for c in CALENDAR_COLS:
+        assert np.allclose(sdf[c].to_numpy(float), pdf[c].to_numpy(float), atol=1e-12), c
