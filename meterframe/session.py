@@ -31,6 +31,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
+               # checkpoint files are removed once their DataFrame is gone
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.driver.memory", os.environ.get("METERFRAME_DRIVER_MEM", "8g")))
     for k, v in {**BASE_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
