@@ -129,10 +129,18 @@ def predict(weights, history: DataFrame, future: DataFrame, input_size: int = 67
 
 
 def rolling_forecast(weights, history: DataFrame, wanted: DataFrame, input_size: int = 672,
-                     chunk: int = 720, max_rounds: int | None = None) -> DataFrame:
-    """predict ``chunk`` hours, keep those still wanted, append *all*
-    predictions to the history (kept contiguous), repeat until every wanted
-    timestamp is covered or a round makes no progress.
+                     chunk: int = 720, max_rounds: int | None = None,
+                     variant: str = "remaining") -> DataFrame:
+    """predict ``chunk`` hours from the last ``input_size`` hours, keep
+    the wanted ones, extend the history, repeat.
+
+    ``variant="remaining"`` (default, the dashboard loop): keep predictions of
+    timestamps still wanted, append *all* predictions so the history stays
+    contiguous, stop when everything is covered or a round makes no progress.
+    ``variant="chunks"`` (the notebook loop): the wanted timestamps are cut
+    into ceil(h / chunk) slices in order (W5); round i keeps predictions of
+    slice i only and appends only those.  With a removed day inside, the
+    contiguous forecast runs ahead of the slices and hours are lost (T8).
 
     Each round's history is cut to the last ``input_size`` rows per series and
     written to the checkpoint folder, so lineage stays bounded and a lost
@@ -140,22 +148,32 @@ def rolling_forecast(weights, history: DataFrame, wanted: DataFrame, input_size:
     wanted hours over ``chunk`` (plus one)."""
     remaining = wanted.select(TS).distinct().checkpoint()
     n_wanted = remaining.count()
+    slices = panel.chunk_index(remaining, chunk).checkpoint() if variant == "chunks" else None
     rounds = max_rounds or (n_wanted // chunk + 2)
+    if variant == "chunks":
+        rounds = min(rounds, -(-n_wanted // chunk))
     hist = panel.lookback(history.select(CLIENT, TS, Y), input_size).checkpoint()
     got = []
-    for _ in range(rounds):
+    for i in range(rounds):
         if n_wanted == 0:
             break
         fut = future_axis(hist, hours=chunk)
         preds = predict(weights, hist, fut, input_size).checkpoint()
-        matched = preds.join(remaining, TS, "left_semi")
-        covered = matched.select(TS).distinct()
-        if covered.isEmpty():
-            break
-        got.append(matched)
-        remaining = remaining.join(covered, TS, "left_anti").checkpoint()
-        n_wanted = remaining.count()
-        appended = preds.select(CLIENT, TS, F.col(YHAT).cast("float").alias(Y))
+        if variant == "chunks":
+            keep = slices.where(F.col("chunk") == i).select(TS)
+            matched = preds.join(keep, TS, "left_semi")
+            got.append(matched)
+            appended = matched
+        else:
+            matched = preds.join(remaining, TS, "left_semi")
+            covered = matched.select(TS).distinct()
+            if covered.isEmpty():
+                break
+            got.append(matched)
+            remaining = remaining.join(covered, TS, "left_anti").checkpoint()
+            n_wanted = remaining.count()
+            appended = preds
+        appended = appended.select(CLIENT, TS, F.col(YHAT).cast("float").alias(Y))
         hist = panel.lookback(hist.unionByName(appended), input_size).checkpoint()
     if not got:
         return history.sparkSession.createDataFrame([], PREDICTIONS)
