@@ -50,7 +50,8 @@ def load_panel(spark: SparkSession, path: str, fmt: str = "master") -> DataFrame
 def run_model(spark: SparkSession, panel_df: DataFrame, model: str, out: str | None = None,
               bounds: panel.SplitBounds = REFERENCE_BOUNDS, lookback: int | None = LOOKBACK_HOURS,
               horizon: str = "span", clients: DataFrame | None = None,
-              chunk: int = CHUNK_HOURS, input_size: int = INPUT_HOURS) -> dict[str, DataFrame]:
+              chunk: int = CHUNK_HOURS, input_size: int = INPUT_HOURS,
+              rolling: str = "remaining") -> dict[str, DataFrame]:
     """Returns ``predictions`` (with ``phase``), ``metrics`` (with ``phase``)
     and, for per-series models, ``models`` (the model table)."""
     checkpoint_dir(spark)
@@ -64,7 +65,8 @@ def run_model(spark: SparkSession, panel_df: DataFrame, model: str, out: str | N
         preds, mets = [], []
         for phase, hist, target in (("validation", part["train"], part["validation"]),
                                     ("test", history, part["test"])):
-            p = global_model.rolling_forecast(w, hist, target.select(TS), input_size, chunk)
+            p = global_model.rolling_forecast(w, hist, target.select(TS), input_size, chunk,
+                                              variant=rolling)
             preds.append(p.withColumn("phase", F.lit(phase)))
             pairs = evaluate.scored(target, p.drop("model"))
             mets.append(evaluate.metrics_table(pairs, null_safe=False, digits=4).withColumn("phase", F.lit(phase)))
@@ -95,10 +97,12 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--horizon", default="span", choices=["span", "count"])
     ap.add_argument("--lookback", type=int, default=LOOKBACK_HOURS)
+    ap.add_argument("--rolling", default="remaining", choices=["remaining", "chunks"],
+                    help="pooled model: remaining-set loop or the notebook's chunk slices")
     args = ap.parse_args(argv)
     spark = SparkSession.getActiveSession() or local_session()
     res = run_model(spark, load_panel(spark, args.panel, args.format), args.model, args.out,
-                    lookback=args.lookback or None, horizon=args.horizon)
+                    lookback=args.lookback or None, horizon=args.horizon, rolling=args.rolling)
     overall = res["metrics"].where(F.col(CLIENT) == evaluate.OVERALL).orderBy("phase").collect()
     for r in overall:
         print(f"{args.model} {r['phase']}: MSE {r['MSE']}  MAE {r['MAE']}  WAPE {r['WAPE']}")
