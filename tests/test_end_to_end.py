@@ -96,3 +96,16 @@ def test_modeling_job(spark, tmp_path, model):
     assert preds.where(F.col("phase") == "validation").count() == n_series * val_hours
     if model != "global_linear":
         assert spark.read.parquet(str(tmp_path / model / "models")).count() == n_series
+
+
+def test_survey_invariants(spark):
+    """active + dropped = all series (disjoint); sum of the aggregate series =
+    sum of the active hourly panel."""
+    status = {r["client_id"]: r["status"] for r in contract.q_a07_active_clients(spark, SF).collect()}
+    all_ids = {r[0] for r in contract.e_readings(spark, SF).select("client_id").distinct().collect()}
+    assert set(status) == all_ids and set(status.values()) <= {"active", "dropped"}
+    agg = contract.q_a10_aggregate_load(spark, SF).agg(F.sum("aggregate_hourly_kW")).first()[0]
+    e = contract._e(spark, SF)
+    active = e.stats.where("active").select("client_id")
+    panel_sum = panel.select_clients(e.hourly, active).agg(F.sum(F.col("y").cast("double"))).first()[0]
+    assert abs(agg - panel_sum) < 1e-2
