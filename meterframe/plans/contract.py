@@ -589,7 +589,7 @@ select (select count(*) from ax) as "rows",
   strftime((select max(ts) from ax), '%Y-%m-%d %H:%M:%S') as "end",
   cast(0 as bigint) as duplicate_timestamps,
   (select count(*) from st where p is not null and epoch_us(ts) - epoch_us(p) <> {step * 1_000_000}) as non_15m_intervals,
-  (select coalesce(sum(n - 1), 0) from (select count(*) as n from raw group by client_id, ts)) as raw_duplicate_readings"""
+  (select cast(coalesce(sum(n - 1), 0) as bigint) from (select count(*) as n from raw group by client_id, ts)) as raw_duplicate_readings"""
     q["a04_integrity_report"] = integ(E_RAW, 900)
     q["a04_integrity_report_daily"] = integ(L_RAW, 86_400)
     def steps(raw, step):
