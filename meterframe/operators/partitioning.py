@@ -27,7 +27,11 @@ def spread(df: DataFrame, key: str = CLIENT, per_core: int = 3) -> DataFrame:
     or window on ``key`` reuses this partitioning (no new exchange).
     """
     spark = df.sparkSession
-    cores = max(1, spark.sparkContext.defaultParallelism)
+    try:
+        cores = max(1, spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - no SparkContext on a Spark Connect client
+        cores = max(1, int(spark.conf.get("spark.default.parallelism",
+                                          spark.conf.get("spark.sql.shuffle.partitions"))))
     n = cores * per_core
     if n == int(spark.conf.get("spark.sql.shuffle.partitions")):
         n += cores
