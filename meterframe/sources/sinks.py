@@ -39,6 +39,16 @@ def write_master_long(hourly_long: DataFrame, path: str) -> None:
     sort_by_series(hourly_long).write.mode("overwrite").parquet(path)
 
 
+def write_master_bucketed(hourly_long: DataFrame, table: str, buckets: int) -> None:
+    """Long master as a table bucketed by series and sorted by (series, time)
+    within each bucket.  Later per-series work on it -- lookback windows,
+    per-series statistics, joins on the series key with another table of the
+    same bucketing -- reads co-partitioned data and needs no shuffle.
+    ``buckets`` should give files of a few hundred MB."""
+    (hourly_long.write.mode("overwrite").bucketBy(buckets, CLIENT).sortBy(CLIENT, TS)
+     .saveAsTable(table))
+
+
 def write_aggregate(agg: DataFrame, path: str | None) -> None:
     """The summed series; skipped when no path is configured."""
     if path:

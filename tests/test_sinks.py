@@ -62,3 +62,18 @@ def test_edge_names_and_single_series(spark):
     agg = spark.createDataFrame([(dt.datetime(2011, 1, 1), 3.0)], "ts timestamp_ntz, total double")
     s = reshape.as_single_series(agg, "total").first()
     assert s["client_id"] == "aggregate" and s["y"] == 3.0
+
+
+def test_bucketed_master_avoids_shuffle(spark):
+    from meterframe.operators import panel
+    spark.sql("DROP TABLE IF EXISTS mf_master_bucketed")
+    r = readings(spark, [(f"S{i % 7}", f"2011-01-01 {h:02d}:00", float(i + h)) for i in range(7) for h in range(12)])
+    sinks.write_master_bucketed(r, "mf_master_bucketed", 4)
+    t = spark.table("mf_master_bucketed")
+    lb = panel.lookback(t, 3)
+    stats = t.groupBy("client_id").agg(F.max("ts"))
+    for df in (lb, stats):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, plan
+    assert lb.count() == 21
+    spark.sql("DROP TABLE IF EXISTS mf_master_bucketed")
