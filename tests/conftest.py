@@ -10,8 +10,10 @@ from meterframe.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = local_session("*", shuffle_partitions=8, app="meterframe-tests")
+def spark(tmp_path_factory):
+    warehouse = str(tmp_path_factory.mktemp("warehouse"))
+    s = local_session("*", shuffle_partitions=8, app="meterframe-tests",
+                      extra={"spark.sql.warehouse.dir": warehouse})
     yield s
     s.stop()
 
