@@ -273,6 +273,61 @@ def _arma_design(x, e, p, q, P, Q, m, const, start):
     return X, lags_x, lags_e
 
 
+_ORDERS = [(p, q, P, Q) for p in range(4) for q in range(3) for P in (0, 1) for Q in (0, 1)]
+
+
+def _arma_search_normal(x, e, m, const, start):
+    """Order search on one shared design (x lags 1-3 and m, e lags 1-2 and m,
+    constant): every candidate is a small solve on a submatrix of X'X and its
+    SSE is y'y - b'X'y, instead of one least-squares fit per candidate."""
+    Xf, _, _ = _arma_design(x, e, 3, 2, 1, 1, m, const, start)
+    ty = x[start:]
+    xtx, xty, yty = Xf.T @ Xf, Xf.T @ ty, float(ty @ ty)
+    n_eff = len(ty)
+    best = None
+    for p, q, P, Q in _ORDERS:
+        idx = list(range(p)) + ([3] if P else []) + [4 + j for j in range(q)] + ([6] if Q else []) \
+            + ([7] if const else [])
+        if idx:
+            a = xtx[np.ix_(idx, idx)]
+            try:
+                b = np.linalg.solve(a + 1e-10 * np.trace(a) * np.eye(len(idx)), xty[idx])
+            except np.linalg.LinAlgError:
+                continue
+            sse = max(yty - float(b @ xty[idx]), 0.0)
+        else:
+            b, sse = np.empty(0), yty
+        score = _aicc(sse, n_eff, len(idx) + 1)
+        if best is None or score < best[0]:
+            best = (score, p, q, P, Q, b, idx)
+    if best is None:
+        return None
+    score, p, q, P, Q, b, idx = best
+    resid = ty - (Xf[:, idx] @ b if idx else 0.0)
+    lx = list(range(1, p + 1)) + ([m] if P else [])
+    le = list(range(1, q + 1)) + ([m] if Q else [])
+    return score, p, q, P, Q, b, lx, le, resid
+
+
+def _arma_search_lstsq(x, e, m, const, start, nx):
+    """One least-squares fit per candidate order (short series)."""
+    best = None
+    for p, q, P, Q in _ORDERS:
+        if start - max(p, q, m * P, m * Q) < 0:
+            continue
+        X, lx, le = _arma_design(x, e, p, q, P, Q, m, const, start)
+        if X.shape[1] == 0:
+            resid = x[start:]
+            beta = np.empty(0)
+        else:
+            beta, *_ = np.linalg.lstsq(X, x[start:], rcond=None)
+            resid = x[start:] - X @ beta
+        score = _aicc(float(resid @ resid), nx - start, X.shape[1] + 1)
+        if best is None or score < best[0]:
+            best = (score, p, q, P, Q, beta, lx, le, resid)
+    return best
+
+
 def arima_fit(y: np.ndarray, m: int = SEASON) -> dict:
     y = fill_missing(y)
     n = len(y)
@@ -297,24 +352,9 @@ def arima_fit(y: np.ndarray, m: int = SEASON) -> dict:
     start = L + m + 1
     if nx - start < 12:
         start = L + 4
-    best = None
-    for p in range(0, 4):
-        for q in range(0, 3):
-            for P in (0, 1):
-                for Q in (0, 1):
-                    if start - max(p, q, m * P, m * Q) < 0:
-                        continue
-                    X, lx, le = _arma_design(x, e, p, q, P, Q, m, const, start)
-                    if X.shape[1] == 0:
-                        resid = x[start:]
-                        beta = np.empty(0)
-                    else:
-                        beta, *_ = np.linalg.lstsq(X, x[start:], rcond=None)
-                        resid = x[start:] - X @ beta
-                    k = X.shape[1] + 1
-                    score = _aicc(float(resid @ resid), nx - start, k)
-                    if best is None or score < best[0]:
-                        best = (score, p, q, P, Q, beta, lx, le, resid)
+    best = _arma_search_normal(x, e, m, const, start) if start >= m else None
+    if best is None:
+        best = _arma_search_lstsq(x, e, m, const, start, nx)
     _, p, q, P, Q, beta, lx, le, resid = best
     phi = beta[:len(lx)].tolist()
     theta = beta[len(lx):len(lx) + len(le)].tolist()
