@@ -47,8 +47,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``.  Only when it is unset (local
-    runs and tests) a fresh folder under the system temp dir is taken.
+    Uses the cluster's ``spark.checkpoint.dir``.  Only when it is unset on a
+    ``local[...]`` master (local runs and tests) a fresh folder under the
+    system temp dir is taken; on a cluster an unset folder is an error.
     """
     try:
         sc = spark.sparkContext
@@ -60,6 +61,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: point it at shared storage "
+                           "(a machine-local folder does not survive the loss of an executor)")
     local = tempfile.mkdtemp(prefix="meterframe-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
