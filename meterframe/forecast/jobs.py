@@ -153,20 +153,26 @@ def _forecast_one(fc: Forecaster, hist: pd.DataFrame, fut: pd.DataFrame, exog: l
 
 
 def _emit(fc: Forecaster, cid, hist, fut, st, yhat, status, emit_fitted, emit_state) -> pd.DataFrame:
-    parts = [pd.DataFrame({MODEL: fc.name, CLIENT: cid, TS: fut[TS].to_numpy(), YHAT: yhat,
-                           "kind": "forecast", "status": status, "params": None})]
+    """Output rows of one series, built as whole columns (one frame, no
+    concatenation of small frames)."""
     fitted = st.pop("fitted", None)
+    ts_parts = [fut[TS].to_numpy(dtype="datetime64[ns]")]
+    y_parts = [np.asarray(yhat, dtype=float)]
+    kinds = ["forecast"] * len(fut)
     if emit_fitted and fitted is not None:
-        parts.append(pd.DataFrame({MODEL: fc.name, CLIENT: cid, TS: hist[TS].to_numpy(),
-                                   YHAT: np.asarray(fitted, dtype=float), "kind": "fitted",
-                                   "status": status, "params": None}))
+        ts_parts.append(hist[TS].to_numpy(dtype="datetime64[ns]"))
+        y_parts.append(np.asarray(fitted, dtype=float))
+        kinds += ["fitted"] * len(hist)
+    params = [None] * len(kinds)
     if emit_state:
-        parts.append(pd.DataFrame({MODEL: [fc.name], CLIENT: [cid], TS: [pd.NaT], YHAT: [np.nan],
-                                   "kind": ["state"], "status": [status],
-                                   "params": [json.dumps(st, default=float)]}))
-    out = pd.concat(parts, ignore_index=True)
-    out[YHAT] = out[YHAT].astype(float)
-    return out
+        ts_parts.append(np.array(["NaT"], dtype="datetime64[ns]"))
+        y_parts.append(np.array([np.nan]))
+        kinds.append("state")
+        params.append(json.dumps(st, default=float))
+    n = len(kinds)
+    return pd.DataFrame({MODEL: [fc.name] * n, CLIENT: [cid] * n, TS: np.concatenate(ts_parts),
+                         YHAT: np.concatenate(y_parts), "kind": kinds, "status": [status] * n,
+                         "params": params})
 
 
 _EMPTY = [MODEL, CLIENT, TS, YHAT, "kind", "status", "params"]
