@@ -59,3 +59,19 @@ def test_activity_matches_brute_force(spark, cells, removed_idx, block):
     want = _brute([r for r in rows + anchors if r[1].date() not in removed], set(removed))
     for c, (n_nz, run, first) in want.items():
         assert got[c] == (n_nz, run, first), (c, got[c], (n_nz, run, first), removed)
+
+
+stamps = st.sets(st.integers(0, 24 * 60 * 5), min_size=2, max_size=80)   # minutes over five days
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(minutes=stamps, chunk=st.sampled_from([1, 7, 50]))
+def test_blocked_steps_and_positions_match_brute_force(spark, minutes, chunk):
+    from meterframe.operators import integrity, panel
+    ts = sorted(BASE + dt.timedelta(minutes=m) for m in minutes)
+    df = spark.createDataFrame([(t,) for t in ts], "ts timestamp_ntz")
+    got = sorted((r["ts"], r["prev_ts"]) for r in integrity.irregular_steps(df, 900).collect())
+    want = [(b, a) for a, b in zip(ts, ts[1:]) if (b - a) != dt.timedelta(minutes=15)]
+    assert got == want
+    pos = {r["ts"]: (r["pos"], r["chunk"]) for r in panel.chunk_index(df, chunk).collect()}
+    assert pos == {t: (i, i // chunk) for i, t in enumerate(ts)}
