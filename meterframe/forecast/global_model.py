@@ -107,7 +107,8 @@ def fit(history: DataFrame, input_size: int = 672, chunk: int = 720, ridge: floa
     sums += [F.sum(F.col(FEATURES[i]) * F.col("_z")).alias(f"xy_{i}") for i in range(k)]
     r = rows.agg(*sums).first()
     if r is None or r["xx_0_0"] is None:
-        raise ValueError("no training rows")
+        raise ValueError("no training rows: the history is shorter than one input window "
+                         "plus one chunk (lower input_size / chunk)")
     xx = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):

@@ -59,6 +59,10 @@ def run_model(spark: SparkSession, panel_df: DataFrame, model: str, out: str | N
         panel_df = panel.select_clients(panel_df, clients)
     split = panel.assign_splits(panel_df.select(CLIENT, TS, Y), bounds).checkpoint()
     part = {n: split.where(F.col(SPLIT) == n).select(CLIENT, TS, Y) for n in ("train", "validation", "test")}
+    present = {r[0] for r in split.select(SPLIT).distinct().collect()}      # at most three
+    missing = [n for n in part if n not in present]
+    if missing:
+        raise ValueError(f"no rows in split(s) {missing} for bounds {bounds}")
     if model == global_model.NAME:
         history = panel.union_history(part["train"], part["validation"])
         w = global_model.fit(history, input_size, chunk)
@@ -99,10 +103,21 @@ def main(argv=None) -> None:
     ap.add_argument("--lookback", type=int, default=LOOKBACK_HOURS)
     ap.add_argument("--rolling", default="remaining", choices=["remaining", "chunks"],
                     help="pooled model: remaining-set loop or the notebook's chunk slices")
+    ap.add_argument("--chunk", type=int, default=CHUNK_HOURS, help="pooled model: hours per round")
+    ap.add_argument("--input-size", type=int, default=INPUT_HOURS, help="pooled model: input hours")
+    b = REFERENCE_BOUNDS
+    ap.add_argument("--train-start", default=b.train_start)
+    ap.add_argument("--train-end", default=b.train_end)
+    ap.add_argument("--val-start", default=b.val_start)
+    ap.add_argument("--val-end", default=b.val_end)
+    ap.add_argument("--test-start", default=b.test_start)
     args = ap.parse_args(argv)
     spark = SparkSession.getActiveSession() or local_session()
+    bounds = panel.SplitBounds(train_start=args.train_start or None, train_end=args.train_end,
+                               val_start=args.val_start, val_end=args.val_end, test_start=args.test_start)
     res = run_model(spark, load_panel(spark, args.panel, args.format), args.model, args.out,
-                    lookback=args.lookback or None, horizon=args.horizon, rolling=args.rolling)
+                    bounds=bounds, lookback=args.lookback or None, horizon=args.horizon,
+                    rolling=args.rolling, chunk=args.chunk, input_size=args.input_size)
     overall = res["metrics"].where(F.col(CLIENT) == evaluate.OVERALL).orderBy("phase").collect()
     for r in overall:
         print(f"{args.model} {r['phase']}: MSE {r['MSE']}  MAE {r['MAE']}  WAPE {r['WAPE']}")
