@@ -14,6 +14,7 @@ tables.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -350,7 +351,10 @@ class Scoring:
         self.train = s.where(F.col(SPLIT) == "train").drop(SPLIT)
         self.test = s.where(F.col(SPLIT) == "test").drop(SPLIT)
         test_spine = panel.split_part(e.spine, P.bounds, "test")
-        lo, hi = resample.time_bounds(test_spine)
+        # bounds of the test hours from known facts (no job); removed days
+        # inside them are dropped by the semi join on the spine
+        lo = max(e.lo, dt.datetime.fromisoformat(P.bounds.test_start))
+        hi = e.hi
         ids = e.readings.select(CLIENT).distinct()
         self.axis = resample.series_axis(ids, test_spine, lo, hi)
         self.dense_test = resample.densify(self.test, test_spine, ids, lo, hi)
