@@ -274,3 +274,10 @@ def test_raw_file_layout_quoted_header(spark, tmp_path):
     assert got == [("MT_001", T("2011-01-01 00:15"), 0.0), ("MT_001", T("2011-01-01 00:30"), 1.5),
                    ("MT_002", T("2011-01-01 00:15"), pytest.approx(2.538071, rel=1e-6)),
                    ("MT_002", T("2011-01-01 00:30"), 3.0)]
+
+
+def test_decimal_point_config(spark, tmp_path):
+    """With decimal "." a comma is not a decimal mark: such cells are missing."""
+    path = _write(tmp_path, "dp.txt", "t;MT_1\n2011-01-01 00:00:00;1,5\n2011-01-01 00:15:00;1.5\n")
+    got = [r[2] for r in _sorted(read_wide_text(spark, path, decimal="."), "ts")]
+    assert got == [None, 1.5]
