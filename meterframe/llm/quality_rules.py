@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[ \t\n\x0B\f\r]+"
 #: Fixed values of the word and symbol classes.
 SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOL_CLASS = "[#*$%&|<>]"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,14 +42,12 @@ def _repeat_words(w: Column) -> Column:
     positions; neighbours with equal hash are repeats.  The covered words follow from the sorted
     repeat positions: each adds the distance to the next one, at most three.
     """
-    windows = F.sort_array(F.transform(
-        F.sequence(F.lit(0), F.size(w) - 3),
-        lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))))
+    windows = F.slice(F.transform(w, lambda x, i: F.struct(
+        F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))), F.lit(1), F.size(w) - 2)
 
     def positions(s: Column) -> Column:
-        pairs = F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda a, b: F.when(
-            a["h"] == b["h"], F.array(a["p"], b["p"])))
-        return F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull()))))
+        repeats = F.filter(s, lambda x, i: (x["h"] == F.get(s, i + 1)["h"]) | (x["h"] == F.get(s, i - 1)["h"]))
+        return F.sort_array(F.transform(repeats, lambda x: x["p"]))
 
     def covered(p: Column) -> Column:
         return F.aggregate(
@@ -58,7 +56,7 @@ def _repeat_words(w: Column) -> Column:
             F.lit(0), lambda acc, x: acc + x)
 
     return F.when(F.size(w) < 4, F.lit(0)).otherwise(
-        _let(windows, lambda s: _let(positions(s), covered))).cast("long")
+        _let(F.sort_array(windows), lambda s: _let(positions(s), covered))).cast("long")
 
 
 @dataclass(frozen=True)
@@ -79,14 +77,11 @@ class Policy:
 def measurements(docs: DataFrame) -> DataFrame:
     """doc_id and the measurements of every document."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    blanked = t
-    for c in SYMBOLS:
-        blanked = F.replace(blanked, F.lit(c), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
     split = docs.select(
         "doc_id",
         F.filter(F.split(t, SPACE_CLASS), lambda x: x != "").alias("w"),
-        (F.length(t) - F.length(blanked)).cast("long").alias("n_symbols"),
+        F.regexp_count(t, F.lit(SYMBOL_CLASS)).cast("long").alias("n_symbols"),
         lines.alias("lines"))
     return split.select(
         "doc_id",
