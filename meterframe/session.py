@@ -61,7 +61,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):   # local-cluster[...] has several machines
         raise RuntimeError("spark.checkpoint.dir is not set: point it at shared storage "
                            "(a machine-local folder does not survive the loss of an executor)")
     local = tempfile.mkdtemp(prefix="meterframe-ckpt-")
