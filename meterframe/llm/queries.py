@@ -12,7 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality_classifier, quality_rules, simhash
+from . import (
+    decontamination,
+    language_id,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_nbest,
+    simhash,
+    substring_dedup,
+    token_counts,
+)
 from .frames import documents, id_crc, materialize, table, unsigned_hex
 
 
@@ -30,6 +39,12 @@ def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ablation(quality_rules.ledger(documents(spark, sf_dir)))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir)).select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
+        (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = id_crc() % 3 == 1
@@ -56,12 +71,43 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated(documents(spark, sf_dir), digest=True) \
+        .select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+def op9_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best segmentations of every document, and whether the best
+    one decodes to the text."""
+    best = sentencepiece_nbest.encode(documents(spark, sf_dir), n=3)
+    at = lambda i, what: F.get("segmentations", F.lit(i))[what]
+    flat = best.select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"),
+        (F.octet_length(at(0, "ids")) / 4).cast("long").alias("n_pieces"),
+        *[at(i, "score").alias(f"score_{i + 1}") for i in range(3)],
+        *[F.sha2(F.coalesce(at(i, "ids"), F.lit(b"")), 256).alias(f"ids_{i + 1}_sha256") for i in range(3)],
+        at(0, "ids").alias("ids"))
+    return sentencepiece_nbest.decode(flat, "ids").withColumn("decoded", F.col("ids") == F.col("text")) \
+        .drop("ids", "text")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_crc() % 5 == 0
+    model = language_id.train(table(spark, sf_dir, "documents").select("doc_id", "text", "lang").where(~held_out))
+    return language_id.identify(documents(spark, sf_dir), model).select(
+        "doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op4_token_counts": op4_token_counts,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_decontamination": op6_decontamination,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_substring_dedup": op8_substring_dedup,
+        "op9_sentencepiece_nbest": op9_sentencepiece_nbest,
+        "op10_language_id": op10_language_id,
         "rule_ablation": rule_ablation,
     }
 
@@ -157,9 +203,31 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
 
 
+OP8_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w
+  FROM documents),
+win AS (
+  SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g
+  FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+rep AS (SELECT r, i FROM win WHERE g IN (SELECT g FROM win GROUP BY g HAVING count(*) >= 2)),
+cov AS (SELECT DISTINCT r, unnest(generate_series(i, i + 34)) AS p FROM rep),
+gone AS (SELECT r, count(*) AS n, list(p) AS ps FROM cov GROUP BY r),
+kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY p) AS k
+  FROM (SELECT d.r, unnest(w) AS x, unnest(generate_series(1, len(w))) AS p FROM d JOIN gone USING (r)) t
+  WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.r = t.r AND cov.p = t.p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN gone.n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(k, '') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": OP2_SQL,
         "op6_decontamination": OP6_SQL,
+        "op8_substring_dedup": OP8_SQL,
         "rule_ablation": RULE_ABLATION_SQL,
     }
