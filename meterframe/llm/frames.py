@@ -70,3 +70,15 @@ def id_crc(doc_id: str = "doc_id") -> Column:
 
 def unsigned_hex(col: Column) -> Column:
     return F.lpad(F.lower(F.hex(col)), 16, "0")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
+    """(doc_id, y, text) of at most ``limit`` labelled documents, those whose
+    ids have the smallest hashes.  Of several labels of a document the larger
+    one counts, of several texts one."""
+    one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()) \
+        .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    keep = docs.select("doc_id").distinct().join(one, "doc_id") \
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return docs.select("doc_id", "text").join(keep, "doc_id") \
+        .groupBy("doc_id", "y").agg(F.min("text").alias("text"))

@@ -17,14 +17,27 @@ from . import (
     language_id,
     quality_classifier,
     quality_rules,
+    secrets,
     sentencepiece_nbest,
     simhash,
     substring_dedup,
     token_counts,
+    toxicity,
 )
 from .frames import documents, id_crc, materialize, table, unsigned_hex
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = secrets.scan(docs, secrets.learn(docs))
+    of = lambda kind: F.filter("spans", lambda x: x["kind"] == kind)
+    base = F.filter("spans", lambda x: x["kind"] != "grammar")
+    return found.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]],
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"),
+        F.size(of("grammar")).cast("long").alias("n_grammar"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(documents(spark, sf_dir))
     base = quality_rules.Policy("base", 1, quality_rules.BASE)
@@ -39,6 +52,15 @@ def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ablation(quality_rules.ledger(documents(spark, sf_dir)))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = id_crc() % 3 == 1
+    model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    return toxicity.grade(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "toxicity.severity", "toxicity.grade", "toxicity.p_toxic",
+        (F.col("toxicity.p_toxic") >= 0.5).alias("toxic"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir)).select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
@@ -100,7 +122,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_quality_rules": op2_quality_rules,
+        "op3_toxicity": op3_toxicity,
         "op4_token_counts": op4_token_counts,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_decontamination": op6_decontamination,

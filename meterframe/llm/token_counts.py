@@ -154,6 +154,15 @@ class Transducer:
         return total + (self._finish(state) if last is None else last)
 
 
+#: Below this, all versions of the Unicode tables agree on letters and case.
+_SETTLED = regex.compile("[\u0558-\U0010ffff]")
+
+
+def _newer(text: str) -> bool:
+    """Whether a character is unknown to Python's Unicode tables."""
+    return _SETTLED.search(text) is not None and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
 class _Counts(dict):
     """Words seen so far with their number of tokens."""
 
@@ -183,13 +192,26 @@ class Tokenizer:
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.known = _Counts(self.machine)
+        self.spec, self.library = text, None
+        self.byte = {c: b for b, c in enumerate(self.machine.letters)}
 
     def _plain(self, text: str) -> int:
         if not text.isascii():
+            if _newer(text):
+                return self._by_library(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")   # no final-sigma rule
         text = "".join(map(str.lower, text)) if "İ" in text else text.lower()
         return sum(map(self.known.__getitem__, self.words(text)))
 
+    def _by_library(self, text: str) -> int:
+        """Texts with characters newer than Python's Unicode tables: the
+        library normalises them and cuts them into words."""
+        if self.library is None:
+            from tokenizers import Tokenizer as Library
+            self.library = Library.from_str(self.spec)
+        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return sum(self.machine.count(bytes([self.byte[c] for c in w])) for w, _ in cut)
+
     def fragment(self, text: str) -> int:
         """Tokens of a text that begins and ends at white space or an end."""
         if self.special is None or "<" not in text:
