@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import free_name
+from .frames import free_name, labelled_sample
 from .lexer import SPACE_WORDS, U64, blocks, mix, words
 
 
@@ -79,12 +79,7 @@ def _features(col: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, s: Settings) -> DataFrame:
     """(y, ids, counts): distinct features with counts of the sampled labelled rows."""
-    one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()) \
-        .groupBy("doc_id").agg(F.max(label).alias("y"))
-    rows = docs.select("doc_id", "text").join(one, "doc_id").select("doc_id", "y", "text")
-    keep = docs.select("doc_id").distinct().join(one.select("doc_id"), "doc_id", "left_semi") \
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_rows)
-    rows = rows.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = labelled_sample(docs, labels, label, s.max_rows).select("doc_id", "y", "text")
     bits = s.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", settings:
             g[int(y[i])] -= 1
             g *= weight[int(y[i])] * rate
             back = out.T @ g
-            out -= np.outer(g, doc) * 1.0
+            out -= np.outer(g, doc)
             bias -= 0.1 * g
             # a feature's gradient is its share; scaled up so that rare features move
             emb[f] -= (np.sqrt(c)[:, None]) * back[None, :]

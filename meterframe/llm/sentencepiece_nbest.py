@@ -119,7 +119,7 @@ class Lattice:
                 out.append((-total, ids))
                 continue
             for i, s in arrive[place]:
-                number += 1
+                number -= 1                               # of equal totals, the deepest path first
                 heapq.heappush(queue, (-(best[i] + s + gone), number, i, s + gone, (i, place, behind)))
         return out
 

@@ -117,6 +117,16 @@ def _in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
+def _distinct(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first of every distinct pair, and how often it occurs (``n`` times at each place)."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    first = np.flatnonzero(new)
+    return order[first], np.add.reduceat((np.ones(len(a), np.int64) if n is None else n)[order], first) \
+        if len(order) else np.zeros(0, np.int64)
+
+
 def _digest(kept: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(kept)).hexdigest()
 
@@ -196,7 +206,7 @@ def remove_repeated(docs: DataFrame, window: int = 35, phrase: int = 8, digest:
     def confirm(left: pa.Table, right: pa.Table) -> pa.Table:
         known = np.sort(right.column("a").to_numpy().view(np.uint64))
         shard = left.column("shard")[0].as_py() if left.num_rows else -1
-        out = []
+        out, seen = [], []
         for blob in left.column("block"):
             table = _unpack(blob.as_py())
             text = table.column("text").combine_chunks()
@@ -219,26 +229,36 @@ def remove_repeated(docs: DataFrame, window: int = 35, phrase: int = 8, digest:
                     blob_ = _pack(pa.table({"doc_id": ids.take(pa.array(keep)), "text": part.take(pa.array(keep))}))
                     out.append(_rows(kind_of, 1, kind=2, shard=shard, block=pa.array([blob_], pa.binary())))
                 if len(hit):
-                    s, owner = r.windows(hit)
-                    sizes = np.append(0, np.cumsum(r.size[hit])).astype(np.int32)
-                    out.append(_rows(kind_of, len(hit), kind=1, shard=shard, a=_signed(r.anchor[hit]),
-                                     r=_signed(r.span[hit]),
-                                     w=pa.ListArray.from_arrays(pa.array(sizes), _signed(r.window_hash(s)))))
+                    at, n = _distinct(r.anchor[hit], r.span[hit])
+                    s, _ = r.windows(hit[at])
+                    seen.append((r.anchor[hit[at]], r.span[hit[at]], n, r.size[hit[at]], r.window_hash(s)))
+        if seen:                      # equal runs of the shard are one row
+            a, span, n, size, w = (np.concatenate(x) for x in zip(*seen, strict=True))
+            at, total = _distinct(a, span, n)
+            begin = (np.cumsum(size) - size)[at]
+            size = size[at]
+            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            offsets = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+            out.append(_rows(kind_of, len(at), kind=1, shard=shard, a=_signed(a[at]), r=_signed(span[at]),
+                             n_words=pa.array(total),
+                             w=pa.ListArray.from_arrays(offsets, _signed(w[np.repeat(begin, size) + inner]))))
         return pa.concat_tables(out) if out else _rows(kind_of, 0)
 
     kind_of = _schema(rows)
+    # kind 0: a finished document; 1: a run with its windows, ``n_words`` says how often it
+    # occurs in the shard; 2: a block of documents for step 3
     schema = f"kind int, shard int, doc_id {kind}, n_words long, kept string, a long, r long, " \
              "w array<long>, block binary"
     packed = rows.mapInArrow(pack, "shard int, block binary")
     state = materialize(packed.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(confirm, schema),
                         "passages")
 
-    runs = state.where("kind = 1").select("shard", "a", "r", "w")
-    count = runs.groupBy("a", "r").agg(F.count("*").alias("n"))
+    runs = state.where("kind = 1").select("shard", "a", "r", F.col("n_words").alias("m"), "w")
+    count = runs.groupBy("a", "r").agg(F.sum("m").alias("n"))
     single = count.where("n = 1").select("a", "r")
     mixed = single.select("a").distinct()
-    by_window = runs.join(mixed, "a").select("a", F.explode("w").alias("w")) \
-        .groupBy("a", "w").agg(F.count("*").alias("n")).where("n >= 2").select("a", "w")
+    by_window = runs.join(mixed, "a").select("a", "m", F.explode("w").alias("w")) \
+        .groupBy("a", "w").agg(F.sum("m").alias("n")).where("n >= 2").select("a", "w")
     sure = runs.select("shard", "a", "r").join(count.where("n >= 2").select("a", "r"), ["a", "r"]) \
         .select("shard", F.lit(True).alias("run"), "a", F.col("r").alias("h")).distinct()
     parts = runs.join(single, ["a", "r"]).select("shard", "a", F.explode("w").alias("w")) \
