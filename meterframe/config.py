@@ -24,6 +24,9 @@ class SavePaths:
     metadata_path: str
     aggregate_hourly_path: str | None = None   # truly optional (T9)
     client_stats_path: str | None = None       # ours: per-series diagnostics
+    master_layout: str = "wide"                # ours: "wide" (one column per series) or "long"
+    inline_lists: bool = True                  # ours: per-series lists in the metadata document;
+                                               # if false they are in client_stats_path only
 
 
 @dataclass(frozen=True)
@@ -47,12 +50,16 @@ class PreprocessConfig:
             raise ValueError(f"unsupported dst_policy {self.dst_policy!r}; expected {DST_POLICY!r}")
         if len(self.analysis_window) != 2:
             raise ValueError("analysis_window must be [start_day, end_day]")
+        if self.save.master_layout not in ("wide", "long"):
+            raise ValueError(f"unknown master_layout {self.save.master_layout!r}")
+        if not self.save.inline_lists and not self.save.client_stats_path:
+            raise ValueError("inline_lists = false needs client_stats_path")
 
     @classmethod
     def from_dict(cls, d: dict) -> PreprocessConfig:
         d = dict(d)
         save = d.pop("save")
-        save = SavePaths(**{k: (v or None) for k, v in save.items()})
+        save = SavePaths(**{k: v if v != "" else None for k, v in save.items()})
         inactive = InactiveFilter(**d.pop("inactive_filter", {}))
         window = tuple(d.pop("analysis_window"))
         return cls(analysis_window=window, save=save, inactive_filter=inactive, **d)

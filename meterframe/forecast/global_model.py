@@ -130,57 +130,61 @@ def predict(weights, history: DataFrame, future: DataFrame, input_size: int = 67
 
 
 def rolling_forecast(weights, history: DataFrame, wanted: DataFrame, input_size: int = 672,
-                     chunk: int = 720, max_rounds: int | None = None,
-                     variant: str = "remaining") -> DataFrame:
+                     chunk: int = 720, variant: str = "remaining") -> DataFrame:
     """predict ``chunk`` hours from the last ``input_size`` hours, keep
     the wanted ones, extend the history, repeat.
 
-    ``variant="remaining"`` (default, the dashboard loop): keep predictions of
-    timestamps still wanted, append *all* predictions so the history stays
-    contiguous, stop when everything is covered or a round makes no progress.
-    ``variant="chunks"`` (the notebook loop): the wanted timestamps are cut
+    ``wanted`` holds (client_id, ts) pairs, or timestamps wanted of every
+    series.  With ``variant="remaining"`` (default) every series advances from
+    its own last hour to its own last wanted hour, so gaps among the wanted
+    hours and series of different length lose nothing.  The number of rounds
+    follows from those spans.  Series without history have no forecast (J5),
+    and hours that are not after a series' history none either.
+    ``variant="chunks"`` is the notebook loop: the wanted timestamps are cut
     into ceil(h / chunk) slices in order (W5); round i keeps predictions of
-    slice i only and appends only those.  With a removed day inside, the
-    contiguous forecast runs ahead of the slices and hours are lost (T8).
+    slice i only and appends only those, so a removed day loses hours (T8).
 
     Each round's history is cut to the last ``input_size`` rows per series and
     written to the checkpoint folder, so lineage stays bounded and a lost
-    executor only repeats one round.  Rounds are bounded by the number of
-    wanted hours over ``chunk`` (plus one)."""
-    remaining = wanted.select(TS).distinct().checkpoint()
-    n_wanted = remaining.count()
-    slices = panel.chunk_index(remaining, chunk).checkpoint() if variant == "chunks" else None
-    rounds = max_rounds or (n_wanted // chunk + 2)
-    if variant == "chunks":
-        rounds = min(rounds, -(-n_wanted // chunk))
+    executor only repeats one round."""
+    keys = [c for c in (CLIENT, TS) if c in wanted.columns]
+    keep = wanted.select(*keys).distinct().checkpoint()
     hist = panel.lookback(history.select(CLIENT, TS, Y), input_size).checkpoint()
+    if variant == "chunks":
+        slices = panel.chunk_index(keep.select(TS).distinct(), chunk).checkpoint()
+        todo, rounds = None, (slices.agg(F.max("chunk")).first()[0] or 0) + 1
+    else:
+        ends = hist.groupBy(CLIENT).agg(F.max(TS).alias("_end"))
+        if CLIENT in keys:
+            spans = ends.join(keep.groupBy(CLIENT).agg(F.max(TS).alias("_last")), CLIENT)
+        else:
+            last = keep.agg(F.max(TS)).first()[0]
+            spans = ends.withColumn("_last", F.lit(last).cast("timestamp_ntz"))
+        hours = (F.unix_seconds(F.col("_last").cast("timestamp"))
+                 - F.unix_seconds(F.col("_end").cast("timestamp"))) / 3600
+        todo = (spans.select(CLIENT, F.ceil(hours / chunk).cast("int").alias("_rounds"))
+                .where("_rounds > 0").checkpoint())
+        rounds = todo.agg(F.max("_rounds")).first()[0] or 0
     got = []
     for i in range(rounds):
-        if n_wanted == 0:
-            break
-        fut = future_axis(hist, hours=chunk)
-        preds = predict(weights, hist, fut, input_size).checkpoint()
-        if variant == "chunks":
-            keep = slices.where(F.col("chunk") == i).select(TS)
-            matched = preds.join(keep, TS, "left_semi")
-            got.append(matched)
-            appended = matched
+        if todo is not None:
+            hist = hist.join(todo.where(F.col("_rounds") > i).select(CLIENT), CLIENT, "left_semi")
+        preds = predict(weights, hist, future_axis(hist, hours=chunk), input_size).checkpoint()
+        if todo is None:
+            appended = preds.join(slices.where(F.col("chunk") == i).select(TS), TS, "left_semi")
+            got.append(appended)
         else:
-            matched = preds.join(remaining, TS, "left_semi")
-            covered = matched.select(TS).distinct()
-            if covered.isEmpty():
-                break
-            got.append(matched)
-            remaining = remaining.join(covered, TS, "left_anti").checkpoint()
-            n_wanted = remaining.count()
             appended = preds
-        appended = appended.select(CLIENT, TS, F.col(YHAT).cast("float").alias(Y))
-        hist = panel.lookback(hist.unionByName(appended), input_size).checkpoint()
+            got.append(preds.join(keep, keys, "left_semi"))
+        if i + 1 < rounds:
+            appended = appended.select(CLIENT, TS, F.col(YHAT).cast("float").alias(Y))
+            hist = panel.lookback(hist.unionByName(appended), input_size).checkpoint()
     if not got:
         return history.sparkSession.createDataFrame([], PREDICTIONS)
-    out = got[0]
+    cols = [f.name for f in PREDICTIONS.fields]
+    out = got[0].select(*cols)
     for g in got[1:]:
-        out = out.unionByName(g)
+        out = out.unionByName(g.select(*cols))
     return out
 
 
@@ -191,5 +195,5 @@ def in_sample_proxy(weights, train: DataFrame, n: int, input_size: int = 672,
     ``client_id, ts, y, yhat``."""
     cutoff = panel.in_sample_cutoff(train, n).first()["cutoff"]
     hist, hidden = panel.split_at(train, cutoff)
-    preds = rolling_forecast(weights, hist, hidden.select(TS), input_size, chunk)
+    preds = rolling_forecast(weights, hist, hidden.select(CLIENT, TS), input_size, chunk)
     return hidden.select(CLIENT, TS, Y).join(preds.select(CLIENT, TS, YHAT), [CLIENT, TS], "inner")

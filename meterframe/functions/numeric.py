@@ -33,6 +33,11 @@ def round_half_up(col, digits: int = 4) -> Column:
     """``floor(x * 10^d + 0.5) / 10^d`` as DOUBLE.
 
     Gives the same digits in Spark and DuckDB, which ``round`` on doubles does
-    not (trap T6).  ``+ 0.0`` turns a negative zero into zero."""
+    not (trap T6).  ``+ 0.0`` turns a negative zero into zero.  NaN gives
+    NULL; infinities and values so large that they have no such digits
+    (``|x| * 10^d >= 2^53``) are returned as they are."""
     scale = float(10 ** digits)
-    return F.floor(_c(col).cast("double") * scale + 0.5) / scale + F.lit(0.0)
+    x = _c(col).cast("double")
+    return (F.when(F.isnan(x), F.lit(None))
+            .when(F.abs(x) * scale >= float(2 ** 53), x)
+            .otherwise(F.floor(x * scale + 0.5) / scale + F.lit(0.0)))

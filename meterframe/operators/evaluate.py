@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_half_up
+from ..functions.numeric import nan_to_null, round_half_up
 from ..schema import CLIENT, MODEL, TS, Y, YHAT
 from .panel import drop_incomplete
 
@@ -30,7 +30,8 @@ def in_sample_pairs(train: DataFrame, fitted: DataFrame) -> DataFrame:
 
 
 def _partial_sums(df: DataFrame, keys: list[str]) -> DataFrame:
-    y, p = F.col(Y).cast("double"), F.col(YHAT).cast("double")
+    # NaN is missing, on either side: it must never score
+    y, p = nan_to_null(F.col(Y).cast("double")), nan_to_null(F.col(YHAT).cast("double"))
     ok = y.isNotNull() & p.isNotNull()
     e = F.when(ok, y - p)
     return df.groupBy(*keys).agg(

@@ -97,7 +97,7 @@ def _global(spark, sf):
 
 def q_f09_rolling(spark, sf):
     p, train, val, test, w, chunk = _global(spark, sf)
-    preds = global_model.rolling_forecast(w, panel.union_history(train, val), test.select(TS),
+    preds = global_model.rolling_forecast(w, panel.union_history(train, val), test.select(CLIENT, TS),
                                           input_size=GLOBAL_INPUT, chunk=chunk)
     return evaluate.metrics_table(evaluate.scored(test, preds.drop(MODEL)), digits=4)
 

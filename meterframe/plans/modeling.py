@@ -69,7 +69,7 @@ def run_model(spark: SparkSession, panel_df: DataFrame, model: str, out: str | N
         preds, mets = [], []
         for phase, hist, target in (("validation", part["train"], part["validation"]),
                                     ("test", history, part["test"])):
-            p = global_model.rolling_forecast(w, hist, target.select(TS), input_size, chunk,
+            p = global_model.rolling_forecast(w, hist, target.select(CLIENT, TS), input_size, chunk,
                                               variant=rolling)
             preds.append(p.withColumn("phase", F.lit(phase)))
             pairs = evaluate.scored(target, p.drop("model"))

@@ -1,7 +1,7 @@
 """Preprocessing job: wide 15-minute text -> hourly master of active series,
 summed series and metadata document (S1-S8, A1-A11, W1-W3, P1, P3, A19).
 
-Run as ``spark-submit -m meterframe.plans.preprocess --config config.json``
+Run as ``spark-submit run_job.py preprocess --config config.json``
 (or ``python -m meterframe.plans.preprocess``).  Stages:
 
 1. read + window (S1-S4, P1), average duplicates (A1), integrity report (A4)
@@ -30,14 +30,6 @@ from ..sources import sinks
 from ..sources.readers import read_wide_text
 
 
-def _bounded_list(df: DataFrame, col: str, bound: int) -> list | None:
-    """Sorted values of ``col`` when there are at most ``bound`` of them."""
-    rows = df.select(col).orderBy(col).limit(bound + 1).collect()
-    if len(rows) > bound:
-        return None
-    return [r[0] for r in rows]
-
-
 def prepare(spark: SparkSession, cfg: PreprocessConfig, raw: DataFrame | None = None) -> dict:
     """Steps 1-2 as DataFrames plus the small driver-side facts."""
     checkpoint_dir(spark)
@@ -71,21 +63,22 @@ def prepare(spark: SparkSession, cfg: PreprocessConfig, raw: DataFrame | None =
 
 
 def metadata_document(cfg: PreprocessConfig, st: dict) -> dict:
-    """The metadata document (S8).  Per-series lists are inlined up to
-    ``sinks.MAX_INLINE_SERIES`` series; beyond, they live in the client
-    statistics data set only."""
+    """The metadata document (S8).  Its per-series lists are part of the
+    published form; a configuration with ``inline_lists = false`` has them in
+    the client statistics data set only (NULL in the document)."""
     stats = st["stats"]
-    bound = sinks.MAX_INLINE_SERIES
-    active = _bounded_list(stats.where("active"), CLIENT, bound)
-    dropped = _bounded_list(stats.where(~F.col("active")), CLIENT, bound)
-    first_nz = None
-    if active is not None and dropped is not None:
-        rows = (activity.first_nonzero_text(stats).orderBy(CLIENT).collect())
+    active = dropped = first_nz = None
+    if cfg.save.inline_lists:
+        rows = (stats.select(CLIENT, "active").join(activity.first_nonzero_text(stats), CLIENT)
+                .orderBy(CLIENT).collect())
+        active = [r[CLIENT] for r in rows if r["active"]]
+        dropped = [r[CLIENT] for r in rows if not r["active"]]
         first_nz = {r[CLIENT]: r["first_nonzero"] for r in rows}
     bad_days = [r["date"] for r in activity.incomplete_days(st["spine"]).orderBy("date").collect()]
     rep = {k: st["report"][k] for k in ("rows", "clients", "start", "end",
                                          "duplicate_timestamps", "non_15m_intervals")}
     f = cfg.inactive_filter
+    # fixed values: the keys of the published metadata document
     return {
         "target_definition": cfg.target_definition,
         "downsample_rule": DOWNSAMPLE_RULE,
@@ -110,13 +103,14 @@ def run_preprocess(spark: SparkSession, cfg: PreprocessConfig, raw: DataFrame |
     """Steps 1-3; returns the run summary."""
     st = prepare(spark, cfg, raw)
     doc = metadata_document(cfg, st)
-    active = doc["active_clients"]
-    if active is None:
+    n_active = st["active"].count()
+    if cfg.save.master_layout == "long":
         sinks.write_master_long(st["hourly_active"], cfg.save.master_wide_hourly_path)
-        n_active = st["active"].count()
     else:
-        sinks.write_master_wide(st["hourly_active"], active, cfg.save.master_wide_hourly_path)
-        n_active = len(active)
+        names = doc["active_clients"]
+        if names is None:
+            names = [r[0] for r in st["active"].orderBy(CLIENT).collect()]   # the table's columns
+        sinks.write_master_wide(st["hourly_active"], names, cfg.save.master_wide_hourly_path)
     sinks.write_metadata(spark, doc, cfg.save.metadata_path)
     if cfg.save.aggregate_hourly_path:
         agg = aggregate.aggregate_load(st["hourly"], st["spine"], keep=st["active"])
@@ -126,27 +120,22 @@ def run_preprocess(spark: SparkSession, cfg: PreprocessConfig, raw: DataFrame |
     n_hours = st["spine"].count()
     n_dropped = st["report"]["clients"] - n_active
     return {
-        "shape_15m_wide": (st["report"]["rows"], st["report"]["clients"]),
-        "shape_hourly_active_wide": (n_hours, n_active),
-        "active_clients": n_active,
-        "dropped_clients": n_dropped,
-        "dst_dropped_dates": doc["dst_dropped_dates"],
-        "inconsistent_days_after_dst_drop": len(doc["inconsistent_daily_steps_after_dst_drop"]),
+        "readings": {"timestamps": st["report"]["rows"], "series": st["report"]["clients"]},
+        "master": {"hours": n_hours, "series": n_active},
+        "dropped": n_dropped,
+        "removed_days": doc["dst_dropped_dates"],
+        "short_days": doc["inconsistent_daily_steps_after_dst_drop"],
     }
 
 
 def summary_text(result: dict) -> str:
-    lines = ["=== Preprocessing completed ===",
-             f"15m wide shape: {result['shape_15m_wide']}",
-             f"Hourly active wide shape: {result['shape_hourly_active_wide']}",
-             f"Active clients: {result['active_clients']}",
-             f"Dropped clients: {result['dropped_clients']}",
-             f"DST dropped dates: {result['dst_dropped_dates']}"]
-    if result["inconsistent_days_after_dst_drop"] == 0:
-        lines.append("All retained days have 24 hourly steps.")
-    else:
-        lines.append(f"Inconsistent daily step days: {result['inconsistent_days_after_dst_drop']}")
-    return "\n".join(lines)
+    r, m = result["readings"], result["master"]
+    short = result["short_days"]
+    return "\n".join([
+        f"read {r['timestamps']} timestamps of {r['series']} series",
+        f"kept {m['series']} active series over {m['hours']} hours, dropped {result['dropped']}",
+        "removed transition days: " + (", ".join(result["removed_days"]) or "none"),
+        "days without 24 hours: " + (f"{len(short)} (first {short[0]})" if short else "none")])
 
 
 def main(argv=None) -> None:

@@ -9,13 +9,16 @@ computed by Spark; the report is written as Parquet data sets.
 
 from __future__ import annotations
 
+import argparse
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate
 from ..schema import CLIENT, MODEL, TS, Y
+from ..session import local_session
+from ..sources.readers import read_master_wide
 
 
 @dataclass(frozen=True)
@@ -47,3 +50,25 @@ def write(report: Report, base: str) -> None:
     report.leaderboard.write.mode("overwrite").parquet(f"{base}/leaderboard")
     report.worst.write.mode("overwrite").parquet(f"{base}/worst_series")
     report.chart.write.mode("overwrite").parquet(f"{base}/chart")
+
+
+def main(argv=None) -> None:
+    ap = argparse.ArgumentParser(description="Compare the predictions of several models.")
+    ap.add_argument("--panel", required=True, help="wide hourly master")
+    ap.add_argument("--predictions", required=True, nargs="+", help="Parquet data sets of model, client_id, ts, yhat")
+    ap.add_argument("--out", required=True)
+    ap.add_argument("--client", required=True, help="series of the chart")
+    ap.add_argument("--start", required=True, help="first day of the chart")
+    ap.add_argument("--end", required=True, help="last day of the chart")
+    args = ap.parse_args(argv)
+    spark = SparkSession.getActiveSession() or local_session()
+    preds = spark.read.parquet(*args.predictions).select(MODEL, CLIENT, TS, "yhat")
+    models = sorted(r[0] for r in preds.select(MODEL).distinct().collect())     # the chart's columns
+    rep = build(read_master_wide(spark, args.panel), preds, models, args.client, args.start, args.end)
+    write(rep, args.out)
+    for r in spark.read.parquet(f"{args.out}/leaderboard").orderBy("rank").collect():
+        print(f"{r['rank']}. {r[MODEL]}: WAPE {r['WAPE']}  MAE {r['MAE']}  MSE {r['MSE']}")
+
+
+if __name__ == "__main__":
+    main()

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -44,6 +46,30 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def job_session(app: str) -> SparkSession:
+    """Session of a launched job: master and resources as configured by
+    spark-submit, our settings on top, the package shipped to the executors."""
+    builder = SparkSession.builder.appName(app)
+    for k, v in BASE_CONF.items():
+        builder = builder.config(k, v)
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    checkpoint_dir(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Send this package to the executors, so that Python workers import it
+    wherever the job was started from."""
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="meterframe-ship-")) / "meterframe.zip"   # on the driver only
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    return str(path)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
@@ -86,7 +112,7 @@ def input_bytes(spark: SparkSession, paths: list[str]) -> int:
 
 
 def size_shuffles(spark: SparkSession, paths: list[str], expansion: float = 1.0,
-                  lo: int = 8, hi: int = 200_000) -> int:
+                  lo: int = 8) -> int:
     """Set the number of shuffle partitions from the input size so that a
     partition holds about ``TARGET_SHUFFLE_BYTES`` (adaptive execution then
     merges the small ones).  ``expansion`` accounts for operators that widen
@@ -94,7 +120,7 @@ def size_shuffles(spark: SparkSession, paths: list[str], expansion: float = 1.0,
     if spark.conf.get("spark.meterframe.shufflePartitions.fixed", "false") == "true":
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = int(input_bytes(spark, paths) * expansion // TARGET_SHUFFLE_BYTES) + 1
-    n = max(lo, min(hi, n))
+    n = max(lo, n)
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
     return n

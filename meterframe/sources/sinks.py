@@ -16,18 +16,10 @@ from ..operators.panel import sort_by_series
 from ..operators.reshape import long_to_wide
 from ..schema import CLIENT, SPLIT, TS
 
-# Upper bound on series for the wide (one column per series) layout and for
-# inlining per-series lists into the metadata document.  Above it the long
-# layout / separate data sets are the only output.
-MAX_WIDE_COLUMNS = 10_000
-MAX_INLINE_SERIES = 100_000
-
-
 def write_master_wide(hourly_long: DataFrame, clients: list[str], path: str) -> None:
     """Wide hourly master, ``timestamp`` + one column per series in the
-    given (sorted) order.  Refused beyond ``MAX_WIDE_COLUMNS`` series."""
-    if len(clients) > MAX_WIDE_COLUMNS:
-        raise ValueError(f"{len(clients)} series: too many for a wide table; use write_master_long")
+    given (sorted) order.  Whether a panel is written wide or long is the
+    caller's choice, never a matter of its size."""
     wide = long_to_wide(hourly_long, clients).withColumnRenamed(TS, "timestamp")
     wide.select("timestamp", *[F.col(f"`{c}`") for c in clients]) \
         .write.mode("overwrite").parquet(path)

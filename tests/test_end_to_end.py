@@ -42,7 +42,7 @@ def test_preprocess_job_matches_contract(spark, tmp_path):
     want = {x["client_id"]: x["status"] for x in contract.q_a07_active_clients(spark, SF).collect()}
     assert doc["active_clients"] == sorted(c for c, s in want.items() if s == "active")
     assert doc["dropped_clients"] == sorted(c for c, s in want.items() if s == "dropped")
-    assert res["active_clients"] == len(doc["active_clients"])
+    assert res["master"]["series"] == len(doc["active_clients"])
     # the aggregate written by the job equals the contract's aggregate load
     agg = {x["timestamp"]: x["aggregate_hourly_kW"] for x in spark.read.parquet(cfg.save.aggregate_hourly_path).collect()}
     ref = {x["ts"]: x["aggregate_hourly_kW"] for x in contract.q_a10_aggregate_load(spark, SF).collect()}

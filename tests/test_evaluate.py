@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from meterframe.functions.numeric import round_half_up
 from meterframe.operators import evaluate
 
 
@@ -66,3 +67,18 @@ def test_metric_aggs_equal_metrics_table(spark):
         assert all(abs(a - b) < 1e-12 for a, b in zip(one[c], two[c]))
     nb = df.groupBy("client_id").agg(*metric_aggs(null_safe=False, digits=4)).where(F.col("client_id") == "A").first()
     assert nb["MSE"] is None
+
+
+def test_nan_is_missing_and_never_scores(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("good", "A", 2.0, 2.5), ("good", "A", 4.0, 4.0), ("nan", "A", 2.0, nan), ("nan", "A", 4.0, 9.0),
+            ("all", "A", 2.0, nan), ("all", "A", nan, 1.0)]
+    pairs = spark.createDataFrame(rows, "model string, client_id string, y double, yhat double")
+    got = {(r.model, r.client_id): r for r in evaluate.metrics_table(pairs, digits=4, by_model=True).collect()}
+    assert got["nan", "A"].MAE == 5.0 and got["nan", "OVERALL"].MSE == 25.0
+    assert got["all", "A"].MSE is None and got["all", "OVERALL"].WAPE is None
+    board = evaluate.leaderboard(evaluate.metrics_table(pairs, digits=4, by_model=True)).orderBy("rank").collect()
+    assert [r.model for r in board] == ["good", "nan", "all"]
+    x = spark.createDataFrame([(nan,), (inf,), (-inf,), (1.5e300,), (9.3e14,), (0.00005,), (None,)], "x double")
+    assert [r[0] for r in x.select(round_half_up("x", 4)).collect()] == [
+        None, inf, -inf, 1.5e300, 9.3e14, 0.0001, None]

@@ -170,3 +170,25 @@ def test_t8_notebook_chunk_loop_loses_hours(spark):
     missing = {(BASE + dt.timedelta(days=d)).date() for d in (22, 25)}
     assert len(got) == 9 and not (got & missing)
     assert nb.select("ts").distinct().count() == 216
+
+
+def test_rolling_ragged_series_and_a_gap_longer_than_a_chunk(spark):
+    """Every series advances from its own end to its own last wanted hour."""
+    p = _panel(spark, n_hours=24 * 24)
+    first = sorted(r[0] for r in p.select("client_id").distinct().collect())[0]
+    cut = BASE + dt.timedelta(days=16)
+    early = cut - dt.timedelta(hours=40)
+    hist = p.where((F.col("ts") < cut) & ((F.col("client_id") != first) | (F.col("ts") < early)))
+    hours = [cut + dt.timedelta(hours=h) for h in (0, 1, 101, 150)]          # 100 hours apart, chunk 24
+    wanted = p.where(F.col("ts").isin(hours)).select("client_id", "ts")
+    w = global_model.fit(hist, input_size=168, chunk=48)
+    for want in (wanted, wanted.select("ts").distinct()):
+        preds = global_model.rolling_forecast(w, hist, want, input_size=168, chunk=24)
+        got = {(r.client_id, r.ts) for r in preds.collect()}
+        assert got == {(r.client_id, r.ts) for r in wanted.collect()}
+        assert preds.count() == len(got)
+    # a series whose last wanted hour is near stops there; one without history has no forecast
+    own = wanted.where((F.col("client_id") != first) | (F.col("ts") == cut)).union(
+        spark.createDataFrame([("none", cut)], "client_id string, ts timestamp_ntz"))
+    preds = global_model.rolling_forecast(w, hist, own, input_size=168, chunk=24)
+    assert preds.count() == own.count() - 1

@@ -22,16 +22,18 @@ def _write(tmp_path, name, text):
 
 # A1: load and window -------------------------------------------------------
 
-def test_a1_load_and_integrity(spark, tmp_path):
-    path = _write(tmp_path, "a1.txt", "timestamp;C1;C2\n"
-                  "2011-01-01 00:00:00;1;0\n2011-01-01 00:15:00;2;0\n"
-                  "2011-01-01 00:30:00;3;1\n2011-01-01 00:45:00;4;1\n"
-                  "2011-01-01 01:00:00;5;1\n")
-    raw = panel.analysis_window(read_wide_text(spark, path), "2011-01-01", "2011-01-01")
-    rep = integrity.integrity_report(resample.dedupe_mean(raw), 900, raw=raw).first()
-    assert (rep["rows"], rep["clients"]) == (5, 2)
-    assert rep["duplicate_timestamps"] == 0 and rep["non_15m_intervals"] == 0
-    assert rep["start"] == "2011-01-01 00:00:00" and rep["end"] == "2011-01-01 01:00:00"
+def test_load_window_and_integrity(spark, tmp_path):
+    """A duplicate, a missing quarter of an hour, and a row outside the window."""
+    path = _write(tmp_path, "mills.txt", "at;mill;kiln\n"
+                  "2012-05-06 10:00:00;7,5;\n2012-05-06 10:15:00;8;2\n2012-05-06 10:15:00;10;2\n"
+                  "2012-05-06 10:45:00;9;4\n2012-05-07 00:00:00;1;1\n")
+    raw = panel.analysis_window(read_wide_text(spark, path), "2012-05-05", "2012-05-06")
+    readings_ = resample.dedupe_mean(raw)
+    rep = integrity.integrity_report(readings_, 900, raw=raw).first()
+    assert (rep["rows"], rep["clients"], rep["non_15m_intervals"]) == (3, 2, 1)
+    assert (rep["start"], rep["end"]) == ("2012-05-06 10:00:00", "2012-05-06 10:45:00")
+    mill = _sorted(readings_.where("client_id = 'mill'"), "ts")
+    assert [r[2] for r in mill] == [7.5, 9.0, 9.0]
 
 
 def test_b5_lenient_parse(spark, tmp_path):
@@ -50,12 +52,12 @@ def test_b13_window_end(spark):
 
 # A2: downsample and inactive ------------------------------------------------
 
-def _a2(spark):
-    base = dt.datetime(2011, 1, 1)
+def _three(spark):
+    """Three hours of three series: steady, idle after the first hour, never on."""
     rows = []
-    for i, a in enumerate([1, 1, 1, 1, 2, 2, 2, 2]):
-        t = (base + dt.timedelta(minutes=15 * i)).isoformat(sep=" ")
-        rows += [("A", t, a), ("B", t, 0)]
+    for step in range(12):
+        t = (dt.datetime(2012, 2, 3, 8) + dt.timedelta(minutes=15 * step)).isoformat(sep=" ")
+        rows += [("steady", t, 4 + step % 4), ("idle", t, 6 if step < 4 else 0), ("off", t, 0)]
     return readings(spark, rows)
 
 
@@ -66,23 +68,20 @@ def _stats(hourly, clients, rate_min, run_max, tz="Europe/Lisbon"):
     return activity.activity_stats(kept, clients, lo, hi, dates, rate_min, run_max), dates
 
 
-def test_a2_downsample_and_inactive(spark):
-    r = _a2(spark)
+def test_downsample_and_inactive(spark):
+    r = _three(spark)
     hourly = resample.hourly_mean(r)
+    at = [T(f"2012-02-03 {h:02d}:00") for h in (8, 9, 10)]
     assert _sorted(hourly, "client_id", "ts") == [
-        ("A", T("2011-01-01 00:00"), 1.0), ("A", T("2011-01-01 01:00"), 2.0),
-        ("B", T("2011-01-01 00:00"), 0.0), ("B", T("2011-01-01 01:00"), 0.0)]
-    stats, dates = _stats(hourly, r.select("client_id"), 0.5, 1)
+        *[("idle", t, y) for t, y in zip(at, (6.0, 0.0, 0.0), strict=True)],
+        *[("off", t, 0.0) for t in at], *[("steady", t, 5.5) for t in at]]
+    stats, dates = _stats(hourly, r.select("client_id"), 0.3, 2)
     assert dates == []
     got = {x["client_id"]: x for x in stats.collect()}
-    assert got["A"]["active"] and not got["B"]["active"]
-    assert got["B"]["nonzero_rate"] == 0.0 and got["B"]["max_zero_run"] == 2
-    assert got["A"]["first_nonzero_ts"] == T("2011-01-01 00:00") and got["B"]["first_nonzero_ts"] is None
-    spine = resample.hour_spine(hourly)
-    agg = aggregate.aggregate_load(hourly, spine, keep=activity.active_clients(stats))
-    assert [r[1] for r in _sorted(agg, "ts")] == [1.0, 2.0]
-    bad = activity.incomplete_days(spine).collect()
-    assert [(b["date"], b["hours"]) for b in bad] == [("2011-01-01", 2)]
+    assert {k for k, x in got.items() if x["active"]} == {"steady", "idle"}
+    assert [got[k]["max_zero_run"] for k in ("steady", "idle", "off")] == [0, 2, 3]
+    assert abs(got["idle"]["nonzero_rate"] - 1 / 3) < 1e-9
+    assert got["steady"]["first_nonzero_ts"] == at[0] and got["off"]["first_nonzero_ts"] is None
 
 
 def test_b1_gap(spark):
