@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from .frames import free_name
 
 MARK = "▁"
-_MEMO = 1 << 18            # parts a task remembers
+_MEMO = 1 << 20            # words a task remembers
+_PART_MEMO = 1 << 18       # parts a task remembers
 
 
 #: Stands for a mark in the text itself; a lone surrogate cannot occur in UTF-8.
@@ -93,24 +94,29 @@ class Lattice:
     def n_best(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations of a part: score and ids, best first."""
         size, score, prefix = len(part), self.score, self.prefix
-        arrive: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]   # (start, score) of pieces by end
+        if size == 1:
+            return [(score.get(part, self.unknown), self.ids(part))]
+        # forward Viterbi; (start, score, best score up to the start) of pieces by end
+        arrive: list[list[tuple[int, float, float]]] = [[] for _ in range(size + 1)]
+        best = [0.0] * (size + 1)
         for i in range(size):
-            arrive[i + 1].append((i, score.get(part[i], self.unknown)))
+            if i:
+                best[i] = max([s + b for _, s, b in arrive[i]])
+            here = best[i]
+            arrive[i + 1].append((i, score.get(part[i], self.unknown), here))
             for j in range(i + 2, min(size, i + self.longest) + 1):
                 p = part[i:j]
                 if p not in prefix:
                     break
                 s = score.get(p)
                 if s is not None:
-                    arrive[j].append((i, s))
-        best = [0.0] * (size + 1)                                               # forward Viterbi
-        for j in range(1, size + 1):
-            best[j] = max([best[i] + s for i, s in arrive[j]])
+                    arrive[j].append((i, s, here))
+        best[size] = max([s + b for _, s, b in arrive[size]])
         out: list[tuple[float, tuple[int, ...]]] = []
         queue = [(-best[size], 0, size, 0.0, None)]     # (-total, number, place, score behind, pieces behind)
-        number = 0
+        number, push, pop = 0, heapq.heappush, heapq.heappop
         while queue and len(out) < n:
-            total, _, place, gone, behind = heapq.heappop(queue)
+            total, _, place, gone, behind = pop(queue)
             if place == 0:
                 ids: tuple[int, ...] = ()
                 while behind is not None:
@@ -118,16 +124,21 @@ class Lattice:
                     ids += self.ids(part[i:j])
                 out.append((-total, ids))
                 continue
-            for i, s in arrive[place]:
+            for i, s, b in arrive[place]:
                 number -= 1                               # of equal totals, the deepest path first
-                heapq.heappush(queue, (-(best[i] + s + gone), number, i, s + gone, (i, place, behind)))
+                push(queue, (-(b + s + gone), number, i, s + gone, (i, place, behind)))
         return out
 
-    def word_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best segmentations of a word, from those of its parts."""
+    def word_best(self, word: str, n: int, memo: dict | None = None) -> list[tuple[float, tuple[int, ...]]]:
+        """The ``n`` best segmentations of a word, from those of its parts;
+        ``memo`` keeps parts for the same ``n``."""
         got: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         for part in self.parts(word):
-            more = self.n_best(part, n)
+            more = memo.get(part) if memo is not None else None
+            if more is None:
+                more = self.n_best(part, n)
+                if memo is not None and len(memo) < _PART_MEMO:      # common parts come early
+                    memo[part] = more
             got = sorted(((a + b, x + y) for a, x in got for b, y in more), key=lambda t: -t[0])[:n] \
                 if len(got) > 1 or len(more) > 1 else [(got[0][0] + more[0][0], got[0][1] + more[0][1])]
         return got
@@ -145,28 +156,33 @@ class Encoder:
 
     def __init__(self, lattice: Lattice, n: int):
         self.lattice, self.n = lattice, n
+        self.part_memo: dict = {}
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
         self.best: list[bytes] = []                                    # ids of the best segmentation
-        self.others: list[list[tuple[float, bytes]]] = []              # (loss, ids) of the next ones
         self.score = np.zeros(1024)
         self.loss = np.full(1024, np.inf)
 
     def _learn(self, word: str) -> None:
-        got = self.lattice.word_best(word, self.n)
+        got = self.lattice.word_best(word, self.n, self.part_memo)
         k = len(self.best)
         if k == len(self.score):
             self.score = np.concatenate([self.score, np.zeros(k)])
             self.loss = np.concatenate([self.loss, np.full(k, np.inf)])
         self.place[word] = k
         self.best.append(_ids(got[0][1]))
-        self.others.append([(got[0][0] - s, _ids(x)) for s, x in got[1:]])
         self.score[k] = got[0][0]
         if len(got) > 1:
             self.loss[k] = got[0][0] - got[1][0]
 
+    def _others(self, word: str) -> list[tuple[float, bytes]]:
+        """(loss, ids) of the next best segmentations of a word.  Few words of
+        a text need them, so they are not kept."""
+        got = self.lattice.word_best(word, self.n, self.part_memo)
+        return [(got[0][0] - s, _ids(x)) for s, x in got[1:]]
+
     def encode(self, text: str | None) -> list[tuple[float, bytes]]:
         """The ``n`` best segmentations of a text: score and ids (little-endian
         32-bit numbers), best first.  An empty text has one, the empty one."""
@@ -186,7 +202,8 @@ class Encoder:
         few = np.lexsort((np.arange(len(loss)), loss))[:self.n - 1] if len(loss) < 64 else _smallest(loss, self.n - 1)
         ways: list[tuple[float, tuple]] = [(0.0, ())]
         for i in few.tolist():
-            ways += [(d + e, (*x, (i, y))) for d, x in ways for e, y in self.others[at[i]]]
+            others = self._others(words[i])
+            ways += [(d + e, (*x, (i, y))) for d, x in ways for e, y in others]
             ways = sorted(ways, key=lambda t: t[0])[:self.n]
         for lost, changes in sorted(ways, key=lambda t: t[0])[1:self.n]:
             other = list(ids)

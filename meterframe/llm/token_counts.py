@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 from .frames import free_name
 
 CHUNK = 1 << 16            # code points
-_MEMO = 1 << 20            # words whose count a task remembers
+_MEMO = 1 << 19            # words whose count a task remembers
+_STATES = 1 << 18          # compiled states a task keeps; beyond, it compiles afresh
 #: White space in the sense of Unicode (a fixed value).
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -76,6 +77,10 @@ class Transducer:
             text = whole[:-len(suffix)] if ends else whole
             symbols = (*text[:-1], text[-1] + suffix) if ends else tuple(text)
             self._add(symbols, ends)
+        self._restart()
+
+    def _restart(self) -> None:
+        """Nothing compiled but the start state."""
         self.pairs: dict[tuple, bool] = {}
         self.states: dict[tuple, int] = {((0, None, 0),): 0}
         self.about: list[tuple] = [((0, None, 0),)]
@@ -143,6 +148,8 @@ class Transducer:
         raise AssertionError("every byte is a token at the end of a word")
 
     def count(self, word: bytes) -> int:
+        if len(self.about) > _STATES:
+            self._restart()
         state, total, step = 0, 0, self.step
         for byte in word:
             to = step[state].get(byte)
