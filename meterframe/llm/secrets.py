@@ -2,7 +2,7 @@
 
 Three patterns with known form are found first (assignments to a name such as
 ``password``, access keys, long hexadecimal strings).  Their values are
-labelled credentials.  For each kind, a prefix tree of sampled values is
+labelled credentials.  For each kind, a prefix tree of their values is
 generalised into a probabilistic automaton by merging states whose next-symbol
 and end frequencies do not differ significantly (Hoeffding bound).  A further
 automaton is inferred from other long strings.  Every remaining candidate (a
@@ -12,8 +12,8 @@ strings, in bits per character.  Candidates above the threshold are found too,
 as kind ``grammar``.
 
 Symbols are character classes; within a class characters are equally likely.
-The samples are the values with the smallest hashes (``Settings.sample`` for
-each kind at most), so they do not depend on partitioning.
+The prefix trees are counted over the distinct values of all documents, those
+of the credentials and of the ordinary strings alike; nothing is sampled.
 
 Defined results: NULL and empty texts have no spans; spans are in code points,
 end exclusive; repeated rows repeat their result; without labelled credentials
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import free_name
+from .frames import free_name, materialize
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(
@@ -48,7 +48,6 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 1000       # labelled values per kind, and ordinary strings, at most
     alpha: float = 0.01      # significance of the compatibility test
     evidence: int = 12       # states seen less often are not tested
     bits: float = 0.75       # threshold: bits per character above ordinary strings
@@ -114,24 +113,46 @@ class Automaton:
         return total + max(self.end[state], self.UNSEEN)
 
 
+@dataclass
+class Tree:
+    """Prefix tree with counts.  ``use`` counts each (node, symbol); a symbol in
+    ``back`` has too few values for a node of its own and leads to the root."""
+
+    seen: list[int] = field(default_factory=lambda: [0])
+    ends: list[int] = field(default_factory=lambda: [0])
+    child: list[dict[str, int]] = field(default_factory=lambda: [{}])
+    back: list[set[str]] = field(default_factory=lambda: [set()])
+    use: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def add(self, node: int, symbol: str) -> int:
+        to = self.child[node][symbol] = len(self.child)
+        self.child.append({})
+        self.back.append(set())
+        self.seen.append(0)
+        self.ends.append(0)
+        return to
+
+
 def infer(values: list[str], alpha: float, evidence: int) -> Automaton:
-    """Merge compatible prefix-tree states (red-blue order) into an automaton."""
-    seen, ends = [0], [0]
-    child: list[dict[str, int]] = [{}]
+    """The automaton of the whole prefix tree of ``values``."""
+    tree = Tree()
     for v in values:
         node = 0
-        seen[0] += 1
+        tree.seen[0] += 1
         for c in v:
             s = _CLASS[c][0]
-            if s not in child[node]:
-                child[node][s] = len(child)
-                child.append({})
-                seen.append(0)
-                ends.append(0)
-            node = child[node][s]
-            seen[node] += 1
-        ends[node] += 1
-    use = {(n, s): seen[to] for n, next_ in enumerate(child) for s, to in next_.items()}
+            to = tree.child[node].get(s)
+            to = tree.add(node, s) if to is None else to
+            tree.use[node, s] = tree.use.get((node, s), 0) + 1
+            node = to
+            tree.seen[node] += 1
+        tree.ends[node] += 1
+    return merged(tree, alpha, evidence)
+
+
+def merged(tree: Tree, alpha: float, evidence: int) -> Automaton:
+    """Merge compatible prefix-tree states (red-blue order) into an automaton."""
+    seen, ends, child, back, use = tree.seen, tree.ends, tree.child, tree.back, tree.use
     factor = math.sqrt(0.5 * math.log(2 / alpha))
 
     def differ(f1: int, n1: int, f2: int, n2: int) -> bool:
@@ -145,7 +166,7 @@ def infer(values: list[str], alpha: float, evidence: int) -> Automaton:
                 continue
             if differ(ends[x], seen[x], ends[y], seen[y]):
                 return False
-            for s in child[x].keys() | child[y].keys():
+            for s in child[x].keys() | child[y].keys() | back[x] | back[y]:
                 if differ(use.get((x, s), 0), seen[x], use.get((y, s), 0), seen[y]):
                     return False
                 if s in child[x] and s in child[y]:
@@ -165,6 +186,11 @@ def infer(values: list[str], alpha: float, evidence: int) -> Automaton:
                     todo.append((child[x][s], to))
                 else:
                     child[x][s] = to
+                    back[x].discard(s)
+            for s in back[y]:
+                use[x, s] = use.get((x, s), 0) + use[y, s]
+                if s not in child[x]:
+                    back[x].add(s)
 
     red, at = [0], 0
     is_red = {0}
@@ -188,44 +214,111 @@ def infer(values: list[str], alpha: float, evidence: int) -> Automaton:
     for r in red:
         total = max(1, seen[r])
         out.end.append(math.log2(ends[r] / total) if ends[r] else Automaton.UNSEEN)
-        out.step.append({s: (place[to], math.log2(use[r, s] / total)) for s, to in child[r].items()})
+        steps = {**dict.fromkeys(back[r], 0), **child[r]}
+        out.step.append({s: (place[to], math.log2(use[r, s] / total)) for s, to in sorted(steps.items())})
     return out
 
 
-def labelled_values(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(label, value, h): per label the distinct values with the smallest
-    hashes; label 0 to 2 are the base kinds, 3 ordinary strings."""
-    k = settings.sample
-
+def class_counts(docs: DataFrame) -> DataFrame:
+    """(label, classes, n): number of distinct values of all documents by label
+    and class string; label 0 to 2 are the base kinds, 3 ordinary strings."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, dict[str, int]] = {i: {} for i in range(4)}
+        found: dict[tuple[int, str], None] = {}
         for b in batches:
             for t in b.column("text"):
                 text = t.as_py() or ""
                 base = base_spans(text)
                 for kind, _, _, value in base:
-                    least[kind][value] = 0
+                    found[kind, value] = None
                 for _, _, value in candidates(text, base):
-                    least[3][value] = 0
-                for label, found in least.items():
-                    if len(found) > 50_000:
-                        least[label] = dict.fromkeys(_smallest(found, k), 0)
-        rows = [(label, v, xxhash.xxh64_intdigest(v) >> 1) for label, found in least.items()
-                for v in _smallest(found, k)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()),
-             pa.array([r[2] for r in rows], pa.int64())], names=["label", "value", "h"])
-
-    found = docs.select("text").mapInArrow(run, "label int, value string, h long").distinct()
-    parts = [found.where(F.col("label") == i).orderBy("h", "value").limit(k) for i in range(4)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+                    found[3, value] = None
+                if len(found) > 50_000:
+                    yield _batch(found)
+                    found = {}
+        yield _batch(found)
+
+    def _batch(found) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()),
+                                           pa.array([v for _, v in found], pa.string())], names=["label", "value"])
+
+    chars = [c for c in _CLASS if _CLASS[c][0] != c]
+    classes = F.translate("value", "".join(chars), "".join(_CLASS[c][0] for c in chars))
+    return docs.select("text").mapInArrow(run, "label int, value string").distinct() \
+        .groupBy("label", classes.alias("classes")).agg(F.count("*").alias("n"))
+
 
+_COUNTED = "label int, node long, symbol string, n long"
 
-def _smallest(found, k: int) -> list[str]:
-    return sorted(found, key=lambda v: (xxhash.xxh64_intdigest(v) >> 1, v))[:k]
+
+def _counted(rows: DataFrame, walk) -> DataFrame:
+    """Sums of ``n`` over all rows by what ``walk(label, classes)`` yields: (node, symbol)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[int, int, str], int] = {}
+        for b in batches:
+            for label, classes, n in zip(*(b.column(c).to_pylist() for c in ("label", "classes", "n")), strict=True):
+                for node, symbol in walk(label, classes):
+                    counts[label, node, symbol] = counts.get((label, node, symbol), 0) + n
+                if len(counts) > 200_000:
+                    yield _batch(counts)
+                    counts = {}
+        yield _batch(counts)
+
+    def _batch(counts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.int64()),
+             pa.array([k[2] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())],
+            names=["label", "node", "symbol", "n"])
+
+    return rows.mapInArrow(run, _COUNTED).groupBy("label", "node", "symbol").agg(F.sum("n").alias("n"))
+
+
+def _below(node: int, symbol: str) -> int:
+    """Number of the prefix-tree node below ``node``; that of the root is 0."""
+    return xxhash.xxh64_intdigest(symbol, node) >> 1
+
+
+def _prefixes(label: int, classes: str) -> Iterator[tuple[int, str]]:
+    node = 0
+    for s in classes:
+        yield node, s
+        node = _below(node, s)
+
+
+def trees(docs: DataFrame, evidence: int) -> dict[int, Tree]:
+    """The prefix tree of each label, counted over the values of all documents.
+
+    Nodes with ``evidence`` values or more are kept.  A value that leaves them
+    goes on from the root with its next symbol, where merging would put it, so
+    each symbol and end of each value is counted.  The driver gets the kept
+    nodes and the counts at them, never the values."""
+    rows = materialize(class_counts(docs), "secret-classes")
+    below: dict[tuple[int, int], list[str]] = {}
+    for r in _counted(rows, _prefixes).where(F.col("n") >= evidence).collect():
+        below.setdefault((r.label, r.node), []).append(r.symbol)
+    out = {r.label: Tree() for r in rows.select("label").distinct().collect()}
+    for label, tree in out.items():
+        todo = [(0, 0)]
+        for node, number in todo:
+            todo += [(tree.add(node, s), _below(number, s)) for s in sorted(below.get((label, number), []))]
+    shared = docs.sparkSession.sparkContext.broadcast({label: tree.child for label, tree in out.items()})
+
+    def walk(label: int, classes: str) -> Iterator[tuple[int, str]]:
+        child, node = shared.value[label], 0
+        for s in classes:
+            yield node, s
+            node = child[node].get(s, 0)
+        yield node, ""                                                      # the end
+
+    for r in _counted(rows, walk).collect():
+        tree = out[r.label]
+        tree.seen[r.node] += r.n
+        if r.symbol:
+            tree.use[r.node, r.symbol] = r.n
+            if r.symbol not in tree.child[r.node]:
+                tree.back[r.node].add(r.symbol)
+        else:
+            tree.ends[r.node] = r.n
+    return out
 
 
 @dataclass(frozen=True)
@@ -243,13 +336,10 @@ class Grammar:
 
 
 def learn(docs: DataFrame, settings: Settings | None = None) -> Grammar:
-    """Infer the grammars; at most ``sample`` values of each label reach the driver."""
+    """Infer the grammars from the values of all documents."""
     s = settings or Settings()
-    values: dict[int, list[str]] = {}
-    for r in labelled_values(docs, s).collect():
-        values.setdefault(r["label"], []).append(r["value"])
-    make = lambda i: infer(sorted(values[i]), s.alpha, s.evidence)
-    return Grammar([make(i) for i in range(3) if i in values], make(3) if 3 in values else None, s)
+    found = {i: merged(t, s.alpha, s.evidence) for i, t in trees(docs, s.evidence).items()}
+    return Grammar([found[i] for i in range(3) if i in found], found.get(3), s)
 
 
 def scan(docs: DataFrame, grammar: Grammar) -> DataFrame:
