@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 
 from . import (
     decontamination,
+    hard_negatives,
     language_id,
+    permutation_index,
     quality_classifier,
     quality_rules,
     secrets,
     sentencepiece_nbest,
     simhash,
     substring_dedup,
+    token_alignment,
     token_counts,
     toxicity,
 )
@@ -120,6 +123,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = F.col("alignment")
+    return token_alignment.alignment(documents(spark, sf_dir)).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        *[got[c].alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")],
+        F.when(got["n_a"] > 0, F.sha2(got["groups"], 256)).otherwise("").alias("groups_sha256"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -132,6 +152,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_sentencepiece_nbest": op9_sentencepiece_nbest,
         "op10_language_id": op10_language_id,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_nearest_neighbours": op12_nearest_neighbours,
+        "op13_hard_negatives": op13_hard_negatives,
         "rule_ablation": rule_ablation,
     }
 
@@ -248,10 +271,34 @@ FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
 """
 
 
+OP13_SQL = r"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM (SELECT vec_id, embedding, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+        FROM embeddings)
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, positive_score, other_id AS negative_id, score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+   AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": OP2_SQL,
         "op6_decontamination": OP6_SQL,
         "op8_substring_dedup": OP8_SQL,
+        "op13_hard_negatives": OP13_SQL,
         "rule_ablation": RULE_ABLATION_SQL,
     }

@@ -13,9 +13,9 @@ SF = "/root/testdata/sf0.001"
 TEXTS = {r[0]: r[1] for r in duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()}
 
 
-def test_ten_queries_are_registered():
+def test_thirteen_queries_are_registered():
     names = list(queries.queries())
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert set(queries.oracle_sql()) <= set(names)
 
 
@@ -23,7 +23,7 @@ def test_ten_queries_are_registered():
 def test_query_equals_its_sql(spark, name):
     got = queries.queries()[name](spark, SF)
     con = duckdb.connect()
-    for t in ("documents", "labels", "benchmark"):
+    for t in ("documents", "labels", "benchmark", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     order = sorted(got.columns)
@@ -32,7 +32,7 @@ def test_query_equals_its_sql(spark, name):
         sorted(map(str, want.project(", ".join(order)).fetchall()))
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql()) - {"op12_nearest_neighbours"}))
 def test_query_answers_every_document(spark, name):
     got = queries.queries()[name](spark, SF)
     rows = got.collect()
