@@ -6,6 +6,12 @@ linked where their byte ranges overlap.  Every stretch between neighbouring
 ends of either tokenizer belongs to exactly one token of each, so the links are
 the merged ends.
 
+Both tokenizers begin a new token at a single space between two characters that
+are no white space, and never look across it.  Such a space therefore begins a
+new group, and the stretch from one to the next, a unit (mostly a word),
+is aligned once and remembered by the worker.  Where the vocabulary files do
+not promise that (:meth:`Tokenizers.units`), the whole text is one unit.
+
 Counts of linked id pairs over the whole corpus:
 
 1. a first pass aligns all documents and leaves, per block of texts, the
@@ -29,7 +35,9 @@ length are aligned whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -43,7 +51,8 @@ from . import pair_hash
 from .frames import free_name, materialize
 from .pair_hash import PairHash
 
-_BLOCK = 1 << 21           # characters of text aligned together
+_BLOCK = 1 << 19           # characters of text aligned together
+_UNITS = 1 << 17           # units that a worker remembers, about
 _SEGMENT = 1 << 15         # slots per row of a dense vector
 
 
@@ -84,25 +93,71 @@ class Tokenizers:
         self.written = pa.array([f"{i}{c}" for c in ",|" for i in range(n)] +
                                 [f"{i}{c}" for c in ",;" for i in range(len(self.bytes_b))])
         self.written_length = np.fromiter(map(len, self.written.to_pylist()), np.int64, len(self.written))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of A and B, text after text, and each text's first place in them
-        (with the total); no ids where the tokens do not join to the bytes."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        ids_b = self.b.encode(texts, num_threads=1)
-        for i, t in enumerate(texts):
-            if not t:
-                ids_a[i], ids_b[i] = [], []
-        a, b, first_a, first_b = *map(_flat, (ids_a, ids_b)), *map(_firsts, (ids_a, ids_b))
-        want = [(" " + t).encode() if t else b"" for t in texts]
-        if _joined(self._joined_a, a) == _joined(self._joined_b, b) == b"".join(want):
-            return a, b, first_a, first_b
-        for i, t in enumerate(want):
-            if not t == b"".join(map(self.bytes_a.__getitem__, ids_a[i])) == b"".join(map(self.bytes_b.__getitem__, ids_b[i])):
+        rules = json.loads(self.a.to_str())
+        self._quick = _ranked(rules, byte)
+        cut, none = rules.get("pre_tokenizer") or {}, rules.get("normalizer") is None
+        self._cuts = none and cut.get("type") == "ByteLevel" and bool(cut.get("use_regex", True)) \
+            and not any("▁" in p.lstrip("▁") for p in self.b.id_to_piece(list(range(self.b.get_piece_size()))))
+
+    def units(self, text: str) -> list[str]:
+        """The text cut at spaces where both tokenizers begin anew: A splits
+        there before it merges anything, and none of B's pieces has a space
+        mark behind another character."""
+        if not text:
+            return []
+        return _CUT(text) if self._cuts else [text]
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and B, unit after unit, and each unit's first place in them
+        (with the total); no ids where the tokens do not join to the bytes.
+
+        Units without white space at either end are encoded as one text, which
+        would be cut into just these units; the others one by one."""
+        if self._cuts and len(units) > 1 and not any(u[0].isspace() or u[-1].isspace() for u in units):
+            joined = " " + " ".join(units)
+            text = joined.encode()
+            quick = self._quick is not None and (joined.isascii() or max(joined) < _LATIN)
+            a = np.array(self._quick.encode_ordinary(joined) if quick else
+                         self.a.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+            ids_b = self.b.encode(units, num_threads=1)
+            b = _flat(ids_b)
+            if _joined(self._joined_a, a) == _joined(self._joined_b, b) == text:
+                end = np.cumsum(np.fromiter(map(len, map(str.encode, units)), np.int64, len(units)) + 1)
+                return a, b, np.append(0, np.searchsorted(np.cumsum(self.length_a[a]), end, "right")), _firsts(ids_b)
+        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        ids_b = self.b.encode(units, num_threads=1)
+        for i, u in enumerate(units):
+            want = (" " + u).encode()
+            if not want == b"".join(map(self.bytes_a.__getitem__, ids_a[i])) == b"".join(map(self.bytes_b.__getitem__, ids_b[i])):
                 ids_a[i], ids_b[i] = [], []
         return *map(_flat, (ids_a, ids_b)), *map(_firsts, (ids_a, ids_b))
 
 
+#: Characters below this one are in the same classes in every version of Unicode since 5.0.
+_LATIN = "\u0250"
+#: Fixed value: how byte-level vocabularies cut texts.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _ranked(rules: dict, byte: dict[str, int]):
+    """A's vocabulary for the faster of the two libraries that apply byte pair
+    merges by rank; None unless every merge makes the next id."""
+    import tiktoken
+    model = rules["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+    special = {t["content"] for t in rules.get("added_tokens", [])}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in special} if isinstance(model["vocab"], dict) else {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in (
+        "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or len(vocab) != 256 + len(merges) or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items()}
+    return tiktoken.Encoding("a", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+_CUT = re.compile(r"(?<=\S) (?=\S)").split
+
+
 def _flat(ids: list[list[int]]) -> np.ndarray:
     return np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
 
@@ -139,12 +194,12 @@ def _of(paths: Vocabularies) -> Tokenizers:
 
 @dataclass
 class Aligned:
-    """A block of aligned texts: tokens and links one after another."""
+    """Aligned units: tokens and links one after another."""
     a: np.ndarray              # ids of A's tokens
     b: np.ndarray
-    end_a: np.ndarray          # offset behind each of A's tokens, over the block
+    end_a: np.ndarray          # offset behind each of A's tokens, over all units
     end_b: np.ndarray
-    first_a: np.ndarray        # first token of each text, and the total
+    first_a: np.ndarray        # first token of each unit, and the total
     first_b: np.ndarray
     link_a: np.ndarray         # token of A in each link
     link_b: np.ndarray
@@ -154,8 +209,8 @@ class Aligned:
         return self.a[self.link_a].astype(np.int64) * n_b + self.b[self.link_b]
 
 
-def align(tokens: Tokenizers, texts: list[str]) -> Aligned:
-    a, b, first_a, first_b = tokens.encode(texts)
+def align(tokens: Tokenizers, units: list[str]) -> Aligned:
+    a, b, first_a, first_b = tokens.encode(units)
     end_a, end_b = np.cumsum(tokens.length_a[a]), np.cumsum(tokens.length_b[b])
     # merged ends; a token of no bytes ends where the one before does and overlaps nothing
     end = np.concatenate([end_a, end_b])
@@ -166,7 +221,7 @@ def align(tokens: Tokenizers, texts: list[str]) -> Aligned:
 
 
 def written_groups(tokens: Tokenizers, got: Aligned) -> tuple[list[str], np.ndarray]:
-    """``a1,a2|b1;a3|b2,b3`` of every text, and its number of groups."""
+    """``a1,a2|b1;a3|b2,b3`` of every unit, and its number of groups."""
     both = got.end_a[np.searchsorted(got.end_b, got.end_a, "right") > np.searchsorted(got.end_b, got.end_a, "left")]
     both = both[np.diff(both, prepend=0) > 0]                          # ends of groups
     group_a, group_b = np.searchsorted(both, got.end_a), np.searchsorted(both, got.end_b)
@@ -187,8 +242,83 @@ def written_groups(tokens: Tokenizers, got: Aligned) -> tuple[list[str], np.ndar
     return out, np.diff(np.searchsorted(both, begin, "right"))
 
 
+class Units:
+    """Units by number, with their alignment; remembers what it has seen.  When
+    there are too many, those that stood in one block only go, or all if
+    that does not help."""
+
+    def __init__(self, tokens: Tokenizers, written: bool):
+        self.tokens, self.keep_written = tokens, written
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.n = np.zeros((0, 4), np.int64)               # tokens of A, of B, groups, links
+        self.first = np.zeros(1, np.int64)                # first link of each unit, and the total
+        self.pairs = np.zeros(0, np.int64)                # pairs of the links, unit after unit
+        self.written: list[str] = []
+        self.blocks = np.zeros(0, np.int32)               # blocks that had the unit
+        self.cleared = getattr(self, "cleared", 0) + 1
+
+    def _forget(self) -> None:
+        place, n, blocks, written = self.place, self.n, self.blocks, self.written
+        keep = np.flatnonzero(blocks > 1)
+        pairs = self.pairs[self.links(keep)]
+        self._clear()
+        if 2 * len(keep) < len(n):
+            name = list(place)                            # numbers follow the order of learning
+            self.place = {name[k]: i for i, k in enumerate(keep.tolist())}
+            self.n, self.pairs, self.blocks = n[keep], pairs, np.zeros(len(keep), np.int32)
+            self.first = np.append(0, np.cumsum(self.n[:, 3]))
+            self.written = [written[k] for k in keep.tolist()] if written else []
+
+    def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the units of the texts, text after text, and the first
+        one of each text (with the total).  A text with a unit that does not
+        join to its bytes has none."""
+        if len(self.place) > _UNITS:
+            self._forget()
+        cut = [self.tokens.units(t) for t in texts]
+        place = self.place
+        new = list(dict.fromkeys(u for units in cut for u in units if u not in place))
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        self.blocks[at] += 1
+        first = _firsts(cut)
+        bad = np.flatnonzero(self.n[at, 0] == 0)
+        if len(bad):
+            text = np.repeat(np.arange(len(texts)), np.diff(first))
+            stay = ~np.isin(text, text[bad])
+            at, first = at[stay], np.append(0, np.cumsum(np.bincount(text[stay], minlength=len(texts))))
+        return at, first
+
+    def _learn(self, new: list[str]) -> None:
+        odd = [u for u in new if u[0].isspace() or u[-1].isspace() or "▁" in u]
+        if odd and len(odd) < len(new):
+            self._learn(odd)
+            new = [u for u in new if u not in self.place]
+        got = align(self.tokens, new)
+        groups, n_groups = written_groups(self.tokens, got)
+        self.place.update(zip(new, range(len(self.n), len(self.n) + len(new)), strict=True))
+        begin = np.append(0, got.end_a)[got.first_a]
+        n_links = np.diff(np.searchsorted(got.end, begin, "right"))     # links that end behind the unit's beginning
+        n = np.stack([np.diff(got.first_a), np.diff(got.first_b), n_groups, n_links], axis=1)
+        self.n = np.concatenate([self.n, n])
+        self.blocks = np.append(self.blocks, np.zeros(len(new), np.int32))
+        self.first = np.append(self.first, self.first[-1] + np.cumsum(n_links))
+        self.pairs = np.concatenate([self.pairs, got.pairs(len(self.tokens.bytes_b))])
+        if self.keep_written:
+            self.written += groups
+
+    def links(self, units: np.ndarray) -> np.ndarray:
+        """Places in ``pairs`` of the links of some units, unit after unit."""
+        n = self.n[units, 3]
+        return np.repeat(self.first[units] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
+
+
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
-    """Runs of texts of about ``_BLOCK`` bytes (at least one text)."""
+    """Runs of texts of about ``_BLOCK`` characters (at least one text)."""
     values = [t or "" for t in texts.to_pylist()]
     lo, size = 0, 0
     for i, t in enumerate(values):
@@ -198,14 +328,23 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
             lo, size = i + 1, 0
 
 
+def _by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the values of each text."""
+    total = np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, axis=0, dtype=np.int64)])
+    return np.diff(total[first], axis=0)
+
+
 def block_pairs(docs: DataFrame, paths: Vocabularies) -> DataFrame:
     """(pair, n): links of each distinct pair of a block of texts; a pair is
     A's id times the size of B's vocabulary plus B's id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _of(paths)
+        units = Units(_of(paths), False)
         for batch in batches:
             for _, _, texts in _blocks(batch.column("text")):
-                pair, n = np.unique(align(tokens, texts).pairs(len(tokens.bytes_b)), return_counts=True)
+                unit, n = np.unique(units.block(texts)[0], return_counts=True)
+                links = np.repeat(n, units.n[unit, 3])
+                pair, at = np.unique(units.pairs[units.links(unit)], return_inverse=True)
+                n = np.bincount(at, weights=links, minlength=len(pair)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
 
     return docs.select("text").mapInArrow(run, "pair long, n long")
@@ -293,37 +432,41 @@ def _looked_up(docs: DataFrame, paths: Vocabularies, name: str, table: PairHash,
     kind = "struct<n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,n_best:bigint,count_sum:bigint,groups:string>"
     schema = docs.withColumn(name, F.lit(None).cast(kind)).schema
 
-    def sums(got: Aligned, n_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        known, count, top = shared.value
-        pair = got.pairs(n_b)
+    def sums(units: Units, known: list) -> np.ndarray:
+        """(best links, sum of counts) of every unit; ``known`` holds those of
+        the units known before, and since which clearing."""
+        table, count, top = shared.value
+        if known[1] != units.cleared:
+            known[:] = [np.zeros((0, 2), np.int64), units.cleared]
+        lo = len(known[0])
+        pair = units.pairs[units.first[lo]:]
         group = pair_hash.group_of(pair, n_groups) - first
-        here = np.flatnonzero((group >= 0) & (group < len(known.sizes))) if len(known.sizes) < n_groups else slice(None)
+        here = np.flatnonzero((group >= 0) & (group < len(table.sizes)))
         slot = np.full(len(pair), -1, np.int64)
-        slot[here] = known.slots(pair[here], group[here])
+        slot[here] = table.slots(pair[here], group[here])
         found = np.where(slot >= 0, count[slot] if len(count) else 0, 0)
-        is_best = (slot >= 0) & (found == top[got.b[got.link_b]])
-        # links of each text: those that end behind its beginning
-        begin = np.append(0, got.end_a)[got.first_a]
-        cut = np.searchsorted(got.end, begin, "right")
-        add = lambda x: np.diff(np.append(0, np.cumsum(x, dtype=np.int64))[cut])
-        return np.diff(cut), add(is_best), add(found)
+        is_best = (slot >= 0) & (found == top[pair % len(top)])
+        new = _by_text(np.stack([is_best, found], axis=1).astype(np.int64), units.first[lo:] - units.first[lo])
+        known[0] = np.concatenate([known[0], new])
+        return known[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _of(paths)
+        units, known = Units(_of(paths), start), [None, 0]
         fields = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
         for batch in batches:
             for lo, hi, texts in _blocks(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
-                got = align(tokens, texts)
-                n_links, n_best, count_sum = sums(got, len(tokens.bytes_b))
+                at, begin = units.block(texts)
+                best = _by_text(sums(units, known)[at], begin)
                 if start:
-                    groups, n_groups_ = written_groups(tokens, got)
-                    cols = [np.diff(got.first_a), np.diff(got.first_b), n_groups_, n_links, n_best, count_sum, groups]
+                    n, write = _by_text(units.n[at], begin), units.written.__getitem__
+                    numbers, cut = at.tolist(), begin.tolist()
+                    groups = [";".join(map(write, numbers[i:j])) for i, j in zip(cut, cut[1:], strict=False)]
+                    cols = [*n.T, *best.T, groups]
                 else:
                     old = part.column(name)
                     cols = [old.field(i) for i in range(7)]
-                    cols[4] = cols[4].to_numpy() + n_best
-                    cols[5] = cols[5].to_numpy() + count_sum
+                    cols[4], cols[5] = cols[4].to_numpy() + best[:, 0], cols[5].to_numpy() + best[:, 1]
                 new = pa.StructArray.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, pa.string() if f == "groups" else pa.int64())
                      for f, c in zip(fields, cols, strict=True)], names=fields)

@@ -98,6 +98,19 @@ def test_empty_table(spark):
     assert token_alignment.alignment(df).count() == 0
 
 
+def test_units_are_encoded_as_the_libraries_encode_the_text(libraries):
+    tokens = token_alignment.Tokenizers(token_alignment.Vocabularies())
+    a, b = libraries
+    parts = [f"a{c}b {c} {c}{c}x 1{c}2 '{c}s {c}" for c in map(chr, [*range(1, 0x300), 0x3042, 0x1F600, 0x2028, 0x1E9E2])]
+    parts += ["don't we'll I'VE  two   three\n\n four \t five", "x\r\n y\u00a0z \u3000w", "Zażółć gęślą jaźń " * 20]
+    for text in parts:
+        units = tokens.units(text)
+        ids_a, ids_b, first_a, _ = tokens.encode(units)
+        assert ids_a.tolist() == a.encode(" " + text, add_special_tokens=False).ids, repr(text)
+        assert ids_b.tolist() == b.encode(text), repr(text)
+        assert (np.diff(first_a) > 0).all()
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.sets(st.integers(0, 2**40), max_size=400), st.integers(1, 6))
 def test_hash_is_minimal_and_knows_its_keys(keys, n_groups):
