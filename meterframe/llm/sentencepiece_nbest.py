@@ -9,10 +9,15 @@ off its queue in order of their total score, and the first N complete ones are
 the N best.
 
 Where no piece contains two neighbouring characters, every segmentation has a
-border, so the lattice falls apart there.  A text is searched part by part
-(parts are mostly words, and tasks remember them), and the N best of the text
-are put together from the N best of its parts: only the parts with the
-smallest losses matter.
+border, so the lattice falls apart there.  A text is searched part by part,
+and the N best of the text are put together from the N best of its parts:
+another segmentation among the N best deviates only in parts whose second best
+segmentation loses least.  That loss follows from Viterbi scores in both
+directions (the best path over any piece that the best segmentation does not
+use), so only the parts with the smallest losses are searched.
+
+Workers remember words and parts in memory of fixed size (``_WORD_BYTES`` and
+``_PART_BYTES``); what is remembered changes no result.
 
 A character that is no piece (and a mark that is in the text itself) is
 written as the model's byte pieces, at a penalty below every score, so that
@@ -28,6 +33,7 @@ repeated rows repeat their result; texts of any length are encoded whole.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +45,8 @@ from pyspark.sql import functions as F
 from .frames import free_name
 
 MARK = "▁"
-_MEMO = 1 << 19            # words a task remembers
-_PART_MEMO = 1 << 18       # parts a task remembers
+_WORD_BYTES = 40 << 20     # memory for words that a worker remembers, about
+_PART_BYTES = 20 << 20     # and for parts
 
 
 #: Stands for a mark in the text itself; a lone surrogate cannot occur in UTF-8.
@@ -55,16 +61,12 @@ class Lattice:
         self.piece = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == "normal"}
         self.score = {p: s for p, s, kind in pieces if kind == "normal"}
         self.byte = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == "byte"}
-        self.raw = [b""] * len(pieces)                       # what an id decodes to
-        for p, i in self.piece.items():
-            self.raw[i] = p.replace(MARK, " ").encode()
-        for b, i in self.byte.items():
-            self.raw[i] = bytes([b])
+        self.raw = _raw(pieces)
         self.longest = max(map(len, self.piece), default=1)
         self.unknown = min(self.score.values(), default=0.0) - 10.0
         self.joined = {p[i:i + 2] for p in self.piece for i in range(len(p) - 1)}
-        # prefixes of pieces: a range that is none cannot grow into a piece
-        self.prefix = {p[:i] for p in self.piece for i in range(1, len(p) + 1)}
+        # score by prefix of a piece (None: no piece itself): a range that is none cannot grow into a piece
+        self.grow: dict[str, float | None] = {p[:i]: None for p in self.piece for i in range(1, len(p) + 1)} | self.score
         # if no piece has a mark after another character, every mark begins a part
         self.marks_begin = all(x[0] == MARK for x in self.joined if x[1] == MARK)
 
@@ -91,108 +93,178 @@ class Lattice:
             return (got,)
         return tuple([self.byte[b] for b in piece.replace(_OWN_MARK, MARK).encode()])
 
-    def n_best(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best segmentations of a part: score and ids, best first."""
-        size, score, prefix = len(part), self.score, self.prefix
-        if size == 1:
-            return [(score.get(part, self.unknown), self.ids(part))]
-        # forward Viterbi; (start, score, best score up to the start) of pieces by end
+    def forward(self, part: str) -> tuple[list[list[tuple[int, float, float]]], list[float]]:
+        """(start, score, best score up to the start) of the pieces that end at
+        each place, and the best score up to each place."""
+        size, grow, longest = len(part), self.grow, self.longest
         arrive: list[list[tuple[int, float, float]]] = [[] for _ in range(size + 1)]
         best = [0.0] * (size + 1)
+        here = 0.0
         for i in range(size):
             if i:
-                best[i] = max([s + b for _, s, b in arrive[i]])
-            here = best[i]
-            arrive[i + 1].append((i, score.get(part[i], self.unknown), here))
-            for j in range(i + 2, min(size, i + self.longest) + 1):
+                best[i] = here = max([s + b for _, s, b in arrive[i]])
+            s = grow.get(part[i])
+            arrive[i + 1].append((i, self.unknown if s is None else s, here))
+            for j in range(i + 2, min(size, i + longest) + 1):
                 p = part[i:j]
-                if p not in prefix:
+                if p not in grow:
                     break
-                s = score.get(p)
+                s = grow[p]
                 if s is not None:
                     arrive[j].append((i, s, here))
         best[size] = max([s + b for _, s, b in arrive[size]])
+        return arrive, best
+
+    def best(self, part: str) -> tuple[float, float, bytes]:
+        """The best segmentation of a part: its score, what the second best
+        loses (infinite if there is none), its ids."""
+        size = len(part)
+        if size == 1:
+            s = self.grow.get(part)
+            return self.unknown if s is None else s, math.inf, _ids(self.ids(part))
+        arrive, best = self.forward(part)
+        ids: list[int] = []
+        ahead = [-math.inf] * (size + 1)                  # best score from each place to the end
+        ahead[size] = 0.0
+        place, second, total = size, -math.inf, best[size]
+        for end in range(size, 0, -1):
+            gone, used = ahead[end], False
+            for i, s, b in arrive[end]:
+                if end == place and not used and s + b == best[end]:      # the best segmentation's piece
+                    used, back = True, i
+                elif b + s + gone > second:
+                    second = b + s + gone
+                if s + gone > ahead[i]:
+                    ahead[i] = s + gone
+            if used:
+                ids[:0] = self.ids(part[back:end])
+                place = back
+        return total, total - second, _ids(tuple(ids))
+
+    def n_best(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The ``n`` best segmentations of a part: score and ids, best first."""
+        size = len(part)
+        if size == 1:
+            s = self.grow.get(part)
+            return [(self.unknown if s is None else s, self.ids(part))]
+        arrive, best = self.forward(part)
         out: list[tuple[float, tuple[int, ...]]] = []
         queue = [(-best[size], 0, size, 0.0, None)]     # (-total, number, place, score behind, pieces behind)
         number, push, pop = 0, heapq.heappush, heapq.heappop
         while queue and len(out) < n:
             total, _, place, gone, behind = pop(queue)
             if place == 0:
-                ids: tuple[int, ...] = ()
+                ids: list[int] = []
                 while behind is not None:
                     i, j, behind = behind
                     ids += self.ids(part[i:j])
-                out.append((-total, ids))
+                out.append((-total, tuple(ids)))
                 continue
             for i, s, b in arrive[place]:
                 number -= 1                               # of equal totals, the deepest path first
                 push(queue, (-(b + s + gone), number, i, s + gone, (i, place, behind)))
         return out
 
-    def word_best(self, word: str, n: int, memo: dict | None = None) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best segmentations of a word, from those of its parts;
-        ``memo`` keeps parts for the same ``n``."""
-        got: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+    def word_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The ``n`` best segmentations of a word, from those of its parts."""
+        got: list[tuple[float, tuple | None]] = [(0.0, None)]         # score, ids as a chain of parts
         for part in self.parts(word):
-            more = memo.get(part) if memo is not None else None
-            if more is None:
-                more = self.n_best(part, n)
-                if memo is not None and len(memo) < _PART_MEMO:      # common parts come early
-                    memo[part] = more
-            got = sorted(((a + b, x + y) for a, x in got for b, y in more), key=lambda t: -t[0])[:n] \
-                if len(got) > 1 or len(more) > 1 else [(got[0][0] + more[0][0], got[0][1] + more[0][1])]
-        return got
+            more = self.n_best(part, n)
+            got = sorted(((a + b, (x, y)) for a, x in got for b, y in more), key=lambda t: -t[0])[:n] \
+                if len(got) > 1 or len(more) > 1 else [(got[0][0] + more[0][0], (got[0][1], more[0][1]))]
+        out = []
+        for score, chain in got:
+            parts = []
+            while chain is not None:
+                chain, ids = chain
+                parts.append(ids)
+            out.append((score, tuple(i for ids in reversed(parts) for i in ids)))
+        return out
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids."""
-        return b"".join(map(self.raw.__getitem__, ids))[1:].decode("utf-8")
+        return _decode(self.raw, ids)
+
+
+def _raw(pieces: list[tuple[str, float, str]]) -> list[bytes]:
+    """What each id decodes to."""
+    return [p.replace(MARK, " ").encode() if kind == "normal" else bytes([int(p[1:-1], 16)]) if kind == "byte" else b""
+            for p, _, kind in pieces]
+
+
+def _decode(raw: list[bytes], ids) -> str:
+    return b"".join(map(raw.__getitem__, ids))[1:].decode("utf-8")
 
 
 _WORD = regex.compile(f"{MARK}+[^{MARK}]*").findall
 
 
 class Encoder:
-    """Encodes texts; remembers the words it has seen."""
+    """Encodes texts; remembers words and parts it has seen."""
 
     def __init__(self, lattice: Lattice, n: int):
         self.lattice, self.n = lattice, n
-        self.part_memo: dict = {}
         self._clear()
+        self.part_memo: dict[str, tuple[float, float, bytes]] = {}
+        self.part_bytes = 0
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
         self.best: list[bytes] = []                                    # ids of the best segmentation
         self.score = np.zeros(1024)
         self.loss = np.full(1024, np.inf)
+        self.texts = np.zeros(1024, np.int32)                          # texts that had the word
+        self.word_bytes = 0
 
-    def _learn(self, word: str) -> None:
-        got = self.lattice.word_best(word, self.n, self.part_memo)
+    def _forget(self) -> None:
+        """Keep the words that more than one text had, if they fill less than half the memory."""
+        place, best, score, loss, texts = self.place, self.best, self.score, self.loss, self.texts
+        self._clear()
+        again = [(w, k) for w, k in place.items() if texts[k] > 1]
+        if 2 * len(again) > len(place):
+            return
+        for w, k in again:
+            self._remember(w, score[k], loss[k], best[k])
+
+    def _remember(self, word: str, score: float, loss: float, ids: bytes) -> None:
         k = len(self.best)
         if k == len(self.score):
-            self.score = np.concatenate([self.score, np.zeros(k)])
+            self.score, self.texts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.score, self.texts))
             self.loss = np.concatenate([self.loss, np.full(k, np.inf)])
-        self.place[word] = k
-        self.best.append(_ids(got[0][1]))
-        self.score[k] = got[0][0]
-        if len(got) > 1:
-            self.loss[k] = got[0][0] - got[1][0]
+        self.place[word], self.score[k], self.loss[k] = k, score, loss
+        self.best.append(ids)
+        self.word_bytes += 220 + 5 * len(word)
+
+    def _part(self, part: str) -> tuple[float, float, bytes]:
+        got = self.part_memo.get(part)
+        if got is None:
+            got = self.lattice.best(part)
+            if self.part_bytes < _PART_BYTES:                          # common parts come early
+                self.part_memo[part] = got
+                self.part_bytes += 300 + 5 * len(part)
+        return got
+
+    def _learn(self, word: str) -> None:
+        parts = [self._part(p) for p in self.lattice.parts(word)]
+        self._remember(word, sum([s for s, *_ in parts]), min([x for _, x, _ in parts]),
+                       b"".join([x for *_, x in parts]))
 
     def _others(self, word: str) -> list[tuple[float, bytes]]:
-        """(loss, ids) of the next best segmentations of a word.  Few words of
-        a text need them, so they are not kept."""
-        got = self.lattice.word_best(word, self.n, self.part_memo)
+        """(loss, ids) of the next best segmentations of a word."""
+        got = self.lattice.word_best(word, self.n)
         return [(got[0][0] - s, _ids(x)) for s, x in got[1:]]
 
     def encode(self, text: str | None) -> list[tuple[float, bytes]]:
         """The ``n`` best segmentations of a text: score and ids (little-endian
         32-bit numbers), best first.  An empty text has one, the empty one."""
         words = self.lattice.words(text or "")
-        if len(self.place) > _MEMO:
-            self._clear()
+        if self.word_bytes > _WORD_BYTES:
+            self._forget()
         for w in words:
             if w not in self.place:
                 self._learn(w)
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        self.texts[at] += 1
         total = float(self.score[at].sum())
         ids = [self.best[k] for k in at.tolist()]
         out = [(total, b"".join(ids))]
@@ -242,7 +314,7 @@ _cache: dict[tuple, Encoder] = {}
 
 
 def _encoder(pieces: list[tuple[str, float, str]], n: int) -> Encoder:
-    """The lattice is kept by the worker from task to task."""
+    """Kept by the worker from task to task: a lattice and the memory for words and parts."""
     key = (n, len(pieces), hash(tuple(pieces)))
     if key not in _cache:
         _cache.clear()
@@ -277,9 +349,9 @@ def decode(encoded: DataFrame, ids: str, path: str | None = None) -> DataFrame:
     schema = encoded.withColumn(ids, F.lit("").cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _encoder(pieces.value, 1).lattice
+        raw = _raw(pieces.value)
         for b in batches:
-            text = [None if x.as_py() is None else lattice.decode(np.frombuffer(x.as_py(), "<i4").tolist())
+            text = [None if x.as_py() is None else _decode(raw, np.frombuffer(x.as_py(), "<i4").tolist())
                     for x in b.column(ids)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(text, pa.string()) if f.name == ids else b.column(f.name) for f in b.schema],

@@ -229,3 +229,42 @@ def test_automata_are_distributions():
 
 def test_replacing_overlapping_spans():
     assert secrets._replace("abcdefghij", [(1, 3), (2, 5), (7, 8)], "X") == "aXfgXij"
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ab", "a", "\u65e5\u672c"])
+def test_long_unbroken_texts_are_encoded_whole(lattice, letters):
+    text = "".join(np.random.default_rng(1).choice(list(letters), 200_000))
+    got = sentencepiece_nbest.Encoder(lattice, 3).encode(text)
+    assert lattice.decode(np.frombuffer(got[0][1], "<i4").tolist()) == text
+    assert [s for s, _ in got] == sorted((s for s, _ in got), reverse=True)
+
+
+def test_memory_of_the_encoder_changes_nothing(lattice, monkeypatch):
+    texts = [f"some words {i % 7} and moreover {'x' * (i % 5)} uncommonlettering{i}" for i in range(60)]
+    want = [sentencepiece_nbest.Encoder(lattice, 3).encode(t) for t in texts]
+    monkeypatch.setattr(sentencepiece_nbest, "_WORD_BYTES", 3000)
+    monkeypatch.setattr(sentencepiece_nbest, "_PART_BYTES", 3000)
+    small = sentencepiece_nbest.Encoder(lattice, 3)
+    assert [small.encode(t) for t in texts] == want
+    assert small.word_bytes < 3000 + 20 * 400
+
+
+def test_language_of_a_long_run_of_letters():
+    pieces = language_id.vocabulary()
+    known = language_id.Pieces(pieces)
+    table = language_id._normalise(np.random.default_rng(0).random((len(pieces) + 1, 2)), 0.05)
+    words = ["".join(np.random.default_rng(2).choice(list("abcdefghij"), n)) for n in (100_000, 3, 30, 70)]
+    got = language_id.log_likelihood(words, known, table)
+    # plain recursion, one place at a time
+    number = {p: i + 1 for i, p in enumerate(pieces)}
+    for word, row in zip(words, got, strict=True):
+        text = language_id.MARK + word
+        for lang in range(2):
+            logs = [0.0]
+            for end in range(1, len(text) + 1):
+                arcs = [(logs[end - n], table[number[text[end - n:end]], lang]) for n in range(1, min(end, known.longest) + 1)
+                        if text[end - n:end] in number]
+                arcs = arcs if text[end - 1] in number else [*arcs, (logs[end - 1], table[0, lang])]
+                top = max(x for x, _ in arcs)
+                logs.append(top + np.log(sum(p * np.exp(x - top) for x, p in arcs)))
+            assert abs(row[lang] - logs[-1]) < 1e-6 * abs(logs[-1])
