@@ -14,8 +14,9 @@ Words are maximal runs of letters, lower-cased, with the vocabulary's
 word-begin mark.  A character that is no piece by itself has a fixed small
 probability, so every word has a segmentation.
 
-Whole batches of equally long words go through the recursion at once; piece
-identities come from a rolling hash of the characters.
+Blocks of words go through the recursion at once, place by place; piece
+identities come from a rolling hash of the characters, which is only carried
+on while the characters begin some piece.
 
 Defined results: ``und`` with score 0 for NULL text, a text without letters,
 or if nothing was learned; ties go to the language that sorts first; repeated
@@ -40,7 +41,7 @@ from .lexer import U64, mix
 MARK = "▁"
 _LETTERS = regex.compile(r"\p{L}+")
 _K = U64(0x9E3779B97F4A7C15)
-_MEMO = 1 << 19            # words a task remembers
+_MEMO = 1 << 18            # words a task remembers
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -53,39 +54,56 @@ class Pieces:
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
         self.longest = max(map(len, pieces))
-        h = np.array([self._one(p) for p in pieces], np.uint64)
-        order = np.argsort(h)
-        self.hashes, self.numbers = h[order], (order + 1).astype(np.int64)
+        number = {p[:i]: 0 for p in pieces for i in range(1, len(p))} | {p: i + 1 for i, p in enumerate(pieces)}
+        of_size: dict[int, list[str]] = {}
+        for p in number:                                # beginnings of pieces, those that are none with number 0
+            of_size.setdefault(len(p), []).append(p)
+        hashes = np.concatenate([self._hashes(p, n) for n, p in of_size.items()])
+        numbers = np.fromiter((number[p] for ps in of_size.values() for p in ps), np.int64, len(hashes))
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], numbers[order]
         # first position in the sorted hashes for each leading 18 bits: one probe instead of a search
         self.slot = np.searchsorted(self.hashes, np.arange(1 << 18, dtype=np.uint64) << U64(46)).astype(np.int64)
-        self.slot = np.append(self.slot, len(h))
+        self.slot = np.append(self.slot, len(self.hashes))
         self.deepest = int(np.diff(self.slot).max())
 
     @staticmethod
-    def _one(piece: str) -> int:
-        codes = np.array([[ord(c) for c in piece]], np.uint64)
-        h = np.zeros(1, np.uint64)
-        for k in range(codes.shape[1]):
+    def _hashes(strings: list[str], n: int) -> np.ndarray:
+        codes = np.array([[ord(c) for c in p] for p in strings], np.uint64).reshape(-1, n)
+        h = np.zeros(len(codes), np.uint64)
+        for k in range(n):
             h = h * _K + codes[:, k] + U64(1)
-        return int(mix(h)[0])
+        return mix(h)
 
     def lookup(self, rolling: np.ndarray) -> np.ndarray:
-        """Piece number for each rolling hash, -1 if there is none."""
+        """Piece number for each rolling hash, 0 for the beginning of one, -1
+        if there is none."""
         h = mix(rolling)
         lead = (h >> U64(46)).astype(np.int64)
         at, stop = self.slot[lead], self.slot[lead + 1]
         out = np.full(len(h), -1, np.int64)
-        for _ in range(self.deepest):
-            live = np.flatnonzero(at < stop)
-            if not len(live):
-                break
+        live = np.flatnonzero(at < stop)
+        while len(live):
             found = self.hashes[at[live]] == h[live]
-            hit = live[found]
-            out[hit] = self.numbers[at[hit]]
+            out[live[found]] = self.numbers[at[live[found]]]
+            live = live[~found]
             at[live] += 1
+            live = live[at[live] < stop[live]]
         return out
 
 
+_known: dict[int, Pieces] = {}
+
+
+def known_pieces(pieces: list[str]) -> Pieces:
+    """Kept by the worker from task to task (one fixed vocabulary)."""
+    key = hash(tuple(pieces))
+    if key not in _known:
+        _known.clear()
+        _known[key] = Pieces(pieces)
+    return _known[key]
+
+
 def vocabulary(path: str | None = None) -> list[str]:
     """Ordinary pieces of a SentencePiece model file (the public 32k one by default)."""
     import sentencepiece
@@ -97,91 +115,114 @@ def vocabulary(path: str | None = None) -> list[str]:
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
 
 
-def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words of equal length together: their places and their characters,
-    the word-begin mark first."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    order = np.argsort(lengths, kind="stable")
-    cuts = np.flatnonzero(np.diff(lengths[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            n = int(lengths[part[0]]) + 1
-            joined = "".join([MARK + words[i] for i in part])
-            yield part, np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
-
-
-def _lattice(codes: np.ndarray, known: Pieces) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(start, end, piece numbers) of every character range that may be a
-    piece, by end, longer ranges first.  A single character that is no piece
-    is the unknown piece."""
-    n = codes.shape[1]
-    rolling: list[np.ndarray] = []                 # hash of [j, end) for the last starts
-    for end in range(1, n + 1):
-        c = codes[:, end - 1].astype(np.uint64) + U64(1)
-        rolling = [r * _K + c for r in rolling[-(known.longest - 1):]] if known.longest > 1 else []
-        rolling.append(c)
-        for back in range(len(rolling), 0, -1):
-            number = known.lookup(rolling[len(rolling) - back])
-            if back == 1:
-                number = np.maximum(number, 0)
-            yield end - back, end, number
+_BLOCK = 1 << 17           # characters that go through the recursion together
+
+
+class Lattice:
+    """The pieces in a block of words, all their places one after another.
+
+    A word of n characters (the word-begin mark first) has n + 1 places; an arc
+    is a piece from one place to another.  Words stand in order of length, the
+    longest first, so that those still going on at any step come first."""
+
+    def __init__(self, words: list[str], known: Pieces):
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        self.first = np.cumsum(size + 1) - (size + 1)
+        self.last = self.first + size
+        text = "".join([MARK + w + MARK for w in words])               # the closing mark only keeps the places apart
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + U64(1)
+        stop = np.repeat(self.last, size + 1)
+        live = np.flatnonzero(np.arange(len(codes)) < stop)
+        rolling = codes[live]
+        found = []
+        for n in range(1, known.longest + 1):
+            number = known.lookup(rolling)
+            piece = number > 0 if n > 1 else np.ones(len(live), bool)   # a single character that is no piece is unknown
+            found.append((live[piece], np.full(int(piece.sum()), n), np.maximum(number[piece], 0)))
+            on = np.flatnonzero((number >= 0) & (live + n < stop[live]))
+            if not len(on):
+                break
+            live = live[on]
+            rolling = rolling[on] * _K + codes[live + n]
+        start, n, self.number = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.start, self.end = start, start + n
+        self.word = np.searchsorted(self.first, start, "right") - 1
+        self.steps = int(size.max(initial=0))
+        self.n_places = len(codes)
+
+    def _sums(self, to: np.ndarray, other: np.ndarray, p: np.ndarray, near: int, log: bool) -> np.ndarray:
+        """Sums over the paths at every place, for the arcs' probabilities ``p``
+        (one row per arc), with ``log`` as logarithms.  These are summed relative
+        to the place ``near``, which is always reachable."""
+        step = to - self.first[self.word]
+        order = np.argsort(step * len(self.first) + self.word, kind="stable")
+        cuts = np.searchsorted(step[order], np.arange(self.steps + 2)).tolist()
+        to, other, p = to[order], other[order], p[order]
+        begins = np.diff(to, prepend=-1) != 0
+        out = np.zeros((self.n_places, *p.shape[1:])) if log else np.ones((self.n_places, *p.shape[1:]))
+        steps = list(zip(cuts[:-1], cuts[1:], strict=True))
+        for lo, hi in steps if near < 0 else steps[::-1]:
+            if lo == hi:
+                continue
+            at = np.flatnonzero(begins[lo:hi])
+            t, x = to[lo:hi], out[other[lo:hi]]
+            if log:
+                x = np.exp(x - out[t + near])
+            x *= p[lo:hi]
+            x = np.add.reduceat(x, at, axis=0)
+            t = t[at]
+            out[t] = out[t + near] + np.log(x) if log else x
+        return out
+
+    def forward(self, p: np.ndarray, log: bool) -> np.ndarray:
+        """Summed over all ways from the beginning of the word to each place."""
+        return self._sums(self.end, self.start, p, -1, log)
+
+    def backward(self, p: np.ndarray, log: bool) -> np.ndarray:
+        """Summed over all ways from each place to the end of the word."""
+        return self._sums(self.start, self.end, p, 1, log)
+
+    def needs_logs(self, table: np.ndarray) -> bool:
+        """Whether a product of probabilities of the table could leave the range of numbers."""
+        return self.steps * -np.log(table.min()) > 600
+
+
+def _blocks(words: list[str]) -> Iterator[np.ndarray]:
+    """Places of words in order of length, longest first, in blocks of about
+    ``_BLOCK`` characters."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    order = np.argsort(-size, kind="stable")
+    block = (np.cumsum(size[order]) - 1) // _BLOCK
+    return (x for x in np.split(order, np.flatnonzero(np.diff(block)) + 1) if len(x))
 
 
 def log_likelihood(words: list[str], known: Pieces, table: np.ndarray) -> np.ndarray:
     """Log of the summed segmentation probabilities: one row per word, one
     column per language.  ``table`` has a row per piece (0: unknown)."""
     out = np.zeros((len(words), table.shape[1]))
-    for part, codes in _by_length(words):
-        out[part] = _forward(codes, known, lambda number, at: table[number])[-1]
+    for part in _blocks(words):
+        lattice = Lattice([words[i] for i in part.tolist()], known)
+        log = lattice.needs_logs(table)
+        ahead = lattice.forward(table[lattice.number], log)[lattice.last]
+        out[part] = ahead if log else np.log(ahead)
     return out
 
 
-def _forward(codes: np.ndarray, known: Pieces, prob, arcs: list | None = None) -> list[np.ndarray]:
-    """Log forward sums at every place of the words.  They are kept as logs
-    and summed relative to the place before, which is always reachable."""
-    logs: list[np.ndarray] = []
-    total, before = None, -1
-    for start, end, number in _lattice(codes, known):
-        if end != before:
-            if total is not None:
-                logs.append(logs[-1] + np.log(total))
-            before = end
-            at0 = np.arange(len(number))
-            if not logs:
-                logs.append(np.zeros_like(prob(number * 0, at0)))
-            total = np.zeros_like(logs[0])
-        at = np.flatnonzero(number >= 0)
-        if len(at):
-            p = prob(number[at], at)
-            total[at] += p * np.exp(logs[start][at] - logs[-1][at])
-            if arcs is not None:
-                arcs.append((start, end, at, number[at], p))
-    logs.append(logs[-1] + np.log(total))
-    return logs
-
-
 def expected_uses(words: list[str], language: np.ndarray, count: np.ndarray, known: Pieces,
                   table: np.ndarray) -> np.ndarray:
     """Forward-backward: expected uses of each piece, per language, over all
     segmentations of the words (each with its language and count)."""
     size, n_lang = table.shape
     uses = np.zeros(size * n_lang)
-    for part, codes in _by_length(words):
-        m, n = codes.shape
-        lang, weight, arcs = language[part], count[part], []
-        logs = _forward(codes, known, lambda number, at: table[number, lang[at]], arcs)  # noqa: B023
-        back = [np.zeros(m)] * (n + 1)
-        by_start: dict[int, list] = {}
-        for a in arcs:
-            by_start.setdefault(a[0], []).append(a)
-        for start in range(n - 1, -1, -1):
-            total = np.zeros(m)
-            for _, end, at, _, p in by_start[start]:
-                total[at] += p * np.exp(back[end][at] - back[start + 1][at])
-            back[start] = back[start + 1] + np.log(total)
-        for start, end, at, number, p in arcs:
-            share = p * np.exp(logs[start][at] + back[end][at] - logs[n][at])
-            uses += np.bincount(number * n_lang + lang[at], weights=share * weight[at], minlength=len(uses))
+    for part in _blocks(words):
+        lattice = Lattice([words[i] for i in part.tolist()], known)
+        which = lattice.number * n_lang + language[part][lattice.word]
+        p, log = table.reshape(-1)[which], lattice.needs_logs(table)
+        ahead, back = lattice.forward(p, log), lattice.backward(p, log)
+        total = ahead[lattice.last][lattice.word]
+        ahead, back = ahead[lattice.start], back[lattice.end]
+        share = p * (np.exp(ahead + back - total) if log else ahead * back / total)
+        uses += np.bincount(which, weights=share * count[part][lattice.word], minlength=len(uses))
     return uses.reshape(size, n_lang)
 
 
@@ -234,7 +275,7 @@ def train(docs: DataFrame, path: str | None = None, rounds: int = 2, smooth: flo
         current = spark.sparkContext.broadcast(table)
 
         def expect(batches: Iterator[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
-            known, place = Pieces(shared.value), {x: i for i, x in enumerate(languages)}
+            known, place = known_pieces(shared.value), {x: i for i, x in enumerate(languages)}
             uses = np.zeros(current.value.shape)
             for b in batches:
                 lang = np.array([place[x] for x in b.column("lang").to_pylist()], np.int64)
@@ -258,7 +299,7 @@ class Scorer:
     """Scores texts; remembers the words it has seen."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, Pieces(model.pieces)
+        self.model, self.known = model, known_pieces(model.pieces)
         self.place: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages)))
 
