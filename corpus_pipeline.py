@@ -6,8 +6,8 @@ written as Parquet and read again as the next stage's ``docs``.  All stages
 but the last return the columns of ``documents``.
 
 1. quality: documents that the learned classifier rejects go;
-2. near duplicates: one document of each class of near copies stays (five-word
-   shingles, Jaccard similarity of 0.8 or more, every link compared);
+2. near duplicates: one document of each class of SimHash near copies stays
+   (three-word shingles, fingerprints at most two bits apart);
 3. benchmark: documents with a twentieth or more of their words inside
    benchmark windows go;
 4. secrets: found credentials are replaced in the text;
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterframe.llm import decontamination, near_copies, quality_classifier, secrets, sentencepiece_nbest
+from meterframe.llm import decontamination, quality_classifier, secrets, sentencepiece_nbest, simhash
 from meterframe.llm.frames import free_name, materialize, table
 
 
@@ -35,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.deduplicate(docs)
+    return simhash.deduplicate(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
