@@ -1,241 +1,113 @@
-"""Forecasting by key on Spark.
+"""Forecasting by key on Spark.
 
-One Spark group = one series.  History rows and the rows of the future axis
-(generated per series in Spark with ``sequence``) are shuffled together by
-series and handed to a NumPy model inside ``applyInPandas``.  A group holds at
-most the history (lookback or the series' hour axis) plus the horizon, so its
-size is bounded by the time range, not by the data volume.
+A model is fitted on a long history, (client_id, ts, y), into a *model
+table* of one typed row per series: ``model, client_id, last_ts, status`` and the
+model's parameters and last state.  Forecasts and fitted values are long again.
+Forecasts come from the table alone, so a stored table is never refitted.
 
-Output (long): ``model, client_id, ts, yhat, kind, status, params`` with kind
-``forecast`` (future axis), ``fitted`` (in-sample, F6) or ``state`` (one row
-per series with the JSON state of the fitted model, the model table S14).
+Every model is one exchange by series and array expressions on the series' row
+(:mod:`.arrays`); nothing leaves the JVM.  A series that cannot be fitted has its
+reason in ``status`` and no forecast; it is counted (:func:`status_counts`), never
+replaced by another model.  Rows without series id or time belong to no series.
 """
 
 from __future__ import annotations
 
-import json
+import ast
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import partial
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import CALENDAR_COLS, with_calendar
 from ..functions.timefns import ntz_lit
-from ..schema import CLIENT, MODEL, TS, Y, YHAT
 from ..operators.partitioning import spread
-from . import models as M
+from ..schema import CLIENT, MODEL, TS, YHAT
+from . import additive, arima, smoothing
 
-OUT_SCHEMA = (f"{MODEL} string, {CLIENT} string, {TS} timestamp_ntz, {YHAT} double, "
-              "kind string, status string, params string")
-FUTURE = "_future"
+def _hour() -> Column:
+    return F.expr("INTERVAL 1 HOUR")
 
 
-def _hours(ts: pd.Series) -> np.ndarray:
-    return ts.to_numpy(dtype="datetime64[ns]").astype("int64") / 3.6e12
+@dataclass(frozen=True)
+class Forecaster:
+    """``fit(history)`` gives the model table; ``at(table, steps, rows)``
+    puts forecasts next to the rows of ``table``: columns ts and yhat for each
+    element of the array column ``steps`` (hours after the last value)."""
+    name: str
+    fit: Callable[[DataFrame], DataFrame]
+    at: Callable[[DataFrame, Column], DataFrame]
+    fitted: Callable[[DataFrame], DataFrame] | None = None
 
 
-def _weekend(ts: pd.Series) -> np.ndarray:
-    return (pd.DatetimeIndex(ts).dayofweek >= 5).astype(float)
+def _each(table: DataFrame, steps: Column) -> DataFrame:
+    return table.select("*", F.explode(steps).alias("_step")).withColumn(TS, F.col("last_ts") + _hour() * F.col("_step"))
 
 
-@dataclass(frozen=True)
-class Forecaster:
-    """A per-series model: ``fit(hist_df, exog_cols) -> state`` and
-    ``predict(state, future_df, exog_cols) -> yhat``.  Both receive pandas
-    frames with ``ts`` and ``y`` (history) / ``ts`` (future) and the exog
-    columns."""
-    name: str
-    fit: Callable
-    predict: Callable
-    exog: tuple = field(default=())
-    fit_many: Callable | None = None      # (S, n) array of equal-length series -> states
+def _ets_at(table: DataFrame, steps: Column) -> DataFrame:
+    return _each(table, steps).withColumn(YHAT, smoothing.value(F.col("_step")))
+
+
+def _arima_at(table: DataFrame, steps: Column) -> DataFrame:
+    """The path to the last step, of which the wanted steps are taken."""
+    rows = table.withColumn("_path", arima.path(F.coalesce(F.array_max(steps), F.lit(0)).cast("int")))
+    return _each(rows, steps).withColumn(
+        YHAT, F.get("_path", (F.col("_step") - 1).cast("int")) + arima.explained(F.col(TS)))
 
 
-def _ets_fit(h, _):
-    return M.ets_fit(h[Y].to_numpy(dtype=float))
+def _additive_at(table: DataFrame, steps: Column) -> DataFrame:
+    first = table.select("seasons").first()                    # the same in all rows of a fit
+    seasons = ast.literal_eval(first[0]) if first else ()
+    return _each(table, steps).withColumn(YHAT, additive.value(F.col(TS), seasons))
 
 
-def _arima_fit(h, _):
-    return M.arima_fit(h[Y].to_numpy(dtype=float))
+REGISTRY: dict[str, Forecaster] = {f.name: f for f in (
+    Forecaster("ets", smoothing.fit, _ets_at, smoothing.fitted),
+    Forecaster("arima", arima.fit, _arima_at, arima.fitted),
+    Forecaster("arimax", partial(arima.fit, regressors=True), _arima_at, partial(arima.fitted, regressors=True)),
+    Forecaster("additive", additive.fit, _additive_at))}
 
 
-def _arimax_fit(h, exog):
-    return M.arimax_fit(h[Y].to_numpy(dtype=float), h[list(exog)].to_numpy(dtype=float))
-
-
-def _additive_fit(h, _):
-    return M.additive_fit(h[Y].to_numpy(dtype=float), _hours(h[TS]), _weekend(h[TS]))
-
-
-def _steps(st, f):
-    """Forecast step of each future row = hours after the last history hour,
-    so the future axis is matched by timestamp, never by position."""
-    return np.rint(_hours(f[TS]) - st["_last_h"]).astype(int)
-
-
-def _by_steps(fn):
-    def predict(st, f, exog):
-        steps = _steps(st, f)
-        if len(steps) == 0:
-            return np.empty(0)
-        path = fn(st, int(steps.max()), exog, f)
-        return path[np.clip(steps, 1, None) - 1]
-    return predict
-
-
-def _arimax_path(st, h, exog, f):
-    """Exogenous values on the contiguous step axis: computed from each step's
-    timestamp (calendar columns are functions of time)."""
-    last = pd.Timestamp(st["_last_ts"])
-    axis = pd.DataFrame({TS: [last + pd.Timedelta(hours=i) for i in range(1, h + 1)]})
-    cal = calendar_frame(axis[TS])
-    return M.arimax_forecast(st, cal[list(exog)].to_numpy(dtype=float))
-
-
-def calendar_frame(ts: pd.Series) -> pd.DataFrame:
-    """The calendar columns in pandas, same definitions as
-    ``functions.calendar`` (used for steps that have no row)."""
-    t = pd.DatetimeIndex(ts)
-    dow = t.dayofweek.to_numpy()
-    two_pi = 2 * np.pi
-    return pd.DataFrame({
-        "hour_sin": np.sin(two_pi * t.hour / 24), "hour_cos": np.cos(two_pi * t.hour / 24),
-        "dow_sin": np.sin(two_pi * dow / 7), "dow_cos": np.cos(two_pi * dow / 7),
-        "is_weekend": (dow >= 5).astype(int),
-        "month_sin": np.sin(two_pi * t.month / 12), "month_cos": np.cos(two_pi * t.month / 12)})
-
-
-REGISTRY: dict[str, Forecaster] = {
-    "ets": Forecaster("ets", _ets_fit, _by_steps(lambda st, h, e, f: M.ets_forecast(st, h)),
-                      fit_many=M.ets_fit_many),
-    "arima": Forecaster("arima", _arima_fit, _by_steps(lambda st, h, e, f: M.arima_forecast(st, h))),
-    "arimax": Forecaster("arimax", _arimax_fit, _by_steps(_arimax_path), tuple(CALENDAR_COLS)),
-    "additive": Forecaster("additive", _additive_fit,
-                           lambda st, f, e: M.additive_forecast(st, _hours(f[TS]), _weekend(f[TS]))),
-}
-
-
-def _fallback(h: pd.DataFrame) -> dict:
-    """Seasonal mean of the last day (status flags it)."""
-    y = M.fill_missing(h[Y].to_numpy(dtype=float))
-    tail = y[-M.SEASON:] if len(y) else np.zeros(1)
-    return {"kind": "fallback", "profile": tail.tolist(), "fitted": [float("nan")] * len(y)}
-
-
-def _fallback_predict(st, f):
-    prof = np.asarray(st["profile"])
-    steps = _steps(st, f)
-    return prof[(len(prof) + steps - 1) % len(prof)] if len(prof) else np.zeros(len(f))
-
-
-def _mark_end(st: dict, hist: pd.DataFrame) -> dict:
-    st["_last_ts"] = str(hist[TS].iloc[-1])
-    st["_last_h"] = float(_hours(hist[TS].iloc[-1:])[0])
-    return st
-
-
-def _forecast_one(fc: Forecaster, hist: pd.DataFrame, fut: pd.DataFrame, exog: list,
-                  state: dict | None = None):
-    """(state, yhat, status) of one series; a failing or non-finite fit falls
-    back to the seasonal mean of the last day, flagged in ``status``."""
-    try:
-        st = _mark_end(state if state is not None else fc.fit(hist, exog), hist)
-        yhat = np.asarray(fc.predict(st, fut, exog), dtype=float)
-        if not np.isfinite(yhat).all():
-            raise FloatingPointError("non-finite forecast")
-        return st, yhat, "ok"
-    except Exception as e:  # noqa: BLE001 - per-series fallback, flagged
-        st = _mark_end(_fallback(hist), hist)
-        return st, _fallback_predict(st, fut), f"fallback: {type(e).__name__}"
-
-
-def _emit(fc: Forecaster, cid, hist, fut, st, yhat, status, emit_fitted, emit_state) -> pd.DataFrame:
-    """Output rows of one series, built as whole columns (one frame, no
-    concatenation of small frames)."""
-    fitted = st.pop("fitted", None)
-    ts_parts = [fut[TS].to_numpy(dtype="datetime64[ns]")]
-    y_parts = [np.asarray(yhat, dtype=float)]
-    kinds = ["forecast"] * len(fut)
-    if emit_fitted and fitted is not None:
-        ts_parts.append(hist[TS].to_numpy(dtype="datetime64[ns]"))
-        y_parts.append(np.asarray(fitted, dtype=float))
-        kinds += ["fitted"] * len(hist)
-    params = [None] * len(kinds)
-    if emit_state:
-        ts_parts.append(np.array(["NaT"], dtype="datetime64[ns]"))
-        y_parts.append(np.array([np.nan]))
-        kinds.append("state")
-        params.append(json.dumps(st, default=float))
-    n = len(kinds)
-    return pd.DataFrame({MODEL: [fc.name] * n, CLIENT: [cid] * n, TS: np.concatenate(ts_parts),
-                         YHAT: np.concatenate(y_parts), "kind": kinds, "status": [status] * n,
-                         "params": params})
-
-
-_EMPTY = [MODEL, CLIENT, TS, YHAT, "kind", "status", "params"]
-
-
-def _group_fn(fc: Forecaster, emit_fitted: bool, emit_state: bool):
-    """applyInPandas body: one series per call."""
-    exog = list(fc.exog)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(TS)
-        hist, fut = pdf[~pdf[FUTURE]], pdf[pdf[FUTURE]]
-        if len(hist) == 0:
-            return pd.DataFrame(columns=_EMPTY)
-        st, yhat, status = _forecast_one(fc, hist, fut, exog)
-        return _emit(fc, pdf[CLIENT].iloc[0], hist, fut, st, yhat, status, emit_fitted, emit_state)
-    return run
-
-
-def _batched_fn(fc: Forecaster, emit_fitted: bool, emit_state: bool, max_series: int = 128):
-    """mapInPandas body for models that fit many equal-length series in one
-    NumPy pass.  Input partitions are hash-partitioned by series and sorted
-    by (series, time); complete series are cut out of the Arrow batches as
-    they stream by, so memory holds one batch plus one partial series."""
-    exog = list(fc.exog)
-
-    def fit_block(df: pd.DataFrame):
-        series = []
-        for cid, g in df.groupby(CLIENT, sort=False):
-            hist, fut = g[~g[FUTURE]], g[g[FUTURE]]
-            if len(hist):
-                series.append((cid, hist, fut))
-        by_len: dict[int, list] = {}
-        for item in series:
-            by_len.setdefault(len(item[1]), []).append(item)
-        for items in by_len.values():
-            for i in range(0, len(items), max_series):
-                chunk = items[i:i + max_series]
-                Y = np.stack([M.fill_missing(h[Y_COL].to_numpy(dtype=float)) for _, h, _ in chunk])
-                try:
-                    states = fc.fit_many(Y)
-                except Exception:  # noqa: BLE001 - fit one by one, with fallbacks
-                    states = [None] * len(chunk)
-                for (cid, hist, fut), st0 in zip(chunk, states):
-                    st, yhat, status = _forecast_one(fc, hist, fut, exog, st0)
-                    yield _emit(fc, cid, hist, fut, st, yhat, status, emit_fitted, emit_state)
-
-    def run(batches):
-        carry = None
-        for b in batches:
-            buf = b if carry is None else pd.concat([carry, b], ignore_index=True)
-            if not len(buf):
-                continue
-            tail = buf[CLIENT] == buf[CLIENT].iat[-1]
-            done, carry = buf[~tail], buf[tail]
-            if len(done):
-                yield from fit_block(done)
-        if carry is not None and len(carry):
-            yield from fit_block(carry)
-    return run
-
-
-Y_COL = Y
+def fit(history: DataFrame, model: str) -> DataFrame:
+    """The model table of ``model`` on ``history``."""
+    table = REGISTRY[model].fit(history)
+    return table.select(F.lit(model).alias(MODEL), *table.columns)
+
+
+def _predictions(table: DataFrame, model: str, steps: Column) -> DataFrame:
+    return REGISTRY[model].at(table.where("status = 'ok'"), steps).select(MODEL, CLIENT, TS, YHAT)
+
+
+def forecast(table: DataFrame, model: str, hours: int | None = None, until=None) -> DataFrame:
+    """forecasts of the hours after each series' last value: ``hours`` of
+    them (horizon by count, as the reference) or up to ``until`` (by span).
+    Generated from the table's rows, without a join."""
+    n = F.lit(hours) if until is None else F.timestamp_diff("HOUR", F.col("last_ts"), ntz_lit(until))
+    n = F.greatest(n, F.lit(0)).cast("int")
+    return _predictions(table, model, F.slice(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(1), n))
+
+
+def forecast_at(table: DataFrame, model: str, future: DataFrame) -> DataFrame:
+    """Forecasts of the rows of ``future`` (client_id, ts) after a series' last
+    value; only series with a fitted model have any (J5).  One row per series
+    meets one row per series: the wanted hours are gathered first."""
+    asked = future.groupBy(CLIENT).agg(F.collect_set(TS).alias("_asked"))
+    rows = table.join(asked, CLIENT)
+    steps = F.filter(F.transform("_asked", lambda t: F.timestamp_diff("HOUR", F.col("last_ts"), t)), lambda k: k > 0)
+    return _predictions(rows.withColumn("_steps", F.array_sort(steps)), model, F.col("_steps"))
+
+
+def fitted(history: DataFrame, model: str) -> DataFrame:
+    """one-step fitted values (model, client_id, ts, yhat); missing where the model has none."""
+    name = REGISTRY[model]
+    if name.fitted is None:
+        table = fit(history, model)
+        rows = table.where("status = 'ok'").join(history.select(CLIENT, F.col(TS).alias("_at")).distinct(), CLIENT)
+        first = table.select("seasons").first()
+        seasons = ast.literal_eval(first[0]) if first else ()
+        return rows.select(MODEL, CLIENT, F.col("_at").alias(TS), additive.value(F.col("_at"), seasons).alias(YHAT))
+    return name.fitted(history).select(F.lit(model).alias(MODEL), CLIENT, TS, YHAT)
 
 
 def future_axis(history: DataFrame, hours: int | None = None, until=None) -> DataFrame:
@@ -243,58 +115,15 @@ def future_axis(history: DataFrame, hours: int | None = None, until=None) -> Dat
     them (horizon by count, as the reference) or up to ``until`` (by span).
     Generated per series with ``sequence`` (no join)."""
     last = spread(history.groupBy(CLIENT).agg(F.max(TS).alias("_last")))
-    start = F.col("_last") + F.expr("INTERVAL 1 HOUR")
+    start = F.col("_last") + _hour()
     if until is not None:
         end = ntz_lit(until)
     else:
         end = F.col("_last") + F.make_interval(hours=F.lit(int(hours)))
     return (last.where(end >= start)
-            .select(CLIENT, F.explode(F.sequence(start, end, F.expr("INTERVAL 1 HOUR"))).alias(TS)))
-
-
-def fit_forecast(history: DataFrame, model: str, future: DataFrame,
-                 emit_fitted: bool = True, emit_state: bool = True) -> DataFrame:
-    """Fit ``model`` per series on ``history (client_id, ts, y)`` and forecast
-    the rows of ``future (client_id, ts)``.  Series without history get no
-    output (J5)."""
-    fc = REGISTRY[model]
-    hist = history.select(CLIENT, TS, F.col(Y).cast("double").alias(Y), F.lit(False).alias(FUTURE))
-    fut = future.select(CLIENT, TS, F.lit(None).cast("double").alias(Y), F.lit(True).alias(FUTURE))
-    both = hist.unionByName(fut)
-    if fc.exog:
-        both = with_calendar(both, TS, list(fc.exog))
-    if fc.fit_many is not None:
-        return (spread(both).sortWithinPartitions(CLIENT, TS)
-                .mapInPandas(_batched_fn(fc, emit_fitted, emit_state), OUT_SCHEMA))
-    return (spread(both).groupBy(CLIENT)
-            .applyInPandas(_group_fn(fc, emit_fitted, emit_state), OUT_SCHEMA))
-
-
-def predictions(out: DataFrame, kind: str = "forecast") -> DataFrame:
-    return out.where(F.col("kind") == kind).select(MODEL, CLIENT, TS, YHAT)
-
-
-def model_table(out: DataFrame) -> DataFrame:
-    """``model, client_id, status, params`` rows of a fit output."""
-    return out.where(F.col("kind") == "state").select(MODEL, CLIENT, "status", "params")
-
-
-def predict_from_table(states: DataFrame, future: DataFrame) -> DataFrame:
-    """Forecast from stored states without refitting (the reference reloads
-    its saved models).  Only series with a state are forecast (J5)."""
-    joined = future.select(CLIENT, TS).join(states.select(CLIENT, MODEL, "params"), CLIENT, "inner")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(TS)
-        st = json.loads(pdf["params"].iloc[0])
-        name = pdf[MODEL].iloc[0]
-        fc = REGISTRY[name]
-        if st.get("kind") == "fallback":
-            yhat = _fallback_predict(st, pdf)
-        else:
-            f = calendar_frame(pdf[TS]).assign(**{TS: pdf[TS].to_numpy()}) if fc.exog else pdf
-            yhat = fc.predict(st, f, list(fc.exog))
-        return pd.DataFrame({MODEL: name, CLIENT: pdf[CLIENT].to_numpy(), TS: pdf[TS].to_numpy(),
-                             YHAT: np.asarray(yhat, dtype=float)})
-    return spread(joined).groupBy(CLIENT, MODEL).applyInPandas(
-        run, f"{MODEL} string, {CLIENT} string, {TS} timestamp_ntz, {YHAT} double")
+            .select(CLIENT, F.explode(F.sequence(start, end, _hour())).alias(TS)))
+
+
+def status_counts(table: DataFrame) -> DataFrame:
+    """Series by (model, status): what was fitted and what was skipped."""
+    return table.groupBy(MODEL, "status").agg(F.count("*").alias("series"))

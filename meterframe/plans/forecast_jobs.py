@@ -1,22 +1,27 @@
-"""Forecasting jobs on the driver's tables (rows-only checks: there is no SQL
-equivalent of a model fit).
+"""Forecasting jobs on the driver's tables.
 
 Panel: ``events`` as readings (series = user), hourly means (A2) on the
 retained hour axis, densified with an hour without events counted as zero
 load, split into train / validation / test like the contract queries.  The
-number of series and the work grow with the table.
+number of series and the work grow with the table.  The SQL counterparts are in
+:mod:`.forecast_sql`.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..forecast import backtest, global_model, jobs
+from ..forecast import additive, arima, backtest, global_model, jobs
 from ..operators import aggregate, evaluate, panel, resample
 from ..operators.reshape import as_single_series
-from ..schema import CLIENT, MODEL, SPLIT, TS, Y
-from .contract import P, _e
+from ..schema import CLIENT, MODEL, SPLIT, TS, Y, YHAT
+from ..session import checkpoint_dir
+from ..sources import sinks
+from ..sources.sinks import stored
+from .contract import P, _e, r4, r6
 
 
 def forecast_panel(spark, sf) -> DataFrame:
@@ -26,7 +31,7 @@ def forecast_panel(spark, sf) -> DataFrame:
     e = _e(spark, sf)
     dense = resample.densify(e.hourly, e.spine, e.readings.select(CLIENT), e.lo, e.hi)
     dense = dense.withColumn(Y, F.coalesce(F.col(Y), F.lit(0.0)).cast("float"))
-    return panel.assign_splits(dense, P.bounds).checkpoint()
+    return stored(panel.assign_splits(dense, P.bounds), "forecast-panel")
 
 
 def _part(df, name):
@@ -39,11 +44,18 @@ GLOBAL_INPUT = 168
 GLOBAL_CHUNK = 72
 
 
-def _val_forecast(spark, sf, model):
+#: Order and differences of the query on coefficients.
+FIXED = arima.Settings(order=(2, 1, 1, 0), differences=(0, 1))
+
+
+def _rounded(preds):
+    return preds.select(MODEL, CLIENT, TS, r4(YHAT).alias(YHAT))
+
+
+def _val_forecast(spark, sf, model, lookback=LOOKBACK):
     p = forecast_panel(spark, sf)
-    train, val = _part(p, "train"), _part(p, "validation")
-    preds, _ = backtest.run_phase(train, val, model, LOOKBACK, mode="count")
-    return preds
+    preds, *_ = backtest.run_phase(_part(p, "train"), _part(p, "validation"), model, lookback, mode="count")
+    return _rounded(preds)
 
 
 def q_f01_ets(spark, sf):
@@ -58,33 +70,54 @@ def q_f03_arimax(spark, sf):
     return _val_forecast(spark, sf, "arimax")
 
 
+def q_f03_coefficients(spark, sf):
+    """Weights of a fixed order with regressors: one row per series and column
+    (beta: constant and calendar, weight: lags, innovations, constant)."""
+    train = panel.lookback(_part(forecast_panel(spark, sf), "train"), LOOKBACK)
+    table = arima.fit(train, FIXED, regressors=True)
+    return table.select(CLIENT, F.explode(F.map_from_arrays(F.array(F.lit("beta"), F.lit("weight")), F.array("beta", "weight")))
+                        .alias("part", "v")).select(CLIENT, "part", F.posexplode("v").alias("column", "value")) \
+        .select(CLIENT, "part", "column", r6("value").alias("value"))
+
+
 def q_f04_additive(spark, sf):
-    p = forecast_panel(spark, sf)
-    preds, _ = backtest.run_phase(_part(p, "train"), _part(p, "validation"), "additive", None, mode="count")
-    return preds
+    return _val_forecast(spark, sf, "additive", None)
+
+
+def q_f04_coefficients(spark, sf):
+    """Trend, seasonal and weekend coefficients: one row per series and column."""
+    table = additive.fit(_part(forecast_panel(spark, sf), "train"))
+    return table.select(CLIENT, F.posexplode("beta").alias("column", "value")) \
+        .select(CLIENT, "column", r6("value").alias("value"))
 
 
 def q_f05_aggregate_arima(spark, sf):
     e = _e(spark, sf)
     agg = aggregate.aggregate_load(e.hourly, e.spine)
     series = panel.assign_splits(as_single_series(agg, aggregate.AGG_COL), P.bounds)
-    preds, m = backtest.run_phase(_part(series, "train"), _part(series, "validation"), "arima", LOOKBACK)
-    return m
+    preds, *_ = backtest.run_phase(_part(series, "train"), _part(series, "validation"), "arima", LOOKBACK)
+    return _rounded(preds)
 
 
 def q_f06_in_sample(spark, sf):
     p = forecast_panel(spark, sf)
     train = panel.lookback(_part(p, "train"), LOOKBACK)
-    out = jobs.fit_forecast(train, "arima", jobs.future_axis(train, hours=1), emit_state=False)
-    fitted = jobs.predictions(out, "fitted").drop(MODEL)
-    return evaluate.metrics_table(evaluate.in_sample_pairs(train, fitted), null_safe=False, digits=4)
+    return evaluate.metrics_table(evaluate.in_sample_pairs(train, jobs.fitted(train, "arima").drop(MODEL)),
+                                  null_safe=False, digits=4)
 
 
 def q_f08_backtest(spark, sf):
-    _, mets = backtest.backtest(forecast_panel(spark, sf), "ets", LOOKBACK, mode="span")
+    _, mets, _ = backtest.backtest(forecast_panel(spark, sf), "ets", LOOKBACK, mode="span")
     return mets
 
 
+def q_j05_fitted_series(spark, sf):
+    """Series of the whole panel, fitted and skipped: a few series are given without any value."""
+    train = panel.lookback(_part(forecast_panel(spark, sf), "train"), LOOKBACK)
+    gone = train.withColumn(Y, F.when(F.col(CLIENT).cast("long") % 10 != 0, F.col(Y)))
+    return jobs.status_counts(jobs.fit(gone, "ets").select(MODEL, "status"))
+
+
 def _global(spark, sf):
     # the panel feeds several branches (fit, scaling, rolling rounds):
     # written once to the checkpoint folder instead of recomputed per branch
@@ -118,18 +151,27 @@ def q_f12_by_name(spark, sf):
     p = forecast_panel(spark, sf)
     train, val = _part(p, "train"), _part(p, "validation")
     preds = backtest.predictions_by_name(["ets", "arima"], train, val, LOOKBACK)
-    return evaluate.leaderboard(evaluate.metrics_by_model(val, preds))
+    lb = evaluate.leaderboard(evaluate.metrics_by_model(val, preds))
+    return lb.select(MODEL, *[r4(c).alias(c) for c in ("MSE", "MAE", "WAPE")], "rank")
 
 
 def q_s14_model_table(spark, sf):
+    """Model tables of two phases written by partition, one of them again, read
+    back, and the stored validation table asked for the validation hours."""
     p = forecast_panel(spark, sf)
     train, val = _part(p, "train"), _part(p, "validation")
-    hist = panel.lookback(train, LOOKBACK)
-    out = jobs.fit_forecast(hist, "arima", jobs.future_axis(hist, hours=1), emit_fitted=False)
-    states = jobs.model_table(out)
-    again = jobs.predict_from_table(states, backtest.horizon_axis(hist, val, "span"))
-    return evaluate.metrics_by_model(val, again, digits=4)
+    path = f"{checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
+    for phase, hist in (("test", panel.union_history(train, val)), ("validation", train)):
+        table = jobs.fit(panel.lookback(hist, LOOKBACK), "arima").withColumn(backtest.PHASE, F.lit(phase))
+        sinks.write_model_table(table, path)
+    table = sinks.read_model_table(spark, path).where(F.col(backtest.PHASE) == "validation")
+    return _rounded(jobs.forecast_at(table, "arima", val.select(CLIENT, TS)))
 
 
 def queries() -> dict:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
+
+
+def oracle_sql() -> dict[str, str]:
+    from . import forecast_sql
+    return forecast_sql.oracle_sql()

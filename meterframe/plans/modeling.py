@@ -10,8 +10,8 @@ S10), keep the selected series (P5), split chronologically (P2), then
   chunked forecast over validation and test (F9, F10), in-sample proxy on
   train (F11).
 
-``spark-submit meterframe/plans/modeling.py --panel master.parquet --model ets
---out results/`` (bounds default to the reference's split dates).
+``spark-submit run_job.py model --panel master.parquet --model ets --out results/``
+(bounds default to the reference's split dates).
 """
 
 from __future__ import annotations
@@ -52,8 +52,9 @@ def run_model(spark: SparkSession, panel_df: DataFrame, model: str, out: str | N
               horizon: str = "span", clients: DataFrame | None = None,
               chunk: int = CHUNK_HOURS, input_size: int = INPUT_HOURS,
               rolling: str = "remaining") -> dict[str, DataFrame]:
-    """Returns ``predictions`` (with ``phase``), ``metrics`` (with ``phase``)
-    and, for per-series models, ``models`` (the model table)."""
+    """Returns ``predictions`` and ``metrics`` (with ``phase``) and, for per-series
+    models, ``models`` (the model tables) and ``status`` (series by phase and
+    status: what was fitted and what was skipped)."""
     checkpoint_dir(spark)
     if clients is not None:
         panel_df = panel.select_clients(panel_df, clients)
@@ -80,16 +81,15 @@ def run_model(spark: SparkSession, panel_df: DataFrame, model: str, out: str | N
         result = {"predictions": preds[0].unionByName(preds[1]),
                   "metrics": mets[0].unionByName(mets[1]).unionByName(mets[2])}
     else:
-        preds, mets = backtest.backtest(split, model, lookback, horizon)
-        hist = panel.union_history(part["train"], part["validation"])
-        hist = panel.lookback(hist, lookback) if lookback else hist
-        fit = jobs.fit_forecast(hist, model, jobs.future_axis(hist, hours=1), emit_fitted=False)
-        result = {"predictions": preds, "metrics": mets, "models": jobs.model_table(fit)}
+        preds, mets, tables = backtest.backtest(split, model, lookback, horizon)
+        result = {"predictions": preds, "metrics": mets, "models": tables,
+                  "status": tables.groupBy(backtest.PHASE, "model", "status").agg(F.count("*").alias("series"))}
     if out:
-        result["predictions"].write.mode("overwrite").partitionBy("phase").parquet(f"{out}/predictions")
+        sinks.write_partitions(result["predictions"], f"{out}/predictions", backtest.PHASE)
         result["metrics"].write.mode("overwrite").parquet(f"{out}/metrics")
         if "models" in result:
-            sinks.write_model_table(result["models"], f"{out}/models")
+            sinks.write_model_table(result["models"], f"{out}/models/{model}")
+            result["status"].write.mode("overwrite").parquet(f"{out}/status")
     return result
 
 

@@ -8,6 +8,7 @@ file system API so that it lands on the same shared storage as the data.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,22 @@ from pyspark.sql import functions as F
 from ..operators.panel import sort_by_series
 from ..operators.reshape import long_to_wide
 from ..schema import CLIENT, SPLIT, TS
+from ..session import checkpoint_dir
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read back:
+    the lineage is cut, and readers still get column and partition pruning."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_partitions(df: DataFrame, path: str, *by: str) -> None:
+    """Partitioned data set; only the partitions that ``df`` has rows of are
+    replaced, so a phase or model that is run again leaves the others alone."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
 
 def write_master_wide(hourly_long: DataFrame, clients: list[str], path: str) -> None:
     """Wide hourly master, ``timestamp`` + one column per series in the
@@ -109,14 +126,19 @@ def write_metadata(spark: SparkSession, doc: dict, path: str) -> None:
 
 
 def write_model_table(params: DataFrame, path: str) -> None:
-    """Fitted parameters keyed by (model, client_id), Parquet."""
-    params.write.mode("overwrite").partitionBy("model").parquet(path)
+    """The typed model table of one model, keyed by client_id (and phase,
+    if there is one).  Each model has its own columns and its own data set."""
+    by = [c for c in ("phase",) if c in params.columns]
+    if by:
+        write_partitions(params, path, *by)
+    else:
+        params.write.mode("overwrite").parquet(path)
 
 
-def read_model_table(spark: SparkSession, path: str, model: str | None = None) -> DataFrame | None:
+def read_model_table(spark: SparkSession, path: str) -> DataFrame | None:
     """S14 reload; a missing table is reported (None), not fatal."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - AnalysisException for a missing path
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return None
-    return df.where(F.col("model") == model) if model else df
+    return spark.read.parquet(path)

@@ -95,7 +95,11 @@ def test_modeling_job(spark, tmp_path, model):
     val_hours = p.where((F.col("ts") >= "2024-01-21") & (F.col("ts") < "2024-01-26")).select("ts").distinct().count()
     assert preds.where(F.col("phase") == "validation").count() == n_series * val_hours
     if model != "global_linear":
-        assert spark.read.parquet(str(tmp_path / model / "models")).count() == n_series
+        models = spark.read.parquet(str(tmp_path / model / "models" / model))
+        assert models.where("status = 'ok'").groupBy("phase").count().collect() == \
+            models.groupBy("phase").agg(F.lit(n_series).cast("long").alias("count")).collect()
+        status = spark.read.parquet(str(tmp_path / model / "status")).collect()
+        assert {(r.phase, r.status, r.series) for r in status} == {(p, "ok", n_series) for p in ("validation", "test")}
 
 
 def test_survey_invariants(spark):

@@ -55,20 +55,6 @@ def test_leaderboard_and_wide(spark):
     assert (w["m1"], w["m2"]) == (2.0, 1.5)
 
 
-def test_metric_aggs_equal_metrics_table(spark):
-    from pyspark.sql import functions as F
-    from meterframe.functions.metrics import metric_aggs
-    rows = [("A", 2.0, 1.0), ("A", None, 5.0), ("A", 4.0, 6.0), ("B", 0.0, 1.0), ("B", 3.0, 3.5)]
-    df = _pairs(spark, rows)
-    one = {r["client_id"]: (r["MSE"], r["MAE"], r["WAPE"])
-           for r in df.groupBy("client_id").agg(*metric_aggs()).collect()}
-    two = _by_client(evaluate.metrics_table(df))
-    for c in ("A", "B"):
-        assert all(abs(a - b) < 1e-12 for a, b in zip(one[c], two[c]))
-    nb = df.groupBy("client_id").agg(*metric_aggs(null_safe=False, digits=4)).where(F.col("client_id") == "A").first()
-    assert nb["MSE"] is None
-
-
 def test_nan_is_missing_and_never_scores(spark):
     nan, inf = float("nan"), float("inf")
     rows = [("good", "A", 2.0, 2.5), ("good", "A", 4.0, 4.0), ("nan", "A", 2.0, nan), ("nan", "A", 4.0, 9.0),

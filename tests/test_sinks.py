@@ -46,11 +46,14 @@ def test_splits_partitioned_and_pruned(spark, tmp_path):
     assert test.count() == 2
 
 
-def test_model_table_roundtrip_and_missing(spark, tmp_path):
-    t = spark.createDataFrame([("arima", "A", "ok", "{}")], "model string, client_id string, status string, params string")
-    sinks.write_model_table(t, str(tmp_path / "models"))
-    back = sinks.read_model_table(spark, str(tmp_path / "models"), "arima")
-    assert back.count() == 1
+def test_model_table_by_phase_and_missing(spark, tmp_path):
+    path = str(tmp_path / "models")
+    t = spark.createDataFrame([("arima", "A", "ok", 1.0, "test"), ("arima", "A", "ok", 2.0, "validation")],
+                              "model string, client_id string, status string, aicc double, phase string")
+    sinks.write_model_table(t, path)
+    sinks.write_model_table(t.where("phase = 'test'").withColumn("aicc", F.lit(3.0)), path)     # one phase again
+    back = sinks.read_model_table(spark, path)
+    assert {(r.phase, r.aicc) for r in back.collect()} == {("test", 3.0), ("validation", 2.0)}
     assert sinks.read_model_table(spark, str(tmp_path / "nope")) is None
 
 
