@@ -12,179 +12,243 @@ chunk ``chunk`` hours.  For a target hour ``t`` of a chunk starting at origin
 * the seven calendar columns of ``t`` and a bias.
 
 Training origins step back from each series' end by ``chunk`` hours, so every
-history row is a target once (and an input of up to ``ceil(input/chunk)``
-origins).  Input and target rows of a (series, origin) are hash-partitioned
-together once and every feature is a window aggregate over the input rows:
-no join.  The fit sums X'X and X'y in one distributed aggregate (partial per
-task) and only the 11 x 11 system reaches the driver.
+history row is a target once.  Windows are unions of whole pieces of time
+(a chunk cut where windows end), so the history is first summed by (series,
+piece, hour of week).  Only these sums, at most 168 for a piece, go to the
+windows that hold the piece; no row is repeated however much windows overlap.
+The fit sums X'X and X'y in one distributed aggregate; a system of 11 unknowns
+is left.
+
+A forecast is a fold over rounds on one row per series: the window's values by
+hour, the means of its slots, the next chunk, the window moved on.  So a
+rolling forecast is a single job, each series advancing by itself.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import CALENDAR_COLS, calendar_columns
+from ..functions.numeric import nan_to_null
+from ..functions.timefns import ntz_lit
 from ..operators import panel
 from ..schema import CLIENT, MODEL, PREDICTIONS, TS, Y, YHAT
-from .jobs import future_axis
+from ..sources.sinks import stored
+from .arrays import let, let_all, moments, solve, system, triangle
 
 FEATURES = ["f_how", "f_hod", "f_lvl", *CALENDAR_COLS, "bias"]
 NAME = "global_linear"
+WEEK = 168
 
 
-def _how(ts):
+def _how(ts: Column) -> Column:
     return (F.weekday(ts) * 24 + F.hour(ts)).cast("int")
 
 
-def _with_gap(history: DataFrame) -> DataFrame:
-    """``_g`` = hours from each row to its series' end + 1 hour.  The end is a
-    window maximum by series (no join), and the exchange by series it needs
-    is reused by the profile aggregates below."""
-    last = F.max(TS).over(Window.partitionBy(CLIENT))
-    return history.withColumn("_g", F.timestamp_diff("HOUR", F.col(TS), last) + 1)
-
-
-def _features(inp: DataFrame, targets: DataFrame) -> DataFrame:
-    """Scaled features of each target row without any join: input rows
-    (``_g`` relative to their origin) and target rows of the same (series,
-    origin) are put together, hash-partitioned once on (series, origin), and
-    every feature is a window aggregate over the input rows of that
-    partition -- by hour-of-week slot, by hour of day, or over the whole
-    window.  All three windows reuse the one partitioning."""
-    cols = [CLIENT, "_k", TS, Y, "_g"]
-    tg = targets.select(CLIENT, "_k", TS, (F.col(Y) if Y in targets.columns else F.lit(None)).cast("double").alias(Y),
-                        F.lit(None).cast("long").alias("_g"), F.lit(False).alias("_in"))
-    both = (inp.select(*[F.col(c) if c != Y else F.col(Y).cast("double").alias(Y) for c in cols],
-                       F.lit(True).alias("_in"))
-            .unionByName(tg)
-            .withColumn("_how", _how(TS)).withColumn("_hod", F.hour(TS)))
-    both = both.repartition(CLIENT, "_k")
-    y_in = F.when(F.col("_in"), F.col(Y))
-    w_k = Window.partitionBy(CLIENT, "_k")
-    w_how = Window.partitionBy(CLIENT, "_k", "_how")
-    w_hod = Window.partitionBy(CLIENT, "_k", "_hod")
-    sd = F.stddev_pop(y_in).over(w_k)
-    f = both.select(
-        "*", F.count(y_in).over(w_k).alias("_cnt"), F.avg(y_in).over(w_k).alias("_mu"),
-        F.when(sd > 1e-9, sd).otherwise(F.lit(1.0)).alias("_sd"),
-        F.avg(F.when(F.col("_in") & (F.col("_g") <= 24), F.col(Y))).over(w_k).alias("_lvl_raw"),
-        F.avg(y_in).over(w_how).alias("_m_how"), F.avg(y_in).over(w_hod).alias("_m_hod"))
-    f = f.where(~F.col("_in") & (F.col("_cnt") > 0))
-    z = lambda c: F.coalesce((F.col(c) - F.col("_mu")) / F.col("_sd"), F.lit(0.0))
-    cal = calendar_columns(TS)
-    return f.select(CLIENT, "_k", TS, *([Y] if Y in targets.columns else []), "_mu", "_sd",
-                    z("_m_how").alias("f_how"), z("_m_hod").alias("f_hod"), z("_lvl_raw").alias("f_lvl"),
-                    *[cal[c].cast("double").alias(c) for c in CALENDAR_COLS],
-                    F.lit(1.0).alias("bias"))
+def _rows(history: DataFrame) -> DataFrame:
+    return history.where(F.col(CLIENT).isNotNull() & F.col(TS).isNotNull()) \
+        .select(CLIENT, TS, nan_to_null(F.col(Y).cast("double")).alias(Y))
+
+
+def _scale(n: Column, s: Column, ss: Column) -> Column:
+    """Standard deviation from sums; 1 where it is nothing but rounding."""
+    var = ss / n - (s / n) * (s / n)
+    return F.when(var > 1e-12 * ss / n, F.sqrt(var)).otherwise(F.lit(1.0))
+
+
+def _dense(entries: Column, size: int) -> Column:
+    """Array of ``size`` values from (place, value) pairs, missing elsewhere."""
+    none = F.lit(None).cast("double")
+    filled = F.aggregate(F.array_sort(entries), F.array().cast("array<double>"), lambda acc, e: F.concat(
+        acc, F.array_repeat(none, e["place"] - F.size(acc)), F.array(e["value"])))
+    return let(filled, lambda x: F.concat(x, F.array_repeat(none, F.lit(size) - F.size(x))))
+
+
+def window_sums(history: DataFrame, input_size: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(targets, windows): every row with a value as the target of its origin
+    ``k``, and one row per (series, origin): sums of the input window, and the
+    means by hour of week and hour of day as arrays."""
+    rows = _rows(history)
+    ends = rows.groupBy(CLIENT).agg(F.max(TS).alias("_end"))
+    rows = rows.join(ends, CLIENT).withColumn("_g", F.timestamp_diff("HOUR", F.col(TS), F.col("_end")))
+    whole, rest = divmod(input_size, chunk)
+    into = F.col("_g") % chunk
+    side = F.when(into < rest, 0).otherwise(1)            # the part of a chunk that still is in the window, or not
+    rows = rows.where(F.col(Y).isNotNull()).withColumn("_q", F.floor(F.col("_g") / chunk).cast("long"))
+    pieces = rows.groupBy(CLIENT, "_q", side.alias("_side"), _how(F.col(TS)).alias("slot")).agg(
+        F.count(Y).alias("n"), F.sum(Y).alias("s"), F.sum(F.col(Y) * F.col(Y)).alias("ss"),
+        F.sum(F.when(into < 24, F.col(Y))).alias("ls"), F.count(F.when(into < 24, F.col(Y))).alias("ln"))
+    first = F.greatest(F.col("_q") - whole + F.col("_side"), F.lit(1))
+    of_origin = pieces.where(first <= F.col("_q")).select("*", F.explode(F.sequence(first, F.col("_q"))).alias("k"))
+    newest = lambda c: F.sum(F.when(F.col("k") == F.col("_q"), F.col(c)))
+    slots = of_origin.groupBy(CLIENT, "k", "slot").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), newest("ls").alias("ls"), newest("ln").alias("ln"))
+    by_slot = F.collect_list(F.struct(F.col("slot").alias("place"), (F.col("s") / F.col("n")).alias("value")))
+    windows = slots.groupBy(CLIENT, "k").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum("ls").alias("ls"), F.sum("ln").alias("ln"),
+        by_slot.alias("by_slot"), F.collect_list(F.struct("slot", "n", "s")).alias("sums"))
+    hod = let_all(["sums"], lambda sums: F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: let(
+        F.filter(sums, lambda x: x["slot"] % 24 == h), lambda x: F.try_divide(
+            F.aggregate(x, F.lit(0.0), lambda a, e: a + e["s"]), F.aggregate(x, F.lit(0.0), lambda a, e: a + e["n"])))))
+    windows = windows.select(CLIENT, "k", "n", (F.col("s") / F.col("n")).alias("mu"),
+                             _scale(F.col("n"), F.col("s"), F.col("ss")).alias("sd"),
+                             F.try_divide("ls", "ln").alias("level"), _dense(F.col("by_slot"), WEEK).alias("how"), hod.alias("hod"))
+    return rows.select(CLIENT, (F.col("_q") + 1).alias("k"), TS, Y), windows
 
 
 def training_rows(history: DataFrame, input_size: int = 672, chunk: int = 720) -> DataFrame:
-    """Every history row is the target of the origin whose chunk holds it;
-    the input window of origin ``k`` ends ``k * chunk`` hours before the end."""
-    h = _with_gap(history.select(CLIENT, TS, Y))
-    # a row is input of every origin k >= 1 with k*chunk < g <= k*chunk + input_size;
-    # when input_size > chunk the windows overlap and the row is repeated
-    # ceil(input_size / chunk) times at most (once for input 672, chunk 720)
-    k_lo = F.greatest(F.ceil((F.col("_g") - input_size) / chunk), F.lit(1)).cast("long")
-    k_hi = F.floor((F.col("_g") - 1) / chunk).cast("long")
-    inp = (h.where(k_hi >= k_lo)
-           .withColumn("_k", F.explode(F.sequence(k_lo, k_hi)))
-           .withColumn("_g", F.col("_g") - F.col("_k") * chunk))
-    tg = (h.where(F.col(Y).isNotNull())
-          .select(CLIENT, F.ceil(F.col("_g") / chunk).cast("long").alias("_k"), TS, Y))
-    f = _features(inp, tg)
-    return f.withColumn("_z", (F.col(Y).cast("double") - F.col("_mu")) / F.col("_sd"))
-
-
-def fit(history: DataFrame, input_size: int = 672, chunk: int = 720, ridge: float = 1e-3) -> np.ndarray:
-    """Pooled least squares on scaled values; returns the weight vector."""
+    """Every history row with a value: its scaled value ``_z`` and the features;
+    both are missing for the rows whose origin has no input window."""
+    targets, windows = window_sums(history, input_size, chunk)
+    f = targets.join(windows, [CLIENT, "k"], "left")
+    z = lambda c: F.when(F.col("n") > 0, F.coalesce((c - F.col("mu")) / F.col("sd"), F.lit(0.0)))
+    slot = _how(F.col(TS))
+    cal = calendar_columns(TS)
+    return f.select(CLIENT, "k", TS, Y, "n", F.col("mu").alias("_mu"), ((F.col(Y) - F.col("mu")) / F.col("sd")).alias("_z"),
+                    z(F.get("how", slot)).alias("f_how"), z(F.get("hod", slot % 24)).alias("f_hod"), z(F.col("level")).alias("f_lvl"),
+                    *[cal[c].cast("double").alias(c) for c in CALENDAR_COLS], F.lit(1.0).alias("bias"))
+
+
+def moment_row(history: DataFrame, input_size: int = 672, chunk: int = 720) -> DataFrame:
+    """One row: ``sums`` (upper triangle of X'X row by row, then X'y), ``rows``
+    used, and the rows without an input window (``short``)."""
     rows = training_rows(history, input_size, chunk)
-    k = len(FEATURES)
-    sums = [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"xx_{i}_{j}")
-            for i in range(k) for j in range(i, k)]
-    sums += [F.sum(F.col(FEATURES[i]) * F.col("_z")).alias(f"xy_{i}") for i in range(k)]
-    r = rows.agg(*sums).first()
-    if r is None or r["xx_0_0"] is None:
-        raise ValueError("no training rows: the history is shorter than one input window "
-                         "plus one chunk (lower input_size / chunk)")
-    xx = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            xx[i, j] = xx[j, i] = r[f"xx_{i}_{j}"] or 0.0
-    xy = np.array([r[f"xy_{i}"] or 0.0 for i in range(k)])
-    return np.linalg.solve(xx + ridge * np.eye(k), xy)
-
-
-def predict(weights, history: DataFrame, future: DataFrame, input_size: int = 672) -> DataFrame:
-    """Forecast ``future (client_id, ts)`` from the last ``input_size`` hours
-    of each series' history."""
-    inp = (_with_gap(history.select(CLIENT, TS, Y)).where(F.col("_g") <= input_size)
-           .withColumn("_k", F.lit(0).cast("long")))
-    tg = future.select(CLIENT, TS).withColumn("_k", F.lit(0).cast("long"))
-    f = _features(inp, tg)
-    score = sum((F.lit(float(w)) * F.col(c) for w, c in zip(weights, FEATURES)), F.lit(0.0))
-    return f.select(F.lit(NAME).alias(MODEL), CLIENT, TS,
-                    (F.col("_mu") + F.col("_sd") * score).alias(YHAT))
+    return rows.agg(F.array(*[F.coalesce(m, F.lit(0.0)) for m in moments([F.col(c) for c in FEATURES], F.col("_z"))]).alias("sums"),
+                    F.count("_z").alias("rows"), F.count_if(F.col("_z").isNull()).alias("short"))
+
+
+def fit(history: DataFrame, input_size: int = 672, chunk: int = 720, ridge: float = 1e-3) -> list[float]:
+    """Pooled least squares on scaled values; returns the weight vector."""
+    n = len(FEATURES)
+    r = moment_row(history, input_size, chunk).select(
+        solve(system(F.col("sums"), n, [ridge] * n)).alias("w"), "rows", "short").first()
+    if r is None or not r["rows"]:
+        raise ValueError(f"no training rows: none of the {r['short'] if r else 0} rows lies a whole chunk of {chunk} hours after "
+                         f"the start of its series (lower input_size / chunk)")
+    return list(r["w"])
+
+
+def last_windows(history: DataFrame, input_size: int) -> DataFrame:
+    """(client_id, end, w): per series the last hour and the values of the
+    last ``input_size`` hours, the oldest first, missing where there are none."""
+    rows = _rows(history)
+    ends = rows.groupBy(CLIENT).agg(F.max(TS).alias("end"))
+    rows = rows.join(ends, CLIENT).withColumn(
+        "place", (input_size - 1 - F.timestamp_diff("HOUR", F.col(TS), F.col("end"))).cast("int")).where("place >= 0")
+    got = rows.groupBy(CLIENT, "end").agg(F.collect_list(
+        F.when(F.col(Y).isNotNull(), F.struct("place", F.col(Y).alias("value")))).alias("e"))
+    return got.select(CLIENT, "end", _dense(F.col("e"), input_size).alias("w"))
+
+
+def _mean_at(w: Column, first: Column, step: int, size: int) -> Column:
+    """Mean of the values at places first, first + step, ..."""
+    places = F.sequence(first, F.greatest(first, F.lit(size - 1)), F.lit(step))
+    got = F.filter(F.transform(places, lambda j: F.get(w, j)), lambda v: v.isNotNull())
+    return let(got, lambda v: F.try_divide(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), F.size(v)))
+
+
+def _next_chunk(weights: list[float], w: Column, end: Column, input_size: int, chunk: int) -> Column:
+    """The forecasts of the ``chunk`` hours after ``end``, given the window ``w``."""
+    last = input_size - 1
+    known = F.filter(w, lambda v: v.isNotNull())
+    size = input_size
+    day = F.filter(F.slice(w, F.lit(max(1, size - 23)), F.lit(24)), lambda v: v.isNotNull())
+    add = lambda x, f: F.aggregate(x, F.lit(0.0), lambda a, v: a + f(v))
+
+    def with_base(base: Column) -> Column:
+        # slot of place j is base - (last - j), modulo the week
+        how = F.transform(F.sequence(F.lit(0), F.lit(WEEK - 1)), lambda s: _mean_at(w, F.pmod(s - base + last, F.lit(WEEK)), WEEK, size))
+        hod = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: _mean_at(w, F.pmod(h - base + last, F.lit(24)), 24, size))
+        sums = let(known, lambda v: F.struct(F.size(v).cast("double").alias("n"), add(v, lambda x: x).alias("s"),
+                                             add(v, lambda x: x * x).alias("ss")))
+        level = let(day, lambda v: F.try_divide(add(v, lambda x: x), F.size(v)))
+        stats = let(sums, lambda q: F.struct(q["n"].alias("n"), F.try_divide(q["s"], q["n"]).alias("mu"),
+                                             F.when(q["n"] > 0, _scale(q["n"], q["s"], q["ss"])).alias("sd"), level.alias("level"),
+                                             how.alias("how"), hod.alias("hod")))
+
+        def with_stats(q: Column) -> Column:
+            z = lambda c: F.coalesce((c - q["mu"]) / q["sd"], F.lit(0.0))
+
+            def at(i: Column) -> Column:
+                ts, slot = end + F.make_interval(hours=i), F.pmod(base + i, F.lit(WEEK))
+                cal = calendar_columns(ts)
+                terms = [z(q["how"][slot]), z(q["hod"][slot % 24]), z(q["level"]), *[cal[c].cast("double") for c in CALENDAR_COLS],
+                         F.lit(1.0)]
+                return q["mu"] + q["sd"] * sum((F.lit(float(x)) * t for x, t in zip(weights, terms, strict=True)), F.lit(0.0))
+
+            return F.transform(F.sequence(F.lit(1), F.lit(chunk)), at)
+
+        return let(stats, with_stats)
+
+    return let(_how(end), with_base)
+
+
+def _rounds(weights: list[float], windows: DataFrame, rounds: Column, input_size: int, chunk: int) -> DataFrame:
+    """(client_id, ts, yhat): ``rounds`` chunks for every series, each from the
+    window that the chunks before it have moved on."""
+    def step(acc: Column, _: Column) -> Column:
+        got = _next_chunk(weights, acc["w"], acc["end"], input_size, chunk)
+        return let(got, lambda new: F.struct(
+            F.slice(F.concat(acc["w"], F.transform(new, lambda v: v.cast("float").cast("double"))), F.lit(chunk + 1),
+                    F.lit(input_size)).alias("w"),
+            (acc["end"] + F.make_interval(hours=F.lit(chunk))).alias("end"), F.concat(acc["out"], new).alias("out")))
+
+    out = F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))),
+                      F.struct(F.col("w"), F.col("end"), F.array().cast("array<double>").alias("out")), step, lambda acc: acc["out"])
+    got = windows.where(rounds > 0).withColumn("_out", out).select(CLIENT, "end", F.posexplode("_out").alias("_i", YHAT))
+    return got.where(F.col(YHAT).isNotNull()) \
+        .select(F.lit(NAME).alias(MODEL), CLIENT, (F.col("end") + F.make_interval(hours=F.col("_i") + 1)).alias(TS), YHAT)
+
+
+def predict(weights, history: DataFrame, hours: int, input_size: int = 672) -> DataFrame:
+    """Forecasts of the ``hours`` hours after each series' history, from its
+    last ``input_size`` hours."""
+    return _rounds(list(weights), last_windows(history, input_size), F.lit(1), input_size, hours)
 
 
 def rolling_forecast(weights, history: DataFrame, wanted: DataFrame, input_size: int = 672,
                      chunk: int = 720, variant: str = "remaining") -> DataFrame:
-    """predict ``chunk`` hours from the last ``input_size`` hours, keep
-    the wanted ones, extend the history, repeat.
+    """predict ``chunk`` hours from the last ``input_size`` hours, extend the
+    history, repeat; the wanted hours are kept.
 
     ``wanted`` holds (client_id, ts) pairs, or timestamps wanted of every
     series.  With ``variant="remaining"`` (default) every series advances from
     its own last hour to its own last wanted hour, so gaps among the wanted
-    hours and series of different length lose nothing.  The number of rounds
-    follows from those spans.  Series without history have no forecast (J5),
+    hours and series of different length lose nothing.  All its rounds are one
+    fold on the series' row.  Series without history have no forecast (J5),
     and hours that are not after a series' history none either.
     ``variant="chunks"`` is the notebook loop: the wanted timestamps are cut
     into ceil(h / chunk) slices in order (W5); round i keeps predictions of
     slice i only and appends only those, so a removed day loses hours (T8).
-
-    Each round's history is cut to the last ``input_size`` rows per series and
-    written to the checkpoint folder, so lineage stays bounded and a lost
-    executor only repeats one round."""
-    keys = [c for c in (CLIENT, TS) if c in wanted.columns]
-    keep = wanted.select(*keys).distinct().checkpoint()
-    hist = panel.lookback(history.select(CLIENT, TS, Y), input_size).checkpoint()
+    Its rounds are jobs of their own, the shortened history written between."""
+    weights, keys = list(weights), [c for c in (CLIENT, TS) if c in wanted.columns]
+    keep = stored(wanted.select(*keys).distinct(), "wanted")
     if variant == "chunks":
-        slices = panel.chunk_index(keep.select(TS).distinct(), chunk).checkpoint()
-        todo, rounds = None, (slices.agg(F.max("chunk")).first()[0] or 0) + 1
+        return _by_slices(weights, history, keep, input_size, chunk)
+    windows = last_windows(history, input_size)
+    if CLIENT in keys:
+        windows = windows.join(keep.groupBy(CLIENT).agg(F.max(TS).alias("_last")), CLIENT)
     else:
-        ends = hist.groupBy(CLIENT).agg(F.max(TS).alias("_end"))
-        if CLIENT in keys:
-            spans = ends.join(keep.groupBy(CLIENT).agg(F.max(TS).alias("_last")), CLIENT)
-        else:
-            last = keep.agg(F.max(TS)).first()[0]
-            spans = ends.withColumn("_last", F.lit(last).cast("timestamp_ntz"))
-        hours = (F.unix_seconds(F.col("_last").cast("timestamp"))
-                 - F.unix_seconds(F.col("_end").cast("timestamp"))) / 3600
-        todo = (spans.select(CLIENT, F.ceil(hours / chunk).cast("int").alias("_rounds"))
-                .where("_rounds > 0").checkpoint())
-        rounds = todo.agg(F.max("_rounds")).first()[0] or 0
-    got = []
+        windows = windows.withColumn("_last", ntz_lit(keep.agg(F.max(TS)).first()[0]))
+    rounds = F.ceil(F.timestamp_diff("HOUR", F.col("end"), F.col("_last")) / chunk).cast("int")
+    got = _rounds(weights, windows, F.coalesce(rounds, F.lit(0)), input_size, chunk)
+    return got.join(keep, keys, "left_semi").select(*[f.name for f in PREDICTIONS.fields])
+
+
+def _by_slices(weights: list[float], history: DataFrame, keep: DataFrame, input_size: int, chunk: int) -> DataFrame:
+    cols = [f.name for f in PREDICTIONS.fields]
+    hist = stored(panel.lookback(history.select(CLIENT, TS, Y), input_size), "rolling")
+    slices = stored(panel.chunk_index(keep.select(TS).distinct(), chunk), "slices")
+    rounds = (slices.agg(F.max("chunk")).first()[0] or 0) + 1
+    out = history.sparkSession.createDataFrame([], PREDICTIONS)
     for i in range(rounds):
-        if todo is not None:
-            hist = hist.join(todo.where(F.col("_rounds") > i).select(CLIENT), CLIENT, "left_semi")
-        preds = predict(weights, hist, future_axis(hist, hours=chunk), input_size).checkpoint()
-        if todo is None:
-            appended = preds.join(slices.where(F.col("chunk") == i).select(TS), TS, "left_semi")
-            got.append(appended)
-        else:
-            appended = preds
-            got.append(preds.join(keep, keys, "left_semi"))
+        got = predict(weights, hist, chunk, input_size)
+        got = stored(got.join(slices.where(F.col("chunk") == i).select(TS), TS, "left_semi"), "rolling")
+        out = out.unionByName(got.select(*cols))
         if i + 1 < rounds:
-            appended = appended.select(CLIENT, TS, F.col(YHAT).cast("float").alias(Y))
-            hist = panel.lookback(hist.unionByName(appended), input_size).checkpoint()
-    if not got:
-        return history.sparkSession.createDataFrame([], PREDICTIONS)
-    cols = [f.name for f in PREDICTIONS.fields]
-    out = got[0].select(*cols)
-    for g in got[1:]:
-        out = out.unionByName(g.select(*cols))
+            more = got.select(CLIENT, TS, F.col(YHAT).cast("float").alias(Y))
+            hist = stored(panel.lookback(hist.unionByName(more), input_size), "rolling")
     return out
 
 

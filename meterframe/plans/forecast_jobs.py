@@ -21,7 +21,7 @@ from ..schema import CLIENT, MODEL, SPLIT, TS, Y, YHAT
 from ..session import checkpoint_dir
 from ..sources import sinks
 from ..sources.sinks import stored
-from .contract import P, _e, r4, r6
+from .contract import P, _e, l_readings, r4, r6
 
 
 def forecast_panel(spark, sf) -> DataFrame:
@@ -39,7 +39,8 @@ def _part(df, name):
 
 
 LOOKBACK = 672
-# pooled model on the 30-day tables: one week of input, three-day chunks
+# pooled model on the 30-day tables: one week of input, three-day chunks; on the tables of years the reference's sizes
+REFERENCE_INPUT, REFERENCE_CHUNK = 672, 720
 GLOBAL_INPUT = 168
 GLOBAL_CHUNK = 72
 
@@ -119,31 +120,47 @@ def q_j05_fitted_series(spark, sf):
 
 
 def _global(spark, sf):
-    # the panel feeds several branches (fit, scaling, rolling rounds):
-    # written once to the checkpoint folder instead of recomputed per branch
     p = forecast_panel(spark, sf)
     train, val, test = _part(p, "train"), _part(p, "validation"), _part(p, "test")
-    chunk = GLOBAL_CHUNK
-    w = global_model.fit(panel.union_history(train, val), input_size=GLOBAL_INPUT, chunk=chunk)
-    return p, train, val, test, w, chunk
+    w = global_model.fit(panel.union_history(train, val), input_size=GLOBAL_INPUT, chunk=GLOBAL_CHUNK)
+    return train, val, test, w
 
 
 def q_f09_rolling(spark, sf):
-    p, train, val, test, w, chunk = _global(spark, sf)
+    train, val, test, w = _global(spark, sf)
     preds = global_model.rolling_forecast(w, panel.union_history(train, val), test.select(CLIENT, TS),
-                                          input_size=GLOBAL_INPUT, chunk=chunk)
+                                          input_size=GLOBAL_INPUT, chunk=GLOBAL_CHUNK)
     return evaluate.metrics_table(evaluate.scored(test, preds.drop(MODEL)), digits=4)
 
 
 def q_f10_global(spark, sf):
-    p, train, val, test, w, chunk = _global(spark, sf)
-    hist = panel.union_history(train, val)
-    return global_model.predict(w, hist, jobs.future_axis(hist, hours=chunk), input_size=GLOBAL_INPUT)
+    train, val, test, w = _global(spark, sf)
+    return _rounded(global_model.predict(w, panel.union_history(train, val), GLOBAL_CHUNK, GLOBAL_INPUT))
+
+
+def q_f10_moments(spark, sf):
+    """Moment sums of the pooled model at the reference's sizes (672 hours in, 720
+    out) over the daily readings of all years: one row per sum, and the rows
+    used and without a window."""
+    hourly = resample.hourly_mean(l_readings(spark, sf))
+    r = global_model.moment_row(hourly, REFERENCE_INPUT, REFERENCE_CHUNK)
+    sums = r.select(F.posexplode("sums").alias("number", "value")).select("number", r4("value").alias("value"))
+    counts = r.select(F.explode(F.array(F.struct(F.lit(-1).alias("number"), F.col("rows").cast("double").alias("value")),
+                                        F.struct(F.lit(-2).alias("number"), F.col("short").cast("double").alias("value"))))
+                      .alias("c")).select("c.*")
+    return sums.unionByName(counts)
+
+
+def q_f10_reference_sizes(spark, sf):
+    """Forecasts of the next 720 hours of every series from its last 672."""
+    hourly = stored(resample.hourly_mean(l_readings(spark, sf)), "hourly")
+    w = global_model.fit(hourly, REFERENCE_INPUT, REFERENCE_CHUNK)
+    return _rounded(global_model.predict(w, hourly, REFERENCE_CHUNK, REFERENCE_INPUT))
 
 
 def q_f11_global_proxy(spark, sf):
-    p, train, val, test, w, chunk = _global(spark, sf)
-    pairs = global_model.in_sample_proxy(w, train, panel.horizon(val), input_size=GLOBAL_INPUT, chunk=chunk)
+    train, val, test, w = _global(spark, sf)
+    pairs = global_model.in_sample_proxy(w, train, panel.horizon(val), input_size=GLOBAL_INPUT, chunk=GLOBAL_CHUNK)
     return evaluate.metrics_table(pairs, digits=4)
 
 

@@ -5,7 +5,7 @@ smoothing, forecast paths)."""
 from __future__ import annotations
 
 from ..forecast import additive, arima, smoothing
-from .contract import E_RAW, P, _metrics_sql, _prep_ctes, _r, _splits_sql
+from .contract import E_RAW, L_RAW, P, _hourly, _metrics_sql, _prep_ctes, _r, _splits_sql
 
 LOOKBACK = 672
 
@@ -229,6 +229,65 @@ def _arima_path(p: str, model: str, hours: str, s: arima.Settings, regressors: b
   from {p}pr join {p}z using (client_id) where step > 0))"""
 
 
+# --------------------------------------------------------------- pooled model
+
+_SCALE = "case when {ss} / {n} - ({s} / {n}) * ({s} / {n}) > 1e-12 * {ss} / {n} " \
+         "then sqrt({ss} / {n} - ({s} / {n}) * ({s} / {n})) else 1.0 end"
+
+
+def _pooled(p: str, hist: str, size: int, chunk: int) -> str:
+    """``{p}x``: features and scaled value of every row with a value (NULL without
+    a window); ``{p}u``: moment sums; ``{p}b``: weights."""
+    slot, n = "(isodow(ts) - 1) * 24 + hour(ts)", 11
+    cal = ", ".join(f"cast({c.format(t='ts')} as double)" for c in _CALENDAR)
+    z = lambda c: f"coalesce(({c} - mu) / sd, 0.0)"
+    return f"""
+{p}e as (select client_id, max(ts) as last_ts from {hist} group by 1),
+{p}g as (select h.*, date_diff('hour', ts, last_ts) as g, {slot} as slot from {hist} h join {p}e using (client_id) where y is not null),
+{p}i as (select *, unnest(range(greatest(1, cast(ceil((g - {size} + 1) / {chunk}) as bigint)), g // {chunk} + 1)) as k from {p}g),
+{p}s as (select client_id, k, n, s / n as mu, {_SCALE.format(n='n', s='s', ss='ss')} as sd, level from (
+  select client_id, k, count(*) as n, sum(y) as s, sum(y * y) as ss, avg(y) filter (where g - k * {chunk} < 24) as level from {p}i group by 1, 2)),
+{p}h as (select client_id, k, slot, avg(y) as how from {p}i group by 1, 2, 3),
+{p}o as (select client_id, k, slot % 24 as hod_slot, avg(y) as hod from {p}i group by 1, 2, 3),
+{p}x as (select case when n > 0 then [{z('how')}, {z('hod')}, {z('level')}, {cal}, 1.0, (y - mu) / sd] end as x
+         from (select client_id, ts, y, slot, slot % 24 as hod_slot, g // {chunk} + 1 as k from {p}g)
+         left join {p}s using (client_id, k) left join {p}h using (client_id, k, slot) left join {p}o using (client_id, k, hod_slot)),
+{p}u as (select i, j, sum(x[i] * x[j]) as v from {p}x, range(1, {n + 1}) a(i), range(1, {n + 2}) b(j) where j >= i group by 1, 2),
+{p}f as (select i, j, coalesce(v, 0) + case when i = j then 1e-3 else 0 end as v from {p}u
+         union all select j, i, v from {p}u where i < j and j <= {n}),
+{p}a as (select 0 as k, {n} as n, i, list(v order by j) as row from {p}f group by i),
+{_solve(p + 'b', p + 'a')}"""
+
+
+def _rolling(p: str, hist: str, weights: str, rounds: str, size: int, chunk: int) -> str:
+    """``{p}p``: forecasts of ``rounds`` chunks after each series' history."""
+    mod = lambda x, m: f"((({x}) % {m} + {m}) % {m})"
+    at = lambda s, m: (f"list_avg(list_transform(range({mod(f'{s} - base + {size - 1}', m)}, {size}, {m}), lambda j: w[j + 1]))")
+    cal = [c.format(t="(till + to_hours(cast(i as integer)))") for c in _CALENDAR]
+    z = lambda c: f"coalesce(({c} - mu) / sd, 0.0)"
+    terms = [z(f"how[{mod('base + i', 168)} + 1]"), z(f"hod[{mod('base + i', 24)} + 1]"), z("level"), *cal, "1.0"]
+    value = " + ".join(f"beta[{k}] * {t}" for k, t in enumerate(terms, 1))
+    return f"""
+{p}e as (select client_id, max(ts) as last_ts from {hist} group by 1),
+{p}w as (select client_id, any_value(last_ts) as till, list(y order by place) as w from (
+  select e.client_id, e.last_ts, place, h.y from {p}e e cross join range(0, {size}) t(place)
+  left join {hist} h on h.client_id = e.client_id and h.ts = e.last_ts - to_hours(cast({size - 1} - place as integer))) group by 1),
+{p}r(client_id, till, step, w, made) as (
+  select client_id, till, 0, w, cast([] as double[]) from {p}w
+  union all
+  select client_id, till + to_hours({chunk}), step + 1,
+         list_concat(w, list_transform(made, lambda v: cast(cast(v as float) as double)))[{chunk + 1}:{chunk + size}], made
+  from (select client_id, till, step, w, list_transform(range(1, {chunk + 1}), lambda i: mu + sd * ({value})) as made
+        from (select *, list_transform(range(0, 168), lambda s: {at('s', 168)}) as how,
+                     list_transform(range(0, 24), lambda s: {at('s', 24)}) as hod,
+                     list_avg(w[{max(1, size - 23)}:]) as level, su / cn as mu, {_SCALE.format(n='cn', s='su', ss='sq')} as sd
+              from (select *, (isodow(till) - 1) * 24 + hour(till) as base, list_count(w) as cn, list_sum(w) as su,
+                           list_sum(list_transform(w, lambda v: v * v)) as sq
+                    from {p}r, (select beta from {weights}) where step < {rounds})))),
+{p}p as (select client_id, till - to_hours(cast({chunk} - i as integer)) as ts, made[i] as yhat
+         from (select *, unnest(range(1, {chunk + 1})) as i from {p}r where step > 0) where made[i] is not null)"""
+
+
 def _predictions(source: str) -> str:
     return f"select model, client_id, ts, {_r('yhat')} as yhat from {source}"
 
@@ -267,6 +326,31 @@ from train group by 1, 2"""
     phases = f"""{start}, {both}, {_hours('hv', 'validation', 'train', 'span')}, {_hours('ht', 'test', 'hist', 'span')},
 {_series('e', 'train')},{_ets('e', 'es', 'hv')},{_series('g', 'hist')},{_ets('g', 'gs', 'ht')}"""
     pair = lambda preds, split: f"select p.client_id, a.y, p.yhat from {preds} p join pan a on a.client_id = p.client_id and a.ts = p.ts and a.split = '{split}'"  # noqa: E731, E501
+    from .forecast_jobs import GLOBAL_CHUNK, GLOBAL_INPUT, REFERENCE_CHUNK, REFERENCE_INPUT
+    years = f"with recursive hist as (select client_id, ts, cast(y as double) as y from ({_hourly(L_RAW)}))"
+    q["f10_moments"] = f"""{years},{_pooled('m', 'hist', REFERENCE_INPUT, REFERENCE_CHUNK)}
+select cast(row_number() over (order by j = 12, i, j) - 1 as integer) as number, {_r('v')} as value from mu
+union all select -1, cast(count(x) as double) from mx
+union all select -2, cast(count(*) filter (where x is null) as double) from mx"""
+    ahead = lambda size, chunk: f"""{_pooled('m', 'hist', size, chunk)},{_rolling('r', 'hist', 'mb', '1', size, chunk)}
+select 'global_linear' as model, client_id, ts, {_r('yhat')} as yhat from rp"""
+    q["f10_reference_sizes"] = f"{years},{ahead(REFERENCE_INPUT, REFERENCE_CHUNK)}"
+    whole = f"{start}, {both}"
+    q["f10_global"] = f"{whole},{ahead(GLOBAL_INPUT, GLOBAL_CHUNK)}"
+    scores = lambda actual: _metrics_sql(
+        f"select p.client_id, a.y, p.yhat from rp p join {actual} a on a.client_id = p.client_id and a.ts = p.ts", "", True, 4)
+    q["f09_rolling"] = f"""{whole},{_pooled('m', 'hist', GLOBAL_INPUT, GLOBAL_CHUNK)},
+actual as (select client_id, ts, y from pan where split = 'test'),
+ahead as (select cast(ceil(date_diff('hour', (select max(ts) from hist), max(ts)) / {GLOBAL_CHUNK}) as bigint) as n from actual),
+{_rolling('r', 'hist', 'mb', '(select n from ahead)', GLOBAL_INPUT, GLOBAL_CHUNK)}
+{scores('actual')}"""
+    q["f11_global_proxy"] = f"""{whole},{_pooled('m', 'hist', GLOBAL_INPUT, GLOBAL_CHUNK)}, {val},
+cut as (select min(ts) as ts from (select ts, row_number() over (partition by client_id order by ts desc) as rn from train)
+        where rn = (select h from hv)),
+before as (select * from train where ts < (select ts from cut)), actual as (select * from train where ts >= (select ts from cut)),
+ahead as (select cast(ceil(date_diff('hour', (select max(ts) from before), max(ts)) / {GLOBAL_CHUNK}) as bigint) as n from actual),
+{_rolling('r', 'before', 'mb', '(select n from ahead)', GLOBAL_INPUT, GLOBAL_CHUNK)}
+{scores('actual')}"""
     q["f05_aggregate_arima"] = f"""with recursive {_prep_ctes(E_RAW)},
 tot as (select ts, sum(cast(y as double)) as s from hourly group by ts),
 pan as (select 'aggregate' as client_id, *, {_splits_sql()} as split

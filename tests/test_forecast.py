@@ -291,24 +291,70 @@ def test_b17_rolling_covers_all_wanted_hours(spark):
 def test_global_model_plan_has_no_cartesian(spark):
     p = _panel(spark, n_hours=24 * 10)
     w = global_model.fit(p, input_size=72, chunk=48)
-    out = global_model.predict(w, p, jobs.future_axis(p, hours=24), input_size=72)
+    out = global_model.predict(w, p, 24, input_size=72)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert out.count() == 48
 
 
-def test_overlapping_input_windows(spark):
-    """input_size > chunk: each origin still sees its whole input window."""
-    p = _panel(spark, n_hours=24 * 12, series=("A",))
-    rows = global_model.training_rows(p, input_size=96, chunk=24)
-    assert rows.where(F.col("f_lvl").isNull()).count() == 0
-    ks = {r["_k"] for r in rows.select("_k").distinct().collect()}
-    assert min(ks) == 1 and max(ks) == 11
-    # origin 1 starts 24 hours before the end; its window is the 96 hours before
-    n = 24 * 12
-    window = [planted(i) for i in range(n - 24 - 96, n - 24)]
-    mu = rows.where(F.col("_k") == 1).select("_mu").first()[0]
-    assert abs(mu - float(np.mean(np.float32(window)))) < 1e-4
+def features(y, start, at, input_size):
+    """Scaled features of the hour ``at`` from the window before ``start``, hour by hour (None: missing)."""
+    span = [i for i in range(start - input_size, start) if 0 <= i < len(y) and not np.isnan(y[i])]
+    w = np.array([y[i] for i in span])
+    if not len(w):
+        return None
+    mu, sd = w.mean(), w.std() if w.std() > 1e-6 else 1.0
+    t = [BASE + dt.timedelta(hours=i) for i in (*span, at)]
+    how, hod = [x.weekday() * 24 + x.hour for x in t], [x.hour for x in t]
+    mean = lambda pick: 0.0 if not len(v := w[pick]) else (v.mean() - mu) / sd
+    ts = t[-1]
+    cal = [np.sin(2 * np.pi * ts.hour / 24), np.cos(2 * np.pi * ts.hour / 24), np.sin(2 * np.pi * ts.weekday() / 7),
+           np.cos(2 * np.pi * ts.weekday() / 7), float(ts.weekday() >= 5), np.sin(2 * np.pi * ts.month / 12),
+           np.cos(2 * np.pi * ts.month / 12)]
+    return mu, sd, [mean(np.array(how[:-1]) == how[-1]), mean(np.array(hod[:-1]) == hod[-1]),
+                    mean(np.array(span) >= start - 24), *cal, 1.0]
+
+
+@pytest.mark.parametrize("input_size,chunk", [(96, 24), (60, 100), (48, 48), (100, 30), (168, 50)])
+def test_training_rows_equal_brute_force(spark, input_size, chunk):
+    df, values = noisy(spark, n=290, n_series=2, missing=0.2)
+    got = {(r.client_id, r.ts): r for r in global_model.training_rows(df, input_size, chunk).collect()}
+    short = 0
+    for c, y in values.items():
+        for i in range(len(y)):
+            if np.isnan(y[i]):
+                assert (c, BASE + dt.timedelta(hours=i)) not in got
+                continue
+            origin = len(y) - chunk * -(-(len(y) - i) // chunk)
+            want, r = features(y, origin, i, input_size), got[c, BASE + dt.timedelta(hours=i)]
+            if want is None:
+                short += 1
+                assert r["_z"] is None
+            else:
+                assert np.allclose([r[x] for x in global_model.FEATURES], want[2], atol=1e-9)
+                assert abs(r["_z"] - (y[i] - want[0]) / want[1]) < 1e-9
+    m = global_model.moment_row(df, input_size, chunk).first()
+    assert (m["rows"], m["short"]) == (len(got) - short, short)
+
+
+def test_rolling_forecast_equals_plain_rounds(spark):
+    df, values = noisy(spark, n=250, n_series=2, missing=0.1)
+    cut = df.where((F.col("client_id") != "s1") | (F.col("ts") < BASE + dt.timedelta(hours=210)))
+    weights = global_model.fit(df, 96, 40)
+    end = {"s0": 250, "s1": 210}
+    wanted = [(c, BASE + dt.timedelta(hours=h)) for c in end for h in (250, 251, 300, 331)]
+    got = {(r.client_id, r.ts): r.yhat for r in global_model.rolling_forecast(
+        weights, cut, spark.createDataFrame(wanted, "client_id string, ts timestamp_ntz"), 96, 40).collect()}
+    for c, n in end.items():
+        y = list(values[c][:n])
+        while len(y) <= 331:
+            start = len(y)
+            for i in range(start, start + 40):
+                mu, sd, f = features(np.array(y[:start]), start, i, 96)
+                y.append(float(np.float32(mu + sd * np.dot(weights, f))))
+        for h in (250, 251, 300, 331):
+            assert abs(got[c, BASE + dt.timedelta(hours=h)] - y[h]) < 1e-4
+    assert len(got) == 8
 
 
 def test_t8_notebook_chunk_loop_loses_hours(spark):
