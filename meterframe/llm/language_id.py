@@ -36,11 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import free_name, materialize
-from .lexer import U64, mix
+from .piece_lattice import MARK, PieceLattice, Pieces, blocks
 
-MARK = "▁"
 _LETTERS = regex.compile(r"\p{L}+")
-_K = U64(0x9E3779B97F4A7C15)
 _MEMO = 1 << 18            # words a task remembers
 
 
@@ -48,50 +46,6 @@ def letter_words(text: str | None) -> list[str]:
     return _LETTERS.findall((text or "").lower())
 
 
-class Pieces:
-    """Piece numbers by rolling hash.  Number 0 is the unknown character."""
-
-    def __init__(self, pieces: list[str]):
-        self.pieces = pieces
-        self.longest = max(map(len, pieces))
-        number = {p[:i]: 0 for p in pieces for i in range(1, len(p))} | {p: i + 1 for i, p in enumerate(pieces)}
-        of_size: dict[int, list[str]] = {}
-        for p in number:                                # beginnings of pieces, those that are none with number 0
-            of_size.setdefault(len(p), []).append(p)
-        hashes = np.concatenate([self._hashes(p, n) for n, p in of_size.items()])
-        numbers = np.fromiter((number[p] for ps in of_size.values() for p in ps), np.int64, len(hashes))
-        order = np.argsort(hashes)
-        self.hashes, self.numbers = hashes[order], numbers[order]
-        # first position in the sorted hashes for each leading 18 bits: one probe instead of a search
-        self.slot = np.searchsorted(self.hashes, np.arange(1 << 18, dtype=np.uint64) << U64(46)).astype(np.int64)
-        self.slot = np.append(self.slot, len(self.hashes))
-        self.deepest = int(np.diff(self.slot).max())
-
-    @staticmethod
-    def _hashes(strings: list[str], n: int) -> np.ndarray:
-        codes = np.array([[ord(c) for c in p] for p in strings], np.uint64).reshape(-1, n)
-        h = np.zeros(len(codes), np.uint64)
-        for k in range(n):
-            h = h * _K + codes[:, k] + U64(1)
-        return mix(h)
-
-    def lookup(self, rolling: np.ndarray) -> np.ndarray:
-        """Piece number for each rolling hash, 0 for the beginning of one, -1
-        if there is none."""
-        h = mix(rolling)
-        lead = (h >> U64(46)).astype(np.int64)
-        at, stop = self.slot[lead], self.slot[lead + 1]
-        out = np.full(len(h), -1, np.int64)
-        live = np.flatnonzero(at < stop)
-        while len(live):
-            found = self.hashes[at[live]] == h[live]
-            out[live[found]] = self.numbers[at[live[found]]]
-            live = live[~found]
-            at[live] += 1
-            live = live[at[live] < stop[live]]
-        return out
-
-
 _known: dict[int, Pieces] = {}
 
 
@@ -115,40 +69,8 @@ def vocabulary(path: str | None = None) -> list[str]:
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
 
 
-_BLOCK = 1 << 17           # characters that go through the recursion together
-
-
-class Lattice:
-    """The pieces in a block of words, all their places one after another.
-
-    A word of n characters (the word-begin mark first) has n + 1 places; an arc
-    is a piece from one place to another.  Words stand in order of length, the
-    longest first, so that those still going on at any step come first."""
-
-    def __init__(self, words: list[str], known: Pieces):
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        self.first = np.cumsum(size + 1) - (size + 1)
-        self.last = self.first + size
-        text = "".join([MARK + w + MARK for w in words])               # the closing mark only keeps the places apart
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + U64(1)
-        stop = np.repeat(self.last, size + 1)
-        live = np.flatnonzero(np.arange(len(codes)) < stop)
-        rolling = codes[live]
-        found = []
-        for n in range(1, known.longest + 1):
-            number = known.lookup(rolling)
-            piece = number > 0 if n > 1 else np.ones(len(live), bool)   # a single character that is no piece is unknown
-            found.append((live[piece], np.full(int(piece.sum()), n), np.maximum(number[piece], 0)))
-            on = np.flatnonzero((number >= 0) & (live + n < stop[live]))
-            if not len(on):
-                break
-            live = live[on]
-            rolling = rolling[on] * _K + codes[live + n]
-        start, n, self.number = (np.concatenate(x) for x in zip(*found, strict=True))
-        self.start, self.end = start, start + n
-        self.word = np.searchsorted(self.first, start, "right") - 1
-        self.steps = int(size.max(initial=0))
-        self.n_places = len(codes)
+class Lattice(PieceLattice):
+    """Sums over all segmentations."""
 
     def _sums(self, to: np.ndarray, other: np.ndarray, p: np.ndarray, near: int, log: bool) -> np.ndarray:
         """Sums over the paths at every place, for the arcs' probabilities ``p``
@@ -187,21 +109,12 @@ class Lattice:
         return self.steps * -np.log(table.min()) > 600
 
 
-def _blocks(words: list[str]) -> Iterator[np.ndarray]:
-    """Places of words in order of length, longest first, in blocks of about
-    ``_BLOCK`` characters."""
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    order = np.argsort(-size, kind="stable")
-    block = (np.cumsum(size[order]) - 1) // _BLOCK
-    return (x for x in np.split(order, np.flatnonzero(np.diff(block)) + 1) if len(x))
-
-
 def log_likelihood(words: list[str], known: Pieces, table: np.ndarray) -> np.ndarray:
     """Log of the summed segmentation probabilities: one row per word, one
     column per language.  ``table`` has a row per piece (0: unknown)."""
     out = np.zeros((len(words), table.shape[1]))
-    for part in _blocks(words):
-        lattice = Lattice([words[i] for i in part.tolist()], known)
+    for part in blocks(words):
+        lattice = Lattice([MARK + words[i] for i in part.tolist()], known)
         log = lattice.needs_logs(table)
         ahead = lattice.forward(table[lattice.number], log)[lattice.last]
         out[part] = ahead if log else np.log(ahead)
@@ -214,8 +127,8 @@ def expected_uses(words: list[str], language: np.ndarray, count: np.ndarray, kno
     segmentations of the words (each with its language and count)."""
     size, n_lang = table.shape
     uses = np.zeros(size * n_lang)
-    for part in _blocks(words):
-        lattice = Lattice([words[i] for i in part.tolist()], known)
+    for part in blocks(words):
+        lattice = Lattice([MARK + words[i] for i in part.tolist()], known)
         which = lattice.number * n_lang + language[part][lattice.word]
         p, log = table.reshape(-1)[which], lattice.needs_logs(table)
         ahead, back = lattice.forward(p, log), lattice.backward(p, log)

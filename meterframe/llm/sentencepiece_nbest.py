@@ -10,14 +10,15 @@ the N best.
 
 Where no piece contains two neighbouring characters, every segmentation has a
 border, so the lattice falls apart there.  A text is searched part by part,
-and the N best of the text are put together from the N best of its parts:
-another segmentation among the N best deviates only in parts whose second best
+and the N best of the text are put together from the N best of its words:
+another segmentation among the N best deviates only in words whose second best
 segmentation loses least.  That loss follows from Viterbi scores in both
 directions (the best path over any piece that the best segmentation does not
-use), so only the parts with the smallest losses are searched.
+use), so only the words with the smallest losses are searched.
 
-Workers remember words and parts in memory of fixed size (``_WORD_BYTES`` and
-``_PART_BYTES``); what is remembered changes no result.
+Best segmentations and losses of new words are found for whole blocks of words
+at once.  Workers remember words in memory of fixed size (``_WORD_BYTES``);
+what is remembered changes no result.
 
 A character that is no piece (and a mark that is in the text itself) is
 written as the model's byte pieces, at a penalty below every score, so that
@@ -43,10 +44,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import free_name
+from .piece_lattice import MARK, PieceLattice, Pieces, blocks
 
-MARK = "▁"
-_WORD_BYTES = 40 << 20     # memory for words that a worker remembers, about
-_PART_BYTES = 20 << 20     # and for parts
+_WORD_BYTES = 64 << 20     # memory for words that a worker remembers, about
+_SLICE = 1 << 20           # characters encoded together
 
 
 #: Stands for a mark in the text itself; a lone surrogate cannot occur in UTF-8.
@@ -65,6 +66,10 @@ class Lattice:
         self.longest = max(map(len, self.piece), default=1)
         self.unknown = min(self.score.values(), default=0.0) - 10.0
         self.joined = {p[i:i + 2] for p in self.piece for i in range(len(p) - 1)}
+        normal = [(p, i, s) for i, (p, s, kind) in enumerate(pieces) if kind == "normal"]
+        self.known = Pieces([p for p, _, _ in normal])
+        self.id_of = np.array([0, *(i for _, i, _ in normal)], np.int64)          # by the number of the piece, 0: unknown
+        self.scores = np.array([self.unknown, *(s for _, _, s in normal)])
         # score by prefix of a piece (None: no piece itself): a range that is none cannot grow into a piece
         self.grow: dict[str, float | None] = {p[:i]: None for p in self.piece for i in range(1, len(p) + 1)} | self.score
         # if no piece has a mark after another character, every mark begins a part
@@ -115,31 +120,59 @@ class Lattice:
         best[size] = max([s + b for _, s, b in arrive[size]])
         return arrive, best
 
-    def best(self, part: str) -> tuple[float, float, bytes]:
-        """The best segmentation of a part: its score, what the second best
-        loses (infinite if there is none), its ids."""
-        size = len(part)
-        if size == 1:
-            s = self.grow.get(part)
-            return self.unknown if s is None else s, math.inf, _ids(self.ids(part))
-        arrive, best = self.forward(part)
-        ids: list[int] = []
-        ahead = [-math.inf] * (size + 1)                  # best score from each place to the end
-        ahead[size] = 0.0
-        place, second, total = size, -math.inf, best[size]
-        for end in range(size, 0, -1):
-            gone, used = ahead[end], False
-            for i, s, b in arrive[end]:
-                if end == place and not used and s + b == best[end]:      # the best segmentation's piece
-                    used, back = True, i
-                elif b + s + gone > second:
-                    second = b + s + gone
-                if s + gone > ahead[i]:
-                    ahead[i] = s + gone
-            if used:
-                ids[:0] = self.ids(part[back:end])
-                place = back
-        return total, total - second, _ids(tuple(ids))
+    def best(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Of each word the score of its best segmentation, what the second best
+        loses (infinite if there is none) and the best one's ids."""
+        score, loss, ids = np.zeros(len(words)), np.full(len(words), np.inf), [b""] * len(words)
+        for part in blocks(words):
+            some = [words[i] for i in part.tolist()]
+            score[part], loss[part], out = self._best_of(some)
+            for i, x in zip(part.tolist(), out, strict=True):
+                ids[i] = x
+        return score, loss, ids
+
+    def _best_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        arcs = PieceLattice(words, self.known)
+        start, end, s = arcs.start, arcs.end, self.scores[arcs.number]
+        ahead, come = np.zeros(arcs.n_places), np.zeros(arcs.n_places, np.int64)     # best score up to a place, and its last arc
+        order, cuts, begins = _in_steps(arcs, end)
+        for lo, hi in cuts[1:]:
+            at, arc = np.flatnonzero(begins[lo:hi]), order[lo:hi]
+            x = ahead[start[arc]] + s[arc]
+            top = np.maximum.reduceat(x, at)
+            place = end[arc[at]]
+            ahead[place] = top
+            first = np.where(x == np.repeat(top, np.diff(np.append(at, hi - lo))), np.arange(hi - lo), hi - lo)
+            come[place] = arc[np.minimum.reduceat(first, at)]
+        back = np.zeros(arcs.n_places)                                                # best score from a place on
+        order, cuts, begins = _in_steps(arcs, start)
+        for lo, hi in cuts[::-1]:
+            if lo < hi:
+                at, arc = np.flatnonzero(begins[lo:hi]), order[lo:hi]
+                back[start[arc[at]]] = np.maximum.reduceat(s[arc] + back[end[arc]], at)
+        used = np.zeros(len(s), bool)
+        place = arcs.last[arcs.last > arcs.first]
+        while len(place):
+            arc = come[place]
+            used[arc] = True
+            place = start[arc]
+            place = place[place > arcs.first[arcs.word[arc]]]
+        total = ahead[arcs.last]
+        second = np.full(len(words), -np.inf)
+        np.maximum.at(second, arcs.word[~used], (ahead[start] + s + back[end])[~used])
+        path = np.flatnonzero(used)
+        path = path[np.argsort(start[path], kind="stable")]                          # word after word
+        piece = self.id_of[arcs.number[path]]
+        n = np.ones(len(path), np.int64)
+        odd = np.flatnonzero(arcs.number[path] == 0)                                 # characters that are no piece: their bytes
+        spelled = [self.ids(words[arcs.word[path[i]]][start[path[i]] - arcs.first[arcs.word[path[i]]]]) for i in odd.tolist()]
+        n[odd] = list(map(len, spelled))
+        ids, begin = np.repeat(piece, n).astype("<i4"), np.cumsum(n) - n
+        for i, x in zip(odd.tolist(), spelled, strict=True):
+            ids[begin[i]:begin[i] + n[i]] = x
+        cut = 4 * np.append(0, np.cumsum(np.bincount(arcs.word[path], weights=n, minlength=len(words)))).astype(np.int64)
+        raw = ids.tobytes()
+        return total, total - second, [raw[i:j] for i, j in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
 
     def n_best(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations of a part: score and ids, best first."""
@@ -200,20 +233,18 @@ _WORD = regex.compile(f"{MARK}+[^{MARK}]*").findall
 
 
 class Encoder:
-    """Encodes texts; remembers words and parts it has seen."""
+    """Encodes texts; remembers words it has seen."""
 
     def __init__(self, lattice: Lattice, n: int):
         self.lattice, self.n = lattice, n
         self._clear()
-        self.part_memo: dict[str, tuple[float, float, bytes]] = {}
-        self.part_bytes = 0
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
         self.best: list[bytes] = []                                    # ids of the best segmentation
-        self.score = np.zeros(1024)
-        self.loss = np.full(1024, np.inf)
-        self.texts = np.zeros(1024, np.int32)                          # texts that had the word
+        self.score = np.zeros(0)
+        self.loss = np.zeros(0)
+        self.texts = np.zeros(0, np.int32)                             # texts that had the word
         self.word_bytes = 0
 
     def _forget(self) -> None:
@@ -221,52 +252,43 @@ class Encoder:
         place, best, score, loss, texts = self.place, self.best, self.score, self.loss, self.texts
         self._clear()
         again = [(w, k) for w, k in place.items() if texts[k] > 1]
-        if 2 * len(again) > len(place):
-            return
-        for w, k in again:
-            self._remember(w, score[k], loss[k], best[k])
-
-    def _remember(self, word: str, score: float, loss: float, ids: bytes) -> None:
-        k = len(self.best)
-        if k == len(self.score):
-            self.score, self.texts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.score, self.texts))
-            self.loss = np.concatenate([self.loss, np.full(k, np.inf)])
-        self.place[word], self.score[k], self.loss[k] = k, score, loss
-        self.best.append(ids)
-        self.word_bytes += 220 + 5 * len(word)
-
-    def _part(self, part: str) -> tuple[float, float, bytes]:
-        got = self.part_memo.get(part)
-        if got is None:
-            got = self.lattice.best(part)
-            if self.part_bytes < _PART_BYTES:                          # common parts come early
-                self.part_memo[part] = got
-                self.part_bytes += 300 + 5 * len(part)
-        return got
-
-    def _learn(self, word: str) -> None:
-        parts = [self._part(p) for p in self.lattice.parts(word)]
-        self._remember(word, sum([s for s, *_ in parts]), min([x for _, x, _ in parts]),
-                       b"".join([x for *_, x in parts]))
+        if 2 * len(again) < len(place):
+            k = np.array([k for _, k in again], np.int64)
+            self._remember([w for w, _ in again], score[k], loss[k], [best[i] for i in k.tolist()])
+
+    def _remember(self, words: list[str], score: np.ndarray, loss: np.ndarray, ids: list[bytes]) -> None:
+        self.place.update(zip(words, range(len(self.best), len(self.best) + len(words)), strict=True))
+        self.best += ids
+        self.score, self.loss = np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
+        self.texts = np.concatenate([self.texts, np.zeros(len(words), np.int32)])
+        self.word_bytes += 250 * len(words) + 6 * sum(map(len, words))
 
     def _others(self, word: str) -> list[tuple[float, bytes]]:
         """(loss, ids) of the next best segmentations of a word."""
-        got = self.lattice.word_best(word, self.n)
-        return [(got[0][0] - s, _ids(x)) for s, x in got[1:]]
+        best = self.best[self.place[word]]
+        got = [(s, _ids(x)) for s, x in self.lattice.word_best(word, self.n)]
+        return [(got[0][0] - s, x) for s, x in got if x != best][:self.n - 1]
 
     def encode(self, text: str | None) -> list[tuple[float, bytes]]:
         """The ``n`` best segmentations of a text: score and ids (little-endian
         32-bit numbers), best first.  An empty text has one, the empty one."""
-        words = self.lattice.words(text or "")
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[list[tuple[float, bytes]]]:
         if self.word_bytes > _WORD_BYTES:
             self._forget()
-        for w in words:
-            if w not in self.place:
-                self._learn(w)
+        cut = [self.lattice.words(t or "") for t in texts]
+        place = self.place
+        new = list(dict.fromkeys(w for words in cut for w in words if w not in place))
+        if new:
+            self._remember(new, *self.lattice.best(new))
+        return [self._encode(words) for words in cut]
+
+    def _encode(self, words: list[str]) -> list[tuple[float, bytes]]:
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         self.texts[at] += 1
         total = float(self.score[at].sum())
-        ids = [self.best[k] for k in at.tolist()]
+        ids = list(map(self.best.__getitem__, at.tolist()))
         out = [(total, b"".join(ids))]
         # another segmentation of the text among the n best deviates only in
         # words whose smallest loss is among the n - 1 smallest
@@ -285,6 +307,15 @@ class Encoder:
         return out
 
 
+def _in_steps(arcs: PieceLattice, place: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """Arcs in order of (step of ``place`` in its word, word), the range of each
+    step, and where the next word begins."""
+    step = place - arcs.first[arcs.word]
+    order = np.argsort(step * len(arcs.first) + arcs.word, kind="stable")
+    cuts = np.searchsorted(step[order], np.arange(arcs.steps + 2)).tolist()
+    return order, list(zip(cuts[:-1], cuts[1:], strict=True)), np.diff(place[order], prepend=-1) != 0
+
+
 def _smallest(loss: np.ndarray, k: int) -> np.ndarray:
     """Places of the ``k`` smallest losses, the earlier one first on ties."""
     if k <= 0:
@@ -314,7 +345,7 @@ _cache: dict[tuple, Encoder] = {}
 
 
 def _encoder(pieces: list[tuple[str, float, str]], n: int) -> Encoder:
-    """Kept by the worker from task to task: a lattice and the memory for words and parts."""
+    """Kept by the worker from task to task: a lattice and the memory for words."""
     key = (n, len(pieces), hash(tuple(pieces)))
     if key not in _cache:
         _cache.clear()
@@ -335,10 +366,14 @@ def encode(docs: DataFrame, n: int = 3, path: str | None = None) -> DataFrame:
         encoder = _encoder(pieces.value, n)
         kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.binary())]))
         for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
-                got = [[{"score": s, "ids": x} for s, x in encoder.encode(t.as_py())] for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, kind)], names=[*b.schema.names, name])
+            texts = b.column("text").to_pylist()
+            size = np.cumsum([len(t or "") for t in texts])
+            cuts = np.unique(np.append(np.searchsorted(size, np.arange(0, size[-1] if len(size) else 0, _SLICE)), len(texts)))
+            for lo, hi in zip([0, *cuts.tolist()], cuts.tolist(), strict=False):
+                if lo < hi:
+                    got = [[{"score": s, "ids": x} for s, x in each] for each in encoder.encode_all(texts[lo:hi])]
+                    yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(got, kind)],
+                                                     names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
