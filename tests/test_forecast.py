@@ -239,7 +239,8 @@ def test_forecasting_queries_equal_their_sql(spark, name):
     import duckdb
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.sql(f"create view events as select * from '{sf}/events.parquet'")
+    for t in ("events", "lineitem"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got = forecast_jobs.queries()[name](spark, sf)
     want = con.sql(forecast_jobs.oracle_sql()[name])
     order = sorted(got.columns)
