@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +47,8 @@ from pyspark.sql import functions as F
 from .frames import free_name
 from .piece_lattice import MARK, PieceLattice, Pieces, blocks
 
-_WORD_BYTES = 64 << 20     # memory for words that a worker remembers, about
-_SLICE = 1 << 20           # characters encoded together
+_WORD_BYTES = 48 << 20     # memory for words that a worker remembers, about
+_SLICE = 1 << 19           # bytes of text encoded together
 
 
 #: Stands for a mark in the text itself; a lone surrogate cannot occur in UTF-8.
@@ -366,14 +367,14 @@ def encode(docs: DataFrame, n: int = 3, path: str | None = None) -> DataFrame:
         encoder = _encoder(pieces.value, n)
         kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.binary())]))
         for b in batches:
-            texts = b.column("text").to_pylist()
-            size = np.cumsum([len(t or "") for t in texts])
-            cuts = np.unique(np.append(np.searchsorted(size, np.arange(0, size[-1] if len(size) else 0, _SLICE)), len(texts)))
-            for lo, hi in zip([0, *cuts.tolist()], cuts.tolist(), strict=False):
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(), dtype=np.int64)
+            at = np.arange(0, int(size[-1]) + 1 if len(size) else 0, _SLICE)
+            cuts = np.unique(np.append(np.searchsorted(size, at), b.num_rows)).tolist()
+            for lo, hi in zip([0, *cuts], cuts, strict=False):
                 if lo < hi:
-                    got = [[{"score": s, "ids": x} for s, x in each] for each in encoder.encode_all(texts[lo:hi])]
-                    yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(got, kind)],
-                                                     names=[*b.schema.names, name])
+                    part = b.slice(lo, hi - lo)
+                    got = [[{"score": s, "ids": x} for s, x in each] for each in encoder.encode_all(part.column("text").to_pylist())]
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, kind)], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
