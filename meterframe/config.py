@@ -24,7 +24,10 @@ class SavePaths:
     metadata_path: str
     aggregate_hourly_path: str | None = None   # truly optional (T9)
     client_stats_path: str | None = None       # ours: per-series diagnostics
-    master_layout: str = "wide"                # ours: "wide" (one column per series) or "long"
+    master_layout: str = "wide"                # ours: "wide" (one column per series), "blocks" (column blocks) or "long"
+    client_list_path: str | None = None        # S12: ids of the active series, CSV
+    calendar_path: str | None = None           # S13: calendar columns of the hours, CSV
+    splits_path: str | None = None             # S13: long and blocked exports by split (needs splits)
     inline_lists: bool = True                  # ours: per-series lists in the metadata document;
                                                # if false they are in client_stats_path only
 
@@ -41,8 +44,11 @@ class PreprocessConfig:
     dst_policy: str = DST_POLICY
     inactive_filter: InactiveFilter = field(default_factory=InactiveFilter)
     step_seconds: int = 900
+    splits: dict | None = None                 # bounds of the splits: arguments of panel.SplitBounds
 
     def __post_init__(self):
+        if self.save.splits_path and not self.splits:
+            raise ValueError("splits_path needs splits")
         if self.target_definition != TARGET_DEFINITION:
             raise ValueError(f"unsupported target_definition {self.target_definition!r}; "
                              f"expected {TARGET_DEFINITION!r}")
@@ -50,7 +56,7 @@ class PreprocessConfig:
             raise ValueError(f"unsupported dst_policy {self.dst_policy!r}; expected {DST_POLICY!r}")
         if len(self.analysis_window) != 2:
             raise ValueError("analysis_window must be [start_day, end_day]")
-        if self.save.master_layout not in ("wide", "long"):
+        if self.save.master_layout not in ("wide", "blocks", "long"):
             raise ValueError(f"unknown master_layout {self.save.master_layout!r}")
         if not self.save.inline_lists and not self.save.client_stats_path:
             raise ValueError("inline_lists = false needs client_stats_path")

@@ -34,6 +34,22 @@ def long_to_wide(long: DataFrame, clients: list[str], value: str = Y,
             .agg(F.first(value, ignorenulls=True)))
 
 
+def long_to_blocks(long: DataFrame, numbers: DataFrame, block_size: int, value: str = Y, ts: str = TS,
+                   by: tuple[str, ...] = ()) -> DataFrame:
+    """R2 in blocks: (*by, ts, block, cells), ``cells`` being the values of the
+    block's series in order, NULL where there is none.  An hour has the
+    blocks that any of its rows is in.  One exchange; the plan does not grow
+    with the number of series."""
+    rows = long.join(numbers, CLIENT).select(*by, ts, "block", "place", F.col(value).alias("_v")).repartition(ts, "block")
+    one = rows.groupBy(*by, ts, "block", "place").agg(F.first("_v", ignorenulls=True).alias("_v"))
+    none = F.lit(None).cast(rows.schema["_v"].dataType)
+    got = one.groupBy(*by, ts, "block").agg(F.array_sort(F.collect_list(F.struct("place", "_v"))).alias("_e"))
+    dense = F.aggregate("_e", F.array().cast(f"array<{rows.schema['_v'].dataType.simpleString()}>"), lambda acc, e: F.concat(
+        acc, F.array_repeat(none, e["place"] - F.size(acc)), F.array(e["_v"])))
+    return got.withColumn("_d", dense).select(
+        *by, ts, "block", F.concat("_d", F.array_repeat(none, F.lit(block_size) - F.size("_d"))).alias("cells"))
+
+
 def to_edge_names(df: DataFrame) -> DataFrame:
     """Rename to ``unique_id, ds, y`` (forecasting-library convention)."""
     return df.withColumnsRenamed({k: v for k, v in EDGE_NAMES.items() if k in df.columns})

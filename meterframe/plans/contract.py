@@ -29,7 +29,7 @@ from ..operators import activity, aggregate, dst, evaluate, integrity, panel, re
 from ..operators.reshape import long_to_wide, wide_to_long
 from ..schema import CLIENT, MODEL, SPLIT, TS, Y, YHAT
 from ..session import checkpoint_dir
-from ..sources import sinks
+from ..sources import readers, sinks
 from ..sources.readers import readings_from_table, table
 
 
@@ -169,19 +169,72 @@ def q_s06_master_wide(spark, sf):
     sorted (lexicographic) order -- the reference's main output -- written by
     the sink and read back: one row per hour and column, missing cells too."""
     e = _e(spark, sf, materialize=True)
-    # the keep-list feeds both the pivot names and the semi join: computed once
-    active = activity.active_clients(e.stats).checkpoint()
+    # the keep-list feeds both the column names and the semi join: computed once
+    active = sinks.stored(activity.active_clients(e.stats), "active")
     names = [r[0] for r in active.orderBy(CLIENT).collect()]     # the columns of the wide table
     path = f"{checkpoint_dir(spark)}/s06-{uuid.uuid4().hex}"
-    # values are rounded in long form, before the pivot widens the row
+    # values are rounded in long form, before the row gets wide
     sinks.write_master_wide(_val(panel.select_clients(e.hourly, active)), names, path)
     wide = spark.read.parquet(path)
     if not names:
         return wide.select(F.col("timestamp").alias(TS), F.lit(0).alias("ordinal"), F.lit("").alias(CLIENT),
                            F.lit(0.0).alias(Y)).limit(0)
-    cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias(CLIENT), F.col(f"`{c}`").alias(Y))
-                      for i, c in enumerate(wide.columns) if i])
-    return wide.select(F.col("timestamp").alias(TS), F.explode(cells).alias("cell")).select(TS, "cell.*")
+    back = [c for c in wide.columns if c != "timestamp"]
+    listed = F.split(F.lit("\x1f".join(back)), "\x1f")
+    cells = wide.select(F.col("timestamp").alias(TS), F.posexplode(F.array(*[F.col(f"`{c}`") for c in back])).alias("_i", Y))
+    return cells.select(TS, (F.col("_i") + 1).alias("ordinal"), F.get(listed, F.col("_i")).alias(CLIENT), Y)
+
+
+def q_s06_master_blocks(spark, sf):
+    """The same master in column blocks, read back through its manifest."""
+    e = _e(spark, sf, materialize=True)
+    active = sinks.stored(activity.active_clients(e.stats), "active")
+    path = f"{checkpoint_dir(spark)}/s06-{uuid.uuid4().hex}"
+    sinks.write_master_blocks(_val(panel.select_clients(e.hourly, active)), active, path, block_size=16)
+    return readers.read_master_blocks(spark, path).where(F.col(Y).isNotNull())
+
+
+def q_s01_wide_text(spark, sf):
+    """All readings by hour as wide text, one line per hour, read back by the lenient reader."""
+    e = _e(spark, sf, materialize=True)
+    path = f"{checkpoint_dir(spark)}/s01-{uuid.uuid4().hex}"
+    header = sinks.write_wide_text(e.hourly, e.readings.select(CLIENT), path)
+    return _val(readers.read_wide_text(spark, path, header=header))
+
+
+def q_s13_split_blocks(spark, sf):
+    """The split exports written by executors and read back: rows and values by split and series."""
+    e = _e(spark, sf, materialize=True)
+    base = f"{checkpoint_dir(spark)}/s13-{uuid.uuid4().hex}"
+    sinks.write_split_exports(panel.assign_splits(e.hourly, P.bounds), e.readings.select(CLIENT), base)
+    values, names = spark.read.parquet(f"{base}/wide/values"), spark.read.parquet(f"{base}/wide/manifest")
+    cells = values.select(SPLIT, "block", F.posexplode("cells").alias("place", Y)).join(names, ["block", "place"])
+    wide = cells.groupBy(SPLIT, CLIENT).agg(F.count(Y).alias("n_wide"), F.sum(F.col(Y).cast("double")).alias("total"))
+    long = spark.read.parquet(f"{base}/long").groupBy(SPLIT, CLIENT).agg(F.count(Y).alias("n_long"))
+    return wide.join(long, [SPLIT, CLIENT]).select(SPLIT, CLIENT, "n_long", "n_wide", r4("total").alias("total"))
+
+
+def q_s13_calendar(spark, sf):
+    """The calendar export as CSV, read back."""
+    e = _e(spark, sf)
+    path = f"{checkpoint_dir(spark)}/s13-{uuid.uuid4().hex}"
+    sinks.write_calendar(e.spine, path)
+    kinds = ", ".join(f"{c} double" for c in CALENDAR_COLS)
+    back = spark.read.option("header", True).schema(f"timestamp timestamp_ntz, {kinds}").csv(path)
+    return back.select(F.col("timestamp").alias(TS), *[r6(c).alias(c) for c in CALENDAR_COLS])
+
+
+def q_s08_metadata_lists(spark, sf):
+    """The per-series lists of a metadata document written from executors, parsed back from the text."""
+    e = _e(spark, sf, materialize=True)
+    stats = sinks.stored(e.stats, "client-stats")
+    path = f"{checkpoint_dir(spark)}/s08-{uuid.uuid4().hex}.json"
+    sinks.write_metadata(spark, {"active": None, "first": None}, path, {
+        "active": stats.where("active").select(CLIENT), "first": activity.first_nonzero_text(stats).select(CLIENT, "first_nonzero")})
+    doc = spark.read.text(path, wholetext=True).select(
+        F.from_json("value", "active array<string>, first map<string, string>").alias("d")).select("d.*")
+    first = doc.select(F.explode("first").alias(CLIENT, "first_nonzero"), "active")
+    return first.select(CLIENT, "first_nonzero", F.array_contains("active", F.col(CLIENT)).alias("active"))
 
 
 def q_a08_incomplete_days(spark, sf):
@@ -625,6 +678,23 @@ from (select distinct ts from act) h
 cross join (select client_id, cast(row_number() over (order by client_id) as integer) as ordinal
             from stats where status = 'active') n
 left join act a on a.ts = h.ts and a.client_id = n.client_id"""
+    q["s06_master_blocks"] = f"""with {_e_act()}
+select client_id, ts, {_r('y')} as y from hourly where y is not null and client_id in (select client_id from stats where status = 'active')"""
+    q["s01_wide_text"] = f"""with {_prep_ctes(E_RAW)}
+select c.client_id, h.ts, {_r('a.y')} as y from (select distinct ts from hourly) h cross join clients c
+left join hourly a on a.ts = h.ts and a.client_id = c.client_id"""
+    q["s13_split_blocks"] = f"""with {_prep_ctes(E_RAW)}, sp as (select *, {_splits_sql()} as split from hourly)
+select split, client_id, count(y) as n_long, count(y) as n_wide, {_r('sum(cast(y as double))')} as total from sp
+where split is not null group by 1, 2"""
+    q["s13_calendar"] = f"""with {_prep_ctes(E_RAW)}
+select ts, {_r('sin(2 * pi() * hour(ts) / 24)', 6)} as hour_sin, {_r('cos(2 * pi() * hour(ts) / 24)', 6)} as hour_cos,
+  {_r('sin(2 * pi() * (isodow(ts) - 1) / 7)', 6)} as dow_sin, {_r('cos(2 * pi() * (isodow(ts) - 1) / 7)', 6)} as dow_cos,
+  {_r('case when isodow(ts) >= 6 then 1.0 else 0.0 end', 6)} as is_weekend,
+  {_r('sin(2 * pi() * month(ts) / 12)', 6)} as month_sin, {_r('cos(2 * pi() * month(ts) / 12)', 6)} as month_cos from spine"""
+    q["s08_metadata_lists"] = f"""with {_e_act()}
+select s.client_id, f.first_nonzero, s.status = 'active' as active from stats s join (
+  select c.client_id, strftime(min(h.ts) filter (where h.y <> 0), '%Y-%m-%d %H:%M:%S') as first_nonzero
+  from clients c left join hourly h on h.client_id = c.client_id group by c.client_id) f using (client_id)"""
     q["a08_incomplete_days"] = f"""with {_prep_ctes(L_RAW)}
 select strftime(cast(ts as date), '%Y-%m-%d') as date, count(*) as hours from spine
 group by cast(ts as date) having count(*) <> 24"""

@@ -10,9 +10,9 @@ Run as ``spark-submit run_job.py preprocess --config config.json``
 3. write wide master (S6), aggregate (S7), metadata (S8)
 
 The de-duplicated readings and the per-series statistics are reused by
-several actions, so their lineage is cut by writing them to the checkpoint
-folder the cluster names in ``spark.checkpoint.dir`` (``checkpoint()``,
-which survives the loss of executors).
+several actions, so they are written as Parquet to the folder the cluster
+names in ``spark.checkpoint.dir``: the lineage is cut, the loss of executors
+repeats one stage, and readers still get column pruning.
 """
 
 from __future__ import annotations
@@ -38,14 +38,14 @@ def prepare(spark: SparkSession, cfg: PreprocessConfig, raw: DataFrame | None =
         size_shuffles(spark, [cfg.input_path], expansion=3.0)
         raw = read_wide_text(spark, cfg.input_path, cfg.sep, cfg.decimal)
     raw = panel.analysis_window(raw, *cfg.analysis_window)
-    readings = resample.dedupe_mean(raw).checkpoint()
+    readings = sinks.stored(resample.dedupe_mean(raw), "readings")
     report = integrity.integrity_report(readings, cfg.step_seconds, raw=raw).first().asDict()
     clients = readings.select(CLIENT).distinct()
     n_clients = report["clients"]
 
     # the hourly panel feeds the activity statistics, the master and the
     # aggregate: written once instead of re-aggregated per output
-    hourly_all = resample.hourly_mean(readings, dedupe=False).checkpoint()
+    hourly_all = sinks.stored(resample.hourly_mean(readings, dedupe=False), "hourly")
     lo, hi = resample.time_bounds(readings, hourly=True)
     dates = dst.transition_dates(spark, lo.date(), hi.date(), cfg.timezone)
     dates = sorted(r["day"] for r in dates.collect())   # two per year at most
@@ -53,8 +53,8 @@ def prepare(spark: SparkSession, cfg: PreprocessConfig, raw: DataFrame | None =
     hourly = dst.drop_days(hourly_all, dates)
     spine = dst.drop_days(resample.hour_spine(hourly_all, lo, hi), dates)
     f = cfg.inactive_filter
-    stats = activity.activity_stats(hourly, clients, lo, hi, dates, f.nonzero_rate_min,
-                                    f.max_consecutive_zeros_hours_max).checkpoint()
+    stats = sinks.stored(activity.activity_stats(hourly, clients, lo, hi, dates, f.nonzero_rate_min,
+                                                 f.max_consecutive_zeros_hours_max), "client-stats")
     active = activity.active_clients(stats)
     hourly_active = hourly.join(active, CLIENT, "left_semi")
     return dict(raw=raw, readings=readings, report=report, clients=clients, hourly=hourly,
@@ -62,18 +62,20 @@ def prepare(spark: SparkSession, cfg: PreprocessConfig, raw: DataFrame | None =
                 dates=dates, snapshot=snapshot, lo=lo, hi=hi)
 
 
-def metadata_document(cfg: PreprocessConfig, st: dict) -> dict:
-    """The metadata document (S8).  Its per-series lists are part of the
-    published form; a configuration with ``inline_lists = false`` has them in
-    the client statistics data set only (NULL in the document)."""
+def series_lists(cfg: PreprocessConfig, st: dict) -> dict[str, DataFrame]:
+    """The per-series entries of the metadata document (S8), as DataFrames; a
+    configuration with ``inline_lists = false`` has them in the client
+    statistics data set only (NULL in the document)."""
+    if not cfg.save.inline_lists:
+        return {}
     stats = st["stats"]
+    return {"active_clients": stats.where("active").select(CLIENT), "dropped_clients": stats.where("not active").select(CLIENT),
+            "first_nonzero_timestamp": activity.first_nonzero_text(stats).select(CLIENT, "first_nonzero")}
+
+
+def metadata_document(cfg: PreprocessConfig, st: dict) -> dict:
+    """The metadata document (S8) without its per-series entries."""
     active = dropped = first_nz = None
-    if cfg.save.inline_lists:
-        rows = (stats.select(CLIENT, "active").join(activity.first_nonzero_text(stats), CLIENT)
-                .orderBy(CLIENT).collect())
-        active = [r[CLIENT] for r in rows if r["active"]]
-        dropped = [r[CLIENT] for r in rows if not r["active"]]
-        first_nz = {r[CLIENT]: r["first_nonzero"] for r in rows}
     bad_days = [r["date"] for r in activity.incomplete_days(st["spine"]).orderBy("date").collect()]
     rep = {k: st["report"][k] for k in ("rows", "clients", "start", "end",
                                          "duplicate_timestamps", "non_15m_intervals")}
@@ -106,12 +108,19 @@ def run_preprocess(spark: SparkSession, cfg: PreprocessConfig, raw: DataFrame |
     n_active = st["active"].count()
     if cfg.save.master_layout == "long":
         sinks.write_master_long(st["hourly_active"], cfg.save.master_wide_hourly_path)
+    elif cfg.save.master_layout == "blocks":
+        sinks.write_master_blocks(st["hourly_active"], st["active"], cfg.save.master_wide_hourly_path)
     else:
-        names = doc["active_clients"]
-        if names is None:
-            names = [r[0] for r in st["active"].orderBy(CLIENT).collect()]   # the table's columns
+        names = [r[0] for r in st["active"].orderBy(CLIENT).toLocalIterator()]   # the table's columns
         sinks.write_master_wide(st["hourly_active"], names, cfg.save.master_wide_hourly_path)
-    sinks.write_metadata(spark, doc, cfg.save.metadata_path)
+    sinks.write_metadata(spark, doc, cfg.save.metadata_path, series_lists(cfg, st))
+    if cfg.save.client_list_path:
+        sinks.write_client_list(st["active"], cfg.save.client_list_path)
+    if cfg.save.calendar_path:
+        sinks.write_calendar(st["spine"], cfg.save.calendar_path)
+    if cfg.save.splits_path:
+        split = panel.assign_splits(st["hourly_active"], panel.SplitBounds(**cfg.splits))
+        sinks.write_split_exports(split, st["active"], cfg.save.splits_path)
     if cfg.save.aggregate_hourly_path:
         agg = aggregate.aggregate_load(st["hourly"], st["spine"], keep=st["active"])
         sinks.write_aggregate(agg, cfg.save.aggregate_hourly_path)

@@ -10,6 +10,7 @@ import pytest
 
 from meterframe.config import PreprocessConfig, load_config
 from meterframe.plans.preprocess import run_preprocess, summary_text
+from meterframe.sources.readers import read_master_blocks
 from meterframe.sources.sinks import read_text_file
 
 
@@ -85,6 +86,31 @@ def test_layout_and_lists_are_configured(spark, tmp_path):
         load_config(_config(tmp_path, "x", master_layout="tall"))
 
 
+def test_job_writes_blocks_splits_calendar_and_client_list(spark, tmp_path):
+    out = tmp_path / "out"
+    path = _config(tmp_path, _house_text(tmp_path), aggregate=False, master_layout="blocks", splits_path=str(out / "splits"),
+                   client_list_path=str(out / "clients"), calendar_path=str(out / "calendar"))
+    d = json.loads(Path(path).read_text())
+    d["splits"] = {"train_end": "2013-06-10 11:00:00", "val_start": "2013-06-10 12:00:00", "val_end": "2013-06-10 23:00:00",
+                   "test_start": "2013-06-11 00:00:00"}
+    Path(path).write_text(json.dumps(d))
+    cfg = load_config(path)
+    assert run_preprocess(spark, cfg)["master"] == {"hours": 48, "series": 2}
+    long = read_master_blocks(spark, cfg.save.master_wide_hourly_path)
+    at = {(r.client_id, str(r.ts)): r.y for r in long.collect()}
+    assert at["roof", "2013-06-10 12:00:00"] == 3.5 and {c for c, _ in at} == {"pump", "roof"}
+    assert sorted(r[0] for r in spark.read.option("header", True).csv(str(out / "clients")).collect()) == ["pump", "roof"]
+    calendar = spark.read.option("header", True).csv(str(out / "calendar"))
+    assert calendar.count() == 48 and calendar.columns[0] == "timestamp" and "hour_sin" in calendar.columns
+    rows = {r["split"]: r["count"] for r in spark.read.parquet(str(out / "splits" / "long")).groupBy("split").count().collect()}
+    assert rows == {"train": 24, "validation": 24, "test": 48}
+    parts = spark.read.parquet(str(out / "splits" / "wide" / "values")).where("split = 'test'")
+    assert parts.count() == 24 and "PartitionFilters: [isnotnull(split" in parts._jdf.queryExecution().executedPlan().toString()
+    d["splits"] = None
+    with pytest.raises(ValueError):
+        PreprocessConfig.from_dict(d)
+
+
 def test_documented_command_from_another_folder(tmp_path):
     """The launcher starts its own session, wherever it is called from."""
     cfg = _config(tmp_path, _house_text(tmp_path))

@@ -1,12 +1,13 @@
 """Sources and sinks read back."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
 from conftest import readings
 from meterframe.operators import reshape
-from meterframe.sources import sinks
+from meterframe.sources import readers, sinks
 from meterframe.sources.readers import client_ids, read_long_csv, read_master_wide
 
 
@@ -80,3 +81,68 @@ def test_bucketed_master_avoids_shuffle(spark):
         assert "Exchange" not in plan, plan
     assert lb.count() == 21
     spark.sql("DROP TABLE IF EXISTS mf_master_bucketed")
+
+
+def _texts(spark, tmp_path, name, text):
+    p = tmp_path / name
+    p.write_bytes(text.encode())
+    return str(p)
+
+
+def test_wide_text_of_50000_series_has_a_small_plan(spark, tmp_path):
+    n = 50_000
+    lines = [";".join(['""', *(f'"MT_{i:05d}"' for i in range(n))])]
+    for h in range(3):
+        lines.append(";".join([f'"2011-01-01 {h:02d}:00:00"', *(f"{i % 7},{h}" for i in range(n))]))
+    df = readers.read_wide_text(spark, _texts(spark, tmp_path, "wide.txt", "\n".join(lines) + "\n"))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 1 and plan.output().size() == 3
+    assert df.count() == 3 * n
+    got = df.where("client_id in ('MT_00000', 'MT_00013', 'MT_49999')").collect()
+    assert {(r.client_id, r.ts.hour): round(r.y, 1) for r in got} == {
+        (c, h): round(v + h / 10, 1) for c, v in (("MT_00000", 0), ("MT_00013", 6), ("MT_49999", 49_999 % 7)) for h in range(3)}
+
+
+def test_wide_text_lines_of_any_shape(spark, tmp_path):
+    text = "when;a;b\r\n2011-01-01 00:00:00;1,5;x\r\n\r\nbad;1;2\r\n2011-01-01 01:00:00;2\r\n2011-01-01 02:00:00;3;4;5\r\n"
+    path = _texts(spark, tmp_path, "odd.txt", text)
+    got = {(r.client_id, r.ts.hour): r.y for r in readers.read_wide_text(spark, path).collect()}
+    assert got == {("a", 0): 1.5, ("b", 0): None, ("a", 1): 2.0, ("b", 1): None, ("a", 2): 3.0, ("b", 2): 4.0}
+    assert readers.read_wide_text(spark, path, decimal=".").where("y = 1.5").count() == 0
+    assert readers.read_wide_text(spark, _texts(spark, tmp_path, "empty.txt", "")).count() == 0
+    assert readers.read_wide_text(spark, _texts(spark, tmp_path, "head.txt", "when;a\n")).count() == 0
+    pipes = _texts(spark, tmp_path, "pipes.txt", "when|a\n2011-01-01 00:00:00|7\n")
+    assert [r.y for r in readers.read_wide_text(spark, pipes, sep="|").collect()] == [7.0]
+
+
+def test_blocks_and_wide_table_hold_the_same(spark, tmp_path):
+    names = [f"S{i:04d}" for i in range(600)]                       # three blocks of 256
+    rows = [(n, f"2011-01-01 {h:02d}:00", float(i + h)) for i, n in enumerate(names) for h in range(3) if (i + h) % 5]
+    r = readings(spark, [*rows, ("S0001", "2011-01-01 04:00", None)])
+    clients = spark.createDataFrame([(n,) for n in names], "client_id string")
+    sinks.write_master_blocks(r, clients, str(tmp_path / "blocks"))
+    manifest = spark.read.parquet(str(tmp_path / "blocks" / "manifest")).orderBy("ordinal").collect()
+    assert [(m.client_id, m.block, m.place) for m in manifest] == [(n, i // 256, i % 256) for i, n in enumerate(names)]
+    back = readers.read_master_blocks(spark, str(tmp_path / "blocks")).where("y is not null")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, r.where("y is not null").collect()))
+    sinks.write_master_wide(r, names[::-1], str(tmp_path / "wide"))
+    wide = spark.read.parquet(str(tmp_path / "wide"))
+    assert wide.columns == ["timestamp", *names[::-1]] and wide.count() == 4
+    row = wide.where("hour(timestamp) = 2").first()
+    assert [row[n] for n in names] == [float(i + 2) if (i + 2) % 5 else None for i in range(600)]
+    header = sinks.write_wide_text(r, clients, str(tmp_path / "text"))
+    text = readers.read_wide_text(spark, str(tmp_path / "text"), header=header).where("y is not null")
+    assert sorted(map(tuple, text.collect())) == sorted(map(tuple, r.where("y is not null").collect()))
+
+
+def test_metadata_is_the_document_dumped_as_a_whole(spark, tmp_path):
+    ids = ['b"x', "a", "ü\\", "z"]
+    first = {"a": "2011", 'b"x': None, "ü\\": "x", "z": ""}
+    doc = {"k": 1, "active": None, "first": None, "none": None, "end": [1]}
+    path = str(tmp_path / "new" / "meta.json")
+    sinks.write_metadata(spark, doc, path, {
+        "active": spark.createDataFrame([(i,) for i in ids], "client_id string"),
+        "first": spark.createDataFrame(list(first.items()), "client_id string, f string"),
+        "none": spark.createDataFrame([], "client_id string")})
+    want = doc | {"active": sorted(ids), "first": dict(sorted(first.items())), "none": []}
+    assert sinks.read_text_file(spark, path) == json.dumps(want, ensure_ascii=False, indent=2)
