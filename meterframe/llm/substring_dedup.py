@@ -182,12 +182,19 @@ def remove_repeated(docs: DataFrame, window: int = 35, phrase: int = 8, digest:
             shard = b.column("shard").to_numpy()
             for lo, hi in blocks(b.column("text")):
                 r = Runs(words(b.column("text").slice(lo, hi - lo), SPACE_WORDS), window, phrase)
-                yield pa.RecordBatch.from_arrays([_signed(r.anchor), pa.array(shard[lo + r.doc])],
-                                                 names=["a", "shard"])
-
-    found = materialize(rows.select("shard", "text").mapInArrow(anchors, "a long, shard int"), "anchors")
-    twice = found.groupBy("a").agg(F.count("*").alias("n")).where("n >= 2").select("a")
-    wanted = found.join(twice, "a").select("shard", "a").distinct()
+                at = shard[lo + r.doc]
+                order = np.lexsort((at, r.anchor))
+                a, at = r.anchor[order], at[order]
+                first = np.flatnonzero((np.diff(a, prepend=a[:1] + U64(1)) != 0) | (np.diff(at, prepend=-1) != 0))
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(a[first]), pa.array(at[first]), pa.array(np.diff(np.append(first, len(a))))],
+                    names=["a", "shard", "n"])
+
+    # an anchor is one row per shard, however often it occurs there
+    found = materialize(rows.select("shard", "text").mapInArrow(anchors, "a long, shard int, n long")
+                        .groupBy("a", "shard").agg(F.sum("n").alias("n")), "anchors")
+    twice = found.groupBy("a").agg(F.sum("n").alias("n")).where("n >= 2").select("a")
+    wanted = found.join(twice, "a").select("shard", "a")
 
     # documents travel as compressed blocks, one per batch and shard
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
