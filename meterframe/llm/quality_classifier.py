@@ -36,7 +36,6 @@ class Settings:
     bits: int = 17            # 2**bits feature buckets
     dim: int = 16             # vector length
     max_rows: int = 4000      # labelled rows used for training, at most
-    max_features: int = 2000  # distinct features of one training row used per gradient step, at most
     epochs: int = 12
     rate: float = 0.5
     seed: int = 7
@@ -134,9 +133,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", settings:
             if lo == hi:
                 continue
             f, c = ids[lo:hi], counts[lo:hi].astype(np.float32)
-            if hi - lo > s.max_features:
-                pick = rng.choice(hi - lo, s.max_features, replace=False)
-                f, c = f[pick], c[pick]
             c /= c.sum()
             doc = c @ emb[f]
             z = out @ doc + bias
