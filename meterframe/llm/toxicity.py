@@ -39,7 +39,6 @@ class Settings:
     grades: int = 3          # grades above 0
     max_rows: int = 6000     # labelled rows used for fitting, at most
     significance: float = 3.5  # standard errors by which a word's log-odds must exceed 0
-    features: int = 1024     # selected words, at most
     steps: int = 2000
     rate: float = 0.1
     decay: float = 1e-6
@@ -111,7 +110,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     odds = np.log((hit + 0.5) / (n1 - hit + 0.5)) - np.log((miss + 0.5) / (n0 - miss + 0.5))
     error = np.sqrt(1 / (hit + 0.5) + 1 / (n1 - hit + 0.5) + 1 / (miss + 0.5) + 1 / (n0 - miss + 0.5))
     strong = np.flatnonzero((hit >= 3) & (odds > s.significance * error))
-    strong = strong[np.argsort(-(odds / error)[strong], kind="stable")][:s.features]
     if not len(strong):
         return none
     place = np.full(size, -1)
