@@ -14,6 +14,7 @@ replaced by another model.  Rows without series id or time belong to no series.
 from __future__ import annotations
 
 import ast
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
@@ -110,17 +111,23 @@ def fitted(history: DataFrame, model: str) -> DataFrame:
     return name.fitted(history).select(F.lit(model).alias(MODEL), CLIENT, TS, YHAT)
 
 
+def _moment(x) -> dt.datetime:
+    return dt.datetime.fromisoformat(x) if isinstance(x, str) else x
+
+
 def future_axis(history: DataFrame, hours: int | None = None, until=None) -> DataFrame:
     """per series the hours after its last history hour: ``hours`` of
     them (horizon by count, as the reference) or up to ``until`` (by span).
     Generated per series with ``sequence`` (no join)."""
-    last = spread(history.groupBy(CLIENT).agg(F.max(TS).alias("_last")))
+    last = history.groupBy(CLIENT).agg(F.max(TS).alias("_last"))
     start = F.col("_last") + _hour()
     if until is not None:
         end = ntz_lit(until)
+        earliest = last.agg(F.min("_last")).first()[0]
+        hours = 0 if earliest is None else (_moment(until) - earliest).total_seconds() // 3600
     else:
         end = F.col("_last") + F.make_interval(hours=F.lit(int(hours)))
-    return (last.where(end >= start)
+    return (spread(last, hours).where(end >= start)
             .select(CLIENT, F.explode(F.sequence(start, end, _hour())).alias(TS)))
 
 

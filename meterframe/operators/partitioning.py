@@ -1,13 +1,11 @@
-"""Partitioning helpers for steps whose cost is not proportional to their
-shuffle bytes.
-
-Adaptive execution merges shuffle partitions by size.  That is right for
-most stages but wrong in two places of this library: a table of series ids
-that is then exploded into one row per (series, hour), and a per-series
-Python fit.  Both read a few bytes per series and then produce or spend a lot,
-so a merged partition would run the whole expansion or every fit in one
-task.  ``spread`` hash-partitions by series over all cores with an explicit
-count, which adaptive execution does not merge.
+"""Partitioning for steps whose cost is not proportional to their shuffle bytes.
+
+Adaptive execution merges shuffle partitions by size.  That is wrong for a
+table of series ids that is then exploded into one row per (series, hour): a
+few bytes per series become thousands of rows, so a merged partition would run
+the whole expansion in one task.  ``spread`` counts the rows and deals them
+out by what they grow into, so the number of tasks follows the data, whatever
+the number of cores.
 """
 
 from __future__ import annotations
@@ -15,24 +13,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..schema import CLIENT
+from ..session import stored
+
+ROWS_PER_TASK = 100_000
+
 
+def spread(df: DataFrame, expansion: int, key: str = CLIENT) -> DataFrame:
+    """``df``, hash-partitioned by ``key`` so that a task has about
+    ``ROWS_PER_TASK`` rows once each row has become ``expansion`` rows.
 
-def spread(df: DataFrame, key: str = CLIENT, per_core: int = 3) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` into ``per_core`` x cores partitions.
-
-    A multiple of the core count, so the tasks run in even waves.  The count
-    differs from ``spark.sql.shuffle.partitions``: a repartition equal to the
-    child's existing hash partitioning is dropped as redundant, and that
-    upstream exchange is one adaptive execution may merge.  A later grouping
-    or window on ``key`` reuses this partitioning (no new exchange).
-    """
-    spark = df.sparkSession
-    try:
-        cores = max(1, spark.sparkContext.defaultParallelism)
-    except Exception:  # noqa: BLE001 - no SparkContext on a Spark Connect client
-        cores = max(1, int(spark.conf.get("spark.default.parallelism",
-                                          spark.conf.get("spark.sql.shuffle.partitions"))))
-    n = cores * per_core
-    if n == int(spark.conf.get("spark.sql.shuffle.partitions")):
-        n += cores
+    ``df`` (a row per series) is written once, counted, and dealt out with an
+    explicit number of partitions, which adaptive execution does not merge.  The
+    number differs from ``spark.sql.shuffle.partitions``: a repartition equal
+    to an existing hash partitioning would be dropped as redundant."""
+    df = stored(df, "spread")
+    n = max(1, -(-df.count() * max(1, int(expansion)) // ROWS_PER_TASK))
+    if n == int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        n += 1
     return df.repartition(n, key)

@@ -60,7 +60,7 @@ def series_axis(clients: DataFrame, spine: DataFrame, lo, hi) -> DataFrame:
     with ``sequence`` (a generator, not a cross join); hours missing from the
     spine (removed days) are removed with a semi join on the spine, whose size
     is the number of hours in the range."""
-    ids = spread(clients.select(CLIENT).distinct())
+    ids = spread(clients.select(CLIENT).distinct(), (hi - lo).total_seconds() // 3600 + 1)
     axis = ids.select(CLIENT, F.explode(hour_sequence(
         ntz_lit(lo), ntz_lit(hi))).alias(TS))
     return axis.join(spine.select(TS), TS, "left_semi")

@@ -18,15 +18,7 @@ from ..functions.calendar import with_calendar
 from ..operators.panel import sort_by_series
 from ..operators.reshape import long_to_blocks
 from ..schema import CLIENT, SPLIT, TS, Y
-from ..session import checkpoint_dir
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared checkpoint folder and read back:
-    the lineage is cut, and readers still get column and partition pruning."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..session import checkpoint_dir, stored
 
 
 def write_partitions(df: DataFrame, path: str, *by: str) -> None:

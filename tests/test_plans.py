@@ -37,3 +37,14 @@ def test_entry_smoke(spark):
     assert df.columns == ["ts", "aggregate_hourly_kW"]
     assert df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_tasks_of_an_expansion_follow_the_data(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from meterframe.operators import partitioning
+    monkeypatch.setattr(partitioning, "ROWS_PER_TASK", 1000)
+    of = lambda n: spark.range(n).select(F.col("id").cast("string").alias("client_id"))
+    tasks = [partitioning.spread(of(n), 100).rdd.getNumPartitions() for n in (5, 50, 500)]
+    assert tasks == [1, 5, 50]
+    assert partitioning.spread(of(0), 100).count() == 0
