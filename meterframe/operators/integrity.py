@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timefns import ts_text
 from ..schema import CLIENT, TS
+from ..session import stored
 from .ordered import previous_in_order
 
 DAY_MICROS = 86_400 * 1_000_000
@@ -36,32 +37,35 @@ def integrity_report(readings: DataFrame, step_seconds: int = 900,
     """A4 as one row.
 
     ``rows`` counts distinct timestamps (rows of the wide table), ``clients``
-    distinct series.  ``duplicate_timestamps`` is counted after duplicates
-    were averaged, like the reference, hence 0; ``raw_duplicate_readings`` is
-    ours and counts extra readings of a (series, timestamp) in ``raw``.
+    distinct series.  ``duplicate_timestamps`` is counted on the time axis after
+    duplicates were averaged, like the reference, so it is 0;
+    ``raw_duplicate_readings`` is ours and counts extra readings of a (series,
+    timestamp) in ``raw``.  The readings are read twice: for their
+    (series, time) pairs, and for their series.
     """
-    axis = readings.select(TS).distinct()
-    bounds = axis.agg(F.count(F.lit(1)).alias("rows"),
-                      F.min(TS).alias("lo"), F.max(TS).alias("hi"))
-    n_clients = readings.agg(F.count_distinct(CLIENT).alias("clients"))
+    source = readings if raw is None else raw              # averaging duplicates keeps the (series, time) pairs
+    keys = source.groupBy(CLIENT, TS).agg(F.count(F.lit(1)).alias("n"))
+    # one row per timestamp, read by all figures but the number of series
+    axis = stored(keys.groupBy(TS).agg(F.sum(F.col("n") - 1).alias("extra")), "axis")
+    bounds = axis.agg(F.count(F.lit(1)).alias("rows"), F.min(TS).alias("lo"), F.max(TS).alias("hi"),
+                      (F.count(F.lit(1)) - F.count_distinct(TS)).alias("duplicates"),
+                      F.coalesce(F.sum("extra"), F.lit(0)).alias("raw_duplicate_readings"))
+    n_clients = source.agg(F.count_distinct(CLIENT).alias("clients"))
     irregular = irregular_steps(axis, step_seconds).agg(
         F.count(F.lit(1)).alias("non_step_intervals"))
-    dup_src = raw if raw is not None else readings
-    dups = dup_src.groupBy(CLIENT, TS).agg(F.count(F.lit(1)).alias("n")).agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("raw_duplicate_readings"))
-    # four one-row aggregates combined by a union and one global aggregate
+    # one-row aggregates combined by a union and one global aggregate
     # (no join, hence no cartesian product in the plan)
-    parts = [bounds, n_clients, irregular, dups]
+    parts = [bounds, n_clients, irregular]
     rep = parts[0]
     for d in parts[1:]:
         rep = rep.unionByName(d, allowMissingColumns=True)
-    cols = ["rows", "lo", "hi", "clients", "non_step_intervals", "raw_duplicate_readings"]
+    cols = ["rows", "lo", "hi", "clients", "duplicates", "non_step_intervals", "raw_duplicate_readings"]
     rep = rep.agg(*[F.max(c).alias(c) for c in cols])
     return rep.select(
         F.col("rows").cast("long").alias("rows"),
         F.col("clients").cast("long").alias("clients"),
         ts_text("lo").alias("start"),
         ts_text("hi").alias("end"),
-        F.lit(0).cast("long").alias("duplicate_timestamps"),
+        F.col("duplicates").cast("long").alias("duplicate_timestamps"),
         F.col("non_step_intervals").cast("long").alias("non_15m_intervals"),
         F.col("raw_duplicate_readings").cast("long").alias("raw_duplicate_readings"))
