@@ -36,6 +36,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -280,7 +281,7 @@ class Encoder:
             self._forget()
         cut = [self.lattice.words(t or "") for t in texts]
         place = self.place
-        new = list(dict.fromkeys(w for words in cut for w in words if w not in place))
+        new = [w for w in set(chain.from_iterable(cut)) if w not in place]
         if new:
             self._remember(new, *self.lattice.best(new))
         return [self._encode(words) for words in cut]
