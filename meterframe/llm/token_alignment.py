@@ -280,7 +280,7 @@ class Units:
             self._forget()
         cut = [self.tokens.units(t) for t in texts]
         place = self.place
-        new = list(dict.fromkeys(u for units in cut for u in units if u not in place))
+        new = [u for u in set(chain.from_iterable(cut)) if u not in place]
         if new:
             self._learn(new)
         at = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
@@ -294,7 +294,7 @@ class Units:
         return at, first
 
     def _learn(self, new: list[str]) -> None:
-        odd = [u for u in new if u[0].isspace() or u[-1].isspace() or "▁" in u]
+        odd = [u for u in new if "▁" in u or not u.strip() == u]
         if odd and len(odd) < len(new):
             self._learn(odd)
             new = [u for u in new if u not in self.place]
