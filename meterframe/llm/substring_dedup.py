@@ -41,7 +41,7 @@ from .frames import materialize
 from .lexer import SPACE_WORDS, U64, Words, blocks, mix, phrase_hash, powers, words
 
 #: Bytes of text in one shard, on average; bounds what one task holds.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 _SEGMENT = 1 << 22                      # windows whose anchors are searched at a time
 _POS_BITS = 24
 #: Words of one automaton, at most (one code point stands for a word).
