@@ -22,6 +22,9 @@ falls in the join.  The bitmap is the only thing sent to all tasks.
 Defined results: NULL and empty texts have no words and no hits; an item
 without words has no window; equal windows of several items count for each;
 repeated rows are counted once each in the result.
+Texts of any length are
+read whole; empty tables give empty results or leave every document; further
+columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations

@@ -15,6 +15,9 @@ is therefore one pass with a table of ``2**bits`` numbers.
 Defined results: NULL and empty texts have no features and get the bias's
 score; repeated rows are scored alike; a document with several labels takes
 the larger one; without labelled rows every score is 0.5.
+Texts of any length
+are scored whole; an empty table gives an empty result; clashing columns keep
+their values, the operator's own gets underscores.
 """
 
 from __future__ import annotations

@@ -14,6 +14,9 @@ expression, so no word ever crosses a shuffle.
 Defined results: NULL and empty texts have 0 words and fail ``few_words``;
 a document with fewer than three words has no window; rows are answered one
 by one, so repeated rows repeat their result.
+Texts of any length are measured
+whole; an empty table gives an empty ledger; further columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations

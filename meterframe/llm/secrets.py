@@ -18,6 +18,9 @@ of the credentials and of the ordinary strings alike; nothing is sampled.
 Defined results: NULL and empty texts have no spans; spans are in code points,
 end exclusive; repeated rows repeat their result; without labelled credentials
 only the base patterns count.
+Texts of any length are scanned whole; an empty
+table gives an empty result; columns that clash with the operator's keep their
+values, its own get underscores.
 """
 
 from __future__ import annotations

@@ -15,6 +15,9 @@ fingerprints as a ball has points, and no pair list is ever expanded.
 Defined results: a text without words has fingerprint zero and is linked like
 any other; repeated rows share fingerprint and class; the class id is the
 smallest ``doc_id`` of the class (NULL ids are ignored unless all are NULL).
+Texts of
+any length are fingerprinted whole; an empty table gives an empty result; further
+columns, whatever their names, are kept by :func:`deduplicate`.
 """
 
 from __future__ import annotations

@@ -24,6 +24,8 @@ or window); the automata compare the words themselves.
 Defined results: NULL and empty texts have no words; documents shorter than a
 window keep everything; repeated rows are separate documents, so their
 windows recur.
+Texts of any length are searched whole; an empty table gives an
+empty result; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -25,6 +25,8 @@ pairwise as a scan, so its count does not depend on where it was cut.
 Defined results: NULL and empty texts have 0 tokens; special tokens of the
 file occurring in a text count as one token each (the library's default);
 repeated rows repeat their result.
+Texts of any length are counted whole; an empty
+table gives an empty result; further columns, whatever their names, are no matter.
 """
 
 from __future__ import annotations

@@ -17,6 +17,9 @@ bucket.
 Defined results: NULL and empty texts have no features and the thresholds'
 probabilities; repeated rows are scored alike; a document with several labels
 takes the larger one; without labelled rows of both kinds all severities are 0.
+Texts of any length
+are scored whole; an empty table gives an empty result; clashing columns keep
+their values, the operator's own gets underscores.
 """
 
 from __future__ import annotations
