@@ -80,18 +80,18 @@ class Prepared:
     def __init__(self, readings: DataFrame, tz: str, rate_min: float, run_max: int,
                  materialize: bool = False):
         self.readings = readings
-        self.hourly_all = resample.hourly_mean(readings)
+        self.hourly_all, source = resample.hourly_mean(readings), readings
         if materialize:
-            # read by both the activity statistics and the output: written
-            # once to the checkpoint folder instead of scanning the raw table
-            # and shuffling it twice per branch
-            self.hourly_all = self.hourly_all.checkpoint()
-        self.lo, self.hi = resample.time_bounds(readings, hourly=True)
+            # read by the statistics and the outputs: written once, so that
+            # the raw table is scanned once; bounds and series come from it too
+            self.hourly_all = source = sinks.stored(self.hourly_all, "hourly")
+        self.clients = source.select(CLIENT)
+        self.lo, self.hi = resample.time_bounds(source, hourly=True)
         self.dates = dst.transition_dates_for(readings, tz, bounds=(self.lo, self.hi))
         self.hourly = dst.drop_days(self.hourly_all, self.dates)
         self.spine = dst.drop_days(resample.hour_spine(readings, self.lo, self.hi), self.dates)
         self.stats = activity.activity_stats(
-            self.hourly, readings.select(CLIENT), self.lo, self.hi, self.dates, rate_min, run_max)
+            self.hourly, self.clients, self.lo, self.hi, self.dates, rate_min, run_max)
 
 
 def _e(spark, sf, materialize: bool = False) -> Prepared:
@@ -198,7 +198,7 @@ def q_s01_wide_text(spark, sf):
     """All readings by hour as wide text, one line per hour, read back by the lenient reader."""
     e = _e(spark, sf, materialize=True)
     path = f"{checkpoint_dir(spark)}/s01-{uuid.uuid4().hex}"
-    header = sinks.write_wide_text(e.hourly, e.readings.select(CLIENT), path)
+    header = sinks.write_wide_text(e.hourly, e.clients, path)
     return _val(readers.read_wide_text(spark, path, header=header))
 
 
@@ -206,7 +206,7 @@ def q_s13_split_blocks(spark, sf):
     """The split exports written by executors and read back: rows and values by split and series."""
     e = _e(spark, sf, materialize=True)
     base = f"{checkpoint_dir(spark)}/s13-{uuid.uuid4().hex}"
-    sinks.write_split_exports(panel.assign_splits(e.hourly, P.bounds), e.readings.select(CLIENT), base)
+    sinks.write_split_exports(panel.assign_splits(e.hourly, P.bounds), e.clients, base)
     values, names = spark.read.parquet(f"{base}/wide/values"), spark.read.parquet(f"{base}/wide/manifest")
     cells = values.select(SPLIT, "block", F.posexplode("cells").alias("place", Y)).join(names, ["block", "place"])
     wide = cells.groupBy(SPLIT, CLIENT).agg(F.count(Y).alias("n_wide"), F.sum(F.col(Y).cast("double")).alias("total"))

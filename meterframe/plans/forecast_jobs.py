@@ -28,8 +28,8 @@ def forecast_panel(spark, sf) -> DataFrame:
     """The split panel, written once to the checkpoint folder: every phase,
     horizon count and score reads it, and a lost executor does not send the
     job back to the raw table."""
-    e = _e(spark, sf)
-    dense = resample.densify(e.hourly, e.spine, e.readings.select(CLIENT), e.lo, e.hi)
+    e = _e(spark, sf, materialize=True)
+    dense = resample.densify(e.hourly, e.spine, e.clients, e.lo, e.hi)
     dense = dense.withColumn(Y, F.coalesce(F.col(Y), F.lit(0.0)).cast("float"))
     return stored(panel.assign_splits(dense, P.bounds), "forecast-panel")
 

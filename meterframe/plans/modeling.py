@@ -58,7 +58,7 @@ def run_model(spark: SparkSession, panel_df: DataFrame, model: str, out: str | N
     checkpoint_dir(spark)
     if clients is not None:
         panel_df = panel.select_clients(panel_df, clients)
-    split = panel.assign_splits(panel_df.select(CLIENT, TS, Y), bounds).checkpoint()
+    split = sinks.stored(panel.assign_splits(panel_df.select(CLIENT, TS, Y), bounds), "panel")
     part = {n: split.where(F.col(SPLIT) == n).select(CLIENT, TS, Y) for n in ("train", "validation", "test")}
     present = {r[0] for r in split.select(SPLIT).distinct().collect()}      # at most three
     missing = [n for n in part if n not in present]
