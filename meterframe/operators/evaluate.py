@@ -14,19 +14,28 @@ from pyspark.sql import functions as F
 from ..functions.numeric import nan_to_null, round_half_up
 from ..schema import CLIENT, MODEL, TS, Y, YHAT
 from .panel import drop_incomplete
+from .partitioning import matched
 
 OVERALL = "OVERALL"
 
 
-def scored(actuals: DataFrame, preds: DataFrame, keys=(CLIENT, TS)) -> DataFrame:
-    """Only (series, time) pairs present on both sides are scored."""
-    return actuals.join(preds, list(keys), "inner")
+def _paired(actuals: DataFrame, preds: DataFrame, keys: list[str], how: str, generated: bool) -> DataFrame:
+    return matched(actuals, preds, keys, how) if generated else actuals.join(preds, keys, how)
 
 
-def in_sample_pairs(train: DataFrame, fitted: DataFrame) -> DataFrame:
+def scored(actuals: DataFrame, preds: DataFrame, keys=(CLIENT, TS), generated: bool = False) -> DataFrame:
+    """Only (series, time) pairs present on both sides are scored.
+
+    Here and below ``generated`` says that the predictions come out of model
+    tables: then both sides are dealt out by the rows of ``actuals`` (counted),
+    and never broadcast."""
+    return _paired(actuals, preds, list(keys), "inner", generated)
+
+
+def in_sample_pairs(train: DataFrame, fitted: DataFrame, generated: bool = False) -> DataFrame:
     """Train left-joined with in-sample fitted values, then rows with a
     missing side dropped (P12)."""
-    return drop_incomplete(train.join(fitted, [CLIENT, TS], "left"), [Y, YHAT])
+    return drop_incomplete(_paired(train, fitted, [CLIENT, TS], "left", generated), [Y, YHAT])
 
 
 def _partial_sums(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,9 +83,9 @@ def metrics_table(pairs: DataFrame, null_safe: bool = True, digits: int | None =
 
 
 def metrics_by_model(actuals: DataFrame, preds: DataFrame, null_safe: bool = True,
-                     digits: int | None = None, how: str = "inner") -> DataFrame:
+                     digits: int | None = None, how: str = "inner", generated: bool = False) -> DataFrame:
     """Per model and series, plus OVERALL per model."""
-    pairs = actuals.select(CLIENT, TS, Y).join(preds, [CLIENT, TS], how)
+    pairs = _paired(actuals.select(CLIENT, TS, Y), preds, [CLIENT, TS], how, generated)
     return metrics_table(pairs, null_safe, digits, by_model=True)
 
 

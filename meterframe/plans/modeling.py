@@ -73,7 +73,7 @@ def run_model(spark: SparkSession, panel_df: DataFrame, model: str, out: str | N
             p = global_model.rolling_forecast(w, hist, target.select(CLIENT, TS), input_size, chunk,
                                               variant=rolling)
             preds.append(p.withColumn("phase", F.lit(phase)))
-            pairs = evaluate.scored(target, p.drop("model"))
+            pairs = evaluate.scored(target, p.drop("model"), generated=True)
             mets.append(evaluate.metrics_table(pairs, null_safe=False, digits=4).withColumn("phase", F.lit(phase)))
         proxy = global_model.in_sample_proxy(w, part["train"], panel.horizon(part["validation"]),
                                              input_size, chunk)
