@@ -62,3 +62,10 @@ def test_metadata_entries_are_read_line_by_line(spark, tmp_path):
     got = readers.read_metadata_entries(spark, path)
     assert {r["name"]: r["value"] for r in got.where("keyed").collect()} == first
     assert sorted(r["name"] for r in got.where("not keyed").collect()) == sorted(first)
+
+
+def test_additive_sums_in_short_aggregates(spark, panel):
+    """One aggregate of all products of the columns is too long to be compiled."""
+    from meterframe.forecast import additive
+    plan = additive.fit(panel)._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("sum(") for line in plan.splitlines()) < 40
