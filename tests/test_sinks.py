@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from conftest import readings
@@ -146,3 +147,49 @@ def test_metadata_is_the_document_dumped_as_a_whole(spark, tmp_path):
         "none": spark.createDataFrame([], "client_id string")})
     want = doc | {"active": sorted(ids), "first": dict(sorted(first.items())), "none": []}
     assert sinks.read_text_file(spark, path) == json.dumps(want, ensure_ascii=False, indent=2)
+
+
+def test_wide_table_in_files_of_a_week_without_dictionaries(spark, tmp_path):
+    """A task of the writer holds little for a column: no dictionary, no generated code, and one writer a week."""
+    names = ["a", "b.c", "d`e", "{f}", "${g}"]
+    start = dt.datetime(2011, 1, 1)
+    rows = [(n, str(start + dt.timedelta(hours=h)), float(h % 5 + i)) for h in range(400) for i, n in enumerate(names) if (h + i) % 3]
+    key = "spark.sql.codegen.factoryMode"
+    before = spark.conf.get(key, None)
+    sinks.write_master_wide(readings(spark, rows), names, str(tmp_path / "w"))
+    assert spark.conf.get(key, None) == before
+    files = [pq.ParquetFile(f) for f in (tmp_path / "w").glob("*.parquet")]
+    assert len(files) == 3
+    assert not any(f.metadata.row_group(0).column(i).has_dictionary_page for f in files for i in range(1, 6))
+    spans = sorted((min(t), max(t)) for t in (f.read(["timestamp"])["timestamp"].to_pylist() for f in files))
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    cells = readers.read_wide_cells(spark, str(tmp_path / "w")).collect()
+    assert len(cells) == 400 * 5 and {(r.ordinal, r.client_id) for r in cells} == set(enumerate(names, 1))
+    assert sorted((r.client_id, str(r.ts), r.y) for r in cells if r.y is not None) == sorted(rows)
+
+
+def test_wide_table_is_read_in_groups_of_columns(spark, tmp_path, monkeypatch):
+    """No scan of the read-back has buffers for more columns than a group has."""
+    names = [f"S{i:03d}" for i in range(100)]
+    rows = [(n, f"2011-01-01 {h:02d}:00:00", float(i + h)) for i, n in enumerate(names) for h in range(3) if (i + h) % 5]
+    sinks.write_master_wide(readings(spark, rows), names, str(tmp_path / "w"))
+    monkeypatch.setattr(readers, "WIDE_GROUP", 30, raising=False)
+    back = read_master_wide(spark, str(tmp_path / "w"))
+    scans = [leaf.output().size() for leaf in _leaves(back)]
+    assert len(scans) == 4 and max(scans) <= 31
+    assert back.count() == 300
+    assert sorted((r.client_id, str(r.ts), r.y) for r in back.where("y is not null").collect()) == sorted(rows)
+    cells = readers.read_wide_cells(spark, str(tmp_path / "w")).where("hour(ts) = 1").orderBy("ordinal").collect()
+    assert [(r.ordinal, r.client_id) for r in cells] == list(enumerate(names, 1))
+
+
+def _leaves(df):
+    found = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_wide_table_without_series(spark, tmp_path):
+    sinks.write_master_wide(_r(spark).limit(0), [], str(tmp_path / "w"))
+    back = readers.read_wide_cells(spark, str(tmp_path / "w"))
+    assert back.dtypes == [("ts", "timestamp_ntz"), ("ordinal", "int"), ("client_id", "string"), ("y", "double")]
+    assert back.count() == 0
