@@ -79,10 +79,10 @@ class Words:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets (starting at 0) of a string column; NULL is empty."""
+    """Bytes and offsets (starting at 0) of a string or binary column; NULL is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None and len(column) \

@@ -94,6 +94,56 @@ class PieceLattice:
         self.n_places = len(codes)
 
 
+class PieceGrid:
+    """The pieces in a block of words, place by place: the first places of all
+    words, then their second ones, and so on.
+
+    Words stand in order of length, the longest first, so that the words that
+    have a place are the first ones at every place, and a step of any search
+    over the pieces is an operation on whole stretches.  Place ``p`` of word
+    ``w`` is ``at[p] + w``, for the first ``reach[p]`` words."""
+
+    def __init__(self, text: str, size: np.ndarray, known: Pieces):
+        """``text``: the words, each with one more character after it, which
+        only keeps the places apart."""
+        self.first = np.cumsum(size + 1) - (size + 1)                   # first place of a word in the text
+        self.reach = np.searchsorted(-size, -np.arange(int(size[0]) + 1), "right")
+        self.at = np.cumsum(self.reach) - self.reach
+        word = np.repeat(np.arange(len(size)), size + 1)
+        step = np.arange(len(word)) - self.first[word]
+        spot = self.at[step] + word
+        codes = np.empty(len(word), U64)
+        codes[spot] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + U64(1)
+        more = np.zeros(len(word), bool)                                # places before a character
+        more[spot] = step < size[word]
+        after = np.empty(len(word), np.int64)
+        after[spot[:-1]] = spot[1:]
+        step = np.repeat(np.arange(len(self.reach)), self.reach)
+        live = end = np.flatnonzero(more)
+        rolling = codes[live]
+        found, some = [], []
+        for n in range(1, known.longest + 1):
+            number = known.lookup(rolling)
+            piece = number > 0 if n > 1 else np.ones(len(live), bool)   # a single character that is no piece is unknown
+            start = live[piece]
+            found.append((start, np.maximum(number[piece], 0)))
+            some.append(np.zeros(len(self.reach), bool))
+            some[-1][step[start]] = True
+            end = after[end]
+            on = np.flatnonzero((number >= 0) & more[end])
+            if not len(on):
+                break
+            live, end = live[on], end[on]
+            rolling = rolling[on] * _K + codes[end]
+        #: number of the piece of n + 1 characters at each place, -1 if there is none
+        self.number = np.full((len(found), len(codes)), -1, np.int32)
+        for n, (start, number) in enumerate(found):
+            self.number[n, start] = number
+        self.found = found
+        #: steps and lengths of pieces that any word has there, in this order
+        self.steps = [(p, n + 1) for p, n in np.argwhere(np.array(some).T).tolist()]
+
+
 def blocks(words: list[str]) -> Iterator[np.ndarray]:
     """Places of words in order of length, longest first, in blocks of about
     ``BLOCK`` characters."""

@@ -17,8 +17,10 @@ directions (the best path over any piece that the best segmentation does not
 use), so only the words with the smallest losses are searched.
 
 Best segmentations and losses of new words are found for whole blocks of words
-at once.  Workers remember words in memory of fixed size (``_WORD_BYTES``);
-what is remembered changes no result.
+at once, place by place in all words of a block.  Texts are taken apart and put
+together as arrays, a slice of the column at a time.  Workers remember words,
+and the searches of words, in memory of fixed size (``_WORD_BYTES``), those used
+most for the longest time; what is remembered changes no result.
 
 A character that is no piece (and a mark that is in the text itself) is
 written as the model's byte pieces, at a penalty below every score, so that
@@ -36,20 +38,19 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import free_name
-from .piece_lattice import MARK, PieceLattice, Pieces, blocks
+from .lexer import buffers
+from .piece_lattice import MARK, PieceGrid, Pieces, blocks
 
-_WORD_BYTES = 48 << 20     # memory for words that a worker remembers, about
-_SLICE = 1 << 19           # bytes of text encoded together
+_WORD_BYTES = 32 << 20     # memory for words that a worker remembers, about
+_SLICE = 1 << 19           # bytes of text, or of ids, worked on together
 
 
 #: Stands for a mark in the text itself; a lone surrogate cannot occur in UTF-8.
@@ -77,12 +78,23 @@ class Lattice:
         # if no piece has a mark after another character, every mark begins a part
         self.marks_begin = all(x[0] == MARK for x in self.joined if x[1] == MARK)
 
-    def words(self, text: str) -> list[str]:
-        """The text in the lattice's form, cut before marks where that is exact."""
-        if not text:
-            return []
-        text = MARK + text.replace(MARK, _OWN_MARK).replace(" ", MARK)
-        return _WORD(text) if self.marks_begin else [text]
+    def words(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The words of texts, a space put in front of each text, cut before
+        runs of spaces where that is exact; the first one of each text, and the
+        total at the end."""
+        data, offsets = buffers(texts)
+        begin = offsets[:-1][np.diff(offsets) > 0]
+        data = np.insert(data, begin, 0x20)
+        begin = begin + np.arange(len(begin))
+        offsets = offsets + np.append(0, np.cumsum(np.diff(offsets) > 0))
+        if self.marks_begin:
+            cut = data == 0x20
+            cut[1:] &= data[:-1] != 0x20
+            cut[begin] = True
+            begin = np.flatnonzero(cut)
+        words = pa.LargeStringArray.from_buffers(
+            len(begin), pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data))
+        return words.dictionary_encode(), np.searchsorted(begin, offsets)
 
     def parts(self, text: str) -> list[str]:
         """The text cut between characters that no piece joins."""
@@ -122,59 +134,66 @@ class Lattice:
         best[size] = max([s + b for _, s, b in arrive[size]])
         return arrive, best
 
-    def best(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Of each word the score of its best segmentation, what the second best
-        loses (infinite if there is none) and the best one's ids."""
-        score, loss, ids = np.zeros(len(words)), np.full(len(words), np.inf), [b""] * len(words)
+    def best(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word (as texts have it) the score of its best segmentation, what the second best
+        loses (infinite if there is none), and where the best one's ids begin
+        and how many they are in the last array."""
+        score, loss = np.zeros(len(words)), np.zeros(len(words))
+        begin, size, ids, done = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [np.zeros(0, np.int32)], 0
         for part in blocks(words):
-            some = [words[i] for i in part.tolist()]
-            score[part], loss[part], out = self._best_of(some)
-            for i, x in zip(part.tolist(), out, strict=True):
-                ids[i] = x
-        return score, loss, ids
-
-    def _best_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        arcs = PieceLattice(words, self.known)
-        start, end, s = arcs.start, arcs.end, self.scores[arcs.number]
-        ahead, come = np.zeros(arcs.n_places), np.zeros(arcs.n_places, np.int64)     # best score up to a place, and its last arc
-        order, cuts, begins = _in_steps(arcs, end)
-        for lo, hi in cuts[1:]:
-            at, arc = np.flatnonzero(begins[lo:hi]), order[lo:hi]
-            x = ahead[start[arc]] + s[arc]
-            top = np.maximum.reduceat(x, at)
-            place = end[arc[at]]
-            ahead[place] = top
-            first = np.where(x == np.repeat(top, np.diff(np.append(at, hi - lo))), np.arange(hi - lo), hi - lo)
-            come[place] = arc[np.minimum.reduceat(first, at)]
-        back = np.zeros(arcs.n_places)                                                # best score from a place on
-        order, cuts, begins = _in_steps(arcs, start)
-        for lo, hi in cuts[::-1]:
-            if lo < hi:
-                at, arc = np.flatnonzero(begins[lo:hi]), order[lo:hi]
-                back[start[arc[at]]] = np.maximum.reduceat(s[arc] + back[end[arc]], at)
-        used = np.zeros(len(s), bool)
-        place = arcs.last[arcs.last > arcs.first]
-        while len(place):
-            arc = come[place]
-            used[arc] = True
-            place = start[arc]
-            place = place[place > arcs.first[arcs.word[arc]]]
-        total = ahead[arcs.last]
-        second = np.full(len(words), -np.inf)
-        np.maximum.at(second, arcs.word[~used], (ahead[start] + s + back[end])[~used])
-        path = np.flatnonzero(used)
-        path = path[np.argsort(start[path], kind="stable")]                          # word after word
-        piece = self.id_of[arcs.number[path]]
-        n = np.ones(len(path), np.int64)
-        odd = np.flatnonzero(arcs.number[path] == 0)                                 # characters that are no piece: their bytes
-        spelled = [self.ids(words[arcs.word[path[i]]][start[path[i]] - arcs.first[arcs.word[path[i]]]]) for i in odd.tolist()]
-        n[odd] = list(map(len, spelled))
-        ids, begin = np.repeat(piece, n).astype("<i4"), np.cumsum(n) - n
+            score[part], loss[part], size[part], got = self._best_of([words[i] for i in part.tolist()])
+            begin[part] = done + np.cumsum(size[part]) - size[part]
+            done += len(got)
+            ids.append(got)
+        return score, loss, begin, size, np.concatenate(ids)
+
+    def _best_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        text, size = _form(" ".join(words) + " "), np.fromiter(map(len, words), np.int64, len(words))
+        grid = PieceGrid(text, size, self.known)
+        at, reach = grid.at.tolist(), grid.reach.tolist()
+        s = np.full(grid.number.shape, -np.inf)                                       # score of the piece of each length at a place
+        for n, (start, number) in enumerate(grid.found):
+            s[n, start] = self.scores[number]
+        ahead, come = np.full(s.shape[1], -np.inf), np.zeros(s.shape[1], np.int64)    # best score up to a place, and its last piece's length
+        ahead[:len(words)] = 0
+        for p, n in grid.steps:
+            k = reach[p + n]
+            x, top = ahead[at[p]:at[p] + k] + s[n - 1, at[p]:at[p] + k], ahead[at[p + n]:at[p + n] + k]
+            better = x >= top                                                         # of equal ones, the shortest piece
+            np.copyto(top, x, where=better)
+            np.copyto(come[at[p + n]:at[p + n] + k], n, where=better)
+        word, step = np.arange(len(words)), size
+        path = []
+        while len(word):
+            n = come[grid.at[step] + word]
+            step = step - n
+            path.append((word, step, n))
+            word, step = word[step > 0], step[step > 0]
+        word, step, n = (np.concatenate(x) for x in zip(*path, strict=True))
+        used = (n - 1, grid.at[step] + word)
+        other = s.copy()                                                              # of pieces that the best path does not use
+        other[used] = -np.inf
+        last = grid.at[size] + np.arange(len(words))
+        back, second = np.full(s.shape[1], -np.inf), np.full(len(words), -np.inf)     # best score from a place on, and over another piece
+        back[last] = 0
+        for p, n in reversed(grid.steps):
+            k = reach[p + n]
+            here, rest = slice(at[p], at[p] + k), back[at[p + n]:at[p + n] + k]
+            np.maximum(back[here], s[n - 1, here] + rest, out=back[here])
+            np.maximum(second[:k], ahead[here] + other[n - 1, here] + rest, out=second[:k])
+        number = np.full(len(text), -1, np.int32)                                # of the pieces, where they begin in the text
+        number[grid.first[word] + step] = grid.number[used]
+        begin = np.flatnonzero(number >= 0)
+        piece = number[begin]
+        many = np.ones(len(piece), np.int64)
+        odd = np.flatnonzero(piece == 0)                                              # characters that are no piece: their bytes
+        spelled = [self.ids(text[i]) for i in begin[odd].tolist()]
+        many[odd] = list(map(len, spelled))
+        ids, to = np.repeat(self.id_of[piece], many).astype(np.int32), np.cumsum(many) - many
         for i, x in zip(odd.tolist(), spelled, strict=True):
-            ids[begin[i]:begin[i] + n[i]] = x
-        cut = 4 * np.append(0, np.cumsum(np.bincount(arcs.word[path], weights=n, minlength=len(words)))).astype(np.int64)
-        raw = ids.tobytes()
-        return total, total - second, [raw[i:j] for i, j in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
+            ids[to[i]:to[i] + many[i]] = x
+        of = np.repeat(np.arange(len(words)), np.bincount(word, minlength=len(words)))
+        return ahead[last], ahead[last] - second, np.bincount(of, weights=many, minlength=len(words)).astype(np.int64), ids
 
     def n_best(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations of a part: score and ids, best first."""
@@ -231,9 +250,6 @@ def _decode(raw: list[bytes], ids) -> str:
     return b"".join(map(raw.__getitem__, ids))[1:].decode("utf-8")
 
 
-_WORD = regex.compile(f"{MARK}+[^{MARK}]*").findall
-
-
 class Encoder:
     """Encodes texts; remembers words it has seen."""
 
@@ -242,80 +258,109 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.best: list[bytes] = []                                    # ids of the best segmentation
+        self.place: dict[str, int] = {}                                # by the word as the text has it
         self.score = np.zeros(0)
         self.loss = np.zeros(0)
-        self.texts = np.zeros(0, np.int32)                             # texts that had the word
+        self.uses = np.zeros(0, np.int64)
+        self.begin = np.zeros(0, np.int64)                             # the best segmentation's in ``ids``
+        self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<i4")
+        self.others: dict[int, list[tuple[float, bytes]]] = {}
         self.word_bytes = 0
 
     def _forget(self) -> None:
-        """Keep the words that more than one text had, if they fill less than half the memory."""
-        place, best, score, loss, texts = self.place, self.best, self.score, self.loss, self.texts
+        """Keep the words used most, half of them at most and none used once; older uses count half."""
+        words, k = list(self.place), np.flatnonzero(self.uses > 1)
+        k = np.sort(k[np.argsort(-self.uses[k], kind="stable")[:len(words) // 2]])
+        got = self.score[k], self.loss[k], self.begin[k], self.size[k], self.ids
+        uses = self.uses[k] // 2
         self._clear()
-        again = [(w, k) for w, k in place.items() if texts[k] > 1]
-        if 2 * len(again) < len(place):
-            k = np.array([k for _, k in again], np.int64)
-            self._remember([w for w, _ in again], score[k], loss[k], [best[i] for i in k.tolist()])
-
-    def _remember(self, words: list[str], score: np.ndarray, loss: np.ndarray, ids: list[bytes]) -> None:
-        self.place.update(zip(words, range(len(self.best), len(self.best) + len(words)), strict=True))
-        self.best += ids
-        self.score, self.loss = np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
-        self.texts = np.concatenate([self.texts, np.zeros(len(words), np.int32)])
-        self.word_bytes += 250 * len(words) + 6 * sum(map(len, words))
+        if len(k):
+            self._remember([words[i] for i in k.tolist()], *got)
+            self.uses = uses
+
+    def _remember(self, words: list[str], score: np.ndarray, loss: np.ndarray, begin: np.ndarray, size: np.ndarray,
+                  ids: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        add = lambda old, new: np.concatenate([old, new])
+        self.score, self.loss, self.size = add(self.score, score), add(self.loss, loss), add(self.size, size)
+        self.uses = add(self.uses, np.zeros(len(words), np.int64))
+        self.begin = add(self.begin, len(self.ids) + np.cumsum(size) - size)
+        self.ids = add(self.ids, ids[_stretches(begin, size)])
+        self.word_bytes += 220 * len(words) + 2 * sum(map(len, words)) + 4 * int(size.sum())
 
     def _others(self, word: str) -> list[tuple[float, bytes]]:
         """(loss, ids) of the next best segmentations of a word."""
-        best = self.best[self.place[word]]
-        got = [(s, _ids(x)) for s, x in self.lattice.word_best(word, self.n)]
-        return [(got[0][0] - s, x) for s, x in got if x != best][:self.n - 1]
+        k = self.place[word]
+        if k not in self.others:
+            best = self.ids[self.begin[k]:self.begin[k] + self.size[k]].tobytes()
+            got = [(s, _ids(x)) for s, x in self.lattice.word_best(_form(word), self.n)]
+            self.others[k] = [(got[0][0] - s, x) for s, x in got if x != best][:self.n - 1]
+            self.word_bytes += 150 + sum(150 + len(x) for _, x in self.others[k])
+        return self.others[k]
 
     def encode(self, text: str | None) -> list[tuple[float, bytes]]:
         """The ``n`` best segmentations of a text: score and ids (little-endian
         32-bit numbers), best first.  An empty text has one, the empty one."""
-        return self.encode_all([text])[0]
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
-    def encode_all(self, texts: list[str | None]) -> list[list[tuple[float, bytes]]]:
+    def encode_all(self, texts: pa.Array) -> list[list[tuple[float, bytes]]]:
         if self.word_bytes > _WORD_BYTES:
             self._forget()
-        cut = [self.lattice.words(t or "") for t in texts]
+        words, first = self.lattice.words(texts)
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         place = self.place
-        new = [w for w in set(chain.from_iterable(cut)) if w not in place]
+        new = [w for w in distinct if w not in place]
         if new:
             self._remember(new, *self.lattice.best(new))
-        return [self._encode(words) for words in cut]
-
-    def _encode(self, words: list[str]) -> list[tuple[float, bytes]]:
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        self.texts[at] += 1
-        total = float(self.score[at].sum())
-        ids = list(map(self.best.__getitem__, at.tolist()))
-        out = [(total, b"".join(ids))]
-        # another segmentation of the text among the n best deviates only in
-        # words whose smallest loss is among the n - 1 smallest
-        loss = self.loss[at]
+        known = np.fromiter(map(place.__getitem__, distinct), np.int64, len(distinct))
+        which = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.uses[known] += np.bincount(which, minlength=len(distinct))
+        at = known[which]
+        size = self.size[at]
+        cut = np.append(0, np.cumsum(size)) * 4
+        ids = self.ids[_stretches(self.begin[at], size)].tobytes()
+        score, loss = self.score[at], self.loss[at]
+        out = []
+        for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            few = self._few(loss[lo:hi])
+            others = [self._others(distinct[which[lo + i]]) for i in few]
+            out.append(self._best_of(float(score[lo:hi].sum()), ids[cut[lo]:cut[hi]], others,
+                                     [(int(cut[lo + i] - cut[lo]), int(cut[lo + i + 1] - cut[lo])) for i in few]))
+        return out
+
+    def _few(self, loss: np.ndarray) -> list[int]:
+        """The words in which another segmentation among the n best can deviate:
+        those whose smallest loss is among the n - 1 smallest."""
         few = np.lexsort((np.arange(len(loss)), loss))[:self.n - 1] if len(loss) < 64 else _smallest(loss, self.n - 1)
+        return few.tolist()
+
+    def _best_of(self, total: float, ids: bytes, others: list[list[tuple[float, bytes]]],
+                 where: list[tuple[int, int]]) -> list[tuple[float, bytes]]:
+        """The n best of a text: its best one, and the ways to change words of it."""
+        out = [(total, ids)]
         ways: list[tuple[float, tuple]] = [(0.0, ())]
-        for i in few.tolist():
-            others = self._others(words[i])
-            ways += [(d + e, (*x, (i, y))) for d, x in ways for e, y in others]
+        for place, other in zip(where, others, strict=True):
+            ways += [(d + e, (*x, (place, y))) for d, x in ways for e, y in other]
             ways = sorted(ways, key=lambda t: t[0])[:self.n]
         for lost, changes in sorted(ways, key=lambda t: t[0])[1:self.n]:
-            other = list(ids)
-            for i, y in changes:
-                other[i] = y
-            out.append((total - lost, b"".join(other)))
+            parts, done = [], 0
+            for (lo, hi), y in sorted(changes):
+                parts += [ids[done:lo], y]
+                done = hi
+            out.append((total - lost, b"".join([*parts, ids[done:]])))
         return out
 
 
-def _in_steps(arcs: PieceLattice, place: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
-    """Arcs in order of (step of ``place`` in its word, word), the range of each
-    step, and where the next word begins."""
-    step = place - arcs.first[arcs.word]
-    order = np.argsort(step * len(arcs.first) + arcs.word, kind="stable")
-    cuts = np.searchsorted(step[order], np.arange(arcs.steps + 2)).tolist()
-    return order, list(zip(cuts[:-1], cuts[1:], strict=True)), np.diff(place[order], prepend=-1) != 0
+def _form(words: str) -> str:
+    """Words of a text in the lattice's form (of the same length)."""
+    return words.replace(MARK, _OWN_MARK).replace(" ", MARK)
+
+
+def _stretches(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of stretches, one after another."""
+    end = np.cumsum(size)
+    return np.repeat(begin - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
 
 
 def _smallest(loss: np.ndarray, k: int) -> np.ndarray:
@@ -368,30 +413,47 @@ def encode(docs: DataFrame, n: int = 3, path: str | None = None) -> DataFrame:
         encoder = _encoder(pieces.value, n)
         kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.binary())]))
         for b in batches:
-            size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(), dtype=np.int64)
-            at = np.arange(0, int(size[-1]) + 1 if len(size) else 0, _SLICE)
-            cuts = np.unique(np.append(np.searchsorted(size, at), b.num_rows)).tolist()
-            for lo, hi in zip([0, *cuts], cuts, strict=False):
-                if lo < hi:
-                    part = b.slice(lo, hi - lo)
-                    got = [[{"score": s, "ids": x} for s, x in each] for each in encoder.encode_all(part.column("text").to_pylist())]
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, kind)], names=[*b.schema.names, name])
+            for part in _slices(b, "text"):
+                got = [[{"score": s, "ids": x} for s, x in each] for each in encoder.encode_all(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, kind)], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
 
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``_SLICE`` bytes of a column (one row at least)."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+    at = np.arange(0, int(size[-1]) + 1 if len(size) else 0, _SLICE)
+    cuts = np.unique(np.append(np.searchsorted(size, at), batch.num_rows)).tolist()
+    for lo, hi in zip([0, *cuts], cuts, strict=False):
+        if lo < hi:
+            yield batch.slice(lo, hi - lo)
+
+
+def _texts(raw: pa.Array, ids: pa.Array) -> pa.Array:
+    """The texts of a column of ids; ``raw``: what each id decodes to."""
+    data, offsets = buffers(ids)
+    got = raw.take(pa.array(data.view("<i4")))
+    data, ends = buffers(got)
+    offsets = ends[offsets // 4]
+    begin = offsets[:-1][np.diff(offsets) > 0]                          # a text without the space put in front
+    texts = pa.LargeStringArray.from_buffers(
+        len(ids), pa.py_buffer(offsets - np.append(0, np.cumsum(np.diff(offsets) > 0))), pa.py_buffer(np.delete(data, begin)))
+    texts.validate(full=True)                                           # raises if a text is no UTF-8
+    return pc.if_else(ids.is_valid(), texts.cast(pa.string()), pa.scalar(None, pa.string()))
+
+
 def decode(encoded: DataFrame, ids: str, path: str | None = None) -> DataFrame:
     """``encoded`` with the binary column ``ids`` replaced by the text it stands for."""
     pieces = encoded.sparkSession.sparkContext.broadcast(model_pieces(path))
     schema = encoded.withColumn(ids, F.lit("").cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = _raw(pieces.value)
+        raw = pa.array(_raw(pieces.value), pa.large_binary())
         for b in batches:
-            text = [None if x.as_py() is None else _decode(raw, np.frombuffer(x.as_py(), "<i4").tolist())
-                    for x in b.column(ids)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(text, pa.string()) if f.name == ids else b.column(f.name) for f in b.schema],
-                names=b.schema.names)
+            for part in _slices(b, ids):
+                yield pa.RecordBatch.from_arrays(
+                    [_texts(raw, part.column(ids)) if f.name == ids else part.column(f.name) for f in part.schema],
+                    names=part.schema.names)
 
     return encoded.mapInArrow(run, schema)
