@@ -3,7 +3,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from meterframe.forecast import arrays, smoothing
+from meterframe.forecast import arima, arrays, smoothing
 from pyspark.sql import functions as F
 from test_forecast import noisy, smooth
 
@@ -28,3 +28,14 @@ def test_series_needs_no_window(spark):
     got = arrays.series(spark.createDataFrame(rows, "client_id string, ts timestamp_ntz, y double"))
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.first().y == [3.0, 3.0, 5.0, 7.0, 9.0, 1.0, 1.0]
+
+
+def test_a_step_of_the_arima_path_is_evaluated_once(spark):
+    """The path holds its forecast once, not once for each difference that is undone."""
+    columns = "weight array<double>, x_tail array<double>, e_tail array<double>, r_tail array<double>, u_tail array<double>, d int, seasonal_d int"
+    zeros = [0.0] * 27
+    df = spark.createDataFrame([([0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0], [*zeros[1:], 2.0], zeros, [*zeros[1:], 7.0], [*zeros[1:], 7.0], 1, 0)], columns)
+    got = df.select(arima.path(F.lit(3)).alias("r"))
+    assert got.first().r == [9.0, 11.0, 13.0]
+    expression = next(line for line in got._jdf.queryExecution().analyzed().toString().splitlines() if "Project" in line)
+    assert expression.count("weight#") == 8
